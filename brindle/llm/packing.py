@@ -89,11 +89,11 @@ def pieces_of(docs: DataFrame, tokenizer: str, word_ends: bool, end_id: int, cap
         enc = encoder(tokenizer, word_ends)
         for batch in batches:
             rows = []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = enc.encode(t) + end
+            for k, own in zip(batch.column(0).to_pylist(), enc.encode_many(batch.column(1).to_pylist()), strict=True):
+                ids = own + end
                 for i, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
-                    own = ids[4 * start : 4 * (start + length)]
-                    rows.append((k, i, start, length, own if with_ids else None, zlib.crc32(own), part, seen[length]))
+                    piece = ids[4 * start : 4 * (start + length)]
+                    rows.append((k, i, start, length, piece if with_ids else None, zlib.crc32(piece), part, seen[length]))
                     seen[length] += 1
             columns = list(zip(*rows, strict=True)) or [()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids", "ids_crc32", "part", "nth"])

@@ -105,8 +105,8 @@ def write_records(docs: DataFrame, out: str, tokenizer: str, word_ends: bool, en
                 names = [f"{where}/part-{part:06d}.{kind}" for kind in ("records", "index")]
                 drafts = [f"{x}.{task.taskAttemptId()}.draft" for x in names]
                 files = [store.open_output_stream(x) for x in drafts]
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = enc.encode(t) + end
+            for k, own in zip(batch.column(0).to_pylist(), enc.encode_many(batch.column(1).to_pylist()), strict=True):
+                ids = own + end
                 record = frame(serialize(k, ids, width))
                 entries.append(struct.pack(ENTRY, size, len(record), tokens))
                 held.append(record)

@@ -13,9 +13,11 @@ import numpy as np
 
 #: Chunks a worker keeps (about 200 bytes each); when reached, it starts anew. It bounds memory and
 #: changes no result.
-CHUNKS_KEPT = 700_000
+CHUNKS_KEPT = 1_000_000
 #: Chunks encoded in one call, between two of the vocabulary's own separators.
 RUN = 64
+#: Texts whose new chunks are encoded in one call.
+TOGETHER = 64
 
 #: White space other than a single space or line feed between two other characters.
 _UNUSUAL = re.compile(r"\s\s|[^\S \n]|\A\s|\s\Z")
@@ -24,7 +26,9 @@ _SEPARATORS = re.compile("[\x1c-\x1f]")
 _BEFORE_WORD = re.compile(r"(?<=\S)(?= \S)")
 #: Both pre-tokenizers cut between a letter and a following mark other than an apostrophe.
 _WORD_THEN_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]+)\Z")
-_SEPARATOR = "<|endoftext|>"
+#: Stands between chunks in a run; a chunk that holds it, or white space, is encoded alone.
+_BETWEEN = {True: "\x01", False: "\n"}
+_ALONE = {True: re.compile(r"[\x01\s]"), False: re.compile(r"\s|\A\Z")}
 
 
 class Encoder:
@@ -33,13 +37,16 @@ class Encoder:
     def __init__(self, path: str, word_ends: bool):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.runs = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        for one in (self.tokenizer, self.runs):
-            one.no_padding()
-            one.no_truncation()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_padding()
+        self.tokenizer.no_truncation()
         self.tokenizer.encode_special_tokens = True  # control strings in a text are ordinary text
-        self.separator = self.runs.token_to_id(_SEPARATOR)
         self.word_ends = word_ends
+        (self.between,) = self.tokenizer.encode(_BETWEEN[word_ends], add_special_tokens=False).ids
+        # ids of tokens that begin with a space (byte-level vocabularies write it so)
+        self.after_space = np.zeros(self.vocabulary, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.after_space[i] = token.startswith("\u0120")
         # chunk -> its ids as little-endian unsigned 32-bit bytes; those in ``spaced`` have a space before
         self.bare: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
@@ -57,46 +64,75 @@ class Encoder:
         heads = {h for h, _ in halves.values()}
         tails = {t for _, t in halves.values()}.difference(self.bare)
         for own, before, new in ((known, prefix, list(chunks.difference(halves).union(heads).difference(known))), (self.bare, "", list(tails))):
-            for c in [c for c in new if "<|" in c]:
+            alone = {c for c in new if _ALONE[self.word_ends].search(c)}
+            for c in alone:
                 own[c] = self._plain(before + c)
-            new = [c for c in new if c not in own]
+            new = [c for c in new if c not in alone]
             groups = [new[k : k + RUN] for k in range(0, len(new), RUN)]
-            texts = ["".join(f"{before}{c}{_SEPARATOR}" for c in group) for group in groups]
-            for group, got in zip(groups, self.runs.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            if before:  # the space before each chunk begins its first token, and no other
+                texts = [before + before.join(group) for group in groups]
+            elif self.word_ends:
+                texts = [f" {_BETWEEN[True]} ".join(group) for group in groups]
+            else:
+                texts = [_BETWEEN[False].join(group) for group in groups]
+            for group, got in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
                 ids = np.asarray(got.ids, "<u4")
-                ends = np.flatnonzero(ids == self.separator)
-                for c, start, end in zip(group, [0, *(ends[:-1] + 1).tolist()], ends.tolist(), strict=True):
-                    own[c] = ids[start:end].tobytes()
+                if before:
+                    starts = np.flatnonzero(self.after_space[ids])
+                    ends = np.r_[starts[1:], len(ids)]
+                else:
+                    ends = np.r_[np.flatnonzero(ids == self.between), len(ids)]
+                    starts = np.r_[0, ends[:-1] + 1]
+                data = ids.tobytes()
+                for c, start, end in zip(group, (4 * starts).tolist(), (4 * ends).tolist(), strict=True):
+                    own[c] = data[start:end]
         for c, (head, tail) in halves.items():
             known[c] = known[head] + self.bare[tail]
 
-    def _join(self, known: dict[str, bytes], prefix: str, chunks: list[str]) -> bytes:
-        try:
-            return b"".join(map(known.__getitem__, chunks))
-        except KeyError:
-            self._learn(known, prefix, set(chunks).difference(known))
-            return b"".join(map(known.__getitem__, chunks))
-
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, little-endian unsigned 32-bit."""
-        if len(self.bare) + len(self.spaced) > CHUNKS_KEPT:
-            self.bare.clear()
-            self.spaced.clear()
-        if self.word_ends:
-            return self._join(self.bare, "", re.split("[ \n\t\r]+", text) if _SEPARATORS.search(text) else text.split())
-        if _UNUSUAL.search(text):
-            return self._join(self.bare, "", _BEFORE_WORD.split(text))
-        lines = [line.split(" ") for line in text.split("\n")]
-        try:
-            return self._lines(lines)
-        except KeyError:
-            self._learn(self.bare, "", {line[0] for line in lines}.union("\n").difference(self.bare))
-            self._learn(self.spaced, " ", {c for line in lines for c in line[1:]}.difference(self.spaced))
-            return self._lines(lines)
-
-    def _lines(self, lines: list[list[str]]) -> bytes:
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts; chunks that are new are encoded together, ``TOGETHER`` texts at a time."""
+        out: list[bytes] = []
+        for k in range(0, len(texts), TOGETHER):
+            if len(self.bare) + len(self.spaced) > CHUNKS_KEPT:
+                self.bare.clear()
+                self.spaced.clear()
+            out += self._encode(texts[k : k + TOGETHER])
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        first: set[str] = {"\n"}
+        rest: set[str] = set()
+        cuts: list[tuple[bool, list]] = []
+        for text in texts:
+            if self.word_ends:
+                chunks = re.split("[ \n\t\r]+", text) if _SEPARATORS.search(text) else text.split()
+            elif _UNUSUAL.search(text):
+                chunks = _BEFORE_WORD.split(text)
+            else:
+                lines = [line.split(" ") for line in text.split("\n")]
+                cuts.append((True, lines))
+                for line in lines:
+                    first.add(line[0])
+                    rest.update(line[1:])
+                continue
+            first.update(chunks)
+            cuts.append((False, chunks))
+        if new := first.difference(self.bare):
+            self._learn(self.bare, "", new)
+        if new := rest.difference(self.spaced):
+            self._learn(self.spaced, " ", new)
         bare, spaced = self.bare.__getitem__, self.spaced.__getitem__
-        return bare("\n").join([bare(line[0]) + b"".join(map(spaced, line[1:])) for line in lines])
+        out = []
+        for by_line, chunks in cuts:
+            if by_line:
+                out.append(bare("\n").join([bare(line[0]) + b"".join(map(spaced, line[1:])) for line in chunks]))
+            else:
+                out.append(b"".join(map(bare, chunks)))
+        return out
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
