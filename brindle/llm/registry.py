@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from brindle.llm import chat, decontamination, packing, quality, record_files, sharding, simhash
+from brindle.llm import chat, decontamination, html_text, packing, pii, quality, record_files, sharding, simhash
 
 QUERIES = {
+    "op2_page_text": html_text.op2_page_text,
     "op3_simhash_components": simhash.op3_simhash_components,
     "op4_pack_sequences": packing.op4_pack_sequences,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_kd_shards": sharding.op6_kd_shards,
     "op7_record_files": record_files.op7_record_files,
+    "op8_skip_chain_pii": pii.op8_skip_chain_pii,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_chat_format": chat.op10_chat_format,
 }
