@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from brindle.llm import chat, decontamination, html_text, packing, pii, quality, record_files, sharding, simhash
+from brindle.llm import chat, decontamination, gated_lm, html_text, packing, pii, quality, record_files, sharding, simhash
 
 QUERIES = {
+    "op1_gated_lm": gated_lm.op1_gated_lm,
     "op2_page_text": html_text.op2_page_text,
     "op3_simhash_components": simhash.op3_simhash_components,
     "op4_pack_sequences": packing.op4_pack_sequences,

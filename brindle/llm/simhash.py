@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import parts_for, settle
+from brindle.llm.common import settle
 
 SHINGLE = 4
 SEED = 42
@@ -252,15 +252,40 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """A row per row of ``docs``: key, fp, component (the smallest key reachable)."""
-    rows = settle(fingerprints(docs, key, text, shingle), "fingerprints")
+def name_components(rows: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """rows: key, fp (settled). Returns fp, root (one fp of the component), component (its smallest key)."""
     distinct = settle(rows.groupBy("fp").agg(F.min("key").alias("key")), "distinct")
     roots = components(links(distinct.select("fp"), max_bits)).withColumnRenamed("node", "fp")
     named = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = named.groupBy("root").agg(F.min("key").alias("component"))
-    named = settle(named.select("fp", "root").join(names, "root").select("fp", "component"), "components")
-    return rows.join(named, "fp").select("key", "fp", "component")
+    return settle(named.select("fp", "root").join(names, "root").select("fp", "root", "component"), "components")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """A row per row of ``docs``: key, fp, component (the smallest key reachable)."""
+    rows = settle(fingerprints(docs, key, text, shingle), "fingerprints")
+    return rows.join(name_components(rows, max_bits), "fp").select("key", "fp", "component")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs``, all columns, that stand for their components: of each the smallest key, nulls last, of repeated rows one."""
+    column = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            fps = np.array([fingerprint(t, shingle) for t in batch.column(column).to_pylist()], "u8").view("i8")
+            yield from pa.Table.from_batches([batch]).append_column("s_row", pa.array(np.arange(row, row + batch.num_rows))).append_column("s_fp", pa.array(fps)).to_batches()
+            row += batch.num_rows
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    own = settle(docs.mapInArrow(run, f"{kept}, s_row long, s_fp long"), "fingerprints")
+    rows = own.select(F.col(key).alias("key"), F.col("s_fp").alias("fp"), "s_row")
+    named = rows.join(name_components(rows.select("key", "fp"), max_bits).select("fp", "root"), "fp")
+    best = named.groupBy("root").agg(F.min(F.struct(F.col("key").isNull(), "key", "s_row")).alias("best"))
+    return own.join(settle(best.select(F.col("best.s_row").alias("s_row")), "kept"), "s_row", "left_semi").drop("s_row", "s_fp")
 
 
 def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
