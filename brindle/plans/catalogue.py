@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from brindle.plans import forms, jobs
+
 
 def queries() -> dict:
-    return {}
+    return forms.QUERIES | jobs.QUERIES
 
 
 def oracle_sql() -> dict:
-    return {}
+    return forms.ORACLES | jobs.ORACLES
