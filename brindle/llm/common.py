@@ -1,53 +1,17 @@
-"""What the training-data operators share: the shared folder, written tables, partition counts."""
+"""What the training-data operators share: words, partition counts and the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.sources.shared import fresh_path, settle, table  # noqa: F401
+
 #: A word of the text contracts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_local_scratch: list[str] = []
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` if the cluster names one.
-
-    Where it is unset, a local master gets a temporary folder (driver and executors are one
-    process there) and any other master the warehouse, which is shared as well.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
-        if not _local_scratch:
-            _local_scratch.append(tempfile.mkdtemp(prefix="brindle-"))
-        return _local_scratch[0]
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_brindle"
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def settle(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
 
 def parts_for(df: DataFrame) -> int:
     """Partitions for a shuffle of whole rows: those the session asks for, or as many as the scan has splits."""
