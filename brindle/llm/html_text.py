@@ -169,29 +169,39 @@ def _hash(line: str) -> int:
     return zlib.crc32(data) << 30 ^ zlib.crc32(data[::-1]) >> 2
 
 
-_LINES = "array<struct<text: string, prior: int>>"
+def _pack(lines: list[tuple[str, int]]) -> bytes:
+    """Lines that are not chrome, compressed; no line holds a line feed."""
+    return zlib.compress("\n".join(f"{prior}{text}" for text, prior in lines if prior != CHROME).encode("utf-8", "surrogatepass"))
+
+
+def _unpack(data: bytes) -> list[tuple[str, int]]:
+    whole = zlib.decompress(data).decode("utf-8", "surrogatepass")
+    return [(x[1:], int(x[0])) for x in whole.split("\n")] if whole else []
 
 
 def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
-    """A row per row of ``pages``: key, url, text, and how many lines were shared with the paired page."""
-    spark = pages.sparkSession
+    """A row per row of ``pages``: key, url, text, and how many lines were shared with the paired page.
+
+    Pages are cut into lines twice: first for the hashes of their lines alone, which are what is sorted
+    and paired, then for the text, which is shuffled once, compressed, to meet its neighbours' hashes.
+    """
     rows = pages.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("html"))
     kind = rows.schema["key"].dataType.simpleString()
     bare = F.regexp_replace(F.coalesce("url", F.lit("")), r"[?#].*$", "")
     rows = rows.withColumn("host", F.lower(F.regexp_extract(bare, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/]*)", 1))).withColumn("path", F.regexp_replace(bare, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/]*", ""))
-    lines_type = pa.list_(pa.struct([("text", pa.string()), ("prior", pa.int32())]))
+
+    def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [[_hash(t) for t, prior in page_lines(h) if prior != CHROME] for h in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(hashes, pa.list_(pa.int64()))], names=["key", "host", "path", "hashes"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, 256):
-                batch = whole.slice(k, 256)
-                cuts = [page_lines(h) for h in batch.column(2).to_pylist()]
-                hashes = [[_hash(t) for t, prior in lines if prior != CHROME] for lines in cuts]
-                lines = pa.array([[{"text": t, "prior": p} for t, p in own] for own in cuts], lines_type)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), batch.column(4), lines, pa.array(hashes, pa.list_(pa.int64()))], names=["key", "url", "host", "path", "lines", "hashes"])
+        for batch in batches:
+            packed = [_pack(page_lines(h)) for h in batch.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(packed, pa.binary())], names=["key", "url", "host", "path", "packed"])
 
-    cuts = settle(rows.mapInArrow(cut, f"key {kind}, url string, host string, path string, lines {_LINES}, hashes array<long>"), "lines")
-    paths = cuts.groupBy("host", "path").agg(F.min_by("hashes", F.struct("key", "hashes")).alias("hashes"))
+    outlines = rows.select("key", "host", "path", "html").mapInArrow(outline, f"key {kind}, host string, path string, hashes array<long>")
+    paths = settle(outlines.groupBy("host", "path").agg(F.min_by("hashes", F.struct("key", "hashes")).alias("hashes")), "outlines")
     paths = paths.repartitionByRange(parts_for(pages), "host", "path").sortWithinPartitions("host", "path")
     # written, so that the part and place of a path stay what they are
     paths = settle(paths.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place")), "paths")
@@ -210,14 +220,16 @@ def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", page:
             for k in range(0, whole.num_rows, 256):
                 batch = whole.slice(k, 256)
                 texts, counts = [], []
-                for path, lines, hashes, *sides in zip(*(batch.column(i).to_pylist() for i in range(2, 7)), strict=True):
+                for path, packed, *sides in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                    lines = _unpack(packed)
                     other = max((s for s in sides if s), key=lambda s: _shared_segments(path, s["path"]), default=None)
-                    shared = common_places(hashes, other["hashes"]) if other else set()
-                    texts.append(main_text([(x["text"], x["prior"]) for x in lines], shared))
+                    shared = common_places([_hash(t) for t, _ in lines], other["hashes"]) if other else set()
+                    texts.append(main_text(lines, shared))
                     counts.append(len(shared))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(counts, pa.int64())], names=["key", "url", "text", "n_shared_lines"])
 
-    paired = cuts.join(near, ["host", "path"]).select("key", "url", "path", "lines", "hashes", "before", "after")
+    cuts = rows.select("key", "url", "host", "path", "html").mapInArrow(cut, f"key {kind}, url string, host string, path string, packed binary")
+    paired = cuts.join(near, ["host", "path"]).select("key", "url", "path", "packed", "before", "after")
     return paired.mapInArrow(difference, f"key {kind}, url string, text string, n_shared_lines long")
 
 
