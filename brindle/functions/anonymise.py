@@ -20,7 +20,7 @@ def _digest(value: Column, seed: str) -> Column:
 def _pick(values: list[str], digest: Column, start: int) -> Column:
     """An entry by the number that eight hex digits from ``start`` write."""
     number = F.conv(F.substring(digest, start, 8), 16, 10).cast("long")
-    return F.element_at(F.array(*map(F.lit, values)), (number % len(values) + 1).cast("int"))
+    return F.when(digest.isNotNull(), F.element_at(F.array(*map(F.lit, values)), (number % len(values) + 1).cast("int")))
 
 
 def fake_email(value: Column, seed: str) -> Column:
