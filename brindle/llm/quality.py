@@ -32,7 +32,7 @@ def _words(text):
 def normalised_lines(text):
     """Array of normalised lines, empty ones left out."""
     plain = F.translate(F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " "), UPPER + "123456789", LOWER + "000000000")
-    return F.array_remove(F.transform(F.split(plain, "\n"), F.trim), "")
+    return F.array_remove(F.transform(F.split(plain, "\n"), lambda x: F.trim(x)), "")
 
 
 def signals(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
