@@ -12,7 +12,7 @@ all of them. Rows of one item_id are one item.
 
 A null or empty text has no words and no hits; an item without words has no window; a null item_id is
 the empty string in lists. Repeated rows give equal results. Extra columns pass through; results are
-columns prefixed ``d_``. Empty documents give no rows, an empty benchmark no hits.
+columns prefixed ``d_``, which replace columns of those names. Empty documents give no rows, an empty benchmark no hits.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.llm.common import without
+
 SHARD_WORDS = 1 << 20
 BLOCK_WORDS = 1 << 20
 WORD_BYTES = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -102,7 +104,7 @@ def spans_of(text: str, mask: np.ndarray) -> list[dict]:
     return [{"start": int(where[at[a][0]]), "end": int(where[at[b - 1][1]])} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
 
 
-def without(text: str, spans: list[dict]) -> str:
+def cut_out(text: str, spans: list[dict]) -> str:
     out, last = [], 0
     for s in spans:
         out.append(text[last : s["start"]])
@@ -113,6 +115,7 @@ def without(text: str, spans: list[dict]) -> str:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """All columns of ``docs`` and: words, words hit, items with occurring windows, merged removal spans, the text without them."""
     spark = docs.sparkSession
+    docs = without(docs, ["d_n_words", "d_n_hit", "d_items", "d_spans", "d_clean_text"])
     blocks = blocks_of(spark, benchmark, window, item, item_text)
     column = docs.columns.index(text)
     added = pa.schema([("d_n_words", pa.int64()), ("d_n_hit", pa.int64()), ("d_items", pa.list_(pa.string())), ("d_spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("d_clean_text", pa.string())])
@@ -129,7 +132,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, text:
             for t in batch.column(column).to_pylist():
                 mask = hit[starts[d] : starts[d] + sizes[d]]
                 spans = spans_of(t, mask) if mask.any() else []
-                rows.append({"d_n_words": int(sizes[d]), "d_n_hit": int(mask.sum()), "d_items": sorted(items[d]), "d_spans": spans, "d_clean_text": without(t, spans) if spans else t})
+                rows.append({"d_n_words": int(sizes[d]), "d_n_hit": int(mask.sum()), "d_items": sorted(items[d]), "d_spans": spans, "d_clean_text": cut_out(t, spans) if spans else t})
                 d += 1
             more = pa.Table.from_pylist(rows, added)
             table = pa.Table.from_batches([batch])

@@ -11,7 +11,7 @@ the shuffle, leave few candidates; distinct texts are counted for those alone. A
 (lines a document) / ``max_share`` lines above the limits, which bounds the array it is joined by.
 
 A null text has no words and fails the base rules. A null host is a host of its own. Repeated rows are
-judged alike. Extra columns pass through; an empty table gives no rows.
+judged alike. Extra columns pass through, but for those of the results' names (``q_``); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import LOWER, SPACE, UPPER, settle
+from brindle.llm.common import LOWER, SPACE, UPPER, settle, without
 
 SYMBOLS = "#*$%&|<>"
 SIGNALS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -82,6 +82,7 @@ def quality_rules(
 ) -> DataFrame:
     """All columns of ``docs`` and, prefixed with ``q_``: the base counts, ``q_base_failed``,
     ``q_clean_text`` (the text without lines above the limits), ``q_removed_words`` and ``q_kept``."""
+    docs = without(docs, [f"q_{c}" for c in [*SIGNALS, *"t w n s r host above pairs base_failed removed_words clean_text kept".split()]])
     above = frequent_lines(docs, host, text, max_share, min_docs).select(F.col("host").alias("q_host"), F.col("lines").alias("q_above"))
     df = docs.join(above, F.col(host).eqNullSafe(F.col("q_host")), "left").drop("q_host")
     df = signals(df, text, "q_")

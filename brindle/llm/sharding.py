@@ -33,12 +33,11 @@ def _digest_bits(column):
     return F.conv(F.substring(F.md5(column), 1, 7), 16, 10).cast("long")
 
 
-def _split_level(groups: DataFrame, extents: DataFrame, names: list[str]) -> DataFrame:
+def _split_level(groups: DataFrame, extents: list[int], names: list[str]) -> DataFrame:
     """One row for each node of more than one shard: node, dim, cut (groups at or under it go left), k, first."""
     spans = [(F.max(n) - F.min(n)).alias(f"w_{n}") for n in names]
     stats = groups.where("k > 1").groupBy("node", "k", "first").agg(F.sum("bytes").alias("total"), *spans)
-    stats = stats.join(F.broadcast(extents))  # extents is one row
-    share = [F.when(F.col(f"e_{n}") > 0, F.col(f"w_{n}") / F.col(f"e_{n}")).otherwise(F.lit(0.0)) for n in names]
+    share = [F.col(f"w_{n}") / F.lit(e) if e else F.lit(0.0) for n, e in zip(names, extents, strict=True)]
     widest = F.greatest(*share) if len(share) > 1 else share[0]
     dim = reduce(lambda rest, i: F.when(share[i] == widest, F.lit(i)).otherwise(rest), reversed(range(len(names))), F.lit(0))
     nodes = settle(stats.select("node", "k", "first", "total", dim.alias("dim"), F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("before"), F.lit(0).cast("long").alias("weight")), "nodes")
@@ -68,7 +67,7 @@ def kd_shards(docs: DataFrame, shards: int, dimensions: list[str], key: str = "d
     groups = rows.groupBy("digest").agg(F.sum("size").alias("bytes"), F.least(F.min("size"), F.lit((1 << PLACE) - 1)).alias("d_size"), *(F.min(n).alias(n) for n in places))
     tail = F.conv(F.substring("digest", 1, 7), 16, 10).cast("long")
     groups = settle(groups.select("digest", "bytes", *names, tail.alias("tail"), F.lit(1).cast("long").alias("node"), F.lit(shards).cast("long").alias("k"), F.lit(0).cast("long").alias("first")), "groups")
-    extents = settle(groups.agg(*((F.max(n) - F.min(n)).alias(f"e_{n}") for n in names)), "extents")
+    extents = [e or 0 for e in groups.agg(*(F.max(n) - F.min(n) for n in names)).first()]  # a number for each dimension
     place = reduce(lambda rest, i: F.when(F.col("dim") == i, F.col(names[i])).otherwise(rest), range(1, len(names)), F.col(names[0]))
     for _ in range(max(0, shards - 1).bit_length()):
         cuts = _split_level(groups, extents, names)

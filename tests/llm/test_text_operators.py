@@ -13,14 +13,14 @@ from brindle.llm import decontamination, fm_index, html_text, pii, quality, shar
 from brindle.llm.common import settle
 from conftest import DATA, duck_rows, rows_of
 
-ODD = "doc_id long, text string, lang string, source string, n_chars long, q_n string, size long, key string"
+ODD = "doc_id long, text string, lang string, source string, n_chars long, q_n string, size long, key string, d_items string, p_spans string, s_fp string, Q_KEPT string"
 LONG = " ".join(f"word{i % 977}" for i in range(30_000))
 
 
 def odd_docs(spark, texts=(), long=LONG):
     base = [None, "", " \n\t", "One two three four five", "one two three four five", long, long, "a b c a b c a b c", "Ünï cödé 🎉 ＊ #*$", *texts]
-    rows = [(i, t, None if i % 3 else "en", None if i % 2 else "h", None, None, None, "x") for i, t in enumerate(base)]
-    return spark.createDataFrame([*rows, (None, None, None, None, None, None, None, None), rows[3], rows[3]], ODD)
+    rows = [(i, t, None if i % 3 else "en", None if i % 2 else "h", None, None, None, "x", "x", "x", "x", "x") for i, t in enumerate(base)]
+    return spark.createDataFrame([*rows, (*[None] * 12,), rows[3], rows[3]], ODD)
 
 
 @pytest.mark.parametrize("module", [quality, decontamination])
@@ -130,7 +130,7 @@ def brute_components(keys, fps, limit):
 
 
 def test_fingerprints_and_components(spark):
-    docs = odd_docs(spark).unionByName(spark.read.parquet(f"{DATA}/documents.parquet").selectExpr("doc_id + 100 AS doc_id", "text", "lang", "source", "n_chars", "'' AS q_n", "1L AS size", "'' AS key"))
+    docs = odd_docs(spark).unionByName(spark.read.parquet(f"{DATA}/documents.parquet").selectExpr("doc_id + 100 AS doc_id", "text", "lang", "source", "n_chars", "'' AS q_n", "1L AS size", "'' AS key", "'' AS d_items", "'' AS p_spans", "'' AS s_fp", "'' AS Q_KEPT"))
     rows = docs.collect()
     for r in rows[:40]:
         assert simhash.fingerprint(r.text) == plain_fingerprint(r.text)
@@ -140,7 +140,7 @@ def test_fingerprints_and_components(spark):
         assert sorted(map(repr, ((r.key, r.component) for r in got))) == sorted(map(repr, zip((r.doc_id for r in rows), want)))
     kept = simhash.keep_one(docs)
     want = brute_components([r.doc_id for r in rows], [simhash.fingerprint(r.text) for r in rows], 4)
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want)) and kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want)) and kept.columns == [c for c in docs.columns if c != "s_fp"]
 
 
 def test_gray_index_equals_all_pairs(spark, monkeypatch):
@@ -302,7 +302,7 @@ def test_pages_equal_their_articles(spark):
 
 @pytest.mark.parametrize("shards", [1, 3, 8])
 def test_shards_are_gapless_balanced_and_keep_copies_together(spark, shards):
-    docs = odd_docs(spark).unionByName(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("doc_id", "text", "lang", "source", "n_chars", "'' AS q_n", "1L AS size", "'' AS key").where("length(text) < 20000"))
+    docs = odd_docs(spark).unionByName(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("doc_id", "text", "lang", "source", "n_chars", "'' AS q_n", "1L AS size", "'' AS key", "'' AS d_items", "'' AS p_spans", "'' AS s_fp", "'' AS Q_KEPT").where("length(text) < 20000"))
     docs = docs.where("text IS NULL OR length(text) < 20000")
     rows = sharding.kd_shards(docs, shards, ["lang", "source"]).collect()
     size, of = Counter(), {}
