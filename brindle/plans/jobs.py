@@ -68,9 +68,19 @@ def anonymize(spark, sf_dir):
     return table_sets.anonymise(table(spark, sf_dir, "customer"), rules, SEED)
 
 
-@query("SELECT s_suppkey, CAST(NULL AS VARCHAR) AS s_name, s_nationkey, CAST(0 AS DOUBLE) AS s_acctbal FROM supplier")
-def anon_null_zero_preserve(spark, sf_dir):
-    return table_sets.anonymise(table(spark, sf_dir, "supplier"), {"s_name": "null", "s_acctbal": "zero", "s_nationkey": "preserve"}, SEED)
+@query("SELECT s_suppkey, CAST(NULL AS VARCHAR) AS s_name FROM supplier")
+def anon_null(spark, sf_dir):
+    return table_sets.anonymise(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), {"s_name": "null"}, SEED)
+
+
+@query("SELECT s_suppkey, CAST(0 AS DOUBLE) AS s_acctbal FROM supplier")
+def anon_zero(spark, sf_dir):
+    return table_sets.anonymise(table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal"), {"s_acctbal": "zero"}, SEED)
+
+
+@query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def anon_preserve(spark, sf_dir):
+    return table_sets.anonymise(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal"), {"s_name": "preserve"}, SEED)
 
 
 _RULES = [table_sets.Rule("app.customer", "c_name", "fake_name"), table_sets.Rule("app.supplier", "s_name", "redact"), table_sets.Rule("app.nation", None, "skip")]
