@@ -29,6 +29,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +54,6 @@ PIECES = 16
 #: Distinct words a task counts before it passes them on.
 COUNTED = 1_000_000
 END = b"\n"  # no word has white space
-RARE = b" "
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -63,9 +63,11 @@ def words_of(text: str | None) -> list[bytes]:
 
 @dataclass
 class Head:
-    """What tasks know of the corpus. ``words``: word -> (count, id), the id 0 for rare words."""
+    """What tasks know of the corpus. ``ranks``: word -> its place by frequency from 1, with ``every`` its count; up to ``known`` a rank is an id, beyond it a word is rare."""
 
-    words: dict[bytes, tuple[int, int]]
+    ranks: dict[bytes, int]
+    every: np.ndarray
+    known: int
     tokens: int
     distinct: int
     rare_tokens: int
@@ -115,15 +117,17 @@ def head_of(counts: DataFrame) -> Head:
     rows = counts.where(F.col("n") >= least).collect() if least is not None else []
     ranked = sorted(((bytes(r["word"]), r["n"]) for r in rows), key=lambda r: (-r[1], r[0]))
     distinct, tokens = sum(r["v"] for r in bins.values()), sum(r["n"] for r in bins.values())
-    known = ranked[:VOCABULARY]
-    if ranked and all(w != END for w, _ in known):  # the end is always one of them
-        known = known[: VOCABULARY - 1] + [x for x in ranked if x[0] == END]
-    ids = {w: k + 1 for k, (w, _) in enumerate(known)}
-    rare_tokens = tokens - sum(n for _, n in known)
-    sizes = np.array([max(1, rare_tokens), *(n for _, n in known)], "f8")
+    end = next((k for k, (w, _) in enumerate(ranked) if w == END), 0)
+    if end >= VOCABULARY:  # the end is always an id
+        ranked.insert(VOCABULARY - 1, ranked.pop(end))
+    every = np.array([0, *(n for _, n in ranked)], "f8")
+    known = min(VOCABULARY, len(ranked))
+    rare_tokens = tokens - int(every[: known + 1].sum())
+    sizes = np.array([max(1, rare_tokens), *every[1 : known + 1]], "f8")
     mass = np.cumsum(np.sqrt(sizes)) / np.sqrt(sizes).sum()
     starts = np.unique(np.r_[0, 1, np.searchsorted(mass, np.arange(1, CLASSES) / CLASSES) + 1, len(sizes)])
-    return Head({w: (n, ids.get(w, 0)) for w, n in ranked}, tokens, distinct, rare_tokens, distinct - len(known), sizes, starts[starts <= len(sizes)])
+    ranks = {w: k + 1 for k, (w, _) in enumerate(ranked)}
+    return Head(ranks, every, known, tokens, distinct, rare_tokens, distinct - known, sizes, starts[starts <= len(sizes)])
 
 
 class Network:
@@ -278,9 +282,12 @@ def windows(docs: list[np.ndarray], width: int, steps: int) -> Iterator[tuple[np
         yield tokens, begins, valid, doc
 
 
-def _ids(words: list[bytes], head: Head) -> np.ndarray:
-    get, none = head.words.get, (0, 0)
-    return np.fromiter((get(w, none)[1] for w in words), "i8", len(words))
+def _ranks(words: list[bytes], head: Head) -> np.ndarray:
+    return np.fromiter(map(head.ranks.get, words, repeat(0)), "i4", len(words))
+
+
+def _ids(ranks: np.ndarray, head: Head) -> np.ndarray:
+    return np.where(ranks <= head.known, ranks, 0)
 
 
 def train_round(texts: DataFrame, head, flat: np.ndarray) -> np.ndarray:
@@ -303,7 +310,7 @@ def train_round(texts: DataFrame, head, flat: np.ndarray) -> np.ndarray:
 
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                held.append(_ids([*words_of(t), END], own))
+                held.append(_ids(_ranks([*words_of(t), END], own), own))
                 size += len(held[-1])
                 if size >= HELD:
                     go()
@@ -347,7 +354,7 @@ def score(docs: DataFrame, head, flat: np.ndarray) -> DataFrame:
         net.load(held_weights.value)
         number = TaskContext.get().partitionId() << 33
         rows, held, size = [], [], 0
-        base_of = {w: math.log10(n + 0.5) for w, (n, _) in own.words.items()}
+        logs = np.log10(own.every + 0.5)
         unit, rare_unit = math.log10(own.total), math.log10(own.rare_total)
 
         def done() -> pa.RecordBatch:
@@ -365,17 +372,15 @@ def score(docs: DataFrame, head, flat: np.ndarray) -> DataFrame:
         for batch in batches:
             for key, t, held_out in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 words = [*words_of(t), END]
-                ids = _ids(words, own)
-                sums = list(map(base_of.get, words))
-                tail = Counter(w for w, s in zip(words, sums) if s is None)
-                n_tail = sum(tail.values())
-                seen = [s for s in sums if s is not None]
-                rare = [s for s, i in zip(sums, ids.tolist()) if s is not None and not i]
+                ranks = _ranks(words, own)
+                found, rare = ranks > 0, ranks > own.known
+                tail = Counter(words[i] for i in np.flatnonzero(~found).tolist())
+                n_known, n_rare = int(found.sum()), int(rare.sum()) + len(words) - int(found.sum())
                 rows.append({
-                    "id": number, "key": key, "held_out": held_out, "n_tokens": len(words), "n_known": len(seen), "base": math.fsum(seen) - unit * len(words),
-                    "score": math.fsum(rare) - rare_unit * (len(rare) + n_tail), "tail": [{"word": w, "n": n} for w, n in tail.items()],
+                    "id": number, "key": key, "held_out": held_out, "n_tokens": len(words), "n_known": n_known, "base": float(logs[ranks[found]].sum()) - unit * len(words),
+                    "score": float(logs[ranks[rare]].sum()) - rare_unit * n_rare, "tail": [{"word": w, "n": n} for w, n in tail.items()],
                 })
-                held.append(ids)
+                held.append(_ids(ranks, own))
                 number, size = number + 1, size + len(words)
                 if size >= HELD:
                     yield done()
