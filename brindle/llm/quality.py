@@ -82,7 +82,7 @@ def quality_rules(
 ) -> DataFrame:
     """All columns of ``docs`` and, prefixed with ``q_``: the base counts, ``q_base_failed``,
     ``q_clean_text`` (the text without lines above the limits), ``q_removed_words`` and ``q_kept``."""
-    docs = without(docs, [f"q_{c}" for c in [*SIGNALS, *"t w n s r host above pairs base_failed removed_words clean_text kept".split()]])
+    docs = without(docs, [f"q_{c}" for c in [*SIGNALS, *"t w n s r host above pairs all base_failed removed_words clean_text kept".split()]])
     above = frequent_lines(docs, host, text, max_share, min_docs).select(F.col("host").alias("q_host"), F.col("lines").alias("q_above"))
     df = docs.join(above, F.col(host).eqNullSafe(F.col("q_host")), "left").drop("q_host")
     df = signals(df, text, "q_")
@@ -98,7 +98,10 @@ def quality_rules(
             "q_base_failed": (F.col("q_n_words") < min_words) | (100 * F.col("q_n_repeat_words") > max_repeat_percent * F.col("q_n_words")),
         }
     )
-    return df.withColumn("q_kept", ~F.col("q_base_failed") & (F.col("q_removed_words") <= F.col("q_n_words") * F.lit(max_removed))).drop("q_t", "q_pairs", "q_above")
+    df = df.withColumn("q_kept", ~F.col("q_base_failed") & (F.col("q_removed_words") <= F.col("q_n_words") * F.lit(max_removed)))
+    # one row out for one row in: a filter on a verdict stays above this, and isn't spelt out in every expression below
+    results = [f"q_{c}" for c in [*SIGNALS, "removed_words", "clean_text", "base_failed", "kept"]]
+    return df.select(*docs.columns, F.explode(F.array(F.struct(*results))).alias("q_all")).select(*docs.columns, "q_all.*")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
