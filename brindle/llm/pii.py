@@ -136,8 +136,7 @@ def _features(cores: list[str], k: int) -> list[str]:
         out.append(f"ip={bool(_ips(core))}")
     if 13 <= len(digits) <= 19:
         out.append(f"luhn={luhn(digits)}")
-    if k == 0 or "+" in cores[k][:1]:
-        out.append(f"plus={core[:1] == '+'}")
+    out.append(f"plus={core[:1] == '+'}")
     for name, j in (("before", k - 1), ("after", k + 1)):
         near = cores[j].lower() if 0 <= j < len(cores) else ""
         out.append(f"{name}={near if len(near) <= 12 and near.isascii() and near.isalpha() or near in ('=', ':') else re.sub(r'[0-9]', '9', near[:1])}")
@@ -160,7 +159,7 @@ def add_document(graph: Graph, doc: int, text: str) -> None:
         near = [text[slice(*core[j])] if j in core else "" for j in (k - 1, k, k + 1)]
         graph.doc.append(doc)
         graph.span.append(core[k])
-        graph.features.append(_features(near, 1) + ([f"plus={near[1][:1] == '+'}"]))
+        graph.features.append(_features(near, 1))
         graph.clamped.append((k - 1 not in held) + (k + 1 not in held))
         if k - 1 in node:
             graph.chain.append((node[k - 1], i))
