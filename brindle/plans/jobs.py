@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,11 @@ def query(oracle: str | None = None):
     return add
 
 
+def _fresh(name: str) -> str:
+    """A table name of its own for each run: another session's table may lie in the same warehouse."""
+    return f"{name}_{uuid.uuid4().hex[:12]}"
+
+
 def _union(frames) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
@@ -103,9 +109,10 @@ def anonymize_preview(spark, sf_dir):
 
 @query("SELECT c_custkey, regexp_replace(regexp_replace(c_name, '[a-zA-Z]', 'X', 'g'), '[0-9]', '9', 'g') AS c_name, c_acctbal FROM customer")
 def bootstrap_copy(spark, sf_dir):
-    source = {"copied_customer": table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")}
-    table_sets.bootstrap_copy(source, [table_sets.Rule("copied_customer", "c_name", "redact")], SEED, "brindle_copy")
-    return spark.table("brindle_copy.copied_customer")
+    name = _fresh("copied_customer")
+    source = {name: table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")}
+    table_sets.bootstrap_copy(source, [table_sets.Rule(name, "c_name", "redact")], SEED, "brindle_copy")
+    return spark.table(f"brindle_copy.{name}")
 
 
 @query("""WITH q AS (SELECT conv_id, turn, 'SELECT * FROM t WHERE a = ''' || replace(text, '''', '''''') || ''' AND "b" = 2' AS sql FROM conversations)
@@ -369,10 +376,10 @@ def snapshot_save(spark, sf_dir):
 
 @query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
 def snapshot_restore(spark, sf_dir):
-    root = fresh_path(spark, "snapshots")
-    table_sets.snapshot_save(spark, {"default.kept_supplier": table(spark, sf_dir, "supplier")}, "one", root)
+    root, name = fresh_path(spark, "snapshots"), _fresh("default.kept_supplier")
+    table_sets.snapshot_save(spark, {name: table(spark, sf_dir, "supplier")}, "one", root)
     table_sets.snapshot_restore(spark, "one", root, confirmed=True)
-    return spark.table("default.kept_supplier")
+    return spark.table(name)
 
 
 @query("SELECT 'later' AS snapshot, '2024-02-01' AS created, 2 AS tables, (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) AS rows UNION ALL SELECT 'sooner', '2024-01-01', 1, (SELECT count(*) FROM orders)")
@@ -431,9 +438,10 @@ def seed_apply_schema(spark, sf_dir):
 @query(f"SELECT c_custkey, c_acctbal FROM ({_SEED_SQL})")
 def seed_replace(spark, sf_dir):
     df = seeds.apply_schema(_seed_file(spark, sf_dir), {"c_custkey": "bigint", "c_acctbal": "double"}).select("c_custkey", "c_acctbal")
-    df.limit(0).write.mode("overwrite").saveAsTable("seeded_customer")
-    seeds.replace({"seeded_customer": df})
-    return spark.table("seeded_customer")
+    name = _fresh("seeded_customer")
+    df.limit(0).write.saveAsTable(name)
+    seeds.replace({name: df})
+    return spark.table(name)
 
 
 @query("SELECT c_custkey AS id, 'user' || c_custkey || '@example.com' AS email, CASE WHEN c_custkey % 3 = 0 THEN 'admin' ELSE 'member' END AS role FROM customer")
