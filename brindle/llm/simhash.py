@@ -286,7 +286,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     rows = own.select(F.col(key).alias("key"), F.col("s_fp").alias("fp"), "s_row")
     named = rows.join(name_components(rows.select("key", "fp"), max_bits).select("fp", "root"), "fp")
     best = named.groupBy("root").agg(F.min(F.struct(F.col("key").isNull(), "key", "s_row")).alias("best"))
-    return own.join(settle(best.select(F.col("best.s_row").alias("s_row")), "kept"), "s_row", "left_semi").drop("s_row", "s_fp")
+    # most rows are kept, so what names them grows with the corpus: never broadcast, one plan at every size
+    kept_rows = best.select(F.col("best.s_row").alias("s_row")).hint("merge")
+    return own.join(kept_rows, "s_row", "left_semi").drop("s_row", "s_fp")
 
 
 def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
