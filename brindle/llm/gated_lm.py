@@ -4,17 +4,21 @@ Corpus counts. Every training token is counted: tasks count their words before t
 largest counts (at most ``HEAD``) go to the tasks as a table; all others, the tail, are looked up by a
 join, so no table that grows with the corpus is broadcast.
 
-Network. The ``VOCABULARY`` most frequent words, the end and one symbol for all other words ("rare") are
-read and predicted. A gated recurrent unit reads token after token; the output is a softmax over
-frequency classes times a softmax over the words of the class, both starting from the corpus counts. A
-rare word has the probability of "rare" times its share among rare words, (c + 0.5) / (N + 0.5 (V + 1)),
-with N and V of the rare words; all unknown words together are one of them, so probabilities sum to one.
+Network. The end and every word of the table that occurs ``LEAST`` times or more are read and predicted
+as themselves, so that the vocabulary grows with the corpus counts up to ``HEAD``; the classes are about its
+square root. All other words are dealt by a digest to "rare" symbols, about the square root of their
+number, which are read and predicted likewise. A gated recurrent unit reads token after token; the output
+is a softmax over frequency classes times a softmax over the words of the class, both starting from the
+corpus counts. A rare word has the probability of its symbol times its share among the symbol's words,
+(c + 0.5) / (N + 0.5 (V + 1)), with N and V of these; all unknown words of a symbol together are one of
+them, so probabilities sum to one.
 
 Training. Back-propagation is truncated to windows of ``WINDOW`` tokens, with the state carried from window
 to window and set to zero where a document begins. Every training document is learnt from once. The
 documents are dealt into ``ROUNDS`` by a digest; in a round each task learns from its own documents,
-starting from common weights, and the weights are averaged by tokens learnt from, piece by piece of the
-weights in as many tasks. What reaches the driver is one set of weights.
+starting from common weights, and steps only the rows of words that it reads and of classes that it
+predicts. Of these rows alone it passes on the changes, which are averaged row by row by how often the row
+was learnt from, piece by piece of the weights in as many tasks. What reaches the driver is one set of weights.
 
 Scoring. Lanes of documents run side by side; the state is carried through whole documents.
 
@@ -26,6 +30,8 @@ documents every word is rare and unknown.
 from __future__ import annotations
 
 import math
+import pickle
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,9 +45,9 @@ from pyspark.sql import functions as F
 from brindle.llm.common import settle
 
 HEAD = 200_000
-VOCABULARY = 2046
+#: Words that occur less often are rare: what is learnt of them must hold for words never seen.
+LEAST = 3
 HIDDEN = 16
-CLASSES = 24
 WINDOW = 16
 ROUNDS = 3
 LANES = 512
@@ -49,10 +55,13 @@ SCORE_LANES, SCORE_WINDOW = 512, 32
 RATE = 0.1
 #: Tokens a task holds at a time.
 HELD = 1 << 21
+#: What the squares of gradients of words' rows start from: a token's share of a window's mean loss.
+SLOW = 1 / (LANES * WINDOW)
 #: Pieces into which weights are cut for averaging.
 PIECES = 16
 #: Distinct words a task counts before it passes them on.
 COUNTED = 1_000_000
+NAMES = ["read", "gate", "class", "class_bias", "word", "word_bias"]
 END = b"\n"  # no word has white space
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -63,22 +72,17 @@ def words_of(text: str | None) -> list[bytes]:
 
 @dataclass
 class Head:
-    """What tasks know of the corpus. ``ranks``: word -> its place by frequency from 1, with ``every`` its count; up to ``known`` a rank is an id, beyond it a word is rare."""
+    """What tasks know of the corpus. ``ranks``: word -> its place by frequency from 1, with ``every`` its count; up to ``known`` a word has an id of its own, beyond it a word is rare."""
 
     ranks: dict[bytes, int]
     every: np.ndarray
     known: int
     tokens: int
     distinct: int
-    rare_tokens: int
-    rare_distinct: int
-    counts: np.ndarray  # of the ids: rare, then words by frequency
+    rare_totals: np.ndarray  # of each rare symbol, N + 0.5 (V + 1)
+    counts: np.ndarray  # of the ids: rare symbols, then words by frequency
     starts: np.ndarray  # where classes of ids begin, and the end
 
-    @property
-    def rare_total(self) -> float:
-        return self.rare_tokens + 0.5 * (self.rare_distinct + 1)
-
     @property
     def total(self) -> float:
         return self.tokens + 0.5 * (self.distinct + 1)
@@ -117,35 +121,53 @@ def head_of(counts: DataFrame) -> Head:
     rows = counts.where(F.col("n") >= least).collect() if least is not None else []
     ranked = sorted(((bytes(r["word"]), r["n"]) for r in rows), key=lambda r: (-r[1], r[0]))
     distinct, tokens = sum(r["v"] for r in bins.values()), sum(r["n"] for r in bins.values())
+    known = sum(n >= LEAST for _, n in ranked)
     end = next((k for k, (w, _) in enumerate(ranked) if w == END), 0)
-    if end >= VOCABULARY:  # the end is always an id
-        ranked.insert(VOCABULARY - 1, ranked.pop(end))
+    if ranked and end >= known:  # the end is always an id
+        ranked.insert(known, ranked.pop(end))
+        known += 1
     every = np.array([0, *(n for _, n in ranked)], "f8")
-    known = min(VOCABULARY, len(ranked))
-    rare_tokens = tokens - int(every[: known + 1].sum())
-    sizes = np.array([max(1, rare_tokens), *every[1 : known + 1]], "f8")
-    mass = np.cumsum(np.sqrt(sizes)) / np.sqrt(sizes).sum()
-    starts = np.unique(np.r_[0, 1, np.searchsorted(mass, np.arange(1, CLASSES) / CLASSES) + 1, len(sizes)])
+    symbols = math.isqrt(max(0, distinct - known)) + 1
+    rare_tokens, rare_distinct = np.zeros(symbols), np.zeros(symbols)
+    beyond = counts.where(F.col("n") < least) if least is not None else counts
+    for r in beyond.groupBy((F.crc32("word") % symbols).alias("s")).agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n")).collect():
+        rare_tokens[r["s"]], rare_distinct[r["s"]] = r["n"], r["v"]
+    for w, n in ranked[known:]:
+        rare_tokens[_symbol(w, symbols)] += n
+        rare_distinct[_symbol(w, symbols)] += 1
+    sizes = np.r_[np.maximum(1.0, rare_tokens), np.maximum(1.0, every[1 : known + 1])]
+    classes = math.isqrt(len(sizes)) + 1
+    mass = np.cumsum(np.sqrt(sizes[symbols:]))
+    inner = np.searchsorted(mass, mass[-1] * np.arange(1, classes) / classes) + 1 if known else []
+    starts = np.unique(np.r_[0 : symbols : math.isqrt(symbols) + 1, symbols, symbols + np.array(inner, "i8"), len(sizes)])
     ranks = {w: k + 1 for k, (w, _) in enumerate(ranked)}
-    return Head(ranks, every, known, tokens, distinct, rare_tokens, distinct - known, sizes, starts[starts <= len(sizes)])
+    return Head(ranks, every, known, tokens, distinct, rare_tokens + 0.5 * (rare_distinct + 1), sizes, starts[starts <= len(sizes)])
+
+
+def _symbol(word: bytes, symbols: int) -> int:
+    return zlib.crc32(word) % symbols
 
 
 class Network:
-    def __init__(self, counts: np.ndarray, starts: np.ndarray, hidden: int = HIDDEN, seed: int = 1):
+    def __init__(self, counts: np.ndarray, starts: np.ndarray, hidden: int = HIDDEN, seed: int = 1, flat: np.ndarray | None = None):
         rng, v = np.random.default_rng(seed), len(counts)
         self.starts, self.hidden = starts, hidden
         self.of = np.searchsorted(starts, np.arange(v), "right") - 1  # class of an id
         per_class = np.add.reduceat(counts, starts[:-1])
+        #: How often rows were learnt from: by reading an id, by predicting a class.
+        self.reads, self.predicted = np.zeros(v, "i8"), np.zeros(len(starts) - 1, "i8")
         self.weights = {
-            "read": rng.normal(0, 0.1, (v, 3 * hidden)),
+            "read": rng.normal(0, 0.1, (v, 3 * hidden)) if flat is None else np.zeros((v, 3 * hidden), "f4"),
             "gate": rng.normal(0, 1 / math.sqrt(hidden), (hidden, 3 * hidden)),
             "class": np.zeros((hidden, len(starts) - 1)),
             "class_bias": np.log(per_class / counts.sum()),
-            "word": np.zeros((hidden, v)),
+            "word": np.zeros((v, hidden)),
             "word_bias": np.log(counts / per_class[self.of]),
         }
         self.weights["read"][:, :hidden] += 1.0  # keep the state at first
         self.weights = {k: w.astype("f4") for k, w in self.weights.items()}
+        if flat is not None:
+            self.load(flat)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([w.ravel() for w in self.weights.values()])
@@ -156,6 +178,24 @@ class Network:
             self.weights[k] = flat[at : at + w.size].reshape(w.shape).astype("f4")
             at += w.size
 
+    def changes(self, start: np.ndarray, learnt: int) -> list[bytes]:
+        """From the weights ``start``, of the rows that were learnt from: by name its rows, which they are, how often each was learnt from and
+        its change in 16 bits; a piece for each range of ids, and one for the weights that are no id's."""
+        before = dict(zip(NAMES, np.split(start, np.cumsum([self.weights[k].size for k in NAMES])[:-1]), strict=True))
+        times = {"read": self.reads, "word": self.predicted[self.of], "word_bias": self.predicted[self.of]}
+        limit, pieces = np.finfo("f2").max, []
+        for k in range(PIECES):
+            ids = slice(len(self.of) * k // PIECES, len(self.of) * (k + 1) // PIECES)
+            own = {}
+            for name, n in times.items():
+                rows = np.flatnonzero(n[ids])
+                now = self.weights[name]
+                own[name] = len(n[ids]), rows.astype("i4"), n[ids][rows].astype("i4"), np.clip((now[ids] - before[name].reshape(now.shape)[ids])[rows], -limit, limit).astype("f2")
+            pieces.append(own)
+        common = {k: self.weights[k] - before[k].reshape(self.weights[k].shape) for k in NAMES if k not in times}
+        pieces.append({k: (len(x), np.arange(len(x)), np.full(len(x), learnt), x) for k, x in common.items()})
+        return [pickle.dumps(x) for x in pieces]
+
     def run(self, tokens: np.ndarray, begins: np.ndarray, state: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
         """tokens, begins: step x lane. Returns the states before each token and the last one."""
         h3, n = self.weights["gate"], self.hidden
@@ -188,17 +228,19 @@ class Network:
             p[rows, kind] -= 1
             gradients["class"] = states.T @ p
             gradients["class_bias"] = p.sum(0)
-            gradients["word"], gradients["word_bias"] = np.zeros_like(w["word"]), np.zeros_like(w["word_bias"])
+            gradients["rows"] = []  # of "word" and "word_bias": from, to, and the gradients of these rows
             d = p @ w["class"].T
         order = np.argsort(kind, kind="stable")
         edges = np.searchsorted(kind[order], np.arange(len(self.starts)))
+        if gradients is not None:
+            self.predicted += np.diff(edges)
         for k in np.flatnonzero(np.diff(edges)).tolist():
             a, b = self.starts[k], self.starts[k + 1]
             if b - a == 1:
                 continue
             own = order[edges[k] : edges[k + 1]]
             s, place = states[own], targets[own] - a
-            logits = s @ w["word"][:, a:b] + w["word_bias"][a:b]
+            logits = s @ w["word"][a:b].T + w["word_bias"][a:b]
             logits -= logits.max(1, keepdims=True)
             q = np.exp(logits)
             total = q.sum(1)
@@ -207,15 +249,15 @@ class Network:
             if gradients is not None:
                 q /= total[:, None]
                 q[mine, place] -= 1
-                gradients["word"][:, a:b] = s.T @ q
-                gradients["word_bias"][a:b] = q.sum(0)
-                d[own] += q @ w["word"][:, a:b].T
+                gradients["rows"].append((a, b, q.T @ s, q.sum(0)))
+                d[own] += q @ w["word"][a:b]
         if gradients is not None:
             gradients["states"] = d
         return out
 
-    def learn(self, tokens: np.ndarray, begins: np.ndarray, valid: np.ndarray, state: np.ndarray, squares: dict[str, np.ndarray]) -> np.ndarray:
-        """One window: forward, back through its steps, one adaptive gradient step. Returns the state to carry on."""
+    def learn(self, tokens: np.ndarray, begins: np.ndarray, valid: np.ndarray, state: np.ndarray, squares: dict[str, np.ndarray], whole: int = 0) -> np.ndarray:
+        """One window: forward, back through its steps, one adaptive gradient step. Returns the state to carry on. With ``whole``, the
+        tokens of a full window, a token weighs as much in a window where few lanes still run."""
         n, keep, g = self.hidden, [], {}
         states, last = self.run(tokens, begins, state, keep)
         flat = np.flatnonzero(valid.ravel())
@@ -240,11 +282,13 @@ class Network:
         order = np.argsort(ids, kind="stable")
         first = np.flatnonzero(np.r_[True, np.diff(ids[order]) > 0])
         at, sums = ids[order][first], np.add.reduceat(d_read.reshape(-1, 3 * n)[order], first)
-        scale = 1 / max(1, len(flat))
-        for name, grad in g.items():
+        scale = 1 / max(1, whole or len(flat))
+        steps = [(name, slice(a, b), grad) for a, b, *both in g.pop("rows") for name, grad in zip(("word", "word_bias"), both, strict=True)]
+        for name, rows, grad in [*((name, slice(None), grad) for name, grad in g.items()), *steps]:
             grad *= scale
-            squares[name] += grad * grad
-            self.weights[name] -= RATE * grad / (np.sqrt(squares[name]) + 1e-6)
+            squares[name][rows] += grad * grad
+            self.weights[name][rows] -= RATE * grad / (np.sqrt(squares[name][rows]) + 1e-6)
+        self.reads[at] += np.diff(np.r_[first, len(ids)])
         sums *= scale
         squares["read"][at] += sums * sums
         self.weights["read"][at] -= RATE * sums / (np.sqrt(squares["read"][at]) + 1e-6)
@@ -286,31 +330,35 @@ def _ranks(words: list[bytes], head: Head) -> np.ndarray:
     return np.fromiter(map(head.ranks.get, words, repeat(0)), "i4", len(words))
 
 
-def _ids(ranks: np.ndarray, head: Head) -> np.ndarray:
-    return np.where(ranks <= head.known, ranks, 0)
+def _ids(words: list[bytes], ranks: np.ndarray, head: Head) -> np.ndarray:
+    symbols = len(head.rare_totals)
+    ids = ranks + np.int32(symbols - 1)
+    rare = np.flatnonzero((ranks == 0) | (ranks > head.known))
+    ids[rare] = [_symbol(words[i], symbols) for i in rare.tolist()]
+    return ids
 
 
 def train_round(texts: DataFrame, head, flat: np.ndarray) -> np.ndarray:
     """texts: text. Each task learns from its documents; returns the average of their weights."""
     spark = texts.sparkSession
     start = spark.sparkContext.broadcast(flat)
-    cut = -(-len(flat) // PIECES)
-
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = head.value
-        net = Network(own.counts, own.starts)
-        net.load(start.value)
+        net = Network(own.counts, own.starts, flat=start.value)
         squares = {k: np.zeros_like(w) for k, w in net.weights.items()}
+        for k in ("word", "word_bias"):  # a row's first steps follow the size of its gradient
+            squares[k] += SLOW**2
         held, size, learnt = [], 0, 0
 
         def go() -> None:
             state = np.zeros((LANES, net.hidden), "f4")
             for tokens, begins, valid, _ in windows(held, LANES, WINDOW):
-                state = net.learn(tokens, begins, valid, state[: tokens.shape[1]], squares)
+                state = net.learn(tokens, begins, valid, state[: tokens.shape[1]], squares, LANES * WINDOW)
 
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                held.append(_ids(_ranks([*words_of(t), END], own), own))
+                words = [*words_of(t), END]
+                held.append(_ids(words, _ranks(words, own), own))
                 size += len(held[-1])
                 if size >= HELD:
                     go()
@@ -318,22 +366,32 @@ def train_round(texts: DataFrame, head, flat: np.ndarray) -> np.ndarray:
         if held:
             go()
             learnt += size
-        if learnt and np.isfinite(result := net.flat()).all():
-            yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([learnt] * PIECES, pa.int64()), pa.array([result[k * cut : (k + 1) * cut].tobytes() for k in range(PIECES)], pa.binary())], names=["piece", "tokens", "weights"])
+        if learnt and np.isfinite(net.flat()).all():
+            changes = net.changes(start.value, learnt)
+            yield pa.RecordBatch.from_arrays([pa.array(range(PIECES + 1), pa.int32()), pa.array([learnt] * (PIECES + 1), pa.int64()), pa.array(changes, pa.binary())], names=["piece", "tokens", "changes"])
 
     def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        tokens: Counter[int] = Counter()
+        sums: dict[tuple[int, str], np.ndarray] = {}
+        times: dict[tuple[int, str], np.ndarray] = {}
         for batch in batches:
-            for piece, n, weights in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                sums[piece] = sums.get(piece, 0) + n * np.frombuffer(weights, "f4").astype("f8")
-                tokens[piece] += n
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([(s / tokens[k]).astype("f4").tobytes() for k, s in sums.items()], pa.binary())], names=["piece", "weights"])
-
-    learnt = settle(texts.mapInArrow(learn, "piece int, tokens long, weights binary"), "weights")
-    rows = learnt.repartition(PIECES, "piece").sortWithinPartitions("piece", "tokens", "weights").mapInArrow(average, "piece int, weights binary").collect()
-    pieces = {r["piece"]: np.frombuffer(bytes(r["weights"]), "f4") for r in rows}
-    return np.concatenate([pieces[k] for k in range(PIECES)]) if pieces else flat
+            for piece, changes in zip(*(batch.column(i).to_pylist() for i in (0, 2)), strict=True):
+                for name, (size, rows, n, change) in pickle.loads(changes).items():
+                    k = piece, name
+                    if k not in sums:
+                        sums[k], times[k] = np.zeros((size, *change.shape[1:])), np.zeros((size, *(1 for _ in change.shape[1:])))
+                    n = n.reshape(-1, *(1 for _ in change.shape[1:])).astype("f8")
+                    sums[k][rows] += n * change
+                    times[k][rows] += n
+        means = {k: (x / np.maximum(1, times[k])).astype("f4") for k, x in sums.items()}
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in means], pa.int32()), pa.array([k[1] for k in means], pa.string()), pa.array([x.tobytes() for x in means.values()], pa.binary())], names=["piece", "name", "change"])
+
+    learnt = texts.mapInArrow(learn, "piece int, tokens long, changes binary")  # written once, by the shuffle
+    rows = learnt.repartition(PIECES + 1, "piece").sortWithinPartitions("piece", "tokens", "changes").mapInArrow(average, "piece int, name string, change binary").collect()
+    start.destroy()
+    found: dict[str, list[np.ndarray]] = {}
+    for r in sorted(rows, key=lambda r: r["piece"]):
+        found.setdefault(r["name"], []).append(np.frombuffer(bytes(r["change"]), "f4"))
+    return flat + np.concatenate([x for name in NAMES for x in found[name]]) if found else flat
 
 
 SCORED = "id long, key string, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<struct<word: binary, n: long>>"
@@ -350,12 +408,11 @@ def score(docs: DataFrame, head, flat: np.ndarray) -> DataFrame:
         from pyspark import TaskContext
 
         own = head.value
-        net = Network(own.counts, own.starts)
-        net.load(held_weights.value)
+        net = Network(own.counts, own.starts, flat=held_weights.value)
         number = TaskContext.get().partitionId() << 33
         rows, held, size = [], [], 0
         logs = np.log10(own.every + 0.5)
-        unit, rare_unit = math.log10(own.total), math.log10(own.rare_total)
+        unit, rare_units = math.log10(own.total), np.log10(own.rare_totals)
 
         def done() -> pa.RecordBatch:
             out = np.zeros(len(held))
@@ -375,12 +432,12 @@ def score(docs: DataFrame, head, flat: np.ndarray) -> DataFrame:
                 ranks = _ranks(words, own)
                 found, rare = ranks > 0, ranks > own.known
                 tail = Counter(words[i] for i in np.flatnonzero(~found).tolist())
-                n_known, n_rare = int(found.sum()), int(rare.sum()) + len(words) - int(found.sum())
+                n_known, ids = int(found.sum()), _ids(words, ranks, own)
                 rows.append({
                     "id": number, "key": key, "held_out": held_out, "n_tokens": len(words), "n_known": n_known, "base": float(logs[ranks[found]].sum()) - unit * len(words),
-                    "score": float(logs[ranks[rare]].sum()) - rare_unit * n_rare, "tail": [{"word": w, "n": n} for w, n in tail.items()],
+                    "score": float(logs[ranks[rare]].sum()) - float(rare_units[ids[ids < len(rare_units)]].sum()), "tail": [{"word": w, "n": n} for w, n in tail.items()],
                 })
-                held.append(_ids(ranks, own))
+                held.append(ids)
                 number, size = number + 1, size + len(words)
                 if size >= HELD:
                     yield done()

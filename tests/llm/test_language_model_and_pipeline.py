@@ -107,6 +107,24 @@ def test_held_out_text_is_more_likely_than_by_counts(spark):
     assert r.s > 0.97 * r.b
 
 
+@pytest.mark.parametrize("n", [5_000, 20_000])
+def test_vocabulary_and_classes_grow_with_the_counts(spark, n):
+    rows = [(f"w{i}".encode(), 3 + n // (i + 1)) for i in range(n)] + [(f"rare{i}".encode(), 1 + i % 2) for i in range(900)] + [(gated_lm.END, 7)]
+    counts = spark.createDataFrame([(bytearray(w), c) for w, c in rows], "word binary, n long")
+    head = gated_lm.head_of(counts)
+    symbols = len(head.rare_totals)
+    words = [w for w, _ in rows]
+    ids = gated_lm._ids(words, gated_lm._ranks(words, head), head)
+    assert head.known == n + 1 and len(set(ids[:n].tolist())) == n and ids[:n].min() >= symbols
+    assert abs(len(head.starts) - math.sqrt(n)) < 0.3 * math.sqrt(n)
+    assert ids[n:-1].max() < symbols and len(set(ids[n:-1].tolist())) > 10 and ids[-1] >= symbols
+    # each symbol shares its probability among its words and the unknown ones
+    total = head.rare_totals - 0.5
+    for i, (_, c) in zip(ids[n:-1].tolist(), rows[n:-1], strict=True):
+        total[i] -= c + 0.5
+    assert np.allclose(total, 0)
+
+
 # The pipeline.
 
 
