@@ -8,8 +8,9 @@ The distinct URL paths of all pages are sorted by host and path; each is paired
 its host whose path shares more leading segments (the one before, if equal). The lines of the two pages
 that are not chrome are aligned by longest common subsequence, and shared lines are the template's: they
 are deleted, unless their prior is main (articles quote and repeat each other, and nothing of an article
-may be dropped), or all lines are shared (two copies of a page tell nothing). Open lines of a page that
-has main lines go as well.
+may be dropped). If shared lines have ``NEAR`` of a page's characters or more, the two are copies, which tell
+nothing of the template: the neighbour on the other side is taken, and if that is a copy too (or there
+is none), nothing is deleted.
 
 Sorting is by range over all pages, so a host of any size is spread; neighbours across partition ends
 are found from one row for each end. A null html is empty, a null url has an empty host and path. Pages
@@ -33,6 +34,8 @@ from pyspark.sql.window import Window
 from brindle.llm.common import parts_for, settle
 
 OPEN, MAIN, CHROME = 0, 1, 2
+#: The share of a page's characters in shared lines from which the two pages are copies.
+NEAR = 0.9
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head "
     "header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
@@ -153,13 +156,16 @@ def common_places(a: list[int], b: list[int]) -> set[int]:
     return found
 
 
+def _near(own: list[tuple[str, int]], shared: set[int]) -> bool:
+    return sum(len(own[k][0]) for k in shared) >= NEAR * sum(len(text) for text, _ in own)
+
+
 def main_text(lines: list[tuple[str, int]], shared: set[int]) -> str:
     """shared: places, among the lines that are not chrome, of the template's lines."""
     own = [x for x in lines if x[1] != CHROME]
-    if len(shared) == len(own):
+    if _near(own, shared):
         shared = set()
-    has_main = any(prior == MAIN for _, prior in own)
-    kept = [text for k, (text, prior) in enumerate(own) if prior == MAIN or not has_main and k not in shared]
+    kept = [text for k, (text, prior) in enumerate(own) if prior == MAIN or k not in shared]
     return "\n\n".join(kept)
 
 
@@ -222,8 +228,11 @@ def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", page:
                 texts, counts = [], []
                 for path, packed, *sides in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
                     lines = _unpack(packed)
-                    other = max((s for s in sides if s), key=lambda s: _shared_segments(path, s["path"]), default=None)
-                    shared = common_places([_hash(t) for t, _ in lines], other["hashes"]) if other else set()
+                    shared, own = set(), [_hash(t) for t, _ in lines]
+                    for other in sorted((s for s in sides if s), key=lambda s: -_shared_segments(path, s["path"])):
+                        shared = common_places(own, other["hashes"])
+                        if not _near(lines, shared):
+                            break
                     texts.append(main_text(lines, shared))
                     counts.append(len(shared))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(counts, pa.int64())], names=["key", "url", "text", "n_shared_lines"])

@@ -285,6 +285,16 @@ def test_lines_shared_with_the_nearest_page_go(spark):
     assert texts == sorted([(0, "one"), (0, "one"), (1, "two"), (2, "three"), (3, "four"), (9, whole.format("alone")), (None, ""), (7, whole.format("same")), (8, whole.format("same")), (10, "Quoted"), (11, "Quoted\n\nNew")], key=repr)
 
 
+def test_unshared_lines_outside_of_a_card_stay_and_near_copies_are_not_paired(spark):
+    page = lambda body: f"<body><div>Top of site</div><article><p>Card</p></article><div>{body}</div></body>"
+    long = ["The same long story is told here by two pages of the host"] * 4
+    copy = lambda end: "".join(f"<p>{x}</p>" for x in ["Top", *long, end])
+    rows = [(1, "https://h.org/a/1", page("Own story")), (2, "https://h.org/a/2", page("Other story")), (3, "https://k.org/a/b/1", copy("x")), (4, "https://k.org/a/b/2", copy("y")), (5, "https://k.org/c", "<p>Top</p><p>Its own story</p>")]
+    got = {r.key: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "Card\n\nOwn story" and got[2] == "Card\n\nOther story"
+    assert got[3] == "\n\n".join(["Top", *long, "x"]) and got[4] == "\n\n".join([*long, "y"]) and got[5] == "Its own story"
+
+
 def test_pages_equal_their_articles(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     import html
