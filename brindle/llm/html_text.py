@@ -33,7 +33,8 @@ from pyspark.sql.window import Window
 
 from brindle.llm.common import parts_for, settle
 
-OPEN, MAIN, CHROME = 0, 1, 2
+#: CHROME by a class or id of a plain container is WRAPPED: a main element inside ends it.
+OPEN, MAIN, CHROME, WRAPPED = 0, 1, 2, 3
 #: The share of a page's characters in shared lines from which the two pages are copies.
 NEAR = 0.9
 BLOCKS = frozenset(
@@ -43,13 +44,21 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose lines are chrome wherever they stand; a header is so outside of articles only.
 CHROME_ELEMENTS = frozenset("aside button datalist dialog dir footer form head label menu nav noscript object optgroup option search select textarea title".split())
-#: Parts of class, id and role values that make an element chrome.
+#: Roles, and ends of class names and ids, that make an element chrome.
 CHROME_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising alert alertdialog banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie "
     "cookies copyright dialog discussion disqus footer gdpr login masthead menu menubar menus modal nav navbar navigation newsletter notice notices notification overlay "
     "pager pagination popup promo promoted promotion related replies reply respond search share sharing sidebar signup skyscraper social sponsor sponsored subscribe "
     "subscription toolbar widget widgets".split()
 )
+#: What holds articles that are not the page's: a main element inside does not end it.
+OTHERS = frozenset(
+    "ad ads advert adverts advertisement advertising comment comments commentlist discussion disqus promo promoted promotion related replies reply respond sponsor sponsored".split()
+)
+#: Last parts of names that say nothing of their own (comments-area, nav-links), and first parts that speak of another element (has-sidebar).
+GENERIC = frozenset("area bar block bottom box button buttons inner item items left link links list posts right section slot top".split())
+ABOUT_OTHERS = frozenset("has is no not with without".split())
+TEXT_ELEMENTS = frozenset("blockquote h1 h2 h3 h4 h5 h6 p pre".split())
 NEVER_CHROME = frozenset(("html", "body", "main"))
 _RAW = "script|style|template|svg|math|iframe|noembed|noframes|xmp|canvas|audio|video"
 _TOKEN = re.compile(
@@ -63,20 +72,31 @@ _SPACE = re.compile(r"\s+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+def _own_word(name: str) -> str:
+    """The part of a class name or id that says what the element is."""
+    parts = [w.lower() for w in _SPLIT.split(name) if w]
+    while len(parts) > 1 and parts[-1] in GENERIC:
+        parts.pop()
+    return "" if not parts or parts[0] in ABOUT_OTHERS else parts[-1]
+
+
 def _prior(name: str, rest: str, inside: int) -> int:
     """The prior inside an element, from that around it."""
     if inside == CHROME or name in CHROME_ELEMENTS or (name == "header" and inside != MAIN):
         return CHROME
-    if rest.strip() and name not in NEVER_CHROME:
+    main = name in ("article", "main")
+    if rest.strip() and name not in ("html", "body"):
         own = {k.lower(): html.unescape(a or b or c or "") for k, a, b, c in _ATTRIBUTE.findall(rest)}
-        if "hidden" in own or own.get("aria-hidden") == "true" or _HIDDEN.search(own.get("style", "")):
-            return CHROME
-        words = {w.lower() for k in ("class", "id", "role") if k in own for w in _SPLIT.split(own[k])}
-        if words & CHROME_WORDS:
-            return CHROME
-        if own.get("role") == "main" or own.get("itemprop", "").lower() == "articlebody":
-            return MAIN
-    return MAIN if name in ("article", "main") else inside
+        if name not in NEVER_CHROME:
+            if "hidden" in own or own.get("aria-hidden") == "true" or _HIDDEN.search(own.get("style", "")):
+                return CHROME
+            words = {_own_word(w) for k in ("class", "id") if k in own for w in own[k].split()}
+            if words & OTHERS or CHROME_WORDS & set(own.get("role", "").lower().split()):
+                return CHROME
+            if words & CHROME_WORDS and not (inside == MAIN and name in TEXT_ELEMENTS):
+                return CHROME if inside == MAIN or main else WRAPPED
+        main = main or own.get("role") == "main" or own.get("itemprop", "").lower() == "articlebody"
+    return MAIN if main else inside
 
 
 def page_lines(page: str | None) -> list[tuple[str, int]]:
@@ -88,7 +108,7 @@ def page_lines(page: str | None) -> list[tuple[str, int]]:
     def close() -> None:
         if held:
             if own := _SPACE.sub(" ", "".join(held)).strip():
-                lines.append((own, stack[-1][1]))
+                lines.append((own, min(stack[-1][1], CHROME)))
             held.clear()
 
     for m in _TOKEN.finditer(page or ""):

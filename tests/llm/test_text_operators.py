@@ -262,6 +262,17 @@ def test_markup_and_references():
         html_text.page_lines(broken)
 
 
+def test_articles_end_the_chrome_of_wrappers():
+    text = lambda page: html_text.main_text(html_text.page_lines(page), set())
+    for wrapper in ("class='content-sidebar-wrap'", "class='layout has-sidebar'", "class='sidebar'", "id='widget'"):
+        assert text(f"<div {wrapper}><div class='menu'>Menu</div><main><article><p>Whole</p></article></main></div>") == "Whole"
+        assert text(f"<div {wrapper}><div role='main'><p>Whole</p></div></div>") == "Whole"
+    assert text("<article><p class='notice'>One</p><div class='share-price'>Two</div><div class='share-buttons'>Share</div></article>") == "One\n\nTwo"
+    assert text("<div class='content has-sidebar'><p>Open</p></div>") == "Open"
+    for outside in ("<aside>{}</aside>", "<nav>{}</nav>", "<footer>{}</footer>", "<div class='comments-area'>{}</div>", "<div class='relatedPosts'>{}</div>", "<div role='navigation'>{}</div>"):
+        assert text("<article>Own</article>" + outside.format("<article>Other</article>")) == "Own"
+
+
 def test_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(500):
