@@ -2,7 +2,7 @@
 
 Lines are normalised (A-Z to lower case, digits to 0, white space to single spaces, trimmed) and
 hashed. For each host and line, the distinct documents (distinct texts: exact copies count once) that
-hold it are counted; a line held by more than ``max_share`` of the host's documents, and by more than
+hold it are counted; a line held by more than ``max_share`` of the host's rows (copies among them), and by more than
 ``min_docs``, is above the limits and is removed wherever that host has it. A document is depleted, and
 rejected, if more than ``max_removed`` of its words stood in removed lines.
 
