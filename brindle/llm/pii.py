@@ -3,11 +3,12 @@
 The base patterns give spans of e-mail addresses, IP addresses, card numbers and phone numbers. The
 field labels tokens (white-space words) with those kinds, ``secret`` or nothing. Each token has a
 potential from its features; neighbours share a transition potential; tokens of one document that
-repeat (equal letters and digits, six at least) share a skip potential with their next repetition,
-however far it is. Labels are read from marginals after loopy message passing over each document's
+repeat (equal letters and digits, six at least) or else are similar (equal letters, and digits in equal
+places) share a skip potential with their next such token, however far it is. Labels are read from marginals after loopy message passing over each document's
 whole graph, so that an entity found by its context in one place is found in its other places too.
-Tokens without a digit or an at sign that are not within ``REACH`` tokens of one that has, are clamped
-to "nothing"; given that, the rest of the graph is exact.
+Telling tokens are those with a digit or an at sign, named values (as below), tokens of ``LONG`` characters of
+keys or more, and all repetitions of these. Tokens that are not within ``REACH`` tokens of a telling one are
+clamped to "nothing"; given that, the rest of the graph is exact.
 
 Weights maximise the pseudo-likelihood of weakly labelled documents: labels are the base spans and the
 values of key = value pairs that name a token, key, secret or password. At most ``TRAIN_ROWS`` rows of at
@@ -37,6 +38,7 @@ KINDS = ["email", "ip", "card", "phone"]
 LABELS = ["", *KINDS, "secret"]
 TRAIN_ROWS, TRAIN_CHARS = 3000, 20_000
 REACH = 2
+LONG = 16
 #: Message-passing sweeps at most, and the change of a message that ends them.
 SWEEPS, SETTLED = 50, 1e-4
 
@@ -46,6 +48,7 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TELLING = re.compile(r"[0-9@]")
+_LONG = re.compile(rf"[A-Za-z0-9/+_-]{{{LONG},}}")
 _TOKEN = re.compile(r"\S+")
 _EDGES = "%#*$&!|\"'.,;:()[]{}<>?"
 _SECRET = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|key)[\x20\x09]*[:=][\x20\x09]*[\"']?([A-Za-z0-9/+_-]{16,})")
@@ -143,14 +146,25 @@ def _features(cores: list[str], k: int) -> list[str]:
     return out
 
 
+def _key(token: str) -> str:
+    return re.sub(r"[\W_]", "", token).lower()
+
+
 def add_document(graph: Graph, doc: int, text: str) -> None:
-    if not _TELLING.search(text):
+    if not _TELLING.search(text) and not _LONG.search(text):  # a named value is long as well
         return
     tokens = [m.span() for m in _TOKEN.finditer(text)]
     telling = [bool(_TELLING.search(text, a, b)) for a, b in tokens]
+    plain = [k for k, (a, b) in enumerate(tokens) if not telling[k] and b - a >= LONG and _LONG.search(text, a, b)]
+    for k in plain:
+        telling[k] = True
+    if plain:  # what repeats a token with digits has digits
+        keys = {_key(text[slice(*tokens[k])]) for k in plain}
+        telling = [t or b - a >= 6 and _key(text[a:b]) in keys for t, (a, b) in zip(telling, tokens, strict=True)]
     kept = sorted({j for k, t in enumerate(telling) if t for j in range(max(0, k - REACH), min(len(tokens), k + REACH + 1))})
     node: dict[int, int] = {}
     last: dict[str, int] = {}
+    alike: dict[str, int] = {}
     held = set(kept)
     around = sorted({j for k in kept for j in (k - 1, k, k + 1) if 0 <= j < len(tokens)})
     core = {j: _core(text, *tokens[j]) for j in around}
@@ -163,10 +177,13 @@ def add_document(graph: Graph, doc: int, text: str) -> None:
         graph.clamped.append((k - 1 not in held) + (k + 1 not in held))
         if k - 1 in node:
             graph.chain.append((node[k - 1], i))
-        if telling[k] and len(key := re.sub(r"[\W_]", "", near[1]).lower()) >= 6:
+        if telling[k] and len(key := _key(near[1])) >= 6:
+            like = re.sub(r"[0-9]", "0", key)
             if key in last:
                 graph.skip.append((last[key], i))
-            last[key] = i
+            elif like in alike and not like.isdigit():
+                graph.skip.append((alike[like], i))
+            last[key] = alike[like] = i
 
 
 @dataclass
@@ -307,7 +324,7 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 def train(docs: DataFrame, text: str = "text") -> Model:
     """Fits the field to at most TRAIN_ROWS rows; a first pass counts those that qualify, so that the second passes on few more."""
-    rows = docs.select(F.col(text).cast("string").alias("t")).where(F.col("t").rlike("[0-9@]") & (F.length("t") <= TRAIN_CHARS))
+    rows = docs.select(F.col(text).cast("string").alias("t")).where(F.col("t").rlike(f"[0-9@]|{_LONG.pattern}") & (F.length("t") <= TRAIN_CHARS))
     share = max(1, rows.count() // (2 * TRAIN_ROWS))
     some = rows.where(F.pmod(F.xxhash64("t"), F.lit(share)) == 0).distinct()
     return fit([r.t for r in some.orderBy(F.xxhash64("t"), "t").limit(TRAIN_ROWS).collect()])

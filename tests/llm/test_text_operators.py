@@ -227,6 +227,20 @@ def test_repeated_tokens_get_the_label_of_the_first():
     assert pii.added_spans(PLAIN, [[] for _ in PLAIN], model) == [[] for _ in PLAIN]
 
 
+def test_letters_only_secrets_and_similar_tokens_are_in_the_field():
+    value = "correcthorsebatterystaple"
+    text = f'we set password = "{value}" in the old file. ' + "words and words " * 30 + f"later {value} is seen"
+    graph = pii.Graph()
+    pii.add_document(graph, 0, text)
+    assert [text[a:b] for a, b in graph.span].count(value) == 2 and len(graph.skip) == 1
+    letters = [x.replace(m[1], m[1].translate(str.maketrans("0123456789", "ghijklmnop"))) for x in SECRETS if (m := re.search('"(.*)"', x))]
+    (spans,) = pii.added_spans([text], [[]], pii.fit(SECRETS + letters + PLAIN))
+    assert ("secret", text.index(value), text.index(value) + len(value)) in spans
+    graph = pii.Graph()
+    pii.add_document(graph, 0, "user-abc12 came " + "and words " * 9 + "user-abc34 went")
+    assert [[graph.span[i][0] for i in pair] for pair in graph.skip] == [[0, 106]]
+
+
 def test_field_agrees_with_held_out_documents(spark):
     docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
     telling = [t for t in docs if re.search("[0-9@]", t)]
