@@ -55,6 +55,24 @@ def test_exact_copies_count_once(spark):
     assert quality.quality_rules(docs).where("q_kept").count() == 50
 
 
+def test_limits_are_shares_of_distinct_documents(spark):
+    """Against plain counting, with a text that is most of a host's rows."""
+    own = " ".join("abcdefghij"[i % 10] * (1 + i // 10) for i in range(60))
+    name = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    texts = [f"Shared line 1\n{own} {name(i)}" for i in range(40)] + [f"Shared line 1\n{own} {name(0)}"] * 1000 + [f"{own} plain {name(i)}" for i in range(300)]
+    texts += [f"Rare line\n{own} rare {name(i)}" for i in range(12)] + [None, ""]
+    rows = [(i, t, "h") for i, t in enumerate(texts)] + [(5000 + i, f"Rare line\n{own} {name(i)}", "k") for i in range(12)]
+    got = {r.doc_id: r.q_clean_text for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    for host in "hk":
+        distinct = {t or "" for _, t, h in rows if h == host}
+        lines = Counter(re.sub("[0-9]", "0", line.lower()) for t in distinct for line in set(t.split("\n")) if line)
+        above = {line for line, n in lines.items() if n > max(10, 0.1 * len(distinct))}
+        for i, t, h in rows:
+            if h == host:
+                assert got[i] == "\n".join(x for x in (t or "").split("\n") if re.sub("[0-9]", "0", x.lower()) not in above)
+        assert len(distinct) == (353 if host == "h" else 12) and above == {"shared line 0" if host == "h" else "rare line"}
+
+
 # FM-index.
 
 
