@@ -2,7 +2,8 @@
 
 A page is cut into lines, one for each block, in page order. Markup gives each line a prior: ``chrome``
 (inside menus, headers, footers, sidebars, notices, adverts, forms, reader comments and the like), ``main``
-(inside an article or main element, chrome apart) or ``open`` (neither). Chrome lines go.
+(inside an article or main element, chrome apart) or ``open`` (neither). Chrome lines go. Cutting and aligning take
+memory linear in the page; cutting takes linear time, however broken the markup is.
 
 The distinct URL paths of all pages are sorted by host and path; each is paired with the neighbour of
 its host whose path shares more leading segments (the one before, if equal). The lines of the two pages
@@ -26,6 +27,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +37,8 @@ from brindle.llm.common import parts_for, settle
 
 #: CHROME by a class or id of a plain container is WRAPPED: a main element inside ends it.
 OPEN, MAIN, CHROME, WRAPPED = 0, 1, 2, 3
+#: Bits of a table of alignment that are held at a time.
+TABLE = 1 << 25
 #: The share of a page's characters in shared lines from which the two pages are copies.
 NEAR = 0.9
 BLOCKS = frozenset(
@@ -60,12 +64,13 @@ GENERIC = frozenset("area bar block bottom box button buttons inner item items l
 ABOUT_OTHERS = frozenset("has is no not with without".split())
 TEXT_ELEMENTS = frozenset("blockquote h1 h2 h3 h4 h5 h6 p pre".split())
 NEVER_CHROME = frozenset(("html", "body", "main"))
-_RAW = "script|style|template|svg|math|iframe|noembed|noframes|xmp|canvas|audio|video"
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})(?=[\s/>]).*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)>|<[!?/][^>]*(?:>|\Z)|(?P<text>[^<]+|<)",
-    re.S | re.I,
-)
+#: Class words that count inside an article as well: menus, notices, adverts, comments and calls to subscribe or share. A name must be that word
+#: alone, or end with it; text elements (a paragraph, a heading) inside an article are never chrome by such a word.
+IN_ARTICLES = CHROME_WORDS - frozenset("alert banner complementary contentinfo copyright dialog discussion login respond reply search social toolbar widget widgets".split())
+#: Elements whose content is no text; it ends with their end tag alone.
+RAW = {name: re.compile(rf"</{name}\s*>", re.I) for name in "script style template svg math iframe noembed noframes xmp canvas audio video".split()}
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+_TAG_MARK = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPLIT = re.compile(r"[\s_\-]+|(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
@@ -91,19 +96,80 @@ def _prior(name: str, rest: str, inside: int) -> int:
             if "hidden" in own or own.get("aria-hidden") == "true" or _HIDDEN.search(own.get("style", "")):
                 return CHROME
             words = {_own_word(w) for k in ("class", "id") if k in own for w in own[k].split()}
-            if words & OTHERS or CHROME_WORDS & set(own.get("role", "").lower().split()):
+            if words & (OTHERS & IN_ARTICLES if inside == MAIN else OTHERS) or CHROME_WORDS & set(own.get("role", "").lower().split()):
                 return CHROME
-            if words & CHROME_WORDS and not (inside == MAIN and name in TEXT_ELEMENTS):
+            if words & (IN_ARTICLES if inside == MAIN else CHROME_WORDS) and not (inside == MAIN and name in TEXT_ELEMENTS):
                 return CHROME if inside == MAIN or main else WRAPPED
         main = main or own.get("role") == "main" or own.get("itemprop", "").lower() == "articlebody"
     return MAIN if main else inside
 
 
+def _tags(page: str) -> Iterator[tuple[str, str, bool, str]]:
+    """(text before, name, whether it ends, attributes) of each tag, and the last text with an empty name.
+
+    One walk from ``<`` to ``<``. A tag without ``>`` is text. A quote hides ``>`` up to its end; once one is open to the end of
+    the page, quotes hide no more.
+    """
+    at, last, quotes = 0, page.rfind(">"), {c: page.rfind(c) for c in "\"'"}
+    held: list[str] = []
+    while (start := page.find("<", at)) >= 0:
+        held.append(page[at:start])
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = end + 3 if end >= 0 else len(page)
+            continue
+        if start > last:  # no tag ends beyond here, but a declaration does at the end
+            if page[start + 1 : start + 2] in ("!", "?"):
+                at = len(page)
+                continue
+            held.append("<")
+            at = start + 1
+            continue
+        m = _NAME.match(page, start + 1)
+        if not m:
+            if page[start + 1 : start + 2] in ("!", "?", "/"):
+                at = page.index(">", start) + 1
+            else:
+                held.append("<")
+                at = start + 1
+            continue
+        end = m.end()
+        while mark := _TAG_MARK.search(page, end):
+            c = mark[0]
+            end = mark.end()
+            if c == ">":
+                break
+            if c in quotes:
+                if mark.start() == quotes[c]:
+                    quotes, mark = {}, None
+                    break
+                end = page.index(c, end) + 1
+        if mark is None:
+            end = page.index(">", m.end()) + 1 if m.end() <= last else len(page)
+            quotes = {}
+        name, rest = m[1].lower(), page[m.end() : end - 1]
+        closing = page[start + 1] == "/"
+        yield "".join(held), name, closing, rest
+        held, at = [], end
+        if name in RAW and not closing and not (name in ("svg", "math") and rest.endswith("/")):
+            found = RAW[name].search(page, end)
+            at = found.end() if found else len(page)
+    yield "".join([*held, page[at:]]), "", False, ""
+
+
+#: What keeps an open element from being ended by another of its name.
+_FENCES = {
+    "li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "option": ("select",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"),
+    "p": ("div", "section", "article", "main", "td", "th", "li", "blockquote", "form", "aside", "header", "footer", "nav", "body", "figure", "details"),
+}
+
+
 def page_lines(page: str | None) -> list[tuple[str, int]]:
-    """(text, prior) of each block that has text, in page order."""
+    """(text, prior) of each block that has text, in page order, in time linear in the page."""
     lines: list[tuple[str, int]] = []
     held: list[str] = []
     stack: list[tuple[str, int]] = [("", OPEN)]
+    places: dict[str, list[int]] = {}  # where elements of a name stand on the stack
 
     def close() -> None:
         if held:
@@ -111,49 +177,45 @@ def page_lines(page: str | None) -> list[tuple[str, int]]:
                 lines.append((own, min(stack[-1][1], CHROME)))
             held.clear()
 
-    for m in _TOKEN.finditer(page or ""):
-        if m["text"]:
-            held.append(html.unescape(m["text"]))
-            continue
-        name = m["name"] or m["name2"]
+    def cut(at: int) -> None:
+        for name, _ in stack[at:]:
+            places[name].pop()
+        del stack[at:]
+
+    def last(name: str) -> int:
+        own = places.get(name)
+        return own[-1] if own else 0
+
+    for text, name, ends, rest in _tags(page or ""):
+        if text:
+            held.append(html.unescape(text))
         if not name:
             continue
-        name = name.lower()
         if name == "br":
             held.append(" ")
             continue
-        if m["end"] or m["end2"]:
-            at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
+        if ends:
+            at = last(name)
             if name in BLOCKS or at and stack[-1][1] != stack[at - 1][1]:
                 close()
             if at:
-                del stack[at:]
+                cut(at)
             continue
-        prior = _prior(name, m["rest"] or m["rest2"] or "", stack[-1][1])
+        prior = _prior(name, rest, stack[-1][1])
         if name in BLOCKS or prior != stack[-1][1]:
             close()
-        if name in ("p", "li", "dt", "dd", "option", "tr", "td", "th") and any(x == name for x, _ in stack[1:]):
-            _implied_end(stack, name)
-            prior = _prior(name, m["rest"] or m["rest2"] or "", stack[-1][1])
+        if name in _FENCES and last(name) > max(map(last, _FENCES[name])):
+            cut(last(name))
+            prior = _prior(name, rest, stack[-1][1])
         if name not in VOID:
+            places.setdefault(name, []).append(len(stack))
             stack.append((name, prior))
     close()
     return lines
 
 
-def _implied_end(stack: list[tuple[str, int]], name: str) -> None:
-    """An open element of the same name ends where another begins, unless a container of its kind stands between."""
-    fences = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "option": ("select",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}.get(name, ("div", "section", "article", "main", "td", "th", "li", "blockquote", "form", "aside", "header", "footer", "nav", "body", "figure", "details"))
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k][0] == name:
-            del stack[k:]
-            return
-        if stack[k][0] in fences:
-            return
-
-
-def common_places(a: list[int], b: list[int]) -> set[int]:
-    """Places in ``a`` of a longest common subsequence of a and b; rows of the table are bits of integers."""
+def _rows(a: list[int], b: list[int]) -> list[int]:
+    """After each line of b, an integer: bit i is 0 where a[:i + 1] has a longer common subsequence with b so far than a[:i]."""
     where: dict[int, int] = {}
     for i, x in enumerate(a):
         where[x] = where.get(x, 0) | 1 << i
@@ -163,16 +225,59 @@ def common_places(a: list[int], b: list[int]) -> set[int]:
         u = now & where.get(y, 0)
         now = ((now + u) | (now - u)) & full
         rows.append(now)
-    found, i, j = set(), len(a), len(b)
-    while i and j:
-        if rows[j - 1] >> (i - 1) & 1:
-            i -= 1
+    return rows
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Lengths of the longest common subsequence of b and each a[:i]."""
+    where: dict[int, int] = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << i
+    full = now = (1 << len(a)) - 1
+    for y in b:
+        u = now & where.get(y, 0)
+        now = ((now + u) | (now - u)) & full
+    bits = np.unpackbits(np.frombuffer(now.to_bytes(len(a) // 8 + 1, "little"), "u1"), bitorder="little")[: len(a)]
+    return np.r_[0, np.cumsum(1 - bits.astype("i8"))]
+
+
+def common_places(a: list[int], b: list[int]) -> set[int]:
+    """Places in ``a`` of a longest common subsequence of a and b.
+
+    Lines that only one has are left out and common ends are cut off first; what is left is halved until its table fits ``TABLE``
+    bits, so memory is linear in the lines.
+    """
+    both = set(a) & set(b)
+    at = [i for i, x in enumerate(a) if x in both]
+    a, b = [a[i] for i in at], [y for y in b if y in both]
+    found: set[int] = set()
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        i, j, k, n = todo.pop()
+        while i < j and k < n and a[i] == b[k]:
+            found.add(at[i])
+            i, k = i + 1, k + 1
+        while i < j and k < n and a[j - 1] == b[n - 1]:
+            j, n = j - 1, n - 1
+            found.add(at[j])
+        if i == j or k == n:
             continue
-        j -= 1
-        if j and not rows[j - 1] >> (i - 1) & 1:
+        if (j - i) * (n - k) > TABLE and n - k > 1:
+            half = (k + n) // 2
+            left, right = _lengths(a[i:j], b[k:half]), _lengths(a[i:j][::-1], b[half:n][::-1])
+            middle = i + int(np.argmax(left + right[::-1]))
+            todo += [(i, middle, k, half), (middle, j, half, n)]
             continue
-        i -= 1
-        found.add(i)
+        rows, x, y = _rows(a[i:j], b[k:n]), j - i, n - k
+        while x and y:
+            if rows[y - 1] >> (x - 1) & 1:
+                x -= 1
+                continue
+            y -= 1
+            if y and not rows[y - 1] >> (x - 1) & 1:
+                continue
+            x -= 1
+            found.add(at[i + x])
     return found
 
 

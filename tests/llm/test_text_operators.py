@@ -305,6 +305,86 @@ def test_articles_end_the_chrome_of_wrappers():
         assert text("<article>Own</article>" + outside.format("<article>Other</article>")) == "Own"
 
 
+def test_words_of_class_names_leave_articles_whole():
+    text = lambda page: html_text.main_text(html_text.page_lines(page), set())
+    for name in "search-results share-price social-history banner related-work notice-of-intent widget search copyright comment-on-the-law".split():
+        for element in ("p", "div", "section"):
+            assert text(f"<article><{element} class='{name}'>Whole</{element}></article>") == "Whole", (name, element)
+    for name in "ad ads comments share-buttons newsletter cookie-notice".split():
+        assert text(f"<article><p>Whole</p><div class='{name}'>Gone</div></article>") == "Whole", name
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 350_000, '<a "' * 250_000, "<div>" * 100_000 + "</span>" * 100_000, "<p><div>" + "<b>" * 50_000 + "<p></p>" * 50_000, '<a ">"' * 150_000 + '"', "<" * 900_000 + ">", "<a<" * 300_000, "<script>" * 100_000, "<!--" * 200_000, "<a '>" * 200_000 + "'"],
+    ids=range(10),
+)
+def test_broken_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    html_text.page_lines(page)
+    assert time.process_time() - began < 6  # seconds; quadratic walks take minutes
+
+
+def test_tags_quotes_and_raw_elements():
+    lines = lambda page: [t for t, _ in html_text.page_lines(page)]
+    assert lines("<p title='a > b'>one</p><p title=\"x>y'\">two</p>a < b <3 <?php x?><!x>c") == ["one", "two", "a < b <3 c"]
+    assert lines("<svg/><p>one<svg><text>no</text></svg> more<style>p > a {}</STYLE >") == ["one more"]
+    assert lines('<p>one<a href="x>two</a><p>three') == ["onetwo", "three"]
+    assert lines("<ul><li>a<li>b<ul><li>c</ul><li>d</ul><p>e<p>f<table><tr><td>g<td>h<tr><td>i</table>") == list("abcdefghi")
+
+
+def test_long_alignments_are_halved(monkeypatch):
+    rng = random.Random(4)
+    for table in (1, 40, 1 << 25):
+        monkeypatch.setattr(html_text, "TABLE", table)
+        for n in (5, 60):
+            a, b = ([rng.randint(0, 6) for _ in range(n)] for _ in range(2))
+            size = [[0] * (n + 1) for _ in range(n + 1)]
+            for i, x in enumerate(a):
+                for j, y in enumerate(b):
+                    size[i + 1][j + 1] = size[i][j] + 1 if x == y else max(size[i][j + 1], size[i + 1][j])
+            places, rest = sorted(html_text.common_places(a, b)), iter(b)
+            assert len(places) == size[-1][-1] and all(a[i] in rest for i in places)
+    import tracemalloc
+
+    monkeypatch.undo()
+    tracemalloc.start()
+    html_text.common_places([rng.randint(0, 300) for _ in range(20_000)], [rng.randint(0, 300) for _ in range(20_000)])
+    assert tracemalloc.get_traced_memory()[1] < 30e6
+    tracemalloc.stop()
+
+
+def test_pairs_and_texts_equal_plain_ones_across_partitions(spark):
+    rng = random.Random(6)
+    pages = []
+    for i in range(300):
+        host, path = rng.choice("abc"), "/".join(rng.choice("xyz") for _ in range(rng.randint(1, 4)))
+        body = "".join(f"<div>{rng.choice(['Top', 'Menu', 'Line', 'End'])} {rng.randint(0, 2)}</div>" for _ in range(rng.randint(0, 9)))
+        pages.append((i, f"http://{host}.org/{path}" + rng.choice(["", "?q=1", "#top"]), body + rng.choice(["", f"<article><p>Own {i % 7}</p></article>"])))
+    split = lambda url: re.fullmatch(r"http://(.)\.org(/[^?#]*).*", url).groups()
+    of = {}
+    for i, url, page in pages:
+        of.setdefault(split(url), [x for x in html_text.page_lines(page) if x[1] != html_text.CHROME])
+    order = sorted(of)
+    want = {}
+    for i, url, page in pages:
+        own, (host, path) = html_text.page_lines(page), split(url)
+        at, shared = order.index((host, path)), set()
+        sides = [order[j] for j in (at - 1, at + 1) if 0 <= j < len(order) and order[j][0] == host]
+        common = lambda other: next((k for k, (x, y) in enumerate(zip(path.split("/"), other.split("/"))) if x != y), min(path.count("/"), other.count("/")) + 1)
+        for side in sorted(sides, key=lambda s: -common(s[1])):
+            shared = html_text.common_places([html_text._hash(t) for t, _ in own], [html_text._hash(t) for t, _ in of[side]])
+            if not html_text._near(own, shared):
+                break
+        keep = set() if html_text._near(own, shared) else shared
+        want[i] = "\n\n".join(t for k, (t, prior) in enumerate(own) if prior == html_text.MAIN or k not in keep)
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(7)
+    assert {r.key: r.text for r in html_text.extract_text(df).collect()} == want
+    assert len({v for v in want.values()}) > 100
+
+
 def test_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(500):
