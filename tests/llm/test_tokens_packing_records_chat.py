@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from brindle.llm import chat, packing, record_files
@@ -50,7 +51,8 @@ def test_record_files_round_trip(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     manifest = record_files.write_records(docs, fresh_path(spark, "t"), path, True, 1)
     rows = sorted(record_files.read_records(spark, manifest).collect(), key=lambda r: r.start)
-    expected = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    # rows of one key follow a digest of their text
+    expected = [(r.doc_id, r.t) for r in docs.selectExpr("doc_id", "coalesce(text, '') AS t").orderBy("doc_id", F.xxhash64("t"), "t").collect()]
     at = 0
     assert len(rows) == len(expected)
     for r, (key, text) in zip(rows, expected):
@@ -59,6 +61,23 @@ def test_record_files_round_trip(spark):
         at += len(ids)
 
 
+def test_one_hot_key_is_spread_and_large_records_are_flushed(spark, monkeypatch):
+    monkeypatch.setattr(record_files, "FLUSH", 1000)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = spark.range(1200).selectExpr("if(id % 3 < 2, null, id) AS doc_id", "concat('text ', id, ' ', repeat('w x ', 60)) AS text").repartition(8)
+    manifest = record_files.write_records(docs, fresh_path(spark, "t"), path, True, 1)
+    files = manifest.orderBy("part").collect()
+    assert len(files) > 4 and max(r.records for r in files) < 600  # 800 rows have no key
+    rows = sorted(record_files.read_records(spark, manifest).collect(), key=lambda r: r.start)
+    assert [r.key for r in rows] == [None] * 800 + [k for k in range(1200) if k % 3 == 2]
+    at = 0
+    for r in rows:
+        assert r.start == at
+        at += len(r.ids) // 4
+    found = sorted((-1 if r.key is None else r.key, np.frombuffer(bytes(r.ids), "<u4").tolist()) for r in rows)
+    assert found == sorted((-1 if r.doc_id is None else r.doc_id, whole(path, r.text) + [1]) for r in docs.collect())
+
+
 def test_a_changed_byte_is_found():
     record = bytearray(record_files.frame(record_files.serialize(5, struct.pack("<3I", 1, 2, 3), 2)))
     assert record_files.deserialize(record_files.unframe(bytes(record)))[1].tolist() == [1, 2, 3]
