@@ -58,6 +58,12 @@ def long_running(sessions: DataFrame, now: Column, seconds: int, idle: tuple[str
     return sessions.where(~F.col("state").isin(*idle)).select("id", "state", age).where(F.col("age") >= seconds).orderBy(F.desc("age"), "id")
 
 
+def idle_in_transaction(sessions: DataFrame, now: Column, seconds: int, states: tuple[str, ...] = ("idle in transaction", "idle in transaction (aborted)")) -> DataFrame:
+    """sessions: id, state, changed. What has kept a transaction open without work for so long; longest first."""
+    idle = (F.unix_timestamp(now) - F.unix_timestamp("changed")).alias("idle")
+    return sessions.where(F.col("state").isin(*states)).select("id", "state", idle).where(F.col("idle") >= seconds).orderBy(F.desc("idle"), "id")
+
+
 def key_headroom(keys: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """name -> (table, key): the last key against the largest value of its type."""
     limits = {"smallint": 32767, "int": 2147483647, "bigint": 9223372036854775807}
@@ -67,12 +73,19 @@ def key_headroom(keys: dict[str, tuple[DataFrame, str]]) -> DataFrame:
 
 
 def hit_ratio_worst(df: DataFrame, group: str, n: int = 10) -> DataFrame:
-    """df: hits, reads. Lowest ratio first, groups without traffic left out; ``overall`` is the worst status of all."""
+    """df: hits, reads. Lowest ratio first, groups without traffic left out; ``hit_ratio_overall`` is that of all rows."""
     out = df.groupBy(group).agg(F.sum("hits").alias("hits"), F.sum("reads").alias("reads")).where(F.col("hits") + F.col("reads") > 0)
     out = out.withColumn("ratio", safe_percent(F.col("hits"), F.col("hits") + F.col("reads")))
     return out.withColumn("status", status(F.col("ratio"), 95, 90, low=True)).orderBy("ratio", group).limit(n)
 
 
+def hit_ratio_overall(df: DataFrame) -> DataFrame:
+    """df: hits, reads. One row: their sums, the ratio (100 where there is no traffic) and its status."""
+    out = df.agg(F.coalesce(F.sum("hits"), F.lit(0)).alias("hits"), F.coalesce(F.sum("reads"), F.lit(0)).alias("reads"))
+    out = out.withColumn("ratio", F.coalesce(safe_percent(F.col("hits"), F.col("hits") + F.col("reads")), F.lit(100.0)))
+    return out.withColumn("status", status(F.col("ratio"), 95, 90, low=True))
+
+
 def freshness(df: DataFrame, group: str, ts: str, now: Column, least: int = 1000) -> DataFrame:
     """Days since the last update of groups of over ``least`` rows; never seen is critical and comes first."""
     out = df.groupBy(group).agg(F.count(F.lit(1)).alias("rows"), F.max(ts).alias("last")).where(F.col("rows") > least)
@@ -114,14 +127,18 @@ def lag_status(df: DataFrame, group: str, produced: str, seen: str) -> DataFrame
 
 
 def health_report(checks: dict, spark) -> DataFrame:
-    """name -> callable giving a one-row table with ``status``. A check that fails is skipped, with a reason; the last row is the worst of all."""
-    rows = []
+    """name -> callable giving a table with ``status``, of which the worst counts (none: healthy).
+
+    The checks run here, one after the other. One that cannot be planned or fails while it runs is skipped, with the kind of
+    failure as its reason; the last row is the worst of all that were not skipped.
+    """
+    rows, worst, ranks = [], 0, list(RANKS)
     for name, check in sorted(checks.items()):
         try:
-            rows.append(check().select(F.lit(name).alias("check_name"), F.col("status"), F.lit(None).cast("string").alias("reason")))
+            found = [r["status"] for r in check().select("status").distinct().collect()]
+            rank = max((RANKS[x] for x in found if x in RANKS), default=0)
+            rows.append((name, ranks[rank], None))
+            worst = max(worst, rank)
         except Exception as e:  # the report goes on without it
-            rows.append(spark.range(1).select(F.lit(name).alias("check_name"), F.lit("skipped").alias("status"), F.lit(type(e).__name__).alias("reason")))
-    every = reduce(DataFrame.unionByName, rows)
-    rank = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in RANKS.items() for x in kv)), F.when(F.col("status").isin(*RANKS), F.col("status")).otherwise("healthy")), F.lit(0))
-    worst = every.agg(F.max(rank).alias("r")).select(F.lit("overall").alias("check_name"), F.element_at(F.array(*map(F.lit, RANKS)), F.col("r") + 1).alias("status"), F.lit(None).cast("string").alias("reason"))
-    return every.unionByName(worst)
+            rows.append((name, "skipped", type(e).__name__))
+    return spark.createDataFrame([*rows, ("overall", ranks[worst], None)], "check_name string, status string, reason string")

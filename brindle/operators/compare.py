@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.sources.shared import settle
+
 
 def key_difference(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct keys that only one side has, with the side (null keys equal)."""
@@ -26,8 +28,8 @@ def row_diff(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def row_diff_summary(a: DataFrame, b: DataFrame, keys: list[str], examples: int = 5) -> DataFrame:
-    """change, rows and the first few keys of each."""
-    found = row_diff(a, b, keys)
+    """change, rows and the first few keys of each. The two tables are joined once: the differing keys are written, then counted and ranked."""
+    found = settle(row_diff(a, b, keys), "diff")
     counts = found.groupBy("change").agg(F.count(F.lit(1)).alias("rows"))
     first = lambda change: found.where(F.col("change") == change).orderBy(*keys).limit(examples)
     tops = first("added").unionByName(first("changed")).unionByName(first("removed"))

@@ -1,7 +1,7 @@
 """Incremental tables: first run, high-water marks, upserts into new versions.
 
-A versioned table is a folder of Parquet versions and the number of the one that counts; an upsert
-writes a new version from the old one and then names it, so readers never see a half-written table.
+A versioned table is a folder of Parquet versions; the largest that is written whole (its success mark) counts. An
+upsert writes a new version from the old one, so readers never see a half-written table.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.sources.shared import settle
+
 
 def assert_keys(df: DataFrame, key: list[str]) -> DataFrame:
     """Raises ValueError if a key is null or stands twice."""
@@ -48,7 +50,7 @@ def merge_counts(target: DataFrame, source: DataFrame, key: list[str]) -> DataFr
 
 
 class VersionedTable:
-    """Versions of a table under one folder; ``current`` is a one-row table with the number that counts."""
+    """Versions of a table under one folder, v0, v1, ...: the largest with a success mark counts."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -74,9 +76,10 @@ class VersionedTable:
         return self.read()
 
     def first_run(self, df: DataFrame, key: list[str]) -> DataFrame:
-        return self.write(assert_keys(df, key))
+        return self.write(assert_keys(settle(df, "source"), key))
 
     def upsert(self, source: DataFrame, key: list[str]) -> DataFrame:
         if self.version() is None:
             return self.first_run(source, key)
+        source = settle(source, "source")  # its keys are checked, matched and its rows taken: computed once
         return self.write(merge_upsert(self.read(), source, key))

@@ -1,4 +1,4 @@
-"""Closure and layers of an edge table, by joins against what has been visited, written between steps."""
+"""Closure and layers of an edge table, by joins against what has been visited. Edges are written once, and then only what a step adds."""
 
 from __future__ import annotations
 
@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from brindle.sources.shared import settle
 
+#: Steps after which what was found so far is written as one table.
+COMPACT = 16
+
 
 def closure(edges: DataFrame, start: DataFrame, direction: str = "down") -> DataFrame:
     """edges: parent, child; start: node. Nodes reachable from the start (itself included), with their distance. Cycles are no harm."""
@@ -14,30 +17,38 @@ def closure(edges: DataFrame, start: DataFrame, direction: str = "down") -> Data
         up, down = closure(edges, start, "up"), closure(edges, start, "down")
         return up.unionByName(down).groupBy("node").agg(F.min("depth").alias("depth"))
     a, b = ("parent", "child") if direction == "down" else ("child", "parent")
-    step = edges.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct()
-    seen = settle(start.select("node").distinct().withColumn("depth", F.lit(0)), "closure")
-    depth = 0
+    step = settle(edges.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct(), "steps")
+    front = settle(start.select("node").distinct().withColumn("depth", F.lit(0)), "closure")
+    seen, depth = front, 0
     while True:
-        new = seen.where(F.col("depth") == depth).join(step, "node").select(F.col("next").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
         depth += 1
-        grown = settle(seen.unionByName(new.withColumn("depth", F.lit(depth))), "closure")
-        if not grown.where(F.col("depth") == depth).take(1):
+        reached = front.join(step, "node").select(F.col("next").alias("node")).distinct()
+        front = settle(reached.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)), "closure")
+        if not front.take(1):
             return seen
-        seen = grown
+        seen = seen.unionByName(front)
+        if depth % COMPACT == 0:
+            seen = settle(seen, "closure")
 
 
 def layers(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, layer: all parents of a node are in lower layers. A cycle raises ValueError that names some of its members."""
-    left = settle(nodes.select("node").distinct(), "layers")
-    links = edges.select("parent", "child").distinct()
+    """node, layer: all parents of a node are in lower layers. A cycle raises ValueError that names some of its members.
+
+    A layer is what has no parents left; each step takes their edges away by counting, for each child, how many of its parents are done.
+    """
+    every = settle(nodes.select("node").distinct(), "layers")
+    links = edges.select("parent", "child").distinct().join(every.withColumnRenamed("node", "parent"), "parent", "left_semi")
+    links = settle(links.join(every.withColumnRenamed("node", "child"), "child", "left_semi"), "links")
+    needs = links.groupBy(F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("needs"))
+    left = settle(every.join(needs, "node", "left").select("node", F.coalesce("needs", F.lit(0).cast("long")).alias("needs")), "left")
     done, layer = None, 0
     while left.take(1):
-        blocked = links.join(left.withColumnRenamed("node", "parent"), "parent").select(F.col("child").alias("node")).distinct()
-        free = settle(left.join(blocked, "node", "left_anti").withColumn("layer", F.lit(layer)), "layers")
+        free = settle(left.where("needs = 0").select("node", F.lit(layer).alias("layer")), "layers")
         if not free.take(1):
-            members = sorted(r.node for r in left.join(blocked, "node").orderBy("node").limit(10).collect())
+            members = sorted(r.node for r in left.orderBy("node").limit(10).collect())
             raise ValueError(f"the edges have a cycle among {members}")
         done = free if done is None else done.unionByName(free)
-        left = settle(left.join(free, "node", "left_anti"), "layers")
+        met = links.join(free.select(F.col("node").alias("parent")), "parent").groupBy(F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("met"))
+        left = settle(left.where("needs > 0").join(met, "node", "left").select("node", (F.col("needs") - F.coalesce("met", F.lit(0).cast("long"))).alias("needs")), "left")
         layer += 1
     return done if done is not None else nodes.select("node").withColumn("layer", F.lit(0)).limit(0)

@@ -36,11 +36,9 @@ FORMS: dict[str, tuple[str, str, str | None]] = {
     "join_left": ("customer, nation", "SELECT c.c_custkey, c.c_name, n.n_name, n.n_regionkey FROM {customer} AS c LEFT JOIN {nation} AS n ON n.n_nationkey = c.c_nationkey AND n.n_regionkey = 2", None),
     "join_left_residual": (
         "customer, orders",
-        """SELECT c.c_custkey AS customer_id, c.c_name AS full_name, COUNT(o.o_orderkey) AS total_orders,
-          CAST(COALESCE(SUM(CAST(o.o_totalprice AS DECIMAL(18, 2))), 0) AS DOUBLE) AS lifetime_value,
-          CAST(MIN(o.o_orderdate) AS DATE) AS first_order, CAST(MAX(o.o_orderdate) AS DATE) AS last_order,
-          CASE WHEN COUNT(o.o_orderkey) = 0 THEN 'never_ordered' WHEN COUNT(o.o_orderkey) = 1 THEN 'new' WHEN COUNT(o.o_orderkey) < 5 THEN 'growing' ELSE 'loyal' END AS segment
-        FROM {customer} AS c LEFT JOIN {orders} AS o ON o.o_custkey = c.c_custkey AND o.o_orderstatus NOT IN ('P') GROUP BY c.c_custkey, c.c_name""",
+        """SELECT c.c_custkey, c.c_mktsegment, COUNT(o.o_orderkey) AS open_orders, CAST(COALESCE(SUM(CAST(o.o_totalprice AS DECIMAL(18, 2))), 0) AS DOUBLE) AS open_value,
+          CAST(MAX(o.o_orderdate) AS DATE) AS newest, CASE WHEN MAX(o.o_totalprice) >= 100000 THEN 'high' WHEN COUNT(o.o_orderkey) > 0 THEN 'some' ELSE 'none' END AS exposure
+        FROM {customer} AS c LEFT JOIN {orders} AS o ON o.o_custkey = c.c_custkey AND o.o_orderstatus = 'O' GROUP BY c.c_custkey, c.c_mktsegment""",
         None,
     ),
     "join_left_chain": (

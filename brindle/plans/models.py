@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 from brindle.operators import incremental
+from brindle.sources.shared import remove_tree
 
 KINDS = ("view", "table", "incremental")
 
@@ -27,7 +28,6 @@ class Model:
     incremental_filter: str | None = None
     base: Callable[[SparkSession], DataFrame] | None = None
     later: Callable[[SparkSession], DataFrame] | None = None
-    options: dict = field(default_factory=dict, compare=False)
 
     def __post_init__(self):
         if len(self.name.split(".")) != 2 or not all(self.name.split(".")):
@@ -81,10 +81,13 @@ def select(models: dict[str, Model], include: list[str] | None = None, exclude:
 def build(spark: SparkSession, model: Model, root: str, full_refresh: bool = False) -> DataFrame:
     """Materialises one model; the result can be read as ``schema_table`` (a temporary view)."""
     name = model.name.replace(".", "_")
+    target = incremental.VersionedTable(spark, f"{root}/{model.name}")
     if model.kind == "view":
         out = model.body(spark)
+        out.createOrReplaceTempView(name)
+        if target.version() is not None:  # it was a table: the view takes its place
+            remove_tree(spark, target.path)
     else:
-        target = incremental.VersionedTable(spark, f"{root}/{model.name}")
         if model.kind == "table":
             out = target.write(model.body(spark))
         elif full_refresh or target.version() is None:
@@ -119,11 +122,15 @@ def run_pipeline(spark: SparkSession, models: dict[str, Model], root: str, inclu
 
 
 def pipeline_status(spark: SparkSession, models: dict[str, Model], root: str) -> DataFrame:
-    """model, kind, state (synced or missing), rows."""
+    """model, kind, state, rows. ``synced``; ``missing``; ``type mismatch``: a table stands where the model is a view now, or only a view where it is stored."""
     rows = []
     for name in order(models):
-        view = name.replace(".", "_")
-        there = spark.catalog.tableExists(view) if models[name].kind == "view" else incremental.VersionedTable(spark, f"{root}/{name}").version() is not None
-        df = None if not there else spark.table(view) if models[name].kind == "view" else incremental.VersionedTable(spark, f"{root}/{name}").read()
-        rows.append((name, models[name].kind, "synced" if there else "missing", df.count() if df is not None else None))
+        view, target = name.replace(".", "_"), incremental.VersionedTable(spark, f"{root}/{name}")
+        stored, shown, is_view = target.version() is not None, spark.catalog.tableExists(view), models[name].kind == "view"
+        if stored if is_view else shown and not stored:
+            rows.append((name, models[name].kind, "type mismatch", None))
+        elif shown if is_view else stored:
+            rows.append((name, models[name].kind, "synced", (spark.table(view) if is_view else target.read()).count()))
+        else:
+            rows.append((name, models[name].kind, "missing", None))
     return spark.createDataFrame(rows, "model string, kind string, state string, rows long")

@@ -19,9 +19,12 @@ LADDER = {
 SPARK_TYPES = {"boolean": "boolean", "uuid": "string", "bigint": "bigint", "date": "date", "timestamptz": "timestamp", "jsonb": "string", "text": "string"}
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header row; all fields as trimmed strings, blank ones null; a ragged row raises."""
-    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, quote='"', escape='"', mode="FAILFAST")
+def read_csv(spark: SparkSession, path: str, line_feeds: bool = False) -> DataFrame:
+    """Header row; all fields as trimmed strings, blank ones null; a ragged row raises.
+
+    Files are split among tasks. ``line_feeds``: quoted fields may hold them; then a file is one task's.
+    """
+    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=line_feeds, quote='"', escape='"', mode="FAILFAST")
     return raw.select(*(F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")).alias(c.strip()) for c in raw.columns))
 
 
@@ -42,18 +45,26 @@ def infer_types(df: DataFrame, sample_rows: int | None = 100) -> DataFrame:
     return rows.agg(*fits).select(pairs.alias("p")).select("p.column", "p.type")
 
 
-def _numeric(df: DataFrame, column: str) -> str:
-    """decimal(38, s) with the most digits after the point that any value has."""
-    after = F.length(F.regexp_extract(F.col(f"`{column}`"), r"\.([0-9]*)$", 1))
-    return f"decimal(38,{min(18, df.agg(F.max(after)).first()[0] or 0)})"
+def _numerics(df: DataFrame, columns: list[str], strict: bool = True) -> dict[str, str]:
+    """For each column decimal(38, s) with the most digits after the point that any value has, measured in one pass.
+
+    If these and the most digits before the point are over 38 together, no decimal keeps them all: ValueError, or, not ``strict``, fewer are kept.
+    """
+    if not columns:
+        return {}
+    digits = lambda c, pattern: F.coalesce(F.max(F.length(F.regexp_extract(F.col(f"`{c}`"), pattern, 1))), F.lit(0))
+    found = df.agg(*(x for i, c in enumerate(columns) for x in (digits(c, r"^\s*-?0*([0-9]*)").alias(f"b{i}"), digits(c, r"\.([0-9]*)\s*$").alias(f"a{i}")))).first()
+    if strict and (bad := [c for i, c in enumerate(columns) if found[f"b{i}"] + found[f"a{i}"] > 38]):
+        raise ValueError(f"no decimal of 38 digits holds all values of {bad}")
+    return {c: f"decimal(38,{min(found[f'a{i}'], 38 - min(38, found[f'b{i}']))})" for i, c in enumerate(columns)}
 
 
 def apply_schema(df: DataFrame, types: dict[str, str]) -> DataFrame:
-    """Casts by declared or inferred type; a value that doesn't fit raises. Columns that aren't named stay text."""
-    out = []
+    """Casts by declared or inferred type; a value that doesn't fit raises, and so does a numeric column that no decimal holds. Columns that aren't named stay text."""
+    out, numerics = [], _numerics(df, [c for c in df.columns if types.get(c) == "numeric"])
     for c in df.columns:
         kind = types.get(c, "text")
-        target = _numeric(df, c) if kind == "numeric" else SPARK_TYPES.get(kind, kind)
+        target = numerics[c] if kind == "numeric" else SPARK_TYPES.get(kind, kind)
         out.append(F.col(f"`{c}`").cast(target).alias(c))
     return df.select(*out)
 
@@ -68,9 +79,13 @@ def types_of(df: DataFrame, declared: dict[str, str] | None = None, sample_rows:
     return found.select("column", F.coalesce(F.try_element_at(named, F.col("column")), "type").alias("type"), F.when(F.col("column").isin(*declared), "schema").otherwise("inferred").alias("origin"))
 
 
-def validate(df: DataFrame, types: dict[str, str]) -> DataFrame:
-    """column, type, rows, nulls, failures: values that a cast to the type would refuse. One pass over the table."""
-    cast = lambda c: F.col(f"`{c}`").try_cast("decimal(38,18)" if types[c] == "numeric" else SPARK_TYPES.get(types[c], types[c]))
+def validate(df: DataFrame, types: dict[str, str], target: str | None = None) -> DataFrame:
+    """column, type, rows, nulls, failures: values that a cast to the type would refuse. One pass over the table, and one more to measure
+    numeric columns. A ``target`` table that does not exist raises ValueError; ``types_of`` tells where a type comes from."""
+    if target and not df.sparkSession.catalog.tableExists(target):
+        raise ValueError(f"no such table: {target}")
+    numerics = _numerics(df, [c for c in types if types[c] == "numeric"], strict=False)
+    cast = lambda c: F.col(f"`{c}`").try_cast(numerics[c] if types[c] == "numeric" else SPARK_TYPES.get(types[c], types[c]))
     counts = []
     for i, c in enumerate(types):
         bad = F.col(f"`{c}`").isNotNull() & (~F.col(f"`{c}`").rlike(LADDER["uuid"]) if types[c] == "uuid" else cast(c).isNull())

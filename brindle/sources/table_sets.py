@@ -6,13 +6,15 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions.anonymise import strategy
 
-# Schemas that no table set takes.
+# Schemas that no table set takes, and how the names of others that none takes begin.
 SYSTEM_SCHEMAS = ("pg_catalog", "information_schema", "pg_toast")
+SYSTEM_PREFIX = "pg_"
 
 
 @dataclass(frozen=True)
@@ -38,12 +40,20 @@ class Profile:
 def chosen(names: DataFrame, profile: Profile) -> DataFrame:
     """names: name (schema.table). Those the profile takes; system schemas never."""
     schema = F.substring_index("name", ".", 1)
-    ok = ~schema.isin(*SYSTEM_SCHEMAS)
+    ok = ~(schema.isin(*SYSTEM_SCHEMAS) | schema.startswith(SYSTEM_PREFIX))
     if profile.schemas or profile.tables:
         ok &= schema.isin(*profile.schemas) | F.col("name").isin(*profile.tables)
     return names.where(ok & ~schema.isin(*profile.exclude_schemas) & ~F.col("name").isin(*profile.exclude_tables))
 
 
+def left_out(name: str, rules: list[Rule]) -> str | None:
+    """Why no copy, dump or preview of columns takes a table: a rule skips it, or its schema is the system's."""
+    schema, dot, _ = name.partition(".")
+    if dot and (schema in SYSTEM_SCHEMAS or schema.startswith(SYSTEM_PREFIX)):
+        return "excluded"
+    return "skip" if any(r.table == name and r.column is None and r.strategy == "skip" for r in rules) else None
+
+
 def anonymise(df: DataFrame, rules: dict[str, str], seed: str) -> DataFrame:
     """One projection; columns without a rule stay. An unknown column or strategy raises ValueError."""
     if unknown := set(rules) - set(df.columns):
@@ -52,30 +62,37 @@ def anonymise(df: DataFrame, rules: dict[str, str], seed: str) -> DataFrame:
 
 
 def anonymise_dump(tables: dict[str, DataFrame], rules: list[Rule], seed: str, out: str) -> list[str]:
-    """Writes the anonymised copy of every table that is not skipped; returns their names."""
-    skipped = {r.table for r in rules if r.column is None and r.strategy == "skip"}
+    """Writes the anonymised copy of every table that is not left out; returns their names."""
     written = []
     for name, df in sorted(tables.items()):
-        if name not in skipped:
+        if not left_out(name, rules):
             anonymise(df, {r.column: r.strategy for r in rules if r.table == name and r.column}, seed).write.parquet(f"{out}/{name}")
             written.append(name)
     return written
 
 
 def anonymise_preview(spark: SparkSession, tables: dict[str, DataFrame], rules: list[Rule]) -> DataFrame:
-    """table, rows, column, strategy of every column; those without a rule are ``real``."""
-    shown = [(n, c, next((r.strategy for r in rules if (r.table, r.column) == (n, c)), "real")) for n, df in sorted(tables.items()) for c in df.columns]
+    """table, rows, column, strategy of every column; those without a rule are ``real``. A table that is left out is one row without column, whose strategy says why."""
+    shown = []
+    for n, df in sorted(tables.items()):
+        if why := left_out(n, rules):
+            shown.append((n, None, why))
+        else:
+            shown += [(n, c, next((r.strategy for r in rules if (r.table, r.column) == (n, c)), "real")) for c in df.columns]
     counts = reduce(DataFrame.unionByName, (df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table"), "rows") for n, df in sorted(tables.items())))
     return counts.join(spark.createDataFrame(shown, "table string, column string, strategy string"), "table")
 
 
 def bootstrap_copy(source: dict[str, DataFrame], rules: list[Rule], seed: str, target: str) -> list[str]:
-    """Tables of a source (Parquet or JDBC frames) anonymised into tables of a target database."""
-    spark = next(iter(source.values())).sparkSession
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {target}")
-    for name, df in sorted(source.items()):
-        anonymise(df, {r.column: r.strategy for r in rules if r.table == name and r.column}, seed).write.mode("overwrite").saveAsTable(f"{target}.{name}")
-    return sorted(source)
+    """Tables of a source (Parquet or JDBC frames) that are not left out, anonymised into tables of a target database; a name's schema is dropped. Returns their names."""
+    taken = [n for n in sorted(source) if not left_out(n, rules)]
+    if len({n.rpartition(".")[2] for n in taken}) < len(taken):
+        raise ValueError(f"tables of one name in several schemas: {taken}")
+    for name in taken:
+        df = source[name]
+        df.sparkSession.sql(f"CREATE DATABASE IF NOT EXISTS {target}")
+        anonymise(df, {r.column: r.strategy for r in rules if r.table == name and r.column}, seed).write.mode("overwrite").saveAsTable(f"{target}.{name.rpartition('.')[2]}")
+    return taken
 
 
 def snapshot_save(spark: SparkSession, tables: dict[str, DataFrame], name: str, root: str, profile: Profile | None = None, created: str = "") -> DataFrame:
@@ -133,7 +150,19 @@ def storage_report(tables: dict[str, DataFrame], top: int = 10, warn: int = 1 <<
 
 
 def describe_table(df: DataFrame, key: list[str]) -> DataFrame:
-    """position, column, type, is_key, rows and null values of each column, in one pass."""
+    """position, column, type, is_key, rows and null values of each column and the bytes of the table's files (0 if it has none), in one pass."""
+    try:
+        df, names, per = df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_size").alias("_bytes")), df.columns, ["_path", "_bytes"]
+        df.schema  # no files: the metadata column is not there
+    except AnalysisException:
+        return _described(df, key).withColumn("bytes", F.lit(0).cast("long"))
+    files = df.groupBy(*per).agg(F.count(F.lit(1)).alias("rows"), *(F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(names)))
+    whole = files.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum("_bytes"), F.lit(0)).alias("bytes"), *(F.coalesce(F.sum(f"n{i}"), F.lit(0)).alias(f"n{i}") for i in range(len(names))))
+    shown = [F.struct(F.lit(i + 1).alias("position"), F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), F.lit(f.name in key).alias("is_key"), F.col("rows").alias("rows"), F.col(f"n{i}").alias("nulls"), F.col("bytes").alias("bytes")) for i, f in enumerate(df.schema) if f.name not in per]
+    return whole.select(F.explode(F.array(*shown)).alias("x")).select("x.*")
+
+
+def _described(df: DataFrame, key: list[str]) -> DataFrame:
     counts = [F.count(F.lit(1)).alias("rows"), *(F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(df.columns))]
     shown = [F.struct(F.lit(i + 1).alias("position"), F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), F.lit(f.name in key).alias("is_key"), F.col("rows").alias("rows"), F.col(f"n{i}").alias("nulls")) for i, f in enumerate(df.schema)]
     return df.agg(*counts).select(F.explode(F.array(*shown)).alias("x")).select("x.*")

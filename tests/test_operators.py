@@ -45,6 +45,32 @@ def test_ragged_rows_raise(spark, tmp_path):
 def test_decimals_keep_the_digits_the_data_has(spark):
     df = seeds.apply_schema(column(spark, ["1.25", "-3", "0.125"]), {"v": "numeric"})
     assert df.dtypes == [("v", "decimal(38,3)")]
+    long = "0.1234567890123456789012345"
+    (row,) = seeds.apply_schema(column(spark, [long]), {"v": "numeric"}).collect()
+    assert str(row.v) == long
+    with pytest.raises(ValueError, match="no decimal"):
+        seeds.apply_schema(column(spark, [long, "12345678901234567"]), {"v": "numeric"})
+    assert seeds.validate(column(spark, [long, "x", None]), {"v": "numeric"}).first()[2:] == (3, 1, 1)
+    with pytest.raises(ValueError, match="no such table"):
+        seeds.validate(column(spark, ["1"]), {"v": "bigint"}, "no_such_table")
+
+
+def test_skipped_and_system_tables_are_never_copied(spark):
+    import uuid
+
+    own = f"t{uuid.uuid4().hex[:8]}"
+    tables = {f"{s}.{own}_{k}": column(spark, ["Ann"]) for k, s in enumerate(["app", "app", "pg_catalog", "pg_anything", "information_schema"])}
+    rules = [table_sets.Rule(f"app.{own}_0", "v", "redact"), table_sets.Rule(f"app.{own}_1", None, "skip")]
+    assert table_sets.bootstrap_copy(tables, rules, "s", "brindle_copy") == [f"app.{own}_0"]
+    assert [spark.catalog.tableExists(f"brindle_copy.{own}_{k}") for k in range(5)] == [True, False, False, False, False]
+    assert spark.table(f"brindle_copy.{own}_0").first().v == "XXX"
+    assert table_sets.anonymise_dump(tables, rules, "s", fresh_path(spark, "d")) == [f"app.{own}_0"]
+    assert {(r.table, r.strategy) for r in table_sets.anonymise_preview(spark, tables, rules).collect()} == {(f"app.{own}_0", "redact"), (f"app.{own}_1", "skip"), *((n, "excluded") for n in list(tables)[2:])}
+
+
+def test_quoted_line_feeds_are_read_if_declared(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a,b\n1,"x\ny"\n')
+    assert seeds.read_csv(spark, str(tmp_path), line_feeds=True).first()[:] == ("1", "x\ny")
 
 
 @pytest.mark.parametrize(
@@ -136,6 +162,29 @@ def test_cycles(spark):
         lineage.layers(edges, nodes)
 
 
+def test_layers_count_parents_and_ignore_edges_from_outside(spark):
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "d"), ("c", "d"), ("x", "a"), ("d", "y")], "parent string, child string")
+    nodes = spark.createDataFrame([(x,) for x in "abcde"], "node string")
+    assert {(r.node, r.layer) for r in lineage.layers(edges, nodes).collect()} == {("a", 0), ("c", 0), ("e", 0), ("b", 1), ("d", 2)}
+    assert lineage.layers(edges, nodes.limit(0)).count() == 0
+
+
+def test_long_closures_are_compacted(spark, monkeypatch):
+    monkeypatch.setattr(lineage, "COMPACT", 2)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(7)], "parent long, child long")
+    assert sorted((r.node, r.depth) for r in lineage.closure(edges, spark.createDataFrame([(0,)], "node long")).collect()) == [(i, i) for i in range(8)]
+
+
+def test_the_diff_summary_joins_once(spark, monkeypatch):
+    a, b = spark.createDataFrame([(i, "a") for i in range(9)], KEYED), spark.createDataFrame([(i, "a" if i < 6 else "b") for i in range(1, 30)], KEYED)
+    joins = []
+    whole = compare.row_diff
+    monkeypatch.setattr(compare, "row_diff", lambda *x: joins.append(1) or whole(*x))
+    found = compare.row_diff_summary(a, b, ["k"])
+    assert "FullOuter" not in found._jdf.queryExecution().toString() and len(joins) == 1
+    assert {r.change: (r.rows, r.examples) for r in found.collect()} == {"removed": (1, ["0"]), "changed": (3, ["6", "7", "8"]), "added": (21, ["9", "10", "11", "12", "13"])}
+
+
 def test_wait_chains_name_roots_and_direct_waiters(spark):
     edges = spark.createDataFrame([(2, 1, 10), (3, 1, 30), (4, 3, 99)], "waiter long, blocker long, seconds long")
     assert [r[:] for r in activity.wait_chains(edges).collect()] == [(1, 2, 30)]
