@@ -6,9 +6,10 @@ is about ``SHARD_WORDS`` words of whole documents (or one document that is longe
 documents in shards, indexes each, searches all windows backwards, locates what occurs and merges the
 words covered into spans. Documents are not shuffled.
 
-The benchmark goes to the tasks in blocks of at most ``BLOCK_WORDS`` words, each a broadcast of its own;
-a larger benchmark makes more blocks, which each shard goes through in turn, and spans are merged over
-all of them. Rows of one item_id are one item.
+The benchmark goes to the tasks in blocks of at most ``BLOCK_WORDS`` words (or one longer item), each a broadcast of its
+own; a larger benchmark makes more blocks, which each shard goes through in turn, and spans are merged over
+all of them. Driver and tasks hold one block in Python at a time; the others lie in files on their machines, so the sum of
+the blocks is bounded by disk, not by memory. Rows of one item_id are one item.
 
 A null or empty text has no words and no hits; an item without words has no window; a null item_id is
 the empty string in lists. Repeated rows give equal results. Extra columns pass through; results are
@@ -65,12 +66,18 @@ def blocks_of(spark: SparkSession, benchmark: DataFrame, window: int, item: str,
         size += len(words)
         if size >= BLOCK_WORDS:
             found.append(spark.sparkContext.broadcast(Block(held, window)))
+            _put_down(found[-1])
             held, size = [], 0
     if held or not found:
         found.append(spark.sparkContext.broadcast(Block(held, window)))
     return found
 
 
+def _put_down(block) -> None:
+    """Frees the value that this process holds of a broadcast; it is read again from its file when asked for."""
+    block.__dict__.pop("_value", None)
+
+
 def search_shard(texts: list[list[bytes]], block: Block, hit: np.ndarray, starts: np.ndarray, items: list[set[str]]) -> None:
     """Marks the words of the shard's documents that a window covers, and adds items. Document d begins at starts[d]; a 0 follows each."""
     from brindle.llm.fm_index import FMIndex
@@ -126,6 +133,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, text:
         hit, items = np.zeros(int((sizes + 1).sum()), bool), [set() for _ in words]
         for block in blocks:
             search_shard(words, block.value, hit, starts, items)
+            if len(blocks) > 1:
+                _put_down(block)
         d = 0
         for batch in held:
             rows = []

@@ -29,6 +29,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +40,8 @@ LABELS = ["", *KINDS, "secret"]
 TRAIN_ROWS, TRAIN_CHARS = 3000, 20_000
 REACH = 2
 LONG = 16
+#: Bytes of text whose graphs are held together.
+TOGETHER = 4 << 20
 #: Message-passing sweeps at most, and the change of a message that ends them.
 SWEEPS, SETTLED = 50, 1e-4
 
@@ -330,6 +333,19 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     return fit([r.t for r in some.orderBy(F.xxhash64("t"), "t").limit(TRAIN_ROWS).collect()])
 
 
+def _portions(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Rows whose texts are labelled together: up to ``TOGETHER`` bytes of text, or one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    start = held = 0
+    for k, size in enumerate(sizes):
+        if held + size > TOGETHER and k > start:
+            yield batch.slice(start, k - start)
+            start, held = k, 0
+        held += size
+    if start < len(sizes):
+        yield batch.slice(start)
+
+
 def find_pii(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """All columns of ``docs``, p_spans (kind, start, end in code points, base: a base pattern's) by kind and start, p_redacted."""
     docs = without(docs, ["p_spans", "p_redacted"])
@@ -339,8 +355,7 @@ def find_pii(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, 1024):
-                batch = whole.slice(k, 1024)
+            for batch in _portions(whole, column):
                 texts = [t or "" for t in batch.column(column).to_pylist()]
                 base = [base_spans(t) for t in texts]
                 more = added_spans(texts, base, held.value)

@@ -236,6 +236,36 @@ def test_field_gives_exact_beliefs_on_a_chain():
     assert np.allclose(pii.marginals(graph, model), want / want.sum(1, keepdims=True), atol=2e-3)
 
 
+def test_field_agrees_with_enumeration_on_graphs_with_loops():
+    """Chains with skips: beliefs of loopy message passing are those of all labellings, nearly."""
+    from itertools import product
+
+    rng, size = np.random.default_rng(3), len(pii.LABELS)
+    for skips in ([(0, 3)], [(0, 2), (2, 4)], [(0, 4), (1, 3)], [(0, 2), (0, 4), (2, 4)]):
+        n = 5
+        skip = rng.normal(0, 0.4, (size, size))
+        model = pii.Model({f"f{i}": i for i in range(n)}, rng.normal(0, 1.5, (n, size)), rng.normal(0, 0.4, (size, size)), (skip + skip.T) / 2)
+        graph = pii.Graph([0] * n, [(i, i + 1) for i in range(n)], [[f"f{i}"] for i in range(n)], [0] * n, [(i, i + 1) for i in range(n - 1)], skips)
+        want = np.zeros((n, size))
+        for labels in product(range(size), repeat=n):
+            p = np.exp(sum(model.unary[i, y] for i, y in enumerate(labels)) + sum(model.chain[labels[a], labels[b]] for a, b in graph.chain) + sum(model.skip[labels[a], labels[b]] for a, b in skips))
+            for i, y in enumerate(labels):
+                want[i, y] += p
+        want /= want.sum(1, keepdims=True)
+        got = pii.marginals(graph, model)
+        assert np.abs(got - want).max() < 0.06 and (got.argmax(1) == want.argmax(1)).mean() >= 0.8
+
+
+def test_portions_hold_every_row_once_and_are_bounded(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(pii, "TOGETHER", 10)
+    texts = ["a" * 4, None, "b" * 30, "", "c" * 6, "d" * 4, "é" * 3, "x"]
+    parts = [b.column(0).to_pylist() for b in pii._portions(pa.RecordBatch.from_arrays([pa.array(texts)], names=["t"]), 0)]
+    assert [t for p in parts for t in p] == texts and all(len(p) == 1 or sum(len((t or "").encode()) for t in p) <= 10 for p in parts)
+    assert list(pii._portions(pa.RecordBatch.from_arrays([pa.array([], pa.string())], names=["t"]), 0)) == []
+
+
 def test_repeated_tokens_get_the_label_of_the_first():
     model = pii.fit(SECRETS + PLAIN)
     key = "7f3c5d9a1b2c3d4e5f6a7b8c9d0e1f2a3b4c5d6e"
