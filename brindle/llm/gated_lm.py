@@ -2,23 +2,28 @@
 
 Corpus counts. Every training token is counted: tasks count their words before the shuffle. Words of the
 largest counts (at most ``HEAD``) go to the tasks as a table; all others, the tail, are looked up by a
-join, so no table that grows with the corpus is broadcast.
+join, so no table that grows with the corpus is broadcast. Texts are then read once more: each document's
+ids are written, and training and scoring read these alone.
 
-Network. The end and every word of the table that occurs ``LEAST`` times or more are read and predicted
-as themselves, so that the vocabulary grows with the corpus counts up to ``HEAD``; the classes are about its
-square root. All other words are dealt by a digest to "rare" symbols, about the square root of their
+Network. The end and the ``OWN`` most frequent words of the table that occur ``LEAST`` times or more are read
+and predicted as themselves, so that the vocabulary grows with the corpus counts up to ``OWN``; the classes are
+as many as make a token's scores fewest. All other words are dealt by a digest to "rare" symbols, about the square root of their
 number, which are read and predicted likewise. A gated recurrent unit reads token after token; the output
 is a softmax over frequency classes times a softmax over the words of the class, both starting from the
 corpus counts. A rare word has the probability of its symbol times its share among the symbol's words,
 (c + 0.5) / (N + 0.5 (V + 1)), with N and V of these; all unknown words of a symbol together are one of
 them, so probabilities sum to one.
 
-Training. Back-propagation is truncated to windows of ``WINDOW`` tokens, with the state carried from window
-to window and set to zero where a document begins. Every training document is learnt from once. The
+Training. Back-propagation is truncated to windows of ``WINDOW`` tokens (up to ``LONGEST`` times as many where
+documents are so long that few run side by side), with the state carried from window to window
+and set to zero where a document begins. Every training document is learnt from once. The
 documents are dealt into ``ROUNDS`` by a digest; in a round each task learns from its own documents,
 starting from common weights, and steps only the rows of words that it reads and of classes that it
-predicts. Of these rows alone it passes on the changes, which are averaged row by row by how often the row
-was learnt from, piece by piece of the weights in as many tasks. What reaches the driver is one set of weights.
+predicts. Steps are adaptive, with one sum of squares for a word's row, and the sums go on from round to
+round. Of these rows alone it passes on the changes, which are averaged row by row by how often the row
+was learnt from, piece by piece of the weights in as many tasks. What reaches the driver is one set of
+weights. As tasks step on their own before weights are averaged, scores depend (a little) on how many tasks
+the input has.
 
 Scoring. Lanes of documents run side by side; the state is carried through whole documents.
 
@@ -45,36 +50,49 @@ from pyspark.sql import functions as F
 from brindle.llm.common import settle
 
 HEAD = 200_000
+#: Words that the network reads and predicts as themselves, at most: what bounds its size and the time for a token.
+OWN = 8_192
 #: Words that occur less often are rare: what is learnt of them must hold for words never seen.
 LEAST = 3
 HIDDEN = 16
-WINDOW = 16
+WINDOW = 64
 ROUNDS = 3
 LANES = 512
-SCORE_LANES, SCORE_WINDOW = 512, 32
-RATE = 0.1
+LONGEST = 4
+SCORE_LANES, SCORE_WINDOW, SCORE_LONGEST = 512, 128, 16
+RATE = 0.2
 #: Tokens a task holds at a time.
-HELD = 1 << 21
+HELD = 1 << 22
 #: What the squares of gradients of words' rows start from: a token's share of a window's mean loss.
 SLOW = 1 / (LANES * WINDOW)
 #: Pieces into which weights are cut for averaging.
 PIECES = 16
 #: Distinct words a task counts before it passes them on.
 COUNTED = 1_000_000
-NAMES = ["read", "gate", "class", "class_bias", "word", "word_bias"]
+#: Documents encoded at a time.
+TOGETHER = 64
+#: Tokens whose classes are predicted at a time, so that their scores stay in a core's cache.
+BLOCK = 256
+#: Of "class" the last row and of "word" the last column are biases.
+NAMES = ["read", "gate", "class", "word"]
+#: Weights that are rows of ids; a row has one sum of squares.
+BY_ID = ("read", "word")
 END = b"\n"  # no word has white space
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
+def words_of(text: str | bytes | None) -> list[bytes]:
+    data = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text
+    return data.translate(_LOWER).split() if data else []
 
 
 @dataclass
 class Head:
-    """What tasks know of the corpus. ``ranks``: word -> its place by frequency from 1, with ``every`` its count; up to ``known`` a word has an id of its own, beyond it a word is rare."""
+    """What tasks know of the corpus. ``ranks``: word -> its place by frequency from 1, with ``every`` its count and ``ids`` its id; up to ``known``
+    a word has an id of its own, beyond it a word is rare and has its symbol's. Place 0 is of all other words, the tail."""
 
     ranks: dict[bytes, int]
+    ids: np.ndarray
     every: np.ndarray
     known: int
     tokens: int
@@ -94,12 +112,12 @@ def word_counts(texts: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()
         for batch in batches:
-            for t in batch.column(0).to_pylist():
+            for t in batch.column(0).cast(pa.binary()).to_pylist():
                 seen.update(words_of(t))
-                seen[END] += 1
                 if len(seen) > COUNTED:
                     yield _counted(seen)
                     seen.clear()
+            seen[END] += batch.num_rows
         yield _counted(seen)
 
     return texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -121,7 +139,7 @@ def head_of(counts: DataFrame) -> Head:
     rows = counts.where(F.col("n") >= least).collect() if least is not None else []
     ranked = sorted(((bytes(r["word"]), r["n"]) for r in rows), key=lambda r: (-r[1], r[0]))
     distinct, tokens = sum(r["v"] for r in bins.values()), sum(r["n"] for r in bins.values())
-    known = sum(n >= LEAST for _, n in ranked)
+    known = min(OWN, sum(n >= LEAST for _, n in ranked))
     end = next((k for k, (w, _) in enumerate(ranked) if w == END), 0)
     if ranked and end >= known:  # the end is always an id
         ranked.insert(known, ranked.pop(end))
@@ -136,19 +154,38 @@ def head_of(counts: DataFrame) -> Head:
         rare_tokens[_symbol(w, symbols)] += n
         rare_distinct[_symbol(w, symbols)] += 1
     sizes = np.r_[np.maximum(1.0, rare_tokens), np.maximum(1.0, every[1 : known + 1])]
-    classes = math.isqrt(len(sizes)) + 1
-    mass = np.cumsum(np.sqrt(sizes[symbols:]))
+    # with s_i the square root of a word's share, classes of equal sum of s give a token about n + (sum of s)^2 / n scores: least where n is that sum
+    mass = np.cumsum(np.sqrt(sizes[symbols:] / max(1, tokens)))
+    classes = math.ceil(mass[-1]) if known else 1
     inner = np.searchsorted(mass, mass[-1] * np.arange(1, classes) / classes) + 1 if known else []
     starts = np.unique(np.r_[0 : symbols : math.isqrt(symbols) + 1, symbols, symbols + np.array(inner, "i8"), len(sizes)])
     ranks = {w: k + 1 for k, (w, _) in enumerate(ranked)}
-    return Head(ranks, every, known, tokens, distinct, rare_tokens + 0.5 * (rare_distinct + 1), sizes, starts[starts <= len(sizes)])
+    ids = np.array([0, *range(symbols, symbols + known), *(_symbol(w, symbols) for w, _ in ranked[known:])], "i4")
+    return Head(ranks, ids, every, known, tokens, distinct, rare_tokens + 0.5 * (rare_distinct + 1), sizes, starts[starts <= len(sizes)])
 
 
 def _symbol(word: bytes, symbols: int) -> int:
     return zlib.crc32(word) % symbols
 
 
+def _softmax(states: np.ndarray, weights: np.ndarray, at: np.ndarray, to: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exponentials of the scores, their sums by row, and the log-probabilities of ``to``."""
+    p = states @ weights
+    picked = p[at, to]
+    np.exp(p, out=p)
+    total = p @ ones[: p.shape[1]]
+    if not (total.min() > 1e-30 and total.max() < 1e30):  # out of range: once more, from the largest score of each row
+        p = states @ weights
+        p -= p.max(1, keepdims=True)
+        picked = p[at, to]
+        np.exp(p, out=p)
+        total = p.sum(1)
+    return p, total, picked - np.log(total)
+
+
 class Network:
+    """``weights`` by name and, under the same names, ``squares``: the sums of squared gradients by which steps are scaled."""
+
     def __init__(self, counts: np.ndarray, starts: np.ndarray, hidden: int = HIDDEN, seed: int = 1, flat: np.ndarray | None = None):
         rng, v = np.random.default_rng(seed), len(counts)
         self.starts, self.hidden = starts, hidden
@@ -159,109 +196,133 @@ class Network:
         self.weights = {
             "read": rng.normal(0, 0.1, (v, 3 * hidden)) if flat is None else np.zeros((v, 3 * hidden), "f4"),
             "gate": rng.normal(0, 1 / math.sqrt(hidden), (hidden, 3 * hidden)),
-            "class": np.zeros((hidden, len(starts) - 1)),
-            "class_bias": np.log(per_class / counts.sum()),
-            "word": np.zeros((v, hidden)),
-            "word_bias": np.log(counts / per_class[self.of]),
+            "class": np.r_[np.zeros((hidden, len(starts) - 1)), np.log(per_class / counts.sum())[None]],
+            "word": np.c_[np.zeros((v, hidden)), np.log(counts / per_class[self.of])],
         }
         self.weights["read"][:, :hidden] += 1.0  # keep the state at first
         self.weights = {k: w.astype("f4") for k, w in self.weights.items()}
+        # a predicted row's first steps follow the size of its gradient
+        self.squares = {k: np.full((len(w), 1) if k in BY_ID else w.shape, SLOW**2 if k == "word" else 0, "f4") for k, w in self.weights.items()}
         if flat is not None:
             self.load(flat)
 
+    def arrays(self) -> dict[str, np.ndarray]:
+        return self.weights | {f"{k}_squares": x for k, x in self.squares.items()}
+
     def flat(self) -> np.ndarray:
-        return np.concatenate([w.ravel() for w in self.weights.values()])
+        return np.concatenate([x.ravel() for x in self.arrays().values()])
 
     def load(self, flat: np.ndarray) -> None:
         at = 0
-        for k, w in self.weights.items():
-            self.weights[k] = flat[at : at + w.size].reshape(w.shape).astype("f4")
-            at += w.size
+        for part in (self.weights, self.squares):
+            for k, w in part.items():
+                part[k] = flat[at : at + w.size].reshape(w.shape).astype("f4")
+                at += w.size
+
+    def step(self, name: str, rows, grad: np.ndarray) -> None:
+        """One adaptive step against a gradient."""
+        squares = self.squares[name]
+        squares[rows] += np.einsum("ij,ij->i", grad, grad)[:, None] / grad.shape[1] if name in BY_ID else grad * grad
+        self.weights[name][rows] -= grad * (RATE / (np.sqrt(squares[rows]) + 1e-6))
 
     def changes(self, start: np.ndarray, learnt: int) -> list[bytes]:
-        """From the weights ``start``, of the rows that were learnt from: by name its rows, which they are, how often each was learnt from and
-        its change in 16 bits; a piece for each range of ids, and one for the weights that are no id's."""
-        before = dict(zip(NAMES, np.split(start, np.cumsum([self.weights[k].size for k in NAMES])[:-1]), strict=True))
-        times = {"read": self.reads, "word": self.predicted[self.of], "word_bias": self.predicted[self.of]}
+        """From what ``flat`` was, ``start``, of the rows that were learnt from: by name its rows, which they are, how often each was learnt from
+        and its change, that of weights in 16 bits; a piece for each range of ids, and one for the weights that are no id's."""
+        now = self.arrays()
+        before = {k: x.reshape(now[k].shape) for k, x in zip(now, np.split(start, np.cumsum([x.size for x in now.values()])[:-1]), strict=True)}
+        times = {"read": self.reads, "word": self.predicted[self.of]}
+        times |= {f"{k}_squares": n for k, n in times.items()}
         limit, pieces = np.finfo("f2").max, []
         for k in range(PIECES):
             ids = slice(len(self.of) * k // PIECES, len(self.of) * (k + 1) // PIECES)
             own = {}
             for name, n in times.items():
                 rows = np.flatnonzero(n[ids])
-                now = self.weights[name]
-                own[name] = len(n[ids]), rows.astype("i4"), n[ids][rows].astype("i4"), np.clip((now[ids] - before[name].reshape(now.shape)[ids])[rows], -limit, limit).astype("f2")
+                change = (now[name][ids] - before[name][ids])[rows]
+                own[name] = len(n[ids]), rows.astype("i4"), n[ids][rows].astype("i4"), np.clip(change, -limit, limit).astype("f2") if name in BY_ID else change
             pieces.append(own)
-        common = {k: self.weights[k] - before[k].reshape(self.weights[k].shape) for k in NAMES if k not in times}
+        common = {k: x - before[k] for k, x in now.items() if k not in times}
         pieces.append({k: (len(x), np.arange(len(x)), np.full(len(x), learnt), x) for k, x in common.items()})
         return [pickle.dumps(x) for x in pieces]
 
     def run(self, tokens: np.ndarray, begins: np.ndarray, state: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
         """tokens, begins: step x lane. Returns the states before each token and the last one."""
-        h3, n = self.weights["gate"], self.hidden
+        gate, n = self.weights["gate"], self.hidden
         states = np.empty((*tokens.shape, n), "f4")
+        read, ended = self.weights["read"], begins.any(1)
         for t in range(len(tokens)):
-            if begins[t].any():
+            if ended[t]:
                 state = state * ~begins[t][:, None]
             states[t] = state
-            x = self.weights["read"][tokens[t]]
-            u = state @ h3
-            zr = 1 / (1 + np.exp(-(x[:, : 2 * n] + u[:, : 2 * n])))
+            x = read[tokens[t]]
+            u = state @ gate
+            zr = x[:, : 2 * n]
+            zr += u[:, : 2 * n]
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
             z, r = zr[:, :n], zr[:, n:]
-            c = np.tanh(x[:, 2 * n :] + r * u[:, 2 * n :])
+            c = r * u[:, 2 * n :]
+            c += x[:, 2 * n :]
+            np.tanh(c, out=c)
             if keep is not None:
                 keep.append((z, r, c, u[:, 2 * n :]))
-            state = c + z * (state - c)
+            state = state - c
+            state *= z
+            state += c
         return states, state
 
-    def log_softmax(self, states: np.ndarray, targets: np.ndarray, gradients: dict | None = None) -> np.ndarray:
-        """Natural log-probability of each target; with ``gradients``, adds those of the mean loss' sum and returns d states in it."""
-        w, rows = self.weights, np.arange(len(targets))
-        kind = self.of[targets]
-        logits = states @ w["class"] + w["class_bias"]
-        logits -= logits.max(1, keepdims=True)
-        p = np.exp(logits)
-        total = p.sum(1)
-        out = logits[rows, kind] - np.log(total)
-        if gradients is not None:
-            p /= total[:, None]
-            p[rows, kind] -= 1
-            gradients["class"] = states.T @ p
-            gradients["class_bias"] = p.sum(0)
-            gradients["rows"] = []  # of "word" and "word_bias": from, to, and the gradients of these rows
-            d = p @ w["class"].T
-        order = np.argsort(kind, kind="stable")
-        edges = np.searchsorted(kind[order], np.arange(len(self.starts)))
+    def log_softmax(self, states: np.ndarray, targets: np.ndarray, gradients: dict | None = None, scale: float = 1.0) -> np.ndarray:
+        """Natural log-probability of each target. With ``gradients``, adds the gradients of the loss' sum times ``scale``: of the classes' and
+        the words' weights and, as ``states``, of the states."""
+        w, n, size = self.weights, len(targets), self.hidden
+        order = np.argsort(self.of[targets], kind="stable")
+        s, kind, mine = np.ones((n, size + 1), states.dtype), self.of[targets[order]], np.arange(n)
+        s[:, :size] = states[order]  # the last column meets the biases
+        found, d = np.empty(n, states.dtype), np.empty((n, size), states.dtype)
+        ones = np.ones(max(len(self.starts), int(np.diff(self.starts).max())), states.dtype)
         if gradients is not None:
-            self.predicted += np.diff(edges)
-        for k in np.flatnonzero(np.diff(edges)).tolist():
-            a, b = self.starts[k], self.starts[k + 1]
-            if b - a == 1:
-                continue
-            own = order[edges[k] : edges[k + 1]]
-            s, place = states[own], targets[own] - a
-            logits = s @ w["word"][a:b].T + w["word_bias"][a:b]
-            logits -= logits.max(1, keepdims=True)
-            q = np.exp(logits)
-            total = q.sum(1)
-            mine = np.arange(len(own))
-            out[own] += logits[mine, place] - np.log(total)
+            gradients |= {"class": np.zeros_like(w["class"]), "word": np.zeros_like(w["word"])}
+        back = np.ascontiguousarray(w["class"][:size].T)
+        with np.errstate(over="ignore", divide="ignore"):
+            for k in range(0, n, BLOCK):
+                own, to, at = s[k : k + BLOCK], kind[k : k + BLOCK], mine[: min(BLOCK, n - k)]
+                p, total, found[k : k + BLOCK] = _softmax(own, w["class"], at, to, ones)
+                if gradients is not None:
+                    p *= (scale / total)[:, None]
+                    p[at, to] -= scale
+                    gradients["class"] += own.T @ p
+                    d[k : k + BLOCK] = p @ back
+            edges = np.searchsorted(kind, np.arange(len(self.starts)))
             if gradients is not None:
-                q /= total[:, None]
-                q[mine, place] -= 1
-                gradients["rows"].append((a, b, q.T @ s, q.sum(0)))
-                d[own] += q @ w["word"][a:b]
+                self.predicted += np.diff(edges)
+            places, starts, ends = targets[order] - self.starts[kind], self.starts.tolist(), edges.tolist()
+            for k in np.flatnonzero(np.diff(edges) * (np.diff(self.starts) > 1)).tolist():
+                a, b, x, y = starts[k], starts[k + 1], ends[k], ends[k + 1]
+                own, words, at, to = s[x:y], w["word"][a:b], mine[: y - x], places[x:y]
+                p, total, own_found = _softmax(own, words.T, at, to, ones)
+                found[x:y] += own_found
+                if gradients is not None:
+                    p *= (scale / total)[:, None]
+                    p[at, to] -= scale
+                    d[x:y] += p @ words[:, :size]
+                    gradients["word"][a:b] = p.T @ own
+        out = np.empty_like(found)
+        out[order] = found
         if gradients is not None:
-            gradients["states"] = d
+            gradients["states"] = np.empty_like(d)
+            gradients["states"][order] = d
         return out
 
-    def learn(self, tokens: np.ndarray, begins: np.ndarray, valid: np.ndarray, state: np.ndarray, squares: dict[str, np.ndarray], whole: int = 0) -> np.ndarray:
+    def learn(self, tokens: np.ndarray, begins: np.ndarray, valid: np.ndarray, state: np.ndarray, whole: int = 0) -> np.ndarray:
         """One window: forward, back through its steps, one adaptive gradient step. Returns the state to carry on. With ``whole``, the
         tokens of a full window, a token weighs as much in a window where few lanes still run."""
         n, keep, g = self.hidden, [], {}
         states, last = self.run(tokens, begins, state, keep)
         flat = np.flatnonzero(valid.ravel())
-        self.log_softmax(states.reshape(-1, n)[flat], tokens.ravel()[flat], g)
+        scale = 1 / max(1, whole or len(flat))
+        self.log_softmax(states.reshape(-1, n)[flat], tokens.ravel()[flat], g, scale)
         d_states = np.zeros((tokens.size, n), "f4")
         d_states[flat] = g.pop("states")
         d_states = d_states.reshape(states.shape)
@@ -270,28 +331,29 @@ class Network:
         dh = np.zeros_like(state)
         for t in range(len(tokens) - 1, -1, -1):
             z, r, c, u = keep[t]
-            dc = dh * (1 - z) * (1 - c * c)
-            dz = dh * (states[t] - c) * z * (1 - z)
-            dr = dc * u * r * (1 - r)
-            d_read[t, :, :n], d_read[t, :, n : 2 * n], d_read[t, :, 2 * n :] = dz, dr, dc
-            d_gate[t] = d_read[t]
+            own = d_read[t]
+            rest = (1 - z) * dh
+            np.multiply(rest * z, states[t] - c, out=own[:, :n])
+            dc = np.multiply(rest, 1 - c * c, out=own[:, 2 * n :])
+            np.multiply(dc * u, r * (1 - r), out=own[:, n : 2 * n])
+            d_gate[t] = own
             d_gate[t, :, 2 * n :] *= r
-            dh = (dh * z + d_gate[t] @ gate + d_states[t]) * ~begins[t][:, None]
+            dh = dh * z
+            dh += d_gate[t] @ gate
+            dh += d_states[t]
+            if begins[t].any():
+                dh *= ~begins[t][:, None]
         g["gate"] = states.reshape(-1, n).T @ d_gate.reshape(-1, 3 * n)
         ids = tokens.ravel()
         order = np.argsort(ids, kind="stable")
         first = np.flatnonzero(np.r_[True, np.diff(ids[order]) > 0])
-        at, sums = ids[order][first], np.add.reduceat(d_read.reshape(-1, 3 * n)[order], first)
-        scale = 1 / max(1, whole or len(flat))
-        steps = [(name, slice(a, b), grad) for a, b, *both in g.pop("rows") for name, grad in zip(("word", "word_bias"), both, strict=True)]
-        for name, rows, grad in [*((name, slice(None), grad) for name, grad in g.items()), *steps]:
-            grad *= scale
-            squares[name][rows] += grad * grad
-            self.weights[name][rows] -= RATE * grad / (np.sqrt(squares[name][rows]) + 1e-6)
+        at, ends = ids[order][first], np.r_[first[1:], len(ids)] - 1
+        sums = np.cumsum(d_read.reshape(-1, 3 * n)[order], axis=0, dtype="f8")[ends]
+        sums[1:] -= sums[:-1].copy()
+        for name, grad in g.items():
+            self.step(name, slice(None), grad)
         self.reads[at] += np.diff(np.r_[first, len(ids)])
-        sums *= scale
-        squares["read"][at] += sums * sums
-        self.weights["read"][at] -= RATE * sums / (np.sqrt(squares["read"][at]) + 1e-6)
+        self.step("read", at, sums.astype("f4"))
         return last
 
 
@@ -308,22 +370,28 @@ def lanes(sizes: list[int], width: int) -> list[list[int]]:
     return sorted(out, key=lambda own: (-sum(sizes[d] for d in own), own))
 
 
-def windows(docs: list[np.ndarray], width: int, steps: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """tokens, begins, valid and document, each step x lane, of the lanes that still run."""
-    dealt = lanes([len(d) for d in docs], width)
+def windows(docs: list[np.ndarray], width: int, steps: int, longest: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """tokens, begins, valid and document, each step x lane, of the lanes that still run.
+
+    A long document takes one lane for itself, so that few lanes would be left at last: then lanes are fewer (and longer) from the start,
+    and windows have up to ``longest`` times as many steps, so that they hold about as many tokens throughout.
+    """
+    total, most = sum(map(len, docs)), max(map(len, docs), default=1)
+    dealt = lanes([len(d) for d in docs], min(width, max(1, width // longest, total // most)))
     streams = [np.concatenate([docs[d] for d in own]) for own in dealt]
-    marks = [np.repeat(np.array(own), [len(docs[d]) for d in own]) for own in dealt]
+    marks = [np.repeat(np.array(own, "i4"), [len(docs[d]) for d in own]) for own in dealt]
     starts = [np.concatenate([np.r_[True, np.zeros(len(docs[d]) - 1, bool)] for d in own]) for own in dealt]
-    sizes = np.array([len(s) for s in streams])
-    for at in range(0, int(sizes.max(initial=0)), steps):
-        n = int((sizes > at).sum())
-        tokens, begins = np.zeros((steps, n), "i8"), np.zeros((steps, n), bool)
-        valid, doc = np.zeros((steps, n), bool), np.zeros((steps, n), "i8")
+    sizes, at = np.array([len(s) for s in streams]), 0
+    while n := int((sizes > at).sum()):
+        size = max(steps, min(steps * longest, steps * width // n))
+        tokens, begins = np.zeros((size, n), "i4"), np.zeros((size, n), bool)
+        valid, doc = np.zeros((size, n), bool), np.zeros((size, n), "i4")
         for k in range(n):
-            own = slice(at, at + steps)
+            own = slice(at, at + size)
             m = len(streams[k][own])
             tokens[:m, k], begins[:m, k], valid[:m, k], doc[:m, k] = streams[k][own], starts[k][own], True, marks[k][own]
         yield tokens, begins, valid, doc
+        at += size
 
 
 def _ranks(words: list[bytes], head: Head) -> np.ndarray:
@@ -331,34 +399,28 @@ def _ranks(words: list[bytes], head: Head) -> np.ndarray:
 
 
 def _ids(words: list[bytes], ranks: np.ndarray, head: Head) -> np.ndarray:
-    symbols = len(head.rare_totals)
-    ids = ranks + np.int32(symbols - 1)
-    rare = np.flatnonzero((ranks == 0) | (ranks > head.known))
-    ids[rare] = [_symbol(words[i], symbols) for i in rare.tolist()]
+    ids, symbols = head.ids[ranks], len(head.rare_totals)
+    tail = np.flatnonzero(ranks == 0)
+    ids[tail] = [_symbol(words[i], symbols) for i in tail.tolist()]
     return ids
 
 
-def train_round(texts: DataFrame, head, flat: np.ndarray) -> np.ndarray:
-    """texts: text. Each task learns from its documents; returns the average of their weights."""
-    spark = texts.sparkSession
-    start = spark.sparkContext.broadcast(flat)
+def train_round(encoded: DataFrame, layout, flat: np.ndarray) -> np.ndarray:
+    """encoded: ids; layout: counts and starts of the head. Each task learns from its documents; returns the average of their weights."""
+    start = encoded.sparkSession.sparkContext.broadcast(flat)
+
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = head.value
-        net = Network(own.counts, own.starts, flat=start.value)
-        squares = {k: np.zeros_like(w) for k, w in net.weights.items()}
-        for k in ("word", "word_bias"):  # a row's first steps follow the size of its gradient
-            squares[k] += SLOW**2
+        net = Network(*layout.value, flat=start.value)
         held, size, learnt = [], 0, 0
 
         def go() -> None:
             state = np.zeros((LANES, net.hidden), "f4")
-            for tokens, begins, valid, _ in windows(held, LANES, WINDOW):
-                state = net.learn(tokens, begins, valid, state[: tokens.shape[1]], squares, LANES * WINDOW)
+            for tokens, begins, valid, _ in windows(held, LANES, WINDOW, LONGEST):
+                state = net.learn(tokens, begins, valid, state[: tokens.shape[1]], LANES * WINDOW)
 
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                words = [*words_of(t), END]
-                held.append(_ids(words, _ranks(words, own), own))
+            for ids in batch.column(0).to_pylist():
+                held.append(np.frombuffer(ids, "<i4"))
                 size += len(held[-1])
                 if size >= HELD:
                     go()
@@ -385,67 +447,106 @@ def train_round(texts: DataFrame, head, flat: np.ndarray) -> np.ndarray:
         means = {k: (x / np.maximum(1, times[k])).astype("f4") for k, x in sums.items()}
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in means], pa.int32()), pa.array([k[1] for k in means], pa.string()), pa.array([x.tobytes() for x in means.values()], pa.binary())], names=["piece", "name", "change"])
 
-    learnt = texts.mapInArrow(learn, "piece int, tokens long, changes binary")  # written once, by the shuffle
+    learnt = encoded.mapInArrow(learn, "piece int, tokens long, changes binary")  # written once, by the shuffle
     rows = learnt.repartition(PIECES + 1, "piece").sortWithinPartitions("piece", "tokens", "changes").mapInArrow(average, "piece int, name string, change binary").collect()
     start.destroy()
     found: dict[str, list[np.ndarray]] = {}
     for r in sorted(rows, key=lambda r: r["piece"]):
         found.setdefault(r["name"], []).append(np.frombuffer(bytes(r["change"]), "f4"))
-    return flat + np.concatenate([x for name in NAMES for x in found[name]]) if found else flat
+    return flat + np.concatenate([x for name in [*NAMES, *(f"{k}_squares" for k in NAMES)] for x in found[name]]) if found else flat
 
 
-SCORED = "id long, key string, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<struct<word: binary, n: long>>"
+CARRIED = {"id": "long", "key": "string", "held_out": "boolean", "n_tokens": "long", "n_known": "long", "base": "double", "score": "double", "n_tail": "long"}
+_KINDS = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64()}
+ENCODED = ", ".join(f"{k} {kind}" for k, kind in CARRIED.items()) + ", turn long, tail array<struct<word: binary, n: long>>, ids binary"
 
 
-def score(docs: DataFrame, head, flat: np.ndarray) -> DataFrame:
-    """docs: key, text, held_out. A row per row: sums over the words the head has, the model's log10 probability but for the tail words' shares, and the tail words."""
-    spark = docs.sparkSession
-    held_weights = spark.sparkContext.broadcast(flat)
+def encode(docs: DataFrame, head) -> DataFrame:
+    """docs: key, text, held_out, turn. A row per row: sums over the words that the head has (``score``: the rare words' shares of their
+    symbols), the tail words with their numbers, and the ids, little-endian 32-bit."""
     tail_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
-    kinds = {"id": pa.int64(), "key": pa.string(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "tail": tail_type}
+    kinds = {k: _KINDS[kind] for k, kind in CARRIED.items()} | {"turn": pa.int64(), "tail": tail_type, "ids": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         own = head.value
-        net = Network(own.counts, own.starts, flat=held_weights.value)
         number = TaskContext.get().partitionId() << 33
-        rows, held, size = [], [], 0
         logs = np.log10(own.every + 0.5)
         unit, rare_units = math.log10(own.total), np.log10(own.rare_totals)
+        rare = np.arange(len(logs)) > own.known
+        shares = np.where(rare, logs - rare_units[np.minimum(own.ids, len(rare_units) - 1)], 0)
+        base = logs - unit
+        logs[0] = shares[0] = 0
+        base[0] = -unit  # what the counts of tail words add comes later
+        for whole in batches:
+            for at in range(0, whole.num_rows, TOGETHER):
+                batch = whole.slice(at, TOGETHER)
+                every, sizes = [], []
+                for t in batch.column(1).cast(pa.binary()).to_pylist():
+                    before = len(every)
+                    every += words_of(t)
+                    every.append(END)
+                    sizes.append(len(every) - before)
+                ranks, starts = _ranks(every, own), np.cumsum([0, *sizes[:-1]])
+                ids, tail = _ids(every, ranks, own), np.flatnonzero(ranks == 0)
+                share = shares[ranks]
+                share[tail] = -rare_units[ids[tail]]
+                data, ends = ids.astype("<i4").tobytes(), [*starts[1:].tolist(), len(every)]
+                tails: list[Counter] = [Counter() for _ in sizes]
+                for d, i in zip((np.searchsorted(starts, tail, "right") - 1).tolist(), tail.tolist(), strict=True):
+                    tails[d][every[i]] += 1
+                n_tail = np.bincount(np.searchsorted(starts, tail, "right") - 1, minlength=len(sizes))
+                columns = [
+                    pa.array(np.arange(number, number + len(sizes))), batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(np.array(sizes) - n_tail), pa.array(np.add.reduceat(base[ranks], starts)),
+                    pa.array(np.add.reduceat(share, starts)), pa.array(n_tail.astype("i8")), batch.column(3), pa.array([[{"word": w, "n": n} for w, n in x.items()] for x in tails], kinds["tail"]),
+                    pa.array([data[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends, strict=True)], pa.binary()),
+                ]
+                number += len(sizes)
+                yield pa.RecordBatch.from_arrays(columns, names=list(kinds))
+
+    return docs.mapInArrow(run, ENCODED)
+
+
+def score(encoded: DataFrame, layout, flat: np.ndarray) -> DataFrame:
+    """encoded: what is carried, ids; layout: counts and starts of the head. Adds the model's log10 probability of the ids to ``score``."""
+    held_weights = encoded.sparkSession.sparkContext.broadcast(flat)
+    names = list(CARRIED)
+    place = names.index("score")
 
-        def done() -> pa.RecordBatch:
-            out = np.zeros(len(held))
-            state = np.zeros((SCORE_LANES, net.hidden), "f4")
-            for tokens, begins, valid, doc in windows(held, SCORE_LANES, SCORE_WINDOW):
-                states, state = net.run(tokens, begins, state[: tokens.shape[1]])
-                flat_valid = valid.ravel()
-                got = net.log_softmax(states.reshape(-1, net.hidden)[flat_valid], tokens.ravel()[flat_valid])
-                out += np.bincount(doc.ravel()[flat_valid], got.astype("f8"), len(held))
-            for r, natural in zip(rows, (out / math.log(10)).tolist(), strict=True):
-                r["score"] += natural
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in kinds.items()], names=list(kinds))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = Network(*layout.value, flat=held_weights.value)
+        rows, held, size = [], [], 0
 
-        for batch in batches:
-            for key, t, held_out in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                words = [*words_of(t), END]
-                ranks = _ranks(words, own)
-                found, rare = ranks > 0, ranks > own.known
-                tail = Counter(words[i] for i in np.flatnonzero(~found).tolist())
-                n_known, ids = int(found.sum()), _ids(words, ranks, own)
-                rows.append({
-                    "id": number, "key": key, "held_out": held_out, "n_tokens": len(words), "n_known": n_known, "base": float(logs[ranks[found]].sum()) - unit * len(words),
-                    "score": float(logs[ranks[rare]].sum()) - float(rare_units[ids[ids < len(rare_units)]].sum()), "tail": [{"word": w, "n": n} for w, n in tail.items()],
-                })
-                held.append(ids)
-                number, size = number + 1, size + len(words)
+        def done() -> pa.RecordBatch:
+            columns = [pa.concat_arrays(x) for x in zip(*rows, strict=True)]
+            columns[place] = pa.array(columns[place].to_numpy() + log_probability(net, held) / math.log(10))
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                rows.append([batch.column(k) for k in names])
+                held += [np.frombuffer(ids, "<i4") for ids in batch.column("ids").to_pylist()]
+                size += sum(map(len, held[-batch.num_rows :]))
                 if size >= HELD:
                     yield done()
                     rows, held, size = [], [], 0
         if rows:
             yield done()
 
-    return docs.mapInArrow(run, SCORED)
+    return encoded.select(*names, "ids").mapInArrow(run, ", ".join(f"{k} {kind}" for k, kind in CARRIED.items()))
+
+
+def log_probability(net: Network, docs: list[np.ndarray], lanes: int = SCORE_LANES, steps: int = SCORE_WINDOW, longest: int = SCORE_LONGEST) -> np.ndarray:
+    """Natural log-probability of each document's ids, the state carried from its begin to its end."""
+    out, state = np.zeros(len(docs)), np.zeros((lanes, net.hidden), "f4")
+    for tokens, begins, valid, doc in windows(docs, lanes, steps, longest):
+        states, state = net.run(tokens, begins, state[: tokens.shape[1]])
+        own = valid.ravel()
+        got = net.log_softmax(states.reshape(-1, net.hidden)[own], tokens.ravel()[own])
+        out += np.bincount(doc.ravel()[own], got.astype("f8"), len(docs))
+    return out
 
 
 def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 5, held_fold: int = 1) -> DataFrame:
@@ -454,20 +555,19 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
     name = F.col(key).cast("string")
     held_out = F.crc32(F.coalesce(name, F.lit(""))) % folds == held_fold
     rows = docs.select(name.alias("key"), F.col(text).cast("string").alias("text"), held_out.alias("held_out"))
-    training = rows.where(~F.col("held_out"))
-    counts = settle(word_counts(training.select("text")), "counts")
+    counts = settle(word_counts(rows.where(~F.col("held_out")).select("text")), "counts")
     head = head_of(counts)
     shared = spark.sparkContext.broadcast(head)  # at most HEAD words
-    flat = Network(head.counts, head.starts).flat()
-    turn = F.pmod(F.xxhash64("key", "text"), F.lit(ROUNDS))
+    turn = F.pmod(F.xxhash64("key", "text"), F.lit(ROUNDS)).alias("turn")
+    encoded = settle(encode(rows.select("key", "text", "held_out", turn), shared), "encoded")
+    flat, layout = Network(head.counts, head.starts).flat(), spark.sparkContext.broadcast((head.counts, head.starts))
     for k in range(ROUNDS):
-        flat = train_round(training.where(turn == k).select("text"), shared, flat)
-    scored = settle(score(rows, shared, flat), "scored")
-    tail = scored.select("id", F.explode("tail").alias("t")).select("id", "t.word", "t.n")
+        flat = train_round(encoded.where(~F.col("held_out") & (F.col("turn") == k)).select("ids"), layout, flat)
+    scored = settle(score(encoded, layout, flat), "scored")
+    tail = encoded.select("id", F.explode("tail").alias("t")).select("id", "t.word", "t.n")
     known = tail.join(counts.withColumnRenamed("n", "c"), "word")  # tail words that were never seen drop out here
     sums = known.groupBy("id").agg(F.sum("n").alias("k"), F.sum(F.col("n") * (F.log10(F.col("c") + 0.5) - math.log10(0.5))).alias("l"))
-    unseen = F.coalesce(F.aggregate("tail", F.lit(0).cast("long"), lambda a, t: a + t["n"]), F.lit(0)) * math.log10(0.5)
-    more = F.coalesce("l", F.lit(0.0)) + unseen
+    more = F.coalesce("l", F.lit(0.0)) + F.col("n_tail") * math.log10(0.5)
     return scored.join(sums, "id", "left").select(
         "key", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(head.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"),

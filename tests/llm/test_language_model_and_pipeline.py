@@ -34,7 +34,7 @@ def test_probabilities_sum_to_one():
     assert np.allclose(total, 1)
 
 
-@pytest.mark.parametrize("name", ["read", "gate", "class", "class_bias", "word", "word_bias"])
+@pytest.mark.parametrize("name", gated_lm.NAMES)
 def test_gradients_equal_differences(name, monkeypatch):
     rng = np.random.default_rng(2)
     tokens, begins, valid = rng.integers(0, 10, (5, 3)), np.zeros((5, 3), bool), np.ones((5, 3), bool)
@@ -43,7 +43,8 @@ def test_gradients_equal_differences(name, monkeypatch):
     net = small_network()
     before = {k: w.copy() for k, w in net.weights.items()}
     # with huge sums of squares a step is the gradient, scaled
-    net.learn(tokens, begins, valid, state, {k: np.full_like(w, 1e12) for k, w in net.weights.items()})
+    net.squares = {k: np.full_like(x, 1e12) for k, x in net.squares.items()}
+    net.learn(tokens, begins, valid, state)
     step = (before[name] - net.weights[name]) / gated_lm.RATE * 1e6
     net.weights = before
     for _ in range(12):
@@ -57,13 +58,14 @@ def test_gradients_equal_differences(name, monkeypatch):
         assert math.isclose((ends[0] - ends[1]) / 2e-3, step[at], rel_tol=0.02, abs_tol=2e-5)
 
 
-def test_lanes_hold_every_token_once():
+@pytest.mark.parametrize("longest", [1, 2, 9])
+def test_lanes_hold_every_token_once(longest):
     docs = [np.arange(n) + 1 for n in (7, 1, 1, 30, 2, 5)]
     seen = {d: [] for d in range(len(docs))}
-    for tokens, begins, valid, doc in gated_lm.windows(docs, 3, 4):
+    for tokens, begins, valid, doc in gated_lm.windows(docs, 3, 4, longest):
         assert (tokens[begins] == 1).all()
         for k in range(tokens.shape[1]):
-            for t in range(4):
+            for t in range(len(tokens)):
                 if valid[t, k]:
                     seen[doc[t, k]].append(int(tokens[t, k]))
     assert {d: s for d, s in seen.items()} == {d: x.tolist() for d, x in enumerate(docs)}
@@ -76,6 +78,72 @@ def odd_docs(spark):
     return spark.createDataFrame(rows, DOCS)
 
 
+def plain_score(net, ids):
+    """Token by token, in plain Python."""
+    w = {k: x.astype("f8").tolist() for k, x in net.weights.items()}
+    n, starts, state, total = net.hidden, net.starts.tolist(), [0.0] * net.hidden, 0.0
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    for i in ids:
+        kind = int(net.of[i])
+        scores = [sum(state[h] * w["class"][h][k] for h in range(n)) + w["class"][n][k] for k in range(len(starts) - 1)]
+        total += scores[kind] - math.log(sum(map(math.exp, scores)))
+        scores = {j: sum(state[h] * w["word"][j][h] for h in range(n)) + w["word"][j][n] for j in range(starts[kind], starts[kind + 1])}
+        total += scores[i] - math.log(sum(map(math.exp, scores.values())))
+        x, u = w["read"][i], [sum(state[h] * w["gate"][h][j] for h in range(n)) for j in range(3 * n)]
+        z, r = ([sigmoid(x[at + h] + u[at + h]) for h in range(n)] for at in (0, n))
+        c = [math.tanh(x[2 * n + h] + r[h] * u[2 * n + h]) for h in range(n)]
+        state = [z[h] * state[h] + (1 - z[h]) * c[h] for h in range(n)]
+    return total
+
+
+def test_scores_equal_those_of_single_tokens():
+    rng = np.random.default_rng(5)
+    net = small_network()
+    docs = [rng.integers(0, 10, n) for n in (70, 1, 3, 33, 32, 64, 7, 90)]
+    state = np.zeros((3, 4), "f4")
+    for tokens, begins, valid, _ in gated_lm.windows(docs, 3, 8):
+        state = net.learn(tokens, begins, valid, state[: tokens.shape[1]])
+    for lanes, steps, longest in ((3, 32, 1), (512, 5, 1), (3, 4, 9), (8, 4, 3)):
+        assert np.allclose(gated_lm.log_probability(net, docs, lanes, steps, longest), [plain_score(net, d.tolist()) for d in docs], rtol=1e-4)
+
+
+@pytest.fixture(scope="module")
+def trained(spark):
+    """A network that has learnt from four fifths of the documents, and the ids of the others."""
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").select("text").collect()]
+    words = [[*gated_lm.words_of(t), gated_lm.END] for t in docs]
+    counts = Counter(w for k, d in enumerate(words) if k % 5 for w in d)
+    table = spark.createDataFrame([(bytearray(w), n) for w, n in counts.items()], "word binary, n long")
+    head = gated_lm.head_of(table)
+    ids = [gated_lm._ids(d, gated_lm._ranks(d, head), head) for d in words]
+    net, state = gated_lm.Network(head.counts, head.starts), np.zeros((64, gated_lm.HIDDEN), "f4")
+    for tokens, begins, valid, _ in gated_lm.windows([d for k, d in enumerate(ids) if k % 5], 64, gated_lm.WINDOW):
+        state = net.learn(tokens, begins, valid, state[: tokens.shape[1]], 64 * gated_lm.WINDOW)
+    return net, ids[::5]
+
+
+def test_carried_state_beats_state_that_ends_with_windows(trained):
+    net, held = trained
+    carried = gated_lm.log_probability(net, held).sum()
+    cut = lambda n: gated_lm.log_probability(net, [d[k : k + n] for d in held for k in range(0, len(d), n)]).sum()
+    assert carried > cut(gated_lm.WINDOW // 2) > cut(1) and carried > 0.98 * cut(1)
+
+
+def test_weights_and_sums_of_squares_pass_from_round_to_round():
+    net = small_network()
+    start = net.flat()
+    again = gated_lm.Network(np.ones(10), net.starts, hidden=4, flat=start)
+    assert all((again.arrays()[k] == x.astype("f4")).all() for k, x in net.arrays().items())
+    rng = np.random.default_rng(3)
+    again.learn(rng.integers(0, 10, (6, 2)), np.zeros((6, 2), bool), np.ones((6, 2), bool), np.zeros((2, 4), "f4"))
+    assert (again.flat()[sum(w.size for w in net.weights.values()) :] >= start[sum(w.size for w in net.weights.values()) :]).all()
+    import pickle
+
+    pieces = [pickle.loads(x) for x in again.changes(start, 12)]
+    assert {k for p in pieces for k in p} == set(net.arrays())
+    assert np.array_equal(np.sort(np.concatenate([p["read"][1] + 10 * k // 16 for k, p in enumerate(pieces[:-1])])), np.flatnonzero(again.reads))
+
+
 @pytest.mark.parametrize("head", [200_000, 3])
 def test_counts_and_base_score(spark, monkeypatch, head):
     monkeypatch.setattr(gated_lm, "HEAD", head)
@@ -108,15 +176,25 @@ def test_held_out_text_is_more_likely_than_by_counts(spark):
 
 
 @pytest.mark.parametrize("n", [5_000, 20_000])
-def test_vocabulary_and_classes_grow_with_the_counts(spark, n):
+def test_vocabulary_and_classes_grow_with_the_counts(spark, monkeypatch, n):
     rows = [(f"w{i}".encode(), 3 + n // (i + 1)) for i in range(n)] + [(f"rare{i}".encode(), 1 + i % 2) for i in range(900)] + [(gated_lm.END, 7)]
     counts = spark.createDataFrame([(bytearray(w), c) for w, c in rows], "word binary, n long")
+    assert gated_lm.head_of(counts).known == min(gated_lm.OWN, n + 1)
+    monkeypatch.setattr(gated_lm, "OWN", 1 << 20)
     head = gated_lm.head_of(counts)
     symbols = len(head.rare_totals)
     words = [w for w, _ in rows]
     ids = gated_lm._ids(words, gated_lm._ranks(words, head), head)
     assert head.known == n + 1 and len(set(ids[:n].tolist())) == n and ids[:n].min() >= symbols
-    assert abs(len(head.starts) - math.sqrt(n)) < 0.3 * math.sqrt(n)
+    # scores of an average token: classes, and the words of its class; nearly the fewest that classes of equal sums of square roots can give
+    p = head.counts[symbols:] / head.counts.sum()
+    mass = np.cumsum(np.sqrt(p))
+
+    def scores(edges):
+        return len(edges) - 1 + (np.add.reduceat(p, edges[:-1]) * np.diff(edges)).sum()
+
+    fewest = min(scores(np.unique(np.r_[0, np.searchsorted(mass, mass[-1] * np.arange(1, c) / c) + 1, len(p)])) for c in range(5, 400, 5))
+    assert scores(head.starts[head.starts >= symbols] - symbols) < 1.1 * fewest < 3 * math.sqrt(n)
     assert ids[n:-1].max() < symbols and len(set(ids[n:-1].tolist())) > 10 and ids[-1] >= symbols
     # each symbol shares its probability among its words and the unknown ones
     total = head.rare_totals - 0.5
