@@ -15,9 +15,8 @@ file, its length with framing, and the ids in the file before it. Any record can
 own, in any order.
 
 Keys ascend through the files: part 0 has the smallest. Rows of null key come first, rows of equal
-key are ordered by a digest of their text, a null text is an empty text. Texts are encoded where they are read;
-what is sorted by range of (key, digest) is their ids, so a key of any number of rows is spread. An empty table gives
-no files and no rows. Each attempt of a task writes files of its own name, and the manifest names those of the attempt
+key are ordered by a digest of their text, a null text is an empty text. Rows are sorted by range of (key, digest), so
+a key of any number of rows is spread. An empty table gives no files and no rows. Each attempt of a task writes files of its own name, and the manifest names those of the attempt
 that Spark kept, so a repeated or speculative task takes nothing away from another.
 """
 
@@ -73,10 +72,6 @@ def serialize(key: int | None, ids: bytes, width: int) -> bytes:
     return HEAD.pack(key is None, key or 0, width) + body
 
 
-def _ids_in(payload: bytes) -> int:
-    return (len(payload) - HEAD.size) // payload[HEAD.size - 1]
-
-
 def deserialize(payload: bytes) -> tuple[int | None, np.ndarray]:
     null, key, width = HEAD.unpack_from(payload)
     return None if null else key, np.frombuffer(payload, f"<u{width}", offset=HEAD.size).astype("<u4")
@@ -91,20 +86,14 @@ def write_records(docs: DataFrame, out: str, tokenizer: str, word_ends: bool, en
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(t).alias("digest"), t.alias("text"))
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer, word_ends)
-        end, width = np.asarray([end_id], "<u4").tobytes(), _width(enc, end_id)
-        for whole in batches:
-            for batch in _slices(whole):
-                found = [serialize(k, own + end, width) for k, own in zip(batch.column(0).to_pylist(), enc.encode_many(batch.column(2).to_pylist()), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["key", "digest", "payload"])
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
         from pyspark import TaskContext
 
         task = TaskContext.get()
         part, where = task.partitionId(), None
+        enc = encoder(tokenizer, word_ends)
+        end, width = np.asarray([end_id], "<u4").tobytes(), 2 if max(enc.vocabulary, end_id + 1) <= 1 << 16 else 4
         records = tokens = size = 0
         held: list[bytes] = []
         entries: list[bytes] = []
@@ -115,12 +104,12 @@ def write_records(docs: DataFrame, out: str, tokenizer: str, word_ends: bool, en
                 store.create_dir(where, recursive=True)
                 names = [f"part-{part:06d}-{task.taskAttemptId()}.{kind}" for kind in ("records", "index")]
                 files = [store.open_output_stream(f"{where}/{x}") for x in names]
-            for payload in batch.column(2):
-                data = payload.as_py()
-                record = frame(data)
+            for k, own in zip(batch.column(0).to_pylist(), enc.encode_many(batch.column(2).to_pylist()), strict=True):
+                ids = own + end
+                record = frame(serialize(k, ids, width))
                 entries.append(struct.pack(ENTRY, size, len(record), tokens))
                 held.append(record)
-                records, tokens, size, waiting = records + 1, tokens + _ids_in(data), size + len(record), waiting + len(record)
+                records, tokens, size, waiting = records + 1, tokens + len(ids) // 4, size + len(record), waiting + len(record)
                 if waiting > FLUSH:
                     files[0].write(b"".join(held))
                     files[1].write(b"".join(entries))
@@ -133,21 +122,10 @@ def write_records(docs: DataFrame, out: str, tokenizer: str, word_ends: bool, en
             root = out.rstrip("/")
             yield pa.RecordBatch.from_pydict({"part": [part], "records": [records], "tokens": [tokens], "bytes": [size], "path": [f"{root}/{names[0]}"], "index_path": [f"{root}/{names[1]}"]})
 
-    kept = settle(rows.mapInArrow(encode, "key long, digest long, payload binary"), "payloads")
-    ranged = kept.repartitionByRange(parts_for(docs), "key", "digest").sortWithinPartitions("key", "digest", "payload")
+    ranged = rows.repartitionByRange(parts_for(docs), "key", "digest").sortWithinPartitions("key", "digest", "text")
     return settle(ranged.mapInArrow(write, "part long, records long, tokens long, bytes long, path string, index_path string"), "manifest")
 
 
-def _width(enc, end_id: int) -> int:
-    """Bytes of an id in a file."""
-    return 2 if max(enc.vocabulary, end_id + 1) <= 1 << 16 else 4
-
-
-def _slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
-
-
 def read_records(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """Read the files back, whole and checked: key, start (ids of all records before), ids.
 
