@@ -155,10 +155,10 @@ def head_of(counts: DataFrame) -> Head:
         rare_distinct[_symbol(w, symbols)] += 1
     sizes = np.r_[np.maximum(1.0, rare_tokens), np.maximum(1.0, every[1 : known + 1])]
     # with s_i the square root of a word's share, classes of equal sum of s give a token about n + (sum of s)^2 / n scores: least where n is that sum
-    mass = np.cumsum(np.sqrt(sizes[symbols:] / max(1, tokens)))
-    classes = math.ceil(mass[-1]) if known else 1
-    inner = np.searchsorted(mass, mass[-1] * np.arange(1, classes) / classes) + 1 if known else []
-    starts = np.unique(np.r_[0 : symbols : math.isqrt(symbols) + 1, symbols, symbols + np.array(inner, "i8"), len(sizes)])
+    mass = np.cumsum(np.sqrt(sizes / sizes.sum()))
+    classes = math.ceil(mass[-1])
+    inner = np.searchsorted(mass, mass[-1] * np.arange(1, classes) / classes) + 1
+    starts = np.unique(np.r_[0, symbols, inner, len(sizes)])
     ranks = {w: k + 1 for k, (w, _) in enumerate(ranked)}
     ids = np.array([0, *range(symbols, symbols + known), *(_symbol(w, symbols) for w, _ in ranked[known:])], "i4")
     return Head(ranks, ids, every, known, tokens, distinct, rare_tokens + 0.5 * (rare_distinct + 1), sizes, starts[starts <= len(sizes)])
@@ -168,6 +168,11 @@ def _symbol(word: bytes, symbols: int) -> int:
     return zlib.crc32(word) % symbols
 
 
+def _order(numbers: np.ndarray, limit: int) -> np.ndarray:
+    """The stable order of numbers from 0 and under the limit; small ones are sorted by digits."""
+    return np.argsort(numbers.astype("u2") if limit <= 1 << 16 else numbers, kind="stable")
+
+
 def _softmax(states: np.ndarray, weights: np.ndarray, at: np.ndarray, to: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Exponentials of the scores, their sums by row, and the log-probabilities of ``to``."""
     p = states @ weights
@@ -277,7 +282,7 @@ class Network:
         """Natural log-probability of each target. With ``gradients``, adds the gradients of the loss' sum times ``scale``: of the classes' and
         the words' weights and, as ``states``, of the states."""
         w, n, size = self.weights, len(targets), self.hidden
-        order = np.argsort(self.of[targets], kind="stable")
+        order = _order(self.of[targets], len(self.starts))
         s, kind, mine = np.ones((n, size + 1), states.dtype), self.of[targets[order]], np.arange(n)
         s[:, :size] = states[order]  # the last column meets the biases
         found, d = np.empty(n, states.dtype), np.empty((n, size), states.dtype)
@@ -345,7 +350,7 @@ class Network:
                 dh *= ~begins[t][:, None]
         g["gate"] = states.reshape(-1, n).T @ d_gate.reshape(-1, 3 * n)
         ids = tokens.ravel()
-        order = np.argsort(ids, kind="stable")
+        order = _order(ids, len(self.of))
         first = np.flatnonzero(np.r_[True, np.diff(ids[order]) > 0])
         at, ends = ids[order][first], np.r_[first[1:], len(ids)] - 1
         sums = np.cumsum(d_read.reshape(-1, 3 * n)[order], axis=0, dtype="f8")[ends]
@@ -458,14 +463,13 @@ def train_round(encoded: DataFrame, layout, flat: np.ndarray) -> np.ndarray:
 
 CARRIED = {"id": "long", "key": "string", "held_out": "boolean", "n_tokens": "long", "n_known": "long", "base": "double", "score": "double", "n_tail": "long"}
 _KINDS = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64()}
-ENCODED = ", ".join(f"{k} {kind}" for k, kind in CARRIED.items()) + ", turn long, tail array<struct<word: binary, n: long>>, ids binary"
+ENCODED = ", ".join(f"{k} {kind}" for k, kind in CARRIED.items()) + ", turn long, tail array<binary>, ids binary"
 
 
 def encode(docs: DataFrame, head) -> DataFrame:
     """docs: key, text, held_out, turn. A row per row: sums over the words that the head has (``score``: the rare words' shares of their
-    symbols), the tail words with their numbers, and the ids, little-endian 32-bit."""
-    tail_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
-    kinds = {k: _KINDS[kind] for k, kind in CARRIED.items()} | {"turn": pa.int64(), "tail": tail_type, "ids": pa.binary()}
+    symbols), the tail words, and the ids, little-endian 32-bit."""
+    kinds = {k: _KINDS[kind] for k, kind in CARRIED.items()} | {"turn": pa.int64(), "tail": pa.list_(pa.binary()), "ids": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -493,13 +497,11 @@ def encode(docs: DataFrame, head) -> DataFrame:
                 share = shares[ranks]
                 share[tail] = -rare_units[ids[tail]]
                 data, ends = ids.astype("<i4").tobytes(), [*starts[1:].tolist(), len(every)]
-                tails: list[Counter] = [Counter() for _ in sizes]
-                for d, i in zip((np.searchsorted(starts, tail, "right") - 1).tolist(), tail.tolist(), strict=True):
-                    tails[d][every[i]] += 1
+                words = pa.array([every[i] for i in tail.tolist()], pa.binary())
                 n_tail = np.bincount(np.searchsorted(starts, tail, "right") - 1, minlength=len(sizes))
                 columns = [
                     pa.array(np.arange(number, number + len(sizes))), batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(np.array(sizes) - n_tail), pa.array(np.add.reduceat(base[ranks], starts)),
-                    pa.array(np.add.reduceat(share, starts)), pa.array(n_tail.astype("i8")), batch.column(3), pa.array([[{"word": w, "n": n} for w, n in x.items()] for x in tails], kinds["tail"]),
+                    pa.array(np.add.reduceat(share, starts)), pa.array(n_tail.astype("i8")), batch.column(3), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n_tail)], pa.int32()), words),
                     pa.array([data[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends, strict=True)], pa.binary()),
                 ]
                 number += len(sizes)
@@ -564,9 +566,9 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
     for k in range(ROUNDS):
         flat = train_round(encoded.where(~F.col("held_out") & (F.col("turn") == k)).select("ids"), layout, flat)
     scored = settle(score(encoded, layout, flat), "scored")
-    tail = encoded.select("id", F.explode("tail").alias("t")).select("id", "t.word", "t.n")
+    tail = encoded.select("id", F.explode("tail").alias("word"))
     known = tail.join(counts.withColumnRenamed("n", "c"), "word")  # tail words that were never seen drop out here
-    sums = known.groupBy("id").agg(F.sum("n").alias("k"), F.sum(F.col("n") * (F.log10(F.col("c") + 0.5) - math.log10(0.5))).alias("l"))
+    sums = known.groupBy("id").agg(F.count(F.lit(1)).alias("k"), F.sum(F.log10(F.col("c") + 0.5) - math.log10(0.5)).alias("l"))
     more = F.coalesce("l", F.lit(0.0)) + F.col("n_tail") * math.log10(0.5)
     return scored.join(sums, "id", "left").select(
         "key", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(head.tokens).cast("long").alias("train_tokens"),
