@@ -9,9 +9,11 @@ the bits fixed in both: the differences seen so far only grow on the way down, s
 differences exceed the limit is pruned whole. ``t`` follows from the number of distinct fingerprints (a
 finer mask for more of them) and changes no result.
 
-Equal fingerprints are one entry. An upper node of more than ``NODE`` entries is dealt into chunks, and each
-pair of chunks is a task's work of its own. Of all links under a node only a spanning forest is passed
-on: at most one row an entry. Components are then found by alternating large-star and small-star steps,
+Equal fingerprints are one entry. Spark sorts all entries by (upper node, Gray rank) over ranges, so that a
+large node lies in many tasks. Runs of at most ``NODE`` entries of one node are chunks: each is compared
+within itself where it is sorted. Nodes of several chunks go on: a chunk is a group with its own mask and
+pattern, and only those pairs of chunks are dealt whose differences so far stay within the limit. Of all
+links under a node only spanning forests are passed on: at most one row an entry and task. Components are then found by alternating large-star and small-star steps,
 written between steps. Nothing but counts reaches the driver.
 
 A null text has no words: fingerprint zero. A null doc_id is in its component but never its name, unless
@@ -20,7 +22,7 @@ all are null. Repeated rows share a component. An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -33,8 +35,12 @@ from brindle.llm.common import settle, without
 SHINGLE = 4
 SEED = 42
 MAX_BITS = 4
-#: Entries of an upper node that one task compares with each other.
+#: Entries of one upper node that lie together in a chunk.
 NODE = 2048
+#: Entries whose groups are built together.
+ROWS = 1 << 16
+#: Parts in which the members of a component look up its name.
+SALTS = 32
 #: Pairs of groups held at a time.
 PAIRS = 1 << 20
 #: Wished entries of an average upper node.
@@ -89,13 +95,14 @@ def masks(max_bits: int, t: int) -> list[int]:
     return [sum(chosen) for chosen in combinations(blocks, t)]
 
 
-def linked_pairs(node: np.ndarray, fps: np.ndarray, max_bits: int, sides: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def linked_pairs(node: np.ndarray, fps: np.ndarray, max_bits: int, sides: np.ndarray | None = None, fixed: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(places, places) of entries of one node that link, in bounded portions; entries are sorted by (node, Gray rank).
 
-    With ``sides``, pairs of equal side are left out (they are another task's).
+    With ``sides``, pairs of equal side are left out (they are another task's). With ``fixed``, entries are groups
+    themselves: patterns of which these bits are fixed.
     """
     # levels[0] are the entries; a group of a level holds up to eight of the level below, of one node
-    levels = [(node, fps, np.full(len(fps), ~np.uint64(0)), np.arange(len(fps)), np.arange(len(fps)) + 1)]
+    levels = [(node, fps, np.full(len(fps), ~np.uint64(0)) if fixed is None else fixed, np.arange(len(fps)), np.arange(len(fps)) + 1)]
     while True:
         own, pattern, mask, _, _ = levels[-1]
         first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
@@ -151,6 +158,13 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarra
         a, b = a[apart], b[apart]
 
 
+def _rank(fp):
+    """Gray rank as a column that sorts like an unsigned number."""
+    for shift in (1, 2, 4, 8, 16, 32):
+        fp = fp.bitwiseXOR(F.shiftrightunsigned(fp, shift))
+    return fp.bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
+
+
 def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """distinct: fp (no repeats, settled). Returns u, v (u > v): enough links to connect all that link."""
     spark = distinct.sparkSession
@@ -158,69 +172,130 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     t = 1
     while t < 4 and n >> (64 * t // (max_bits + t)) > ENTRIES:
         t += 1
-    chosen = masks(max_bits, t)
-    signed = [m - (1 << 64) if m >> 63 else m for m in chosen]
-    filed = distinct.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed))).alias("mask", "pattern"))
-    large = filed.groupBy("mask", "pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    large = settle(large.withColumn("chunks", F.ceil(F.col("n") / NODE)).select("mask", "pattern", "chunks"), "nodes")
-    dealt = filed.join(large, ["mask", "pattern"]).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    dealt = dealt.select("mask", "pattern", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        for batch in batches:
-            held.append(pa.Table.from_batches([batch]))
-            if sum(x.num_rows for x in held) >= 1 << 16:
-                table = pa.concat_tables(held).combine_chunks()
-                cut = _last_node(table)
-                if cut:
-                    yield from _link(table.slice(0, cut), max_bits)
-                held = [table.slice(cut)]
-        if held:
-            yield from _link(pa.concat_tables(held).combine_chunks(), max_bits)
-
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = dealt.repartition(parts, "mask", "pattern", "i", "j").sortWithinPartitions("mask", "pattern", "i", "j")
-    return rows.mapInArrow(run, "u long, v long").distinct()
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks(max_bits, t)]
+    ranked = distinct.select("fp", _rank(F.col("fp")).alias("rank"))
+    under = ranked.select("fp", "rank", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed))).alias("mask", "pattern"))
+    parts, most = int(spark.conf.get("spark.sql.shuffle.partitions")), NODE
+    order = ["mask", "pattern", "rank"]
+    rows = under.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("mask", "pattern", "fp")
+    filed = settle(rows.mapInArrow(lambda batches: _file(batches, max_bits, most), "u long, v long, mask int, pattern long, chunk long"), "filed")
+    entries = filed.where(F.col("chunk").isNotNull())
+    pairs = settle(near_chunks(entries, max_bits, parts), "pairs")
+    dealt = pairs.select("i", "j", F.explode(F.array("i", "j")).alias("chunk")).join(entries.select("chunk", F.col("u").alias("fp")), "chunk")
+    dealt = dealt.repartition(parts, "i", "j").sortWithinPartitions("i", "j").select("i", "j", "chunk", "fp")
+    between = dealt.mapInArrow(lambda batches: _whole_nodes(batches, ("i", "j"), lambda table: _between(table, max_bits)), "u long, v long")
+    return filed.where(F.col("chunk").isNull()).select("u", "v").unionByName(between).distinct()
+
+
+def near_chunks(entries: DataFrame, max_bits: int, parts: int) -> DataFrame:
+    """i, j (i < j): chunks of one upper node that may hold a link, by the bits on which each chunk agrees.
+
+    One task holds the chunks of a node, a row each, not their entries.
+    """
+    every, some = F.bit_and("u"), F.bit_or("u")
+    chunks = entries.groupBy("mask", "pattern", "chunk").agg(every.alias("every"), F.bitwise_not(every.bitwiseXOR(some)).alias("fixed"))
+    chunks = chunks.repartition(parts, "mask", "pattern").sortWithinPartitions("mask", "pattern", "chunk")
 
+    def near(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        node = np.cumsum(np.r_[0, _changes(table, ("mask", "pattern"))])
+        chunk, fixed = table.column("chunk").to_numpy(), table.column("fixed").to_numpy().view("u8")
+        for a, b in linked_pairs(node, table.column("every").to_numpy().view("u8") & fixed, max_bits, fixed=fixed):
+            yield pa.RecordBatch.from_arrays([pa.array(chunk[a]), pa.array(chunk[b])], names=["i", "j"])
 
-_NODE_KEY = ("mask", "pattern", "i", "j")
+    return chunks.mapInArrow(lambda batches: _whole_nodes(batches, ("mask", "pattern"), near), "i long, j long")
 
 
-def _changes(table: pa.Table) -> np.ndarray:
+def _changes(table: pa.Table, key: tuple[str, ...]) -> np.ndarray:
     """Whether each row but the first begins another node."""
     new = np.zeros(max(0, table.num_rows - 1), bool)
-    for name in _NODE_KEY:
+    for name in key:
         x = table.column(name).to_numpy()
         new |= x[1:] != x[:-1]
     return new
 
 
-def _last_node(table: pa.Table) -> int:
+def _last_node(table: pa.Table, key: tuple[str, ...]) -> int:
     """Where the last node of a sorted table begins."""
-    at = np.flatnonzero(_changes(table))
+    at = np.flatnonzero(_changes(table, key))
     return int(at[-1]) + 1 if len(at) else 0
 
 
-def _link(table: pa.Table, max_bits: int) -> Iterator[pa.RecordBatch]:
-    if table.num_rows < 2:
-        return
-    node = np.concatenate([[0], np.cumsum(_changes(table))])
-    fps = table.column("fp").to_numpy().view("u8")
-    order = np.lexsort((gray_rank(fps), node))
-    node, fps = node[order], fps[order]
-    apart = (table.column("i").to_numpy() != table.column("j").to_numpy())[order]
-    own = table.column("own").to_numpy()[order]
+def _whole_nodes(batches: Iterator[pa.RecordBatch], key: tuple[str, ...], work: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """Passes sorted rows on in tables of many nodes, none of them cut."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        held.append(pa.Table.from_batches([batch]))
+        if sum(x.num_rows for x in held) >= ROWS:
+            table = pa.concat_tables(held).combine_chunks()
+            cut = _last_node(table, key)
+            if cut:
+                yield from work(table.slice(0, cut))
+            held = [table.slice(cut)]
+    if held and (table := pa.concat_tables(held).combine_chunks()).num_rows:
+        yield from work(table)
+
+
+def _file(batches: Iterator[pa.RecordBatch], max_bits: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Cuts sorted entries into chunks of at most ``most``. Gives the links within each (u, v) and the entries (as u) of chunks whose node has others, or may have in other tasks."""
+    from pyspark import TaskContext
+
+    chunk = TaskContext.get().partitionId() << 33
+    key = ("mask", "pattern")
+    held: list[pa.Table] = []
+    begun = True  # the first node may have begun before these rows
+
+    def cut_into_chunks(table: pa.Table, goes_on: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal chunk
+        first = np.r_[0, np.flatnonzero(_changes(table, key)) + 1]
+        size = np.diff(np.r_[first, table.num_rows])
+        inside = np.arange(table.num_rows) - np.repeat(first, size)
+        own = np.cumsum(inside % most == 0) - 1
+        open_node = size > most
+        open_node[0] |= begun
+        open_node[-1] |= goes_on
+        fps = table.column("fp").to_numpy()
+        u, v = _forest(own, fps.view("u8"), linked_pairs(own, fps.view("u8"), max_bits))
+        kept = np.flatnonzero(np.repeat(open_node, size))
+        none = lambda n, kind: pa.nulls(n, kind)
+        names = ["u", "v", "mask", "pattern", "chunk"]
+        yield pa.RecordBatch.from_arrays([u, v, none(len(u), pa.int32()), none(len(u), pa.int64()), none(len(u), pa.int64())], names=names)
+        some = table.take(pa.array(kept)).combine_chunks()
+        columns = [pa.array(fps[kept]), none(len(kept), pa.int64()), pa.array(some.column("mask").to_numpy()), pa.array(some.column("pattern").to_numpy()), pa.array(own[kept] + chunk)]
+        yield pa.RecordBatch.from_arrays(columns, names=names)
+        chunk += int(own[-1]) + 1
+
+    for batch in batches:
+        held.append(pa.Table.from_batches([batch]))
+        if sum(x.num_rows for x in held) >= ROWS + most:
+            table = pa.concat_tables(held).combine_chunks()
+            start = _last_node(table, key)
+            cut = start + (table.num_rows - start - 1) // most * most  # whole chunks of the last node, which goes on
+            if cut:
+                yield from cut_into_chunks(table.slice(0, cut), cut > start)
+                begun = cut > start
+            held = [table.slice(cut)]
+    if held and (table := pa.concat_tables(held).combine_chunks()).num_rows:
+        yield from cut_into_chunks(table, True)
+
+
+def _forest(node: np.ndarray, fps: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[pa.Array, pa.Array]:
+    """u, v (u > v): a spanning forest of the linked pairs."""
     label = np.arange(len(fps))
-    for sides, part in ((None, ~apart), (own, apart)):
-        at = np.flatnonzero(part)
-        if len(at):
-            for a, b in linked_pairs(node[at], fps[at], max_bits, None if sides is None else sides[at]):
-                forest(len(fps), at[a], at[b], label)
+    for a, b in pairs:
+        forest(len(fps), a, b, label)
     below = np.flatnonzero(label != np.arange(len(fps)))
     x, y = fps[below].view("i8"), fps[label[below]].view("i8")
-    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["u", "v"])
+    return pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))
+
+
+def _between(table: pa.Table, max_bits: int) -> Iterator[pa.RecordBatch]:
+    """Links between the two chunks of each pair."""
+    node = np.cumsum(np.r_[0, _changes(table, ("i", "j"))])
+    fps, chunk = table.column("fp").to_numpy().view("u8"), table.column("chunk").to_numpy()
+    order = np.lexsort((gray_rank(fps), node))
+    node, fps, chunk = node[order], fps[order], chunk[order]
+    u, v = _forest(node, fps, linked_pairs(node, fps, max_bits, sides=chunk))
+    yield pa.RecordBatch.from_arrays([u, v], names=["u", "v"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -256,9 +331,16 @@ def name_components(rows: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """rows: key, fp (settled). Returns fp, root (one fp of the component), component (its smallest key)."""
     distinct = settle(rows.groupBy("fp").agg(F.min("key").alias("key")), "distinct")
     roots = components(links(distinct.select("fp"), max_bits)).withColumnRenamed("node", "fp")
-    named = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    names = named.groupBy("root").agg(F.min("key").alias("component"))
-    return settle(named.select("fp", "root").join(names, "root").select("fp", "root", "component"), "components")
+    named = distinct.join(roots, "fp", "left").withColumn("joined", F.col("root").isNotNull()).withColumn("root", F.coalesce("root", "fp"))
+    named = settle(named, "named")
+    # only roots that others joined need a name from elsewhere; each is there once for every salt, as a component may be large
+    members = named.where("joined")
+    names = members.groupBy("root").agg(F.min("key").alias("least"))
+    own = named.where(~F.col("joined")).join(names, "root", "left").withColumn("component", F.coalesce(F.least("key", "least"), "key", "least"))
+    own = settle(own.select("fp", "root", "component", F.col("least").isNotNull().alias("large")), "roots")
+    salts = own.where("large").select("root", "component", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    spread = members.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(salts, ["root", "salt"])
+    return settle(own.select("fp", "root", "component").unionByName(spread.select("fp", "root", "component")), "components")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:

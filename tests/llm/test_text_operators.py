@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from brindle.llm import decontamination, fm_index, html_text, pii, quality, sharding, simhash
@@ -181,6 +182,55 @@ def test_gray_index_equals_all_pairs(spark, monkeypatch):
     assert [whole.get(int(x), int(x)) for x in fps.view("i8")] == comp
 
 
+@pytest.mark.parametrize("rows, most", [(1, 3), (7, 3), (40, 3), (40, 1), (1 << 16, 2048)])
+def test_cut_nodes_lose_no_link(monkeypatch, rows, most):
+    rng = np.random.default_rng(rows)
+    centres = rng.integers(0, 1 << 62, 12, dtype="u8")
+    fps = np.unique(np.array([int(c) ^ (1 << int(a)) ^ (1 << int(b)) for c in centres for a, b in rng.integers(0, 64, (25, 2))], "u8"))
+    fps = fps[np.argsort(simhash.gray_rank(fps), kind="stable")]
+    monkeypatch.setattr(simhash, "ROWS", rows)
+    table = pa.table({"mask": np.repeat(np.array([0, 1], "i4"), len(fps)), "pattern": np.zeros(2 * len(fps), "i8"), "fp": np.tile(fps.view("i8"), 2)})
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("Task", (), {"partitionId": lambda self: 3})())
+    filed = pa.Table.from_batches(simhash._file(iter(table.to_batches(max_chunksize=5)), 4, most)).to_pylist()
+    entries = [r for r in filed if r["chunk"] is not None]
+    assert len(entries) == 2 * len(fps)  # both nodes are at an end of the partition
+    chunks = {}
+    for r in entries:
+        chunks.setdefault((r["mask"], r["chunk"]), []).append(r["u"])
+    assert max(map(len, chunks.values())) <= most and len({c for _, c in chunks}) == len(chunks)
+    label = {int(f): int(f) for f in fps.view("i8")}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for mask in (0, 1):
+        for r in filed:
+            if r["chunk"] is None:
+                assert (r["u"] % (1 << 64) ^ r["v"] % (1 << 64)).bit_count() <= 4
+                label[find(r["u"])] = find(r["v"])
+    for own in chunks.values():  # links within chunks are there
+        for a in own:
+            assert all(find(a) == find(b) for b in own if ((a ^ b) % (1 << 64)).bit_count() <= 4)
+
+
+def test_pairs_of_distant_chunks_are_not_dealt(spark):
+    rng = np.random.default_rng(5)
+    sizes, most = (40, 300), 16  # a dense node of 40 clusters
+    base = rng.integers(0, 1 << 62, sizes[0], dtype="u8")
+    fps = np.unique(np.array([int(c) ^ (1 << int(a)) ^ (1 << int(b)) for c in base for a, b in rng.integers(0, 64, (sizes[1], 2))], "u8"))
+    fps = fps[np.argsort(simhash.gray_rank(fps), kind="stable")]
+    rows = [(0, 0, i // most, int(f)) for i, f in enumerate(fps.view("i8"))]
+    entries = spark.createDataFrame(rows, "mask int, pattern long, chunk long, u long")
+    got = {(r.i, r.j) for r in simhash.near_chunks(entries, 4, 8).collect()}
+    a, b = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4, 1))
+    want = {(int(x), int(y)) for x, y in zip(a // most, b // most) if x != y}
+    n = len(fps) // most
+    assert want <= got and all(i < j for i, j in got)
+    assert len(got) < n * n / 8
+
+
 def test_simhash_of_an_empty_table(spark):
     assert simhash.near_duplicates(odd_docs(spark).limit(0)).count() == 0
 
