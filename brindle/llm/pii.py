@@ -7,8 +7,11 @@ repeat (equal letters and digits, six at least) or else are similar (equal lette
 places) share a skip potential with their next such token, however far it is. Labels are read from marginals after loopy message passing over each document's
 whole graph, so that an entity found by its context in one place is found in its other places too.
 Telling tokens are those with a digit or an at sign, named values (as below), tokens of ``LONG`` characters of
-keys or more, and all repetitions of these. Tokens that are not within ``REACH`` tokens of a telling one are
-clamped to "nothing"; given that, the rest of the graph is exact.
+keys or more, and all repetitions of these; they and what lies within ``REACH`` tokens of them are always in the
+graph, and only telling tokens have skip edges. Every other token is scored too, and clamped to "nothing" if the
+weights prove that it is nothing with odds of 1 to ``PROVEN`` or better whatever its neighbours are: a neighbour can add no
+more than the largest difference of transition potentials. Tokens without that proof are in the graph. Fitting
+looks at the surroundings of telling tokens alone.
 
 Weights maximise the pseudo-likelihood of weakly labelled documents: labels are the base spans and the
 values of key = value pairs that name a token, key, secret or password. At most ``TRAIN_ROWS`` rows of at
@@ -26,6 +29,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +44,10 @@ LABELS = ["", *KINDS, "secret"]
 TRAIN_ROWS, TRAIN_CHARS = 3000, 20_000
 REACH = 2
 LONG = 16
+#: Odds of being anything, at most, with which a token is left out of the graph.
+PROVEN = 0.01
+#: Distinct tokens, and their characters, whose scores a worker remembers; tokens scored at a time.
+MET, MET_CHARS, SCORED = 1 << 17, 1 << 24, 1 << 16
 #: Bytes of text whose graphs are held together.
 TOGETHER = 4 << 20
 #: Message-passing sweeps at most, and the change of a message that ends them.
@@ -130,8 +138,7 @@ def _core(text: str, start: int, end: int) -> tuple[int, int]:
     return (start + left, max(start + left, start + len(own.rstrip(_EDGES)))) if left < len(own) else (start, end)
 
 
-def _features(cores: list[str], k: int) -> list[str]:
-    core = cores[k]
+def _own_features(core: str) -> list[str]:
     shape = re.sub(r"(.)\1+", r"\1", re.sub(r"[^\W\d_]", "a", re.sub(r"[0-9]", "9", core)))
     digits = re.sub(r"[^0-9]", "", core)
     mixed = bool(re.fullmatch(r"[A-Za-z0-9/+_-]{16,}", core)) and bool(digits) and len(digits) < len(core)
@@ -143,18 +150,33 @@ def _features(cores: list[str], k: int) -> list[str]:
     if 13 <= len(digits) <= 19:
         out.append(f"luhn={luhn(digits)}")
     out.append(f"plus={core[:1] == '+'}")
-    for name, j in (("before", k - 1), ("after", k + 1)):
-        near = cores[j].lower() if 0 <= j < len(cores) else ""
-        out.append(f"{name}={near if len(near) <= 12 and near.isascii() and near.isalpha() or near in ('=', ':') else re.sub(r'[0-9]', '9', near[:1])}")
     return out
 
 
+@cache
+def _letters(length: int) -> tuple[str, ...]:
+    return tuple(_own_features("a" * length))
+
+
+def _beside(name: str, core: str) -> str:
+    """The feature that a token has from its neighbour."""
+    near = core.lower()
+    return f"{name}={near if len(near) <= 12 and near.isascii() and near.isalpha() or near in ('=', ':') else re.sub(r'[0-9]', '9', near[:1])}"
+
+
+def _features(cores: list[str], k: int) -> list[str]:
+    at = lambda j: cores[j] if 0 <= j < len(cores) else ""
+    return [*_own_features(cores[k]), _beside("before", at(k - 1)), _beside("after", at(k + 1))]
+
+
 def _key(token: str) -> str:
     return re.sub(r"[\W_]", "", token).lower()
 
 
-def add_document(graph: Graph, doc: int, text: str) -> None:
-    if not _TELLING.search(text) and not _LONG.search(text):  # a named value is long as well
+def add_document(graph: Graph, doc: int, text: str, model: Model | None = None) -> None:
+    """Adds a text's graph; with a model, tokens that it does not prove to be nothing are in it too."""
+    doubtful = model.doubtful(text.split()) if model else []
+    if not len(doubtful) and not _TELLING.search(text) and not _LONG.search(text):  # a named value is long as well
         return
     tokens = [m.span() for m in _TOKEN.finditer(text)]
     telling = [bool(_TELLING.search(text, a, b)) for a, b in tokens]
@@ -164,7 +186,7 @@ def add_document(graph: Graph, doc: int, text: str) -> None:
     if plain:  # what repeats a token with digits has digits
         keys = {_key(text[slice(*tokens[k])]) for k in plain}
         telling = [t or b - a >= 6 and _key(text[a:b]) in keys for t, (a, b) in zip(telling, tokens, strict=True)]
-    kept = sorted({j for k, t in enumerate(telling) if t for j in range(max(0, k - REACH), min(len(tokens), k + REACH + 1))})
+    kept = sorted(set(doubtful) | {j for k, t in enumerate(telling) if t for j in range(max(0, k - REACH), min(len(tokens), k + REACH + 1))})
     node: dict[int, int] = {}
     last: dict[str, int] = {}
     alike: dict[str, int] = {}
@@ -195,6 +217,56 @@ class Model:
     unary: np.ndarray  # feature x label
     chain: np.ndarray  # label x label
     skip: np.ndarray  # label x label, symmetric
+    # what a worker remembers: places of tokens it has met, their rows (own, as the token before, as the token after), scores of rows
+    met: dict[str, int] = field(default_factory=dict, repr=False)
+    met_chars: int = 0
+    rows: np.ndarray = field(default_factory=lambda: np.zeros((1024, 3), "i8"), repr=False)
+    known: dict[tuple[str, ...], int] = field(default_factory=dict, repr=False)
+    sums: np.ndarray = field(default_factory=lambda: np.zeros((1024, len(LABELS))), repr=False)
+
+    def _row(self, names: tuple[str, ...]) -> int:
+        """The row that holds the summed scores of features; row 0 is zero."""
+        row = self.known.get(names)
+        if row is None:
+            row = self.known[names] = len(self.known) + 1
+            if row == len(self.sums):
+                self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
+            self.sums[row] = sum((self.unary[self.index[n]] for n in names if n in self.index), np.zeros(len(LABELS)))
+        return row
+
+    def _meet(self, token: str) -> None:
+        core = token.strip(_EDGES) or token
+        # to the features, words of letters differ in length alone
+        own = self._row(_letters(min(len(core), 48)) if core.isalpha() else tuple(_own_features(core)))
+        place = self.met[token] = len(self.met)
+        self.met_chars += len(token)
+        if place == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        before, after = _beside("before", core), _beside("after", core)
+        self.rows[place] = own, self._row((before,)) if before in self.index else 0, self._row((after,)) if after in self.index else 0
+
+    def doubtful(self, tokens: list[str]) -> list[int]:
+        """Places of tokens in a row that may be something, by their scores and the most that two neighbours can add."""
+        if not tokens:
+            return []
+        if len(self.met) > MET or self.met_chars > MET_CHARS:
+            self.met.clear()
+            self.known.clear()
+            self.met_chars = 0
+        for t in ("", *tokens):
+            if t not in self.met:
+                self._meet(t)
+        end = self.met[""]
+        ids = np.fromiter((self.met[t] for t in tokens), "i8", len(tokens))
+        before, after = np.r_[end, ids[:-1]], np.r_[ids[1:], end]
+        most = 2 * np.maximum((self.chain - self.chain[:, :1]).max(0), (self.chain.T - self.chain.T[:, :1]).max(0))[1:]
+        out: list[int] = []
+        for k in range(0, len(ids), SCORED):
+            some = slice(k, k + SCORED)
+            score = self.sums[self.rows[ids[some], 0]] + self.sums[self.rows[before[some], 1]] + self.sums[self.rows[after[some], 2]]
+            odds = np.exp(np.minimum(50.0, score[:, 1:] - score[:, :1] + most)).sum(1)
+            out += (np.flatnonzero(odds >= PROVEN) + k).tolist()
+        return out
 
 
 def _sums(model_index: dict[str, int], graph: Graph) -> tuple[np.ndarray, np.ndarray]:
@@ -293,7 +365,7 @@ def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]], model:
     """Spans of the field for each text: runs of tokens of one label, more likely than not, that no base span overlaps."""
     graph = Graph()
     for d, t in enumerate(texts):
-        add_document(graph, d, t)
+        add_document(graph, d, t, model)
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     if not graph.doc:
         return out
@@ -378,4 +450,5 @@ def op8_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("p_spans", lambda s: s["base"])
     of = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     counts = [of(kind) for kind in KINDS]
-    return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("p_spans")).alias("spans"))
+    more = [F.size(F.filter("p_spans", lambda s: s["kind"] == "secret")).cast("long").alias("n_secret"), F.size("p_spans").cast("long").alias("n_spans")]
+    return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("p_spans")).alias("spans"), *more)

@@ -339,6 +339,41 @@ def test_letters_only_secrets_and_similar_tokens_are_in_the_field():
     assert [[graph.span[i][0] for i in pair] for pair in graph.skip] == [[0, 106]]
 
 
+def test_tokens_proven_to_be_nothing_change_no_span(spark, monkeypatch):
+    texts = [r.text for r in spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/documents.parquet").select("text").limit(400).collect() if r.text]
+    model = pii.fit([t for t in texts if pii._TELLING.search(t)])
+    some = ["", "word", "x" * 50, *texts[:60]]
+    base = [pii.base_spans(t) for t in some]
+    pruned, graph = pii.added_spans(some, base, model), pii.Graph()
+    for d, t in enumerate(some):
+        pii.add_document(graph, d, t, model)
+    monkeypatch.setattr(pii, "PROVEN", 0.0)  # nothing is proven: all tokens are in the graph
+    whole = pii.Graph()
+    for d, t in enumerate(some):
+        pii.add_document(whole, d, t, model)
+    assert len(whole.doc) == sum(len(t.split()) for t in some) and len(graph.doc) < len(whole.doc)
+    assert pii.added_spans(some, base, model) == pruned
+    p, q = (dict(zip(zip(g.doc, g.span), pii.marginals(g, model))) for g in (graph, whole))
+    assert max(np.abs(p[k] - q[k]).max() for k in p) < 0.05
+    assert all(q[k][0] > 0.99 for k in q if k not in p)  # what was left out is nothing
+
+
+def test_scores_of_remembered_tokens_equal_their_features(monkeypatch):
+    texts = [f"call +1 555 010 {i:04d} now or mail a{i}@example.com token = {'ab12' * 5}{i}" for i in range(40)]
+    model = pii.fit(texts)
+    for met in (0, 1 << 17):
+        monkeypatch.setattr(pii, "MET", met)
+        for t in texts[:5]:
+            tokens, size = t.split(), len(pii.LABELS)
+            cores = [x[slice(*pii._core(x, 0, len(x)))] for x in tokens]
+            score = np.array([sum((model.unary[model.index[f]] for f in pii._features(cores, k) if f in model.index), np.zeros(size)) for k in range(len(tokens))])
+            left, right = (max(m[x, y] - m[x, 0] for x in range(size)) for m in (model.chain, model.chain.T) for y in [1])
+            most = [2 * max(max(model.chain[x, y] - model.chain[x, 0] for x in range(size)), max(model.chain[y, x] - model.chain[0, x] for x in range(size))) for y in range(1, size)]
+            odds = np.exp(score[:, 1:] - score[:, :1] + most).sum(1)
+            assert model.doubtful(tokens) == np.flatnonzero(odds >= pii.PROVEN).tolist() and left <= most[0] and right <= most[0]
+    assert model.doubtful([]) == []
+
+
 def test_field_agrees_with_held_out_documents(spark):
     docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
     telling = [t for t in docs if re.search("[0-9@]", t)]
