@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brindle.llm import chat, decontamination, gated_lm, html_text, packing, pii, quality, record_files, sharding, simhash
+from brindle.llm import chat, collocations, decontamination, gated_lm, html_text, packing, pii, quality, record_files, sharding, simhash, spelling, toxicity
 
 QUERIES = {
     "op1_gated_lm": gated_lm.op1_gated_lm,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_skip_chain_pii": pii.op8_skip_chain_pii,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_chat_format": chat.op10_chat_format,
+    "op11_toxicity": toxicity.op11_toxicity,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
+    "op13_collocations": collocations.op13_collocations,
 }
 
 ORACLES = {
     "op5_quality_rules": quality.ORACLE,
     "op9_decontamination": decontamination.ORACLE,
     "op10_chat_format": chat.ORACLE,
+    "op12_spelling_variants": spelling.ORACLE,
+    "op13_collocations": collocations.ORACLE,
 }
