@@ -16,7 +16,9 @@ occurrences, then to the phrase in byte order. Only text and language are read:
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,8 @@ MOST_WORDS = 5
 BITS, PIECE = 1 << 27, 1 << 19
 #: Share of the documents that is mined first, and the part of the threshold's expected count there that proposes a phrase.
 SAMPLE, LOWERED = 1 / 8, 0.4
-#: Bytes of text that a task counts together.
-TOGETHER = 8 << 20
+#: Code points of text that a task counts together; phrases that it gives out at a time.
+TOGETHER, GIVEN = 8 << 20, 1 << 15
 
 #: Lower-cases A-Z, makes a break (a byte that no text has) of marks and line ends.
 _BREAK = 0xFF
@@ -98,25 +100,30 @@ def proposals(phrases: DataFrame) -> Proposals:
     return Proposals(whole)
 
 
-def _tokens(texts: list[str]) -> list[bytes]:
-    """Words of all texts, with a break between two pieces or texts."""
-    data = "\n".join(texts).encode().translate(_LOWER)
-    return data.replace(b"\xff", b" \xff ").split()
+class Held:
+    """Words of some texts by number, with a break after each piece; number 0 is the break."""
 
+    def __init__(self):
+        self.numbers: defaultdict[bytes, int] = defaultdict(count().__next__)
+        self.numbers[b"\xff"]
+        self.ids: list[np.ndarray] = []
 
-def _count(lang: str, texts: list[str], lengths: range, now: Proposals | None, before: Proposals | None) -> Iterator[pa.RecordBatch]:
+    def add(self, text: str) -> None:
+        tokens = text.encode().translate(_LOWER).replace(b"\xff", b" \xff ").split()
+        self.ids.append(np.fromiter(map(self.numbers.__getitem__, tokens), "i4", len(tokens)))
+        self.ids.append(np.zeros(1, "i4"))
+
+
+def _count(lang: str, texts: Held, lengths: range, now: Proposals | None, before: Proposals | None) -> Iterator[pa.RecordBatch]:
     """Phrases of the given lengths that ``now`` admits, with their occurrences in these texts.
 
     With ``before``, those that it admitted are left out, and those that it did not are proposals at once: what is
     around a missed phrase is counted to its full length in one pass.
     """
-    tokens = _tokens(texts)
-    coded = pa.array(tokens, pa.binary()).dictionary_encode()
-    words, ids = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype("i8")
+    words, ids = list(texts.numbers), np.concatenate(texts.ids).astype("i8")
     # ``starts``: where a phrase of k words begins that is counted; ``code`` numbers the distinct ones, whose hashes are ``held``
     # and whose first places are ``firsts``. ``counted_before``: places, among these, that the pass before counted.
-    is_break = np.fromiter((w == b"\xff" for w in words), bool, len(words))
-    starts, code, held = np.flatnonzero(~is_break[ids]), ids, _word_hashes(lang, words)
+    starts, code, held = np.flatnonzero(ids), ids, _word_hashes(lang, words)
     word_hashes = held
     firsts = np.zeros(len(words), "i8")
     firsts[ids[::-1]] = np.arange(len(ids))[::-1]
@@ -131,7 +138,7 @@ def _count(lang: str, texts: list[str], lengths: range, now: Proposals | None, b
                 open_now[starts] |= ~counted_before[starts]
                 counted_before = open_before[:-1] & open_before[1:]
             starts = starts[open_now[starts] & open_now[starts + 1]]
-            distinct, at, code_of = np.unique(code[starts] * np.int64(len(words)) + ids[starts + k - 1], return_index=True, return_inverse=True)
+            _, at, code_of = np.unique(code[starts] * np.int64(len(words)) + ids[starts + k - 1], return_index=True, return_inverse=True)
             firsts = starts[at]
             held = _longer(held[code[firsts]], word_hashes[ids[firsts + k - 1]])
             code = np.zeros(len(ids), "i8")
@@ -140,10 +147,12 @@ def _count(lang: str, texts: list[str], lengths: range, now: Proposals | None, b
             return
         if k in lengths:
             counts = np.bincount(code[starts], minlength=len(held))
-            out = np.flatnonzero((counts > 0) & (True if before is None else ~counted_before[firsts]))
-            parts = [[words[i] for i in ids[firsts[out] + j].tolist()] for j in range(k)]
-            phrases = pa.array(list(map(b" ".join, zip(*parts, strict=True))), pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(out), pa.string()), phrases, pa.array(np.full(len(out), k, "i4")), pa.array(counts[out].astype("i8"))], schema=_SCHEMA)
+            found = np.flatnonzero((counts > 0) & (True if before is None else ~counted_before[firsts]))
+            for at in range(0, len(found), GIVEN):
+                out = found[at : at + GIVEN]
+                parts = [[words[i] for i in ids[firsts[out] + j].tolist()] for j in range(k)]
+                phrases = pa.array(list(map(b" ".join, zip(*parts, strict=True))), pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(out), pa.string()), phrases, pa.array(np.full(len(out), k, "i4")), pa.array(counts[out].astype("i8"))], schema=_SCHEMA)
 
 
 def count_phrases(rows: DataFrame, lengths: range, now: Proposals | None = None, before: Proposals | None = None) -> DataFrame:
@@ -152,7 +161,7 @@ def count_phrases(rows: DataFrame, lengths: range, now: Proposals | None = None,
     held = context.broadcast((now, before))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[str, list[str]] = {}
+        waiting: defaultdict[str, Held] = defaultdict(Held)
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -162,7 +171,7 @@ def count_phrases(rows: DataFrame, lengths: range, now: Proposals | None = None,
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                waiting.setdefault(lang, []).append(text)
+                waiting[lang].add(text)
                 size += len(text)
                 if size >= TOGETHER:
                     yield from flush()
