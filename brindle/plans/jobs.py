@@ -109,6 +109,25 @@ def anonymize_preview(spark, sf_dir):
     return table_sets.anonymise_preview(spark, {k: table(spark, sf_dir, n) for k, n in _SETS.items()}, _RULES)
 
 
+@query("""SELECT 2 AS tables, (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS rows, 2 AS left_out, 2 AS changed, 7 AS real,
+    'app.customer.c_acctbal,app.customer.c_custkey,app.customer.c_mktsegment,app.customer.c_nationkey,app.supplier.s_acctbal,app.supplier.s_nationkey,app.supplier.s_suppkey' AS real_columns""")
+def anonymize_preview_totals(spark, sf_dir):
+    return table_sets.anonymise_preview_totals(spark, {k: table(spark, sf_dir, n) for k, n in _SETS.items()}, _RULES)
+
+
+@query(f"""SELECT 0 AS position, 'region' AS "table", 'INSERT INTO "app"."region" ("r_regionkey", "r_name") VALUES (' || r_regionkey || ', ''' || replace(r_name, '''', '''''') || ''');' AS line FROM region
+    UNION ALL SELECT 1, 'nation', 'INSERT INTO "app"."nation" ("n_nationkey", "n_name", "n_regionkey") VALUES (' || n_nationkey || ', ''' || replace(n_name, '''', '''''') || ''', ' || n_regionkey || ');' FROM nation
+    UNION ALL SELECT 2, 'customer', 'INSERT INTO "app"."customer" ("c_custkey", "c_name", "c_nationkey", "since") VALUES (' || c_custkey || ', ''' || {_pick(anon.FIRST_NAMES, 1)} || ' ' || {_pick(anon.LAST_NAMES, 9)} || ''', ' || c_nationkey || ', '
+        || CASE WHEN c_custkey % 2 = 0 THEN 'DATE ''2024-01-' || lpad(CAST(c_custkey % 28 + 1 AS VARCHAR), 2, '0') || '''' ELSE 'NULL' END || ');' FROM {_HASHED}""")
+def anonymize_dump_sql(spark, sf_dir):
+    """Customers refer to nations, nations to regions: parents come first, whatever their names; a reference of nations to themselves does not count."""
+    since = F.when(F.col("c_custkey") % 2 == 0, F.date_add(F.lit("2024-01-01").cast("date"), (F.col("c_custkey") % 28).cast("int")))
+    tables = {"app.customer": table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", since.alias("since")), "app.nation": table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"), "app.region": table(spark, sf_dir, "region").select("r_regionkey", "r_name")}
+    out = fresh_path(spark, "sql")
+    names = table_sets.anonymise_dump_sql(tables, [table_sets.Rule("app.customer", "c_name", "fake_name")], SEED, out, [("app.customer", "app.nation"), ("app.nation", "app.region"), ("app.nation", "app.nation")])
+    return _union(spark.read.text(f"{out}/{k:05d}-{n}").select(F.lit(k).alias("position"), F.lit(n.removeprefix("app.")).alias("table"), F.col("value").alias("line")) for k, n in enumerate(names))
+
+
 @query("SELECT 'customer' AS kind, c_custkey AS id, regexp_replace(regexp_replace(c_name, '[a-zA-Z]', 'X', 'g'), '[0-9]', '9', 'g') AS name FROM customer UNION ALL SELECT 'region', r_regionkey, r_name FROM region")
 def bootstrap_copy(spark, sf_dir):
     """Of a source of four tables one is skipped by a rule and one is the system's; the copy has the other two."""
@@ -129,11 +148,26 @@ def redact_sql(spark, sf_dir):
     return rows.select("conv_id", "turn", redaction.redact_sql(text).alias("sql"))
 
 
-@query("SELECT c_custkey, 'postgres://' || replace(c_name, '#', '') || ':***@db.example.com:5432/app' AS dsn FROM customer")
+_DSNS = {  # shape -> (what stands before and after the customer's number, what is shown before and after it)
+    "at in password": ("postgres://u", ":p@ss@db:5432/app?sslmode=require", "postgres://u", ":***@db:5432/app"),
+    "at in query": ("postgres://u", ":p@db:5432/app?sslpassword=s3@cret", "postgres://u", ":***@db:5432/app"),
+    "at in both": ("postgres://u", ":p@ss@db/app?email=a@b&x=c@d", "postgres://u", ":***@db/app"),
+    "query without password": ("postgres://db", ":5432/app?email=a@b", "postgres://db", ":5432/app"),
+    "port and query only": ("postgres://db", ":5432?email=a@b", "postgres://db", ":5432"),
+    "slash in password": ("postgres://u", ":p/a@ss@db/app", "postgres://u", ":***@db/app"),
+    "question mark in password": ("postgres://u", ":p?a@db/app?x=1", "postgres://u", ":***@db/app"),
+    "line feed in password": ("postgres://u", ":p\na@db/app?x=\n@", "postgres://u", ":***@db/app"),
+    "user only": ("postgres://u", "@db/app?password=x", "postgres://u", "@db/app"),
+    "no scheme": ("u", ":p@db/app", None, None),
+    "words": ("host=db", " password='a b' user=u", "host=db", " password=*** user=u"),
+}
+
+
+@query(" UNION ALL ".join(f"""SELECT '{k}' AS shape, c_custkey, {"'***REDACTED***'" if c is None else f"'{c}' || c_custkey || '{d}'"} AS dsn FROM customer""" for k, (_, _, c, d) in _DSNS.items()))
 def redact_dsn(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer")
-    dsn = F.concat(F.lit("postgres://"), F.replace("c_name", F.lit("#"), F.lit("")), F.lit(":p@ss"), F.col("c_custkey").cast("string"), F.lit("@db.example.com:5432/app?sslmode=require"))
-    return rows.select("c_custkey", redaction.redact_dsn(dsn).alias("dsn"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey")
+    shape = F.explode(F.array(*(F.struct(F.lit(k).alias("shape"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, (a, b, _, _) in _DSNS.items()))).alias("x")
+    return rows.select("c_custkey", shape).select("x.shape", "c_custkey", redaction.redact_dsn(F.concat("x.a", F.col("c_custkey").cast("string"), "x.b")).alias("dsn"))
 
 
 # Data tests.
@@ -198,9 +232,9 @@ def _delta(spark, sf_dir) -> DataFrame:
 
 @query(_UPSERTED)
 def merge_upsert(spark, sf_dir):
-    target = incremental.VersionedTable(spark, fresh_path(spark, "orders"))
+    target = incremental.BucketedTable(spark, fresh_path(spark, "orders"), ["o_orderkey"], 8)
     target.first_run(_base(spark, sf_dir), ["o_orderkey"])
-    return target.upsert(_delta(spark, sf_dir), ["o_orderkey"])
+    return target.upsert(_delta(spark, sf_dir))
 
 
 @query(f"SELECT count(*) FILTER (WHERE o_orderdate >= {_SPLIT}) AS inserted, count(*) FILTER (WHERE o_orderdate < {_SPLIT}) AS updated FROM orders WHERE o_orderdate >= {_OVERLAP}")
@@ -263,19 +297,21 @@ def _project(sf_dir: str) -> dict[str, models.Model]:
     return {x.name: x for x in found}
 
 
-_RUN = """SELECT 'marts.activity' AS model, 'incremental' AS kind, {0} AS {1}, (SELECT count(*) FROM (SELECT DISTINCT o_custkey, CAST(o_orderdate AS DATE) FROM orders)) AS rows
-    UNION ALL SELECT 'marts.nations', 'table', {0}, (SELECT count(DISTINCT c_nationkey) FROM customer JOIN orders ON c_custkey = o_custkey)
-    UNION ALL SELECT 'staging.customers', 'view', {0}, (SELECT count(*) FROM customer) UNION ALL SELECT 'staging.orders', 'view', {0}, (SELECT count(*) FROM orders)"""
+_DAYS = "SELECT DISTINCT o_custkey, CAST(o_orderdate AS DATE) AS day FROM orders"
+_RUN = f"""SELECT 'marts.activity' AS model, 'incremental' AS kind, {{0}} AS {{1}}, (SELECT count(*) FROM ({_DAYS})) AS rows{{2}}
+    UNION ALL SELECT 'marts.nations', 'table', {{0}}, (SELECT count(DISTINCT c_nationkey) FROM customer JOIN orders ON c_custkey = o_custkey){{3}}
+    UNION ALL SELECT 'staging.customers', 'view', {{0}}, (SELECT count(*) FROM customer){{3}} UNION ALL SELECT 'staging.orders', 'view', {{0}}, (SELECT count(*) FROM orders){{3}}"""
+_AGAIN = f"(SELECT count(*) FROM ({_DAYS}) WHERE day > (SELECT max(CAST(o_orderdate AS DATE)) FROM orders) - INTERVAL 7 DAYS)"
 
 
-@query(_RUN.format("'ok'", "result"))
+@query(_RUN.format("'ok'", "result", f", CAST(0 AS BIGINT) AS inserted, {_AGAIN} AS updated", ", NULL, NULL"))
 def run_pipeline(spark, sf_dir):
     root = fresh_path(spark, "project")
     models.run_pipeline(spark, _project(sf_dir), root)
     return models.run_pipeline(spark, _project(sf_dir), root, include=["tree:marts.activity", "marts.nations", "deps:marts.nations"])
 
 
-@query(_RUN.format("'synced'", "state"))
+@query(_RUN.format("'synced'", "state", "", ""))
 def pipeline_status(spark, sf_dir):
     root = fresh_path(spark, "project")
     models.run_pipeline(spark, _project(sf_dir), root)
@@ -302,6 +338,19 @@ def model_table(spark, sf_dir):
     return models.build(spark, models.Model("marts.suppliers", lambda s: table(s, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("suppliers")), "table"), fresh_path(spark, "t"))
 
 
+@query("SELECT 'view' AS kind, c_nationkey, count(*) AS customers FROM customer GROUP BY c_nationkey UNION ALL SELECT 'table', c_nationkey, count(*) FROM customer WHERE c_acctbal > 0 GROUP BY c_nationkey")
+def catalog_objects(spark, sf_dir):
+    """A view that was a table and a table that was a view, put into the catalog by one session and read by another."""
+    schema, source = _fresh("brindle_marts"), _fresh("default.kept_customer")
+    table(spark, sf_dir, "customer").write.saveAsTable(source)
+    m = lambda name, kind, where="": models.Model(f"{schema}.{name}", kind=kind, sql=f"SELECT c_nationkey, count(*) AS customers FROM {source} {where} GROUP BY c_nationkey")
+    for x in (m("a", "table"), m("b", "view"), m("a", "view"), m("b", "table", "WHERE c_acctbal > 0")):
+        models.put(spark, x)
+    other = spark.newSession()
+    kinds = {models.object_kind(other, f"{schema}.{n}"): other.table(f"{schema}.{n}") for n in "ab"}
+    return _union(df.select(F.lit(kind).alias("kind"), "*") for kind, df in kinds.items())
+
+
 # Lineage: region -> nation -> supplier -> part.
 
 _EDGES = """SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS child FROM nation UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier
@@ -330,6 +379,34 @@ def lineage_layers(spark, sf_dir):
     return lineage.layers(edges, nodes)
 
 
+# Parts in rings of ten: cycles, with orders before them and suppliers behind them.
+_RING = """SELECT DISTINCT 'p' || l_partkey AS parent, 'p' || (CASE WHEN l_partkey % 10 = 9 THEN l_partkey - 9 ELSE l_partkey + 1 END) AS child FROM lineitem WHERE l_partkey < 50
+    UNION ALL SELECT DISTINCT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem WHERE l_partkey < 60 UNION ALL SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem WHERE l_partkey < 60"""
+
+
+def _ring(spark, sf_dir) -> DataFrame:
+    return spark.sql(_RING.replace("FROM lineitem", "FROM {items}"), items=table(spark, sf_dir, "lineitem"))
+
+
+@query(f"""WITH RECURSIVE e AS MATERIALIZED ({_RING}), p AS (SELECT parent, child FROM e WHERE parent[1] = 'p' AND child[1] = 'p'),
+    r AS (SELECT parent AS node, child AS far FROM p UNION SELECT r.node, p.child FROM r JOIN p ON p.parent = r.far), m AS MATERIALIZED (SELECT * FROM r)
+    SELECT a.node, min(a.far) AS component FROM m a JOIN m b ON b.node = a.far AND b.far = a.node GROUP BY a.node""")
+def lineage_cycles(spark, sf_dir):
+    """Rings of ten parts each, with orders that lead into them and suppliers that they lead to: only the rings are cycles."""
+    return lineage.cycles(_ring(spark, sf_dir))
+
+
+@query(f"""WITH e AS MATERIALIZED ({_EDGES}), v AS (SELECT parent AS node FROM e UNION SELECT child FROM e), x AS MATERIALIZED ({_RING}), y AS (SELECT parent AS node FROM x UNION SELECT child FROM x)
+    SELECT 'acyclic' AS kind, node, CASE node[1] WHEN 'r' THEN 0 WHEN 'n' THEN 1 WHEN 's' THEN 2 ELSE 3 END AS layer FROM v UNION ALL SELECT 'cyclic', node, 0 FROM y""")
+def lineage_load_layers(spark, sf_dir):
+    """The order of loading: by layers for edges without cycle (a table's reference to itself does not count), by name where there is one."""
+    nodes = lambda edges: edges.select(F.col("parent").alias("node")).unionByName(edges.select(F.col("child").alias("node")))
+    edges, ring = _edges(spark, sf_dir), _ring(spark, sf_dir)
+    own = edges.unionByName(edges.select("parent", F.col("parent").alias("child")))
+    found = {"acyclic": lineage.load_layers(own, nodes(edges)), "cyclic": lineage.load_layers(ring, nodes(ring))}
+    return _union(df.select(F.lit(kind).alias("kind"), "node", "layer") for kind, df in found.items())
+
+
 # Comparison of ``orders`` with a version in which early rows are gone, later ones changed and keys shifted.
 
 _CHANGED = """SELECT CASE WHEN o_orderdate >= TIMESTAMP '2001-06-01 00:00:00' THEN o_orderkey + 100000000 ELSE o_orderkey END AS o_orderkey, o_custkey,
@@ -356,6 +433,20 @@ def row_diff_summary(spark, sf_dir):
     return compare.row_diff_summary(*_versions(spark, sf_dir), ["o_orderkey"]).withColumn("examples", F.array_join("examples", ","))
 
 
+_BAGS = "(SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE l_quantity END AS l_quantity FROM lineitem WHERE l_orderkey % 5 <> 0 AND (l_orderkey % 11 <> 0 OR l_linenumber <> 1))"
+
+
+@query(f"""WITH a AS (SELECT l_orderkey, l_partkey, l_quantity, l_discount, count(*) AS n FROM lineitem GROUP BY ALL), b AS (SELECT l_orderkey, l_partkey, l_quantity, CAST(NULL AS DOUBLE) AS l_discount, count(*) AS n FROM {_BAGS} GROUP BY ALL),
+    u AS (SELECT l_orderkey, l_partkey, l_quantity, l_discount, n AS x, 0 AS y FROM a UNION ALL SELECT l_orderkey, l_partkey, l_quantity, l_discount, 0, n FROM b),
+    r AS (SELECT l_orderkey, l_partkey, l_quantity, l_discount, sum(x) AS x, sum(y) AS y FROM u GROUP BY ALL)
+    SELECT l_orderkey, CASE WHEN sum(y) = 0 THEN 'removed' WHEN sum(x) = 0 THEN 'added' ELSE 'changed' END AS change FROM r GROUP BY l_orderkey HAVING bool_or(x <> y)""")
+def row_diff_bags(spark, sf_dir):
+    """Lines by order, whose key repeats, with a version that lost orders, single lines, quantities and a column."""
+    items = table(spark, sf_dir, "lineitem")
+    after = spark.sql(f"SELECT l_orderkey, l_partkey, l_quantity FROM {_BAGS.replace('FROM lineitem', 'FROM {items}')}", items=items)
+    return compare.row_diff(items.select("l_orderkey", "l_partkey", "l_quantity", "l_discount"), after, ["l_orderkey"])
+
+
 @query(f"WITH b AS ({_CHANGED}) (SELECT o_orderkey, 'only_a' AS side FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM b)) UNION ALL (SELECT o_orderkey, 'only_b' FROM b WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders))")
 def set_key_difference(spark, sf_dir):
     return compare.key_difference(*_versions(spark, sf_dir), ["o_orderkey"])
@@ -366,13 +457,33 @@ def value_domain_diff(spark, sf_dir):
     return compare.value_domain_diff(*_versions(spark, sf_dir), "o_orderstatus")
 
 
-@query("""SELECT 'region' AS object, 'table removed' AS change, CAST(NULL AS VARCHAR) AS before, CAST(NULL AS VARCHAR) AS after UNION ALL SELECT 'part', 'table added', NULL, NULL
-    UNION ALL SELECT 'nation.n_extra', 'column added', NULL, 'int not null' UNION ALL SELECT 'nation.n_regionkey', 'column modified', 'int', 'bigint' UNION ALL SELECT 'nation.n_name', 'column removed', 'string', NULL""")
-def schema_diff(spark, sf_dir):
-    nation = table(spark, sf_dir, "nation")
+# Types of the other engine by the names they have here.
+_TYPE = "CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE column_type END"
+_SCHEMAS = f"""WITH n AS (SELECT column_name AS c, {_TYPE} AS t FROM (DESCRIBE nation)),
+    d AS (SELECT 'nation.' || c AS object, 'column modified' AS change, t AS before, 'bigint' AS after FROM n WHERE c = 'n_regionkey' UNION ALL SELECT 'nation.' || c, 'column removed', t, NULL FROM n WHERE c = 'n_name'
+    UNION ALL SELECT 'nation.' || c, 'column modified', t || ' default 0', t || ' default -1' FROM n WHERE c = 'n_nationkey'
+    UNION ALL SELECT 'nation.n_extra', 'column added', NULL, 'int not null default 1' UNION ALL SELECT 'region', 'table removed', NULL, NULL UNION ALL SELECT 'part', 'table added', NULL, NULL)"""
+
+
+def _schema_versions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Of nations a key's default changed, a column went and one of another type came, one with a default; a table went and one came."""
+    nation = compare.with_default(table(spark, sf_dir, "nation"), "n_nationkey", "0")
     after = nation.select("n_nationkey", F.col("n_regionkey").cast("long").alias("n_regionkey"), F.lit(1).alias("n_extra"))
-    a = compare.schema_rows(spark, {"nation": nation, "region": table(spark, sf_dir, "region")})
-    return compare.schema_diff(a, compare.schema_rows(spark, {"nation": after, "part": table(spark, sf_dir, "part")}))
+    after = compare.with_default(compare.with_default(after, "n_nationkey", "-1"), "n_extra", "1")
+    root = fresh_path(spark, "schemas")
+    table_sets.snapshot_save(spark, {"app.nation": nation}, "before", root)  # snapshots keep defaults
+    a = compare.schema_rows(spark, {"nation": table_sets.snapshot_read(spark, "before", root)["app.nation"], "region": table(spark, sf_dir, "region")})
+    return a, compare.schema_rows(spark, {"nation": after, "part": table(spark, sf_dir, "part")})
+
+
+@query(f"{_SCHEMAS} SELECT * FROM d")
+def schema_diff(spark, sf_dir):
+    return compare.schema_diff(*_schema_versions(spark, sf_dir))
+
+
+@query(f"""{_SCHEMAS} SELECT split_part(change, ' ', 1) AS kind, count(*) FILTER (WHERE change LIKE '% added') AS added, count(*) FILTER (WHERE change LIKE '% removed') AS removed, count(*) FILTER (WHERE change LIKE '% modified') AS modified FROM d GROUP BY 1""")
+def schema_diff_summary(spark, sf_dir):
+    return compare.schema_diff_summary(*_schema_versions(spark, sf_dir))
 
 
 @query("""SELECT 1 AS position, 'doc_id' AS "column", 'bigint' AS type, true AS is_key, count(*) AS rows, count(*) - count(doc_id) AS nulls FROM labels UNION ALL SELECT 2, 'quality', 'int', false, count(*), count(*) - count(quality) FROM labels
@@ -389,7 +500,7 @@ def describe_table(spark, sf_dir):
 def snapshot_save(spark, sf_dir):
     tables = {"public.customer": table(spark, sf_dir, "customer"), "public.orders": table(spark, sf_dir, "orders"), "audit.events": table(spark, sf_dir, "events"), "public.part": table(spark, sf_dir, "part")}
     profile = table_sets.Profile(exclude_schemas=("audit",), exclude_tables=("public.part",))
-    return table_sets.snapshot_save(spark, tables, "nightly", fresh_path(spark, "snapshots"), profile, "2024-01-01").select("table", "rows")
+    return table_sets.snapshot_save(spark, tables, "nightly", fresh_path(spark, "snapshots"), profile, "2024-01-01").where("bytes > 0 AND digest <> ''").select("table", "rows")
 
 
 @query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
@@ -405,7 +516,7 @@ def snapshot_list(spark, sf_dir):
     root = fresh_path(spark, "snapshots")
     table_sets.snapshot_save(spark, {"a.orders": table(spark, sf_dir, "orders")}, "sooner", root, created="2024-01-01")
     table_sets.snapshot_save(spark, {"a.nation": table(spark, sf_dir, "nation"), "a.customer": table(spark, sf_dir, "customer")}, "later", root, created="2024-02-01")
-    return table_sets.snapshot_list(spark, root)
+    return table_sets.snapshot_list(spark, root).where("bytes > 0").drop("bytes")
 
 
 @query("SELECT 'lineitem' AS \"table\", count(*) AS rows FROM lineitem UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'customer', count(*) FROM customer")
@@ -461,6 +572,25 @@ def seed_long_fractions(spark, sf_dir):
     return seed.select("c_custkey", F.col("v").cast("string").alias("shown"), F.lit(int(dict(seed.dtypes)["v"].rstrip(")").split(",")[1])).alias("scale"))
 
 
+_WIDE = """SELECT CAST(c_custkey AS VARCHAR) AS small, CASE WHEN c_custkey % 2 = 0 THEN '1234567890123456' || lpad(CAST(c_custkey AS VARCHAR), 4, '0') ELSE '7' END AS whole, CASE WHEN c_custkey % 3 = 0 THEN '.' ELSE '1.5' END AS point,
+    CASE WHEN c_custkey % 3 = 0 THEN '2024-13-45' ELSE '2024-01-15' END AS day, CASE WHEN c_custkey % 3 = 0 THEN '0.' || repeat('1', 30) ELSE '123456789012345' END AS digits, CASE WHEN c_custkey % 2 = 0 THEN '-3' ELSE '12.25' END AS mixed, '2024-02-29' AS leap FROM customer"""
+
+
+@query(f"""WITH w AS ({_WIDE}) SELECT small, CAST(CAST(whole AS HUGEINT) AS VARCHAR) AS whole, point, day, digits, CAST(CAST(mixed AS DECIMAL(38, 2)) AS VARCHAR) AS mixed, CAST(CAST(leap AS DATE) AS VARCHAR) AS leap,
+    'bigint,decimal(38,0),string,string,string,decimal(38,2),date' AS types FROM w""")
+def seed_widening(spark, sf_dir):
+    """Types that widen: whole numbers beyond 64 bits, a point alone, a day that is not in the calendar, digits beyond 38. What is inferred is cast without failure."""
+    rows = spark.sql(_WIDE.replace("FROM customer", "FROM {rows}").replace("AS VARCHAR", "AS STRING"), rows=table(spark, sf_dir, "customer"))
+    typed = seeds.apply_schema(rows, {r["column"]: r["type"] for r in seeds.infer_types(rows, None).collect()})
+    return typed.select(*(F.col(c).cast("string").alias(c) for c in typed.columns), F.lit(",".join(t for _, t in typed.dtypes)).alias("types"))
+
+
+@query("""SELECT unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'good']) AS "column", unnest(['int', 'text', 'bigint', 'numeric', 'boolean']) AS type, (SELECT count(*) FROM customer) AS rows,
+    unnest([0, 0, (SELECT count(*) FROM customer WHERE c_nationkey <= 3), 0, 0]) AS nulls, CAST(0 AS BIGINT) AS failures, unnest(['schema', 'inferred', 'inferred', 'inferred', 'inferred']) AS origin""")
+def seed_validate_origins(spark, sf_dir):
+    return seeds.validate_seed(_seed_file(spark, sf_dir), {"c_custkey": "int"})
+
+
 @query(f"SELECT c_custkey, c_acctbal FROM ({_SEED_SQL})")
 def seed_replace(spark, sf_dir):
     df = seeds.apply_schema(_seed_file(spark, sf_dir), {"c_custkey": "bigint", "c_acctbal": "double"}).select("c_custkey", "c_acctbal")
@@ -633,9 +763,9 @@ def stream_upsert(spark, sf_dir):
     path = fresh_path(spark, "events")
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
     events.repartitionByRange(3, "event_id").write.parquet(path)
-    target = incremental.VersionedTable(spark, fresh_path(spark, "latest"))
+    target = incremental.BucketedTable(spark, fresh_path(spark, "latest"), ["user_id"], 8)
     stream = upserts.file_stream(spark, path, events.schema)
-    upserts.stream_upsert(stream, target, ["user_id"], "event_id", fresh_path(spark, "marks")).awaitTermination()
+    upserts.stream_upsert(stream, target, "event_id", fresh_path(spark, "marks")).awaitTermination()
     return target.read().select("user_id", "event_id", "event_type", "value")
 
 

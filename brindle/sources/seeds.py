@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The ladder of types, most specific first, with what a value of each looks like.
@@ -28,19 +29,36 @@ def read_csv(spark: SparkSession, path: str, line_feeds: bool = False) -> DataFr
     return raw.select(*(F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")).alias(c.strip()) for c in raw.columns))
 
 
+#: What a value adds to its column: the kinds it can be cast to, and the digits before and after its point.
+_DIGITS = (r"^\s*-?0*([0-9]*)", r"\.([0-9]*)\s*$")
+MOST_DIGITS = 38
+
+
+def _widest(value: Column) -> Column:
+    """The first rung of the ladder that all values of a column fit, as an aggregate.
+
+    The types are a lattice: a value that a rung's pattern takes but its type cannot hold moves the column on to the next that can:
+    a whole number beyond 64 bits to numeric, digits beyond 38 in all to text, a day that no calendar has to text.
+    """
+    looks = {k: value.rlike(p) for k, p in LADDER.items()}
+    points = F.length(value) - F.length(F.translate(value, ".", ""))
+    before, after = (F.coalesce(F.max(F.length(F.regexp_extract(value, p, 1))), F.lit(0)) for p in _DIGITS)
+    fits = {k: F.bool_and(t) for k, t in looks.items()}
+    for k in ("bigint", "date", "timestamptz"):
+        fits[k] = F.bool_and(F.when(value.isNotNull(), looks[k] & value.try_cast(SPARK_TYPES[k]).isNotNull()))
+    fits["numeric"] = F.bool_and(looks["numeric"] & (points <= 1) & value.rlike("[0-9]")) & (before + after <= MOST_DIGITS)
+    rung = F.coalesce(*(F.when(t, k) for k, t in fits.items()), F.lit("text"))
+    return F.when(F.count(value) == 0, "text").otherwise(rung)
+
+
 def infer_types(df: DataFrame, sample_rows: int | None = 100) -> DataFrame:
-    """column, type: the first rung that all values satisfy, text if none does or there are no values.
+    """column, type: the first rung that all values fit, text if none does or there are no values.
 
-    All columns and rungs are one aggregate. ``sample_rows=None`` looks at the whole table.
+    All columns and rungs are one aggregate. ``sample_rows=None`` looks at the whole table; ``apply_schema`` then takes
+    whatever was found without raising.
     """
     rows = df if sample_rows is None else df.limit(sample_rows)
-    fits = []
-    for i, c in enumerate(df.columns):
-        value = F.trim(F.col(f"`{c}`").cast("string"))
-        tests = {k: value.rlike(p) for k, p in LADDER.items()}
-        tests["numeric"] = tests["numeric"] & (F.length(value) - F.length(F.translate(value, ".", "")) <= 1)
-        rung = F.coalesce(*(F.when(F.bool_and(t), k) for k, t in tests.items()), F.lit("text"))
-        fits.append(F.when(F.count(value) == 0, "text").otherwise(rung).alias(f"c{i}"))
+    fits = [_widest(F.trim(F.col(f"`{c}`").cast("string"))).alias(f"c{i}") for i, c in enumerate(df.columns)]
     pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("type")) for i, c in enumerate(df.columns))))
     return rows.agg(*fits).select(pairs.alias("p")).select("p.column", "p.type")
 
@@ -53,8 +71,8 @@ def _numerics(df: DataFrame, columns: list[str], strict: bool = True) -> dict[st
     if not columns:
         return {}
     digits = lambda c, pattern: F.coalesce(F.max(F.length(F.regexp_extract(F.col(f"`{c}`"), pattern, 1))), F.lit(0))
-    found = df.agg(*(x for i, c in enumerate(columns) for x in (digits(c, r"^\s*-?0*([0-9]*)").alias(f"b{i}"), digits(c, r"\.([0-9]*)\s*$").alias(f"a{i}")))).first()
-    if strict and (bad := [c for i, c in enumerate(columns) if found[f"b{i}"] + found[f"a{i}"] > 38]):
+    found = df.agg(*(x for i, c in enumerate(columns) for x in (digits(c, _DIGITS[0]).alias(f"b{i}"), digits(c, _DIGITS[1]).alias(f"a{i}")))).first()
+    if strict and (bad := [c for i, c in enumerate(columns) if found[f"b{i}"] + found[f"a{i}"] > MOST_DIGITS]):
         raise ValueError(f"no decimal of 38 digits holds all values of {bad}")
     return {c: f"decimal(38,{min(found[f'a{i}'], 38 - min(38, found[f'b{i}']))})" for i, c in enumerate(columns)}
 
@@ -79,9 +97,16 @@ def types_of(df: DataFrame, declared: dict[str, str] | None = None, sample_rows:
     return found.select("column", F.coalesce(F.try_element_at(named, F.col("column")), "type").alias("type"), F.when(F.col("column").isin(*declared), "schema").otherwise("inferred").alias("origin"))
 
 
-def validate(df: DataFrame, types: dict[str, str], target: str | None = None) -> DataFrame:
+def validate(df: DataFrame, types: dict[str, str] | None = None, target: str | None = None) -> DataFrame:
     """column, type, rows, nulls, failures: values that a cast to the type would refuse. One pass over the table, and one more to measure
-    numeric columns. A ``target`` table that does not exist raises ValueError; ``types_of`` tells where a type comes from."""
+    numeric columns. A ``target`` table that does not exist raises ValueError. ``types`` are those of the seed's schema file: without one
+    a warning is given and they are inferred from the whole table. ``validate_seed`` does so for columns that it does not name, and tells
+    where each type comes from."""
+    if not types:
+        warnings.warn("the seed has no schema file: its types are inferred", stacklevel=2)
+        types = {r["column"]: r["type"] for r in infer_types(df, None).collect()}  # a row for each column
+    if missing := sorted(set(types) - set(df.columns)):
+        raise ValueError(f"no such columns in the seed: {missing}")
     if target and not df.sparkSession.catalog.tableExists(target):
         raise ValueError(f"no such table: {target}")
     numerics = _numerics(df, [c for c in types if types[c] == "numeric"], strict=False)
@@ -94,6 +119,15 @@ def validate(df: DataFrame, types: dict[str, str], target: str | None = None) ->
     return df.agg(*counts).select(rows.alias("x")).select("x.*")
 
 
+def validate_seed(df: DataFrame, declared: dict[str, str] | None = None, target: str | None = None) -> DataFrame:
+    """The rows of ``validate`` for every column, with ``origin``: ``schema`` for declared types, ``inferred`` for the others."""
+    if not declared:
+        warnings.warn("the seed has no schema file: its types are inferred", stacklevel=2)
+    known = {r["column"]: (r["type"], r["origin"]) for r in types_of(df, declared, None).collect()}  # a row for each column
+    origins = F.create_map(*(F.lit(x) for c, (_, origin) in known.items() for x in (c, origin)))
+    return validate(df, {c: kind for c, (kind, _) in known.items()}, target).withColumn("origin", F.element_at(origins, F.col("column")))
+
+
 def replace(tables: dict[str, DataFrame]) -> dict[str, int]:
     """Overwrites the named tables, in order of name; rows written are observed, not counted again. All must exist before any is changed."""
     from pyspark.sql import Observation
@@ -113,5 +147,3 @@ def replace(tables: dict[str, DataFrame]) -> dict[str, int]:
 def sql_seed(spark: SparkSession, sql: str) -> DataFrame:
     """A seed that is a query, such as one that makes rows with ``range`` or ``sequence``."""
     return spark.sql(sql)
-
-

@@ -8,24 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from brindle.operators.incremental import VersionedTable
+from brindle.operators.incremental import BucketedTable
 
 
-def stream_upsert(stream: DataFrame, target: VersionedTable, key: list[str], latest: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] | None = None):
+def stream_upsert(stream: DataFrame, target: BucketedTable, latest: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] | None = None):
     """Upserts each micro-batch; of rows of one key the last by ``latest`` counts, in a batch and over all of them.
 
-    The result does not depend on the order of batches, and a batch that is played again after a failure
-    changes nothing.
+    Of rows with equal ``latest`` the largest by all other columns, in order of their names, counts, in both places: the result does
+    not depend on the order of batches, and a batch that is played again after a failure changes nothing. A batch reads and
+    writes only the buckets of its keys.
     """
+    key = target.key
 
     def apply(batch: DataFrame, _: int) -> None:
         rows = prepare(batch) if prepare else batch
-        last = Window.partitionBy(*key).orderBy(F.desc(latest), *(F.desc(c) for c in rows.columns if c not in (*key, latest)))
-        rows = rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
-        if target.version() is not None:
-            held = target.read().select(*key, F.col(latest).alias("_held"))
-            rows = rows.join(held, key, "left").where(F.col("_held").isNull() | (F.col(latest) >= F.col("_held"))).drop("_held")
-        target.upsert(rows, key)
+        order = [latest, *sorted(c for c in rows.columns if c not in (*key, latest))]
+        last = Window.partitionBy(*key).orderBy(F.desc(F.struct(*order)))
+        target.upsert(rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n"), newest=order)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

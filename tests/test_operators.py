@@ -169,8 +169,9 @@ def test_layers_count_parents_and_ignore_edges_from_outside(spark):
     assert lineage.layers(edges, nodes.limit(0)).count() == 0
 
 
-def test_long_closures_are_compacted(spark, monkeypatch):
-    monkeypatch.setattr(lineage, "COMPACT", 2)
+def test_long_closures_go_on_by_short_jumps_where_long_ones_would_be_many(spark, monkeypatch):
+    monkeypatch.setattr(lineage, "FEW", 0)
+    monkeypatch.setattr(lineage, "GROWTH", 0)
     edges = spark.createDataFrame([(i, i + 1) for i in range(7)], "parent long, child long")
     assert sorted((r.node, r.depth) for r in lineage.closure(edges, spark.createDataFrame([(0,)], "node long")).collect()) == [(i, i) for i in range(8)]
 
