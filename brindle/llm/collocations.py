@@ -55,10 +55,10 @@ def _longer(front: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(32))
 
 
-def _place(h: np.ndarray, words: int) -> np.ndarray:
-    """Place of a phrase in the bitmap; phrases of other lengths stand elsewhere."""
+def _place(h: np.ndarray, words: int, size: int) -> np.ndarray:
+    """Place of a phrase in a bitmap of ``size`` bits; phrases of other lengths stand elsewhere."""
     mixed = (h + np.uint64(words)) * _ODD
-    return ((mixed ^ (mixed >> np.uint64(31))) % np.uint64(BITS)).astype("i8")
+    return ((mixed ^ (mixed >> np.uint64(31))) % np.uint64(size)).astype("i8")
 
 
 class Proposals:
@@ -68,13 +68,15 @@ class Proposals:
         self.bits = bits
 
     def has(self, h: np.ndarray, words: int) -> np.ndarray:
-        place = _place(h, words)
+        place = _place(h, words, 8 * len(self.bits))
         return (self.bits[place >> 3] >> (place & 7).astype("u1") & 1).astype(bool)
 
 
 def proposals(phrases: DataFrame) -> Proposals:
     """phrases: lang, phrase, words. Pieces of the bitmap are made where they are dealt; the driver joins pieces of fixed number and size."""
 
+    size, piece = BITS, PIECE
+
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
@@ -83,20 +85,20 @@ def proposals(phrases: DataFrame) -> Proposals:
                 h = hashes[:1]
                 for j in range(1, k):
                     h = _longer(h, hashes[j : j + 1])
-                found.append(int(_place(h, k)[0]))
+                found.append(int(_place(h, k, size)[0]))
             place = np.array(found, "i8")
-            yield pa.RecordBatch.from_arrays([pa.array(place // PIECE), pa.array(place % PIECE)], ["piece", "bit"])
+            yield pa.RecordBatch.from_arrays([pa.array(place // piece), pa.array(place % piece)], ["piece", "bit"])
 
     def joined(key: tuple, rows: pa.Table) -> pa.Table:
-        bits = np.zeros(PIECE, bool)
+        bits = np.zeros(piece, bool)
         bits[rows["bit"].to_numpy()] = True
         return pa.table({"piece": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
     placed = phrases.select("lang", "phrase", "words").mapInArrow(places, "piece long, bit long").distinct()
     pieces = placed.groupBy("piece").applyInArrow(joined, "piece long, bits binary")
-    whole = np.zeros(BITS // 8, "u1")
+    whole = np.zeros(size // 8, "u1")
     for r in pieces.collect():  # at most BITS / PIECE rows of PIECE / 8 bytes
-        whole[r.piece * PIECE // 8 : (r.piece + 1) * PIECE // 8] = np.frombuffer(bytes(r.bits), "u1")
+        whole[r.piece * piece // 8 : (r.piece + 1) * piece // 8] = np.frombuffer(bytes(r.bits), "u1")
     return Proposals(whole)
 
 
