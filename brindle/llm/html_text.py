@@ -39,6 +39,8 @@ from brindle.llm.common import parts_for, settle
 OPEN, MAIN, CHROME, WRAPPED = 0, 1, 2, 3
 #: Bits of a table of alignment that are held at a time.
 TABLE = 1 << 25
+#: Parts into which the pages of one path are dealt.
+SALTS = 64
 #: The share of a page's characters in shared lines from which the two pages are copies.
 NEAR = 0.9
 BLOCKS = frozenset(
@@ -47,7 +49,7 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose lines are chrome wherever they stand; a header is so outside of articles only.
-CHROME_ELEMENTS = frozenset("aside button datalist dialog dir footer form head label menu nav noscript object optgroup option search select textarea title".split())
+CHROME_ELEMENTS = frozenset("aside button datalist dialog footer form head label menu nav noscript object optgroup option search select textarea title".split())
 #: Roles, and ends of class names and ids, that make an element chrome.
 CHROME_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising alert alertdialog banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie "
@@ -64,9 +66,11 @@ GENERIC = frozenset("area bar block bottom box button buttons inner item items l
 ABOUT_OTHERS = frozenset("has is no not with without".split())
 TEXT_ELEMENTS = frozenset("blockquote h1 h2 h3 h4 h5 h6 p pre".split())
 NEVER_CHROME = frozenset(("html", "body", "main"))
-#: Class words that count inside an article as well: menus, notices, adverts, comments and calls to subscribe or share. A name must be that word
-#: alone, or end with it; text elements (a paragraph, a heading) inside an article are never chrome by such a word.
-IN_ARTICLES = CHROME_WORDS - frozenset("alert banner complementary contentinfo copyright dialog discussion login respond reply search social toolbar widget widgets".split())
+#: Whole class names that count inside an article as well: menus, notices, adverts, comments and calls to subscribe or share. Other compounds and
+#: all ids say nothing there (a layout is ``sidebar-right``, a recipe ``cookies``); text elements (a paragraph, a heading) are never chrome by a class.
+IN_ARTICLES = CHROME_WORDS - frozenset("alert banner complementary contentinfo copyright dialog discussion login respond reply search social toolbar widget widgets".split()) | frozenset(
+    "ad-banner ad-slot ad-unit comment-list comments-area cookie-banner cookie-notice newsletter-signup related-articles related-posts share-buttons share-links social-share".split()
+)
 #: Elements whose content is no text; it ends with their end tag alone.
 RAW = {name: re.compile(rf"</{name}\s*>", re.I) for name in "script style template svg math iframe noembed noframes xmp canvas audio video".split()}
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
@@ -95,11 +99,17 @@ def _prior(name: str, rest: str, inside: int) -> int:
         if name not in NEVER_CHROME:
             if "hidden" in own or own.get("aria-hidden") == "true" or _HIDDEN.search(own.get("style", "")):
                 return CHROME
-            words = {_own_word(w) for k in ("class", "id") if k in own for w in own[k].split()}
-            if words & (OTHERS & IN_ARTICLES if inside == MAIN else OTHERS) or CHROME_WORDS & set(own.get("role", "").lower().split()):
+            if CHROME_WORDS & set(own.get("role", "").lower().split()):
                 return CHROME
-            if words & (IN_ARTICLES if inside == MAIN else CHROME_WORDS) and not (inside == MAIN and name in TEXT_ELEMENTS):
-                return CHROME if inside == MAIN or main else WRAPPED
+            if inside == MAIN:
+                if name not in TEXT_ELEMENTS and IN_ARTICLES & set(own.get("class", "").lower().split()):
+                    return CHROME
+            else:
+                words = {_own_word(w) for k in ("class", "id") if k in own for w in own[k].split()}
+                if words & OTHERS:
+                    return CHROME
+                if words & CHROME_WORDS:
+                    return CHROME if main else WRAPPED
         main = main or own.get("role") == "main" or own.get("itemprop", "").lower() == "articlebody"
     return MAIN if main else inside
 
@@ -165,20 +175,25 @@ _FENCES = {
 
 
 def page_lines(page: str | None) -> list[tuple[str, int]]:
-    """(text, prior) of each block that has text, in page order, in time linear in the page."""
+    """(text, prior) of each block that has text, in page order, in time linear in the page.
+
+    Inline elements do not end a block: chrome inside one (an advert in a sentence) is cut out of it. One that makes text of
+    another prior than its block's is a block of its own otherwise.
+    """
     lines: list[tuple[str, int]] = []
     held: list[str] = []
-    stack: list[tuple[str, int]] = [("", OPEN)]
+    # name, prior, prior of the block, whether the element ends blocks
+    stack: list[tuple[str, int, int, bool]] = [("", OPEN, OPEN, True)]
     places: dict[str, list[int]] = {}  # where elements of a name stand on the stack
 
     def close() -> None:
         if held:
             if own := _SPACE.sub(" ", "".join(held)).strip():
-                lines.append((own, min(stack[-1][1], CHROME)))
+                lines.append((own, min(stack[-1][2], CHROME)))
             held.clear()
 
     def cut(at: int) -> None:
-        for name, _ in stack[at:]:
+        for name, *_ in stack[at:]:
             places[name].pop()
         del stack[at:]
 
@@ -186,9 +201,16 @@ def page_lines(page: str | None) -> list[tuple[str, int]]:
         own = places.get(name)
         return own[-1] if own else 0
 
+    def entry(name: str, rest: str) -> tuple[str, int, int, bool]:
+        _, around, block, _ = stack[-1]
+        prior = _prior(name, rest, around)
+        ends = name in BLOCKS or prior != around and min(prior, CHROME) != CHROME
+        return name, prior, prior if ends else block, ends
+
     for text, name, ends, rest in _tags(page or ""):
         if text:
-            held.append(html.unescape(text))
+            _, prior, block, _ = stack[-1]
+            held.append(" " if min(prior, CHROME) == CHROME and block < CHROME else html.unescape(text))
         if not name:
             continue
         if name == "br":
@@ -196,20 +218,20 @@ def page_lines(page: str | None) -> list[tuple[str, int]]:
             continue
         if ends:
             at = last(name)
-            if name in BLOCKS or at and stack[-1][1] != stack[at - 1][1]:
+            if name in BLOCKS or at and any(x[3] for x in stack[at:]):
                 close()
             if at:
                 cut(at)
             continue
-        prior = _prior(name, rest, stack[-1][1])
-        if name in BLOCKS or prior != stack[-1][1]:
+        own = entry(name, rest)
+        if own[3]:
             close()
         if name in _FENCES and last(name) > max(map(last, _FENCES[name])):
             cut(last(name))
-            prior = _prior(name, rest, stack[-1][1])
+            own = entry(name, rest)
         if name not in VOID:
             places.setdefault(name, []).append(len(stack))
-            stack.append((name, prior))
+            stack.append(own)
     close()
     return lines
 
@@ -332,7 +354,8 @@ def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", page:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(packed, pa.binary())], names=["key", "url", "host", "path", "packed"])
 
     outlines = rows.select("key", "host", "path", "html").mapInArrow(outline, f"key {kind}, host string, path string, hashes array<long>")
-    paths = settle(outlines.groupBy("host", "path").agg(F.min_by("hashes", F.struct("key", "hashes")).alias("hashes")), "outlines")
+    salt = F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")
+    paths = settle(outlines.groupBy("host", "path").agg(F.min_by("hashes", F.struct("key", "hashes")).alias("hashes"), F.collect_set(salt).alias("salts")), "outlines")
     paths = paths.repartitionByRange(parts_for(pages), "host", "path").sortWithinPartitions("host", "path")
     # written, so that the part and place of a path stay what they are
     paths = settle(paths.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place")), "paths")
@@ -341,10 +364,11 @@ def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", page:
     by_part = Window.orderBy("part")  # a row for each partition that has rows
     ends = settle(ends.select("part", F.lag("tail").over(by_part).alias("tail"), F.lead("head").over(by_part).alias("head")), "ends")
     within = Window.partitionBy("part").orderBy("place")
+    # a row for each salt that pages of the path have: pages of one path, however many, are spread over as many tasks
     near = paths.withColumn("before", F.lag(entry).over(within)).withColumn("after", F.lead(entry).over(within)).join(ends, "part")
-    near = near.select("host", "path", F.coalesce("before", "tail").alias("before"), F.coalesce("after", "head").alias("after"))
+    near = near.select("host", "path", "salts", F.coalesce("before", "tail").alias("before"), F.coalesce("after", "head").alias("after"))
     same = lambda c: F.when(F.col(f"{c}.host") == F.col("host"), F.struct(f"{c}.path", f"{c}.hashes"))
-    near = near.select("host", "path", same("before").alias("before"), same("after").alias("after"))
+    near = near.select("host", "path", F.explode("salts").alias("salt"), same("before").alias("before"), same("after").alias("after"))
 
     def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -363,7 +387,7 @@ def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", page:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(counts, pa.int64())], names=["key", "url", "text", "n_shared_lines"])
 
     cuts = rows.select("key", "url", "host", "path", "html").mapInArrow(cut, f"key {kind}, url string, host string, path string, packed binary")
-    paired = cuts.join(near, ["host", "path"]).select("key", "url", "path", "packed", "before", "after")
+    paired = cuts.withColumn("salt", salt).join(near, ["host", "path", "salt"]).select("key", "url", "path", "packed", "before", "after")
     return paired.mapInArrow(difference, f"key {kind}, url string, text string, n_shared_lines long")
 
 
