@@ -304,16 +304,22 @@ def components(edges: DataFrame) -> DataFrame:
     def both(e: DataFrame) -> DataFrame:
         return e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
+    def with_least(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The edges with the smallest neighbour of u, and (u, m) itself. The edges of a u are spread by a salt of v, and its smallest neighbour
+        stands once for each salt that it has: the hub of a large component is many tasks' work."""
+        e = e.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+        per_salt = e.groupBy("u", "salt").agg(F.min("v").alias("m"))
+        least = per_salt.groupBy("u").agg(F.min("m").alias("m"), F.collect_list("salt").alias("salts"))
+        return e.join(least.select("u", "m", F.explode("salts").alias("salt")), ["u", "salt"]), least.select("u", "m")
+
     def large_star(e: DataFrame) -> DataFrame:
-        near = both(e)
-        least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        return near.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        near, _ = with_least(both(e))
+        return near.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u > v").distinct()
 
     def small_star(e: DataFrame) -> DataFrame:
-        least = e.groupBy("u").agg(F.min("v").alias("m"))
-        own = least.select("u", F.col("m").alias("v"))
-        down = e.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        return own.unionByName(down).distinct()
+        near, least = with_least(e)
+        down = near.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        return least.select("u", F.col("m").alias("v")).unionByName(down).distinct()
 
     state = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
     edges = settle(edges, "edges")
