@@ -102,6 +102,8 @@ def quality_rules(
     df = docs.join(above, F.col(host).eqNullSafe(F.col("q_host")), "left").drop("q_host")
     df = signals(df, text, "q_")
     df = with_line_hashes(df.withColumn("q_p", F.when(F.col("q_above").isNotNull(), F.col("q_t"))), "q_p", "q_p")
+    # a document's own lines above the limits, by hash: few, where a host may have many
+    df = df.withColumn("q_above", F.array_intersect("q_above", "q_p"))
     common = F.transform("q_p", lambda x: F.array_contains("q_above", x))
     pairs = F.arrays_zip(F.split("q_t", "\n").alias("line"), common.alias("common"))
     df = df.withColumn("q_pairs", F.when(F.col("q_above").isNotNull(), pairs))
