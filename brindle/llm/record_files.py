@@ -77,6 +77,30 @@ def deserialize(payload: bytes) -> tuple[int | None, np.ndarray]:
     return None if null else key, np.frombuffer(payload, f"<u{width}", offset=HEAD.size).astype("<u4")
 
 
+#: Schemes of Hadoop's addresses by the names that Arrow has for the same stores. ``hdfs`` needs Hadoop's native library on the executors.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "gcs": "gs"}
+
+
+def arrow_address(address: str) -> str:
+    """A Hadoop address as Arrow's file systems take it; a plain path is absolute and stays."""
+    scheme, colon, rest = address.partition(":")
+    if not colon or "/" in scheme:
+        return address
+    if scheme == "file":
+        return "file:///" + rest.lstrip("/")
+    return f"{SCHEMES.get(scheme, scheme)}:{rest}"
+
+
+def store_of(address: str):
+    """(file system, path) of an address. One that Arrow cannot open raises ValueError that says what can be."""
+    from pyarrow import ArrowException, fs
+
+    try:
+        return fs.FileSystem.from_uri(arrow_address(address))
+    except (ArrowException, OSError, ValueError) as e:
+        raise ValueError(f"record files are written to local paths, s3a, gs, abfs and hdfs (with libhdfs) addresses, not to {address}: {e}") from e
+
+
 def write_records(docs: DataFrame, out: str, tokenizer: str, word_ends: bool, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode every whole text, append ``end_id`` and write record files under ``out``.
 
@@ -86,8 +110,9 @@ def write_records(docs: DataFrame, out: str, tokenizer: str, word_ends: bool, en
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(t).alias("digest"), t.alias("text"))
 
+    store_of(out)  # an address that tasks could not open fails here
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
         from pyspark import TaskContext
 
         task = TaskContext.get()
@@ -100,7 +125,7 @@ def write_records(docs: DataFrame, out: str, tokenizer: str, word_ends: bool, en
         waiting = 0
         for batch in batches:
             if where is None and batch.num_rows:
-                store, where = fs.FileSystem.from_uri(out)
+                store, where = store_of(out)
                 store.create_dir(where, recursive=True)
                 names = [f"part-{part:06d}-{task.taskAttemptId()}.{kind}" for kind in ("records", "index")]
                 files = [store.open_output_stream(f"{where}/{x}") for x in names]
@@ -138,12 +163,10 @@ def read_records(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         for batch in batches:
             for run in batch.to_pylist():
-                store, path = fs.FileSystem.from_uri(run["path"])
-                _, index = fs.FileSystem.from_uri(run["index_path"])
+                store, path = store_of(run["path"])
+                _, index = store_of(run["index_path"])
                 with store.open_input_file(index) as f:
                     f.seek(run["first"] * struct.calcsize(ENTRY))
                     entries = list(struct.iter_unpack(ENTRY, f.read(run["n"] * struct.calcsize(ENTRY))))
