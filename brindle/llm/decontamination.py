@@ -8,7 +8,8 @@ words covered into spans. Documents are not shuffled.
 
 The benchmark goes to the tasks in blocks of at most ``BLOCK_WORDS`` words (or one longer item), each a broadcast of its
 own; a larger benchmark makes more blocks, which each shard goes through in turn, and spans are merged over
-all of them. Driver and tasks hold one block in Python at a time; the others lie in files on their machines, so the sum of
+all of them. A shard numbers its own words and is indexed once; each block's windows are told in its numbers. Words that no block has,
+by a bitmap of ``KNOWN_BITS`` hashed places (a word taken for one by a collision does no harm), end runs and keep the sort short. Driver and tasks hold one block in Python at a time; the others lie in files on their machines, so the sum of
 the blocks is bounded by disk, not by memory. Rows of one item_id are one item.
 
 A null or empty text has no words and no hits; an item without words has no window; a null item_id is
@@ -19,6 +20,7 @@ columns prefixed ``d_``, which replace columns of those names. Empty documents g
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +32,7 @@ from brindle.llm.common import without
 
 SHARD_WORDS = 1 << 20
 BLOCK_WORDS = 1 << 20
+KNOWN_BITS = 1 << 23
 WORD_BYTES = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: A-Z to lower case, all that is no part of a word to a space.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else 32 if WORD_BYTES.fullmatch(bytes([c])) is None else c for c in range(256))
@@ -56,21 +59,31 @@ class Block:
             self.windows[length] = (np.array(own, "i8"), [sorted(owners[w]) for w in own])
 
 
-def blocks_of(spark: SparkSession, benchmark: DataFrame, window: int, item: str, text: str) -> list:
-    """Broadcasts of blocks; the driver holds one block at a time."""
+def _place(word: bytes) -> int:
+    return zlib.crc32(word) % KNOWN_BITS
+
+
+def blocks_of(spark: SparkSession, benchmark: DataFrame, window: int, item: str, text: str) -> tuple[list, bytes]:
+    """Broadcasts of blocks, and the bitmap of their words; the driver holds one block at a time."""
     rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")), F.col(text).cast("string"))
-    found, held, size = [], [], 0
+    found, held, size, known = [], [], 0, np.zeros(KNOWN_BITS, bool)
+
+    def put() -> None:
+        block = Block(held, window)
+        known[[_place(w) for w in block.vocabulary]] = True
+        found.append(spark.sparkContext.broadcast(block))
+
     for key, own in rows.toLocalIterator():
         words = words_of(own)
         held.append((key, words))
         size += len(words)
         if size >= BLOCK_WORDS:
-            found.append(spark.sparkContext.broadcast(Block(held, window)))
+            put()
             _put_down(found[-1])
             held, size = [], 0
     if held or not found:
-        found.append(spark.sparkContext.broadcast(Block(held, window)))
-    return found
+        put()
+    return found, np.packbits(known, bitorder="little").tobytes()
 
 
 def _put_down(block) -> None:
@@ -78,28 +91,55 @@ def _put_down(block) -> None:
     block.__dict__.pop("_value", None)
 
 
-def search_shard(texts: list[list[bytes]], block: Block, hit: np.ndarray, starts: np.ndarray, items: list[set[str]]) -> None:
-    """Marks the words of the shard's documents that a window covers, and adds items. Document d begins at starts[d]; a 0 follows each."""
-    from brindle.llm.fm_index import FMIndex
-
-    get = block.vocabulary.get
-    symbols = np.zeros(len(hit), "i8")
-    for words, start in zip(texts, starts.tolist(), strict=True):
-        symbols[start : start + len(words)] = [get(w, 0) for w in words]
-    if not block.windows or not symbols.any():
-        return
-    index = FMIndex(symbols, len(block.vocabulary) + 1)
-    change = np.zeros(len(hit) + 1, "i8")
-    for length, (phrases, owners) in block.windows.items():
-        low, high = index.search(phrases)
-        alive = np.flatnonzero(low < high)
-        which, place = index.locate(low[alive], high[alive])
-        np.add.at(change, place, 1)
-        np.add.at(change, place + length, -1)
-        doc = np.searchsorted(starts, place, "right") - 1
-        for d, w in np.unique(np.stack([doc, alive[which]], 1), axis=0).tolist():
-            items[d].update(owners[w])
-    hit |= np.cumsum(change[:-1]) > 0
+class _Numbers(dict):
+    """Numbers words as they are met; 0 is every word that the benchmark does not have."""
+
+    def __init__(self, known: bytes):
+        super().__init__()
+        self.known, self.sigma = known, 1
+
+    def __missing__(self, word: bytes) -> int:
+        place = _place(word)
+        number = self[word] = self.sigma if self.known[place >> 3] >> (place & 7) & 1 else 0
+        self.sigma += number > 0
+        return number
+
+
+class Shard:
+    """The words of some documents in one FM-index. Document d begins at starts[d]; a 0 follows each."""
+
+    def __init__(self, texts: list[list[bytes]], known: bytes):
+        from brindle.llm.fm_index import FMIndex
+
+        self.sizes = np.array([len(w) for w in texts], "i8")
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes + 1)[:-1]]).astype("i8")
+        self.numbers = _Numbers(known)
+        symbols = np.zeros(int((self.sizes + 1).sum()), "i8")
+        for words, start in zip(texts, self.starts.tolist(), strict=True):
+            symbols[start : start + len(words)] = [self.numbers[w] for w in words]
+        self.hit, self.items = np.zeros(len(symbols), bool), [set() for _ in texts]
+        self.index = FMIndex(symbols, self.numbers.sigma) if symbols.any() else None
+
+    def search(self, block: Block) -> None:
+        """Marks the words that a window of the block covers, and adds its items."""
+        if self.index is None or not block.windows:
+            return
+        own = np.array([0, *(self.numbers.get(w, 0) for w in block.vocabulary)], "i8")
+        change = np.zeros(len(self.hit) + 1, "i8")
+        for length, (windows, owners) in block.windows.items():
+            phrases = own[windows]
+            there = np.flatnonzero((phrases > 0).all(1))  # the shard has all their words
+            if not len(there):
+                continue
+            low, high = self.index.search(phrases[there])
+            alive = np.flatnonzero(low < high)
+            which, place = self.index.locate(low[alive], high[alive])
+            np.add.at(change, place, 1)
+            np.add.at(change, place + length, -1)
+            doc = np.searchsorted(self.starts, place, "right") - 1
+            for d, w in np.unique(np.stack([doc, there[alive[which]]], 1), axis=0).tolist():
+                self.items[d].update(owners[w])
+        self.hit |= np.cumsum(change[:-1]) > 0
 
 
 def spans_of(text: str, mask: np.ndarray) -> list[dict]:
@@ -123,19 +163,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, text:
     """All columns of ``docs`` and: words, words hit, items with occurring windows, merged removal spans, the text without them."""
     spark = docs.sparkSession
     docs = without(docs, ["d_n_words", "d_n_hit", "d_items", "d_spans", "d_clean_text"])
-    blocks = blocks_of(spark, benchmark, window, item, item_text)
+    blocks, words_known = blocks_of(spark, benchmark, window, item, item_text)
+    known = spark.sparkContext.broadcast(words_known)  # KNOWN_BITS
     column = docs.columns.index(text)
     added = pa.schema([("d_n_words", pa.int64()), ("d_n_hit", pa.int64()), ("d_items", pa.list_(pa.string())), ("d_spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("d_clean_text", pa.string())])
 
     def finish(held: list[pa.RecordBatch], words: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
-        sizes = np.array([len(w) for w in words], "i8")
-        starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]).astype("i8")
-        hit, items = np.zeros(int((sizes + 1).sum()), bool), [set() for _ in words]
+        shard = Shard(words, known.value)
         for block in blocks:
-            search_shard(words, block.value, hit, starts, items)
+            shard.search(block.value)
             if len(blocks) > 1:
                 _put_down(block)
-        d = 0
+        hit, starts, sizes, items, d = shard.hit, shard.starts, shard.sizes, shard.items, 0
         for batch in held:
             rows = []
             for t in batch.column(column).to_pylist():
