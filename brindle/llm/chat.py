@@ -2,8 +2,9 @@
 
 Each turn becomes three segments of text: an opening mark, the turn's text and a closing mark. A
 segment carries a loss flag: true for the text of roles under the loss mask, false for all marks.
-Control strings inside texts and roles are escaped: every mark begins with ``<`` or ``[`` and no
-escaped text holds either, so no text can forge a mark, and unescaping gives the text back.
+Control strings inside texts and roles are escaped: every mark holds a guarded character (``<``, ``[`` or ``]``) and no escaped text
+does, so no text can forge a mark, and unescaping gives the text back. A template whose marks its escapes do not guard raises
+ValueError; ``escapes=None`` derives them from the marks.
 
 Rows are taken by conversation and turn. Streams of sorted rows are formatted in constant memory, so a
 conversation of any length is no group in memory: its output is a row per ``PART`` characters, numbered
@@ -45,7 +46,29 @@ class Template:
             "assistant": {"user": "user"},
         }
     )
-    escapes: tuple[tuple[str, str], ...] = (("\\", "\\\\"), ("<", "\\l"), ("[", "\\b"), ("]", "\\r"))
+    #: Plain characters and what stands for each in texts, in the order in which they are replaced; None: made from the marks.
+    escapes: tuple[tuple[str, str], ...] | None = (("\\", "\\\\"), ("<", "\\l"), ("[", "\\b"), ("]", "\\r"))
+
+    def __post_init__(self):
+        if self.opening.count("{role}") != 1:
+            raise ValueError("the opening mark names {role} once")
+        marks = [*self.opening.split("{role}"), self.closing]
+        if not all(marks):
+            raise ValueError("a mark stands before and after the role, and one after the text")
+        if self.escapes is None:
+            guards = sorted({next((c for c in m if not c.isspace() and c != "\\"), m[0]) for m in marks})
+            object.__setattr__(self, "escapes", (("\\", "\\\\"), *((c, f"\\{k}") for c, k in zip(guards, (x for x in "abcdef" if x not in guards)))))
+        plain, escaped = [p for p, _ in self.escapes], [e for _, e in self.escapes]
+        guards = set(plain) - {"\\"}
+        if plain[:1] != ["\\"] or any(len(p) != 1 for p in plain) or any(len(e) != 2 or e[0] != "\\" for e in escaped) or len(set(plain)) < len(plain) or len(set(escaped)) < len(escaped) or guards & {e[1] for e in escaped}:
+            raise ValueError("escapes give each character, the backslash first, a backslash and a character of its own that needs no escape")
+        if bare := [m for m in marks if not guards & set(m)]:
+            raise ValueError(f"no escape guards the marks {bare}: a text could hold them")
+
+    @property
+    def guards(self) -> str:
+        """Characters that no escaped text holds."""
+        return "".join(p for p, _ in self.escapes if p != "\\")
 
     def escape(self, text: str) -> str:
         for plain, escaped in self.escapes:
@@ -60,13 +83,14 @@ class Template:
         return self.transitions.get(state, {}).get(role, "invalid")
 
     def segments(self, role: str, text: str) -> list[dict]:
-        opening = self.opening.format(role=self.escape(role))
+        opening = self.opening.replace("{role}", self.escape(role))
         return [{"text": opening, "loss": False}, {"text": self.escape(text), "loss": role in self.loss_roles}, {"text": self.closing, "loss": False}]
 
     def parse(self, formatted: str) -> list[tuple[str, str]]:
         """(role, text) of each turn of formatted text, from its marks alone."""
         before, after = self.opening.split("{role}")
-        turn = re.compile(re.escape(before) + r"([^<\[\]]*)" + re.escape(after) + r"([^<\[\]]*)" + re.escape(self.closing))
+        free = f"([^{re.escape(self.guards)}]*)"
+        turn = re.compile(re.escape(before) + free + re.escape(after) + free + re.escape(self.closing))
         found, at = [], 0
         while at < len(formatted):
             if not (m := turn.match(formatted, at)):
