@@ -108,7 +108,7 @@ def test_spans_are_removed_and_blocks_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "BLOCK_WORDS", 1)
     monkeypatch.setattr(decontamination, "SHARD_WORDS", 100)
     many = decontamination.decontaminate(docs, items)
-    assert rows_of(many) == rows_of(decontamination.decontaminate(docs, items)) and len(decontamination.blocks_of(spark, items, 10, "item_id", "text")) == 4
+    assert rows_of(many) == rows_of(decontamination.decontaminate(docs, items)) and len(decontamination.blocks_of(spark, items, 10, "item_id", "text")[0]) == 4
     assert {r.doc_id: r for r in many.collect()} == one
 
 
