@@ -35,7 +35,7 @@ BITS, PIECE = 1 << 27, 1 << 19
 #: Share of the documents that is mined first, and the part of the threshold's expected count there that proposes a phrase.
 SAMPLE, LOWERED = 1 / 8, 0.4
 #: Code points of text that a task counts together; phrases that it gives out at a time.
-TOGETHER, GIVEN = 8 << 20, 1 << 15
+TOGETHER, GIVEN = 3 << 20, 1 << 15
 
 #: Lower-cases A-Z, makes a break (a byte that no text has) of marks and line ends.
 _BREAK = 0xFF
