@@ -4,8 +4,11 @@ The base patterns give spans of e-mail addresses, IP addresses, card numbers and
 field labels tokens (white-space words) with those kinds, ``secret`` or nothing. Each token has a
 potential from its features; neighbours share a transition potential; tokens of one document that
 repeat (equal letters and digits, six at least) or else are similar (equal letters, and digits in equal
-places) share a skip potential with their next such token, however far it is. Labels are read from marginals after loopy message passing over each document's
-whole graph, so that an entity found by its context in one place is found in its other places too.
+places) share a skip potential, which is for agreement whatever the label, with the first such token, however far it is: what is known of one reaches all others in two steps.
+Labels are read from marginals after loopy message passing over each document's
+whole graph, so that an entity found by its context in one place is found in its other places too. Each document's messages are passed
+until they settle, whatever other documents are passed with them: after ``SWEEPS`` sweeps more heavily damped, and those that have not
+settled after ``MOST_SWEEPS`` are told by ``p_settled``.
 Telling tokens are those with a digit or an at sign, named values (as below), tokens of ``LONG`` characters of
 keys or more, and all repetitions of these; they and what lies within ``REACH`` tokens of them are always in the
 graph, and only telling tokens have skip edges. Every other token is scored too, and clamped to "nothing" if the
@@ -14,8 +17,9 @@ more than the largest difference of transition potentials. Tokens without that p
 looks at the surroundings of telling tokens alone.
 
 Weights maximise the pseudo-likelihood of weakly labelled documents: labels are the base spans and the
-values of key = value pairs that name a token, key, secret or password. At most ``TRAIN_ROWS`` rows of at
-most ``TRAIN_CHARS`` characters are used, chosen by digest from all that qualify; this is the one bound on rows.
+values of key = value pairs that name a token, key, secret or password; the surroundings of at most ``LETTERED`` such values are
+learnt from a second time, with letters for the value's digits, so that names count for values of letters alone. At most ``TRAIN_ROWS`` rows of at
+most ``TRAIN_CHARS`` characters are used, chosen by digest from all that qualify; these are the bounds on rows.
 
 The field only adds spans: base spans stay, and an added span overlaps none of them. A null or empty text
 has no spans. Repeated rows give equal results. Extra columns pass through; results are prefixed ``p_``
@@ -41,7 +45,7 @@ from brindle.llm.common import without
 
 KINDS = ["email", "ip", "card", "phone"]
 LABELS = ["", *KINDS, "secret"]
-TRAIN_ROWS, TRAIN_CHARS = 3000, 20_000
+TRAIN_ROWS, TRAIN_CHARS, LETTERED = 3000, 20_000, 500
 REACH = 2
 LONG = 16
 #: Odds of being anything, at most, with which a token is left out of the graph.
@@ -50,8 +54,8 @@ PROVEN = 0.01
 MET, MET_CHARS, SCORED = 1 << 17, 1 << 24, 1 << 16
 #: Bytes of text whose graphs are held together.
 TOGETHER = 4 << 20
-#: Message-passing sweeps at most, and the change of a message that ends them.
-SWEEPS, SETTLED = 50, 1e-4
+#: Message-passing sweeps before more damping, and at most; the change of a document's messages that ends them.
+SWEEPS, MOST_SWEEPS, SETTLED = 50, 2000, 1e-4
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -62,6 +66,8 @@ _TELLING = re.compile(r"[0-9@]")
 _LONG = re.compile(rf"[A-Za-z0-9/+_-]{{{LONG},}}")
 _TOKEN = re.compile(r"\S+")
 _EDGES = "%#*$&!|\"'.,;:()[]{}<>?"
+_NAMED = r"(?i)(?:\b|_)(?:token|secret|password|passwd|api[_-]?key|key)[\x20\x09]*[:=][\x20\x09]*[\"']?"
+_NAMED_BEFORE, _NAMED_INSIDE = re.compile(_NAMED + r"\Z"), re.compile(_NAMED + rf"[A-Za-z0-9/+_-]{{{LONG},}}")
 _SECRET = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|key)[\x20\x09]*[:=][\x20\x09]*[\"']?([A-Za-z0-9/+_-]{16,})")
 
 
@@ -173,42 +179,90 @@ def _key(token: str) -> str:
     return re.sub(r"[\W_]", "", token).lower()
 
 
+def _spans(text: str, words: list[str], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins and ends: at once if single characters part them."""
+    if int(lengths.sum()) + len(words) - 1 == len(text):
+        starts = np.cumsum(lengths + 1) - lengths - 1
+    else:
+        starts = np.fromiter((m.start() for m in _TOKEN.finditer(text)), "i8", len(words))
+    return starts, starts + lengths
+
+
 def add_document(graph: Graph, doc: int, text: str, model: Model | None = None) -> None:
     """Adds a text's graph; with a model, tokens that it does not prove to be nothing are in it too."""
-    doubtful = model.doubtful(text.split()) if model else []
-    if not len(doubtful) and not _TELLING.search(text) and not _LONG.search(text):  # a named value is long as well
+    words = text.split()
+    if not words:
+        return
+    if model:
+        ids = model.places(words)
+        doubtful, marked, plain, lengths = model.doubtful_at(ids), model.telling[ids], model.plain[ids], model.lengths[ids]
+    else:
+        doubtful, lengths = np.zeros(0, "i8"), np.fromiter(map(len, words), "i8", len(words))
+        marked = np.fromiter((_TELLING.search(w) is not None for w in words), bool, len(words))
+        plain = ~marked & np.fromiter((_is_long(w) for w in words), bool, len(words))
+    if not len(doubtful) and not marked.any() and not plain.any():
         return
-    tokens = [m.span() for m in _TOKEN.finditer(text)]
-    telling = [bool(_TELLING.search(text, a, b)) for a, b in tokens]
-    plain = [k for k, (a, b) in enumerate(tokens) if not telling[k] and b - a >= LONG and _LONG.search(text, a, b)]
-    for k in plain:
-        telling[k] = True
-    if plain:  # what repeats a token with digits has digits
-        keys = {_key(text[slice(*tokens[k])]) for k in plain}
-        telling = [t or b - a >= 6 and _key(text[a:b]) in keys for t, (a, b) in zip(telling, tokens, strict=True)]
-    kept = sorted(set(doubtful) | {j for k, t in enumerate(telling) if t for j in range(max(0, k - REACH), min(len(tokens), k + REACH + 1))})
+    if plain.any():  # what repeats a token with digits has digits
+        if model:
+            again = np.isin(model.keys[ids], model.keys[ids[plain]])
+        else:
+            keys = {_key(words[k]) for k in np.flatnonzero(plain).tolist()}
+            again = np.fromiter((len(w) >= 6 and _key(w) in keys for w in words), bool, len(words))
+        marked = marked | plain | again & (lengths >= 6)
+    held = np.zeros(len(words), bool)
+    for by in range(-REACH, REACH + 1):
+        held[max(0, by) : len(words) + min(0, by)] |= marked[max(0, -by) : len(words) - max(0, by)]
+    held[doubtful] = True
+    kept = np.flatnonzero(held)
+    starts, ends = _spans(text, words, lengths)
+    clamped = (np.r_[False, held[:-1]][kept] ^ True).astype(int) + (np.r_[held[1:], False][kept] ^ True)
     node: dict[int, int] = {}
-    last: dict[str, int] = {}
+    first: dict[str, int] = {}
     alike: dict[str, int] = {}
-    held = set(kept)
-    around = sorted({j for k in kept for j in (k - 1, k, k + 1) if 0 <= j < len(tokens)})
-    core = {j: _core(text, *tokens[j]) for j in around}
-    for k in kept:
+    core: dict[int, tuple[int, int]] = {}
+
+    def core_of(j: int) -> tuple[int, int]:
+        if j not in core:
+            core[j] = _core(text, int(starts[j]), int(ends[j]))
+        return core[j]
+
+    for k, around in zip(kept.tolist(), clamped.tolist(), strict=True):
         i = node[k] = len(graph.doc)
-        near = [text[slice(*core[j])] if j in core else "" for j in (k - 1, k, k + 1)]
+        near = [text[slice(*core_of(j))] if 0 <= j < len(words) else "" for j in (k - 1, k, k + 1)]
         graph.doc.append(doc)
-        graph.span.append(core[k])
-        graph.features.append(_features(near, 1))
-        graph.clamped.append((k - 1 not in held) + (k + 1 not in held))
+        graph.span.append(core_of(k))
+        graph.features.append(_features(near, 1) + (["named"] if _is_long(near[1]) and _named(text, *core_of(k)) else []))
+        graph.clamped.append(around)
         if k - 1 in node:
             graph.chain.append((node[k - 1], i))
-        if telling[k] and len(key := _key(near[1])) >= 6:
+        if marked[k] and len(key := _key(near[1])) >= 6:
             like = re.sub(r"[0-9]", "0", key)
-            if key in last:
-                graph.skip.append((last[key], i))
+            if key in first:
+                graph.skip.append((first[key], i))
             elif like in alike and not like.isdigit():
                 graph.skip.append((alike[like], i))
-            last[key] = alike[like] = i
+            first.setdefault(key, i)
+            alike.setdefault(like, i)
+
+
+def _named(text: str, start: int, end: int) -> bool:
+    """Whether a name of secrets stands before a token, or begins it. Only long tokens, which are always in the graph, are asked."""
+    return _NAMED_BEFORE.search(text[max(0, start - 40) : start]) is not None or _NAMED_INSIDE.match(text, start, end) is not None
+
+
+def _is_long(word: str) -> bool:
+    return len(word) >= LONG and _LONG.search(word) is not None
+
+
+class _Met(dict):
+    """Places of tokens in a worker's memory; a new one is entered when it is asked for."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, token: str) -> int:
+        return self.model._meet(token)
 
 
 @dataclass
@@ -217,12 +271,29 @@ class Model:
     unary: np.ndarray  # feature x label
     chain: np.ndarray  # label x label
     skip: np.ndarray  # label x label, symmetric
-    # what a worker remembers: places of tokens it has met, their rows (own, as the token before, as the token after), scores of rows
-    met: dict[str, int] = field(default_factory=dict, repr=False)
-    met_chars: int = 0
-    rows: np.ndarray = field(default_factory=lambda: np.zeros((1024, 3), "i8"), repr=False)
-    known: dict[tuple[str, ...], int] = field(default_factory=dict, repr=False)
-    sums: np.ndarray = field(default_factory=lambda: np.zeros((1024, len(LABELS))), repr=False)
+
+    def __post_init__(self):
+        self.forget()
+        size = len(LABELS)
+        #: The most that two neighbours' labels can add to a label over nothing.
+        self.most = 2 * np.maximum((self.chain - self.chain[:, :1]).max(0), (self.chain.T - self.chain.T[:, :1]).max(0))[1:]
+        #: The most that the words before and after can add.
+        gain = lambda name: np.max([np.zeros(size), *(self.unary[j] - self.unary[j, 0] for n, j in self.index.items() if n.startswith(name))], 0)[1:]
+        self.beside = gain("before=") + gain("after=")
+
+    def forget(self) -> None:
+        """Empties what a worker remembers: places of tokens it has met; of each its rows (own, as the token before, as the token after), the most its odds can
+        be, and what it is; scores of rows."""
+        self.met, self.met_chars, self.known, self.key_ids = _Met(self), 0, {}, {}
+        self.rows, self.bound, self.sums = np.zeros((1024, 3), "i8"), np.zeros(1024), np.zeros((1024, len(LABELS)))
+        self.telling, self.plain, self.lengths, self.keys = np.zeros(1024, bool), np.zeros(1024, bool), np.zeros(1024, "i8"), np.zeros(1024, "i8")
+
+    def __getstate__(self) -> dict:
+        return {k: getattr(self, k) for k in ("index", "unary", "chain", "skip")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.__post_init__()
 
     def _row(self, names: tuple[str, ...]) -> int:
         """The row that holds the summed scores of features; row 0 is zero."""
@@ -234,39 +305,48 @@ class Model:
             self.sums[row] = sum((self.unary[self.index[n]] for n in names if n in self.index), np.zeros(len(LABELS)))
         return row
 
-    def _meet(self, token: str) -> None:
+    def _meet(self, token: str) -> int:
         core = token.strip(_EDGES) or token
         # to the features, words of letters differ in length alone
         own = self._row(_letters(min(len(core), 48)) if core.isalpha() else tuple(_own_features(core)))
         place = self.met[token] = len(self.met)
         self.met_chars += len(token)
         if place == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            for name in ("rows", "bound", "telling", "plain", "lengths", "keys"):
+                held = getattr(self, name)
+                setattr(self, name, np.concatenate([held, np.zeros_like(held)]))
         before, after = _beside("before", core), _beside("after", core)
         self.rows[place] = own, self._row((before,)) if before in self.index else 0, self._row((after,)) if after in self.index else 0
+        self.bound[place] = np.exp(np.minimum(50.0, self.sums[own, 1:] - self.sums[own, 0] + self.beside + self.most)).sum()
+        self.telling[place] = _TELLING.search(token) is not None
+        self.plain[place] = not self.telling[place] and _is_long(token)
+        self.lengths[place] = len(token)
+        self.keys[place] = self.key_ids.setdefault(_key(token), len(self.key_ids))
+        return place
+
+    def places(self, tokens: list[str]) -> np.ndarray:
+        if len(self.met) > MET or self.met_chars > MET_CHARS:
+            self.forget()
+        return np.fromiter(map(self.met.__getitem__, tokens), "i8", len(tokens))
 
     def doubtful(self, tokens: list[str]) -> list[int]:
         """Places of tokens in a row that may be something, by their scores and the most that two neighbours can add."""
-        if not tokens:
-            return []
-        if len(self.met) > MET or self.met_chars > MET_CHARS:
-            self.met.clear()
-            self.known.clear()
-            self.met_chars = 0
-        for t in ("", *tokens):
-            if t not in self.met:
-                self._meet(t)
+        return self.doubtful_at(self.places(tokens)).tolist()
+
+    def doubtful_at(self, ids: np.ndarray) -> np.ndarray:
+        """The same of tokens by their places in memory. Most tokens are nothing whatever stands beside them; the words beside the others are looked at."""
+        some = np.flatnonzero(self.bound[ids] >= PROVEN)
+        if not len(some):
+            return some
         end = self.met[""]
-        ids = np.fromiter((self.met[t] for t in tokens), "i8", len(tokens))
-        before, after = np.r_[end, ids[:-1]], np.r_[ids[1:], end]
-        most = 2 * np.maximum((self.chain - self.chain[:, :1]).max(0), (self.chain.T - self.chain.T[:, :1]).max(0))[1:]
-        out: list[int] = []
-        for k in range(0, len(ids), SCORED):
-            some = slice(k, k + SCORED)
-            score = self.sums[self.rows[ids[some], 0]] + self.sums[self.rows[before[some], 1]] + self.sums[self.rows[after[some], 2]]
-            odds = np.exp(np.minimum(50.0, score[:, 1:] - score[:, :1] + most)).sum(1)
-            out += (np.flatnonzero(odds >= PROVEN) + k).tolist()
-        return out
+        before, after = np.where(some > 0, ids[some - 1], end), np.where(some + 1 < len(ids), ids[np.minimum(some + 1, len(ids) - 1)], end)
+        out = []
+        for k in range(0, len(some), SCORED):
+            at = slice(k, k + SCORED)
+            score = self.sums[self.rows[ids[some[at]], 0]] + self.sums[self.rows[before[at], 1]] + self.sums[self.rows[after[at], 2]]
+            odds = np.exp(np.minimum(50.0, score[:, 1:] - score[:, :1] + self.most)).sum(1)
+            out.append(some[at][odds >= PROVEN])
+        return np.concatenate(out)
 
 
 def _sums(model_index: dict[str, int], graph: Graph) -> tuple[np.ndarray, np.ndarray]:
@@ -284,9 +364,29 @@ def weak_labels(graph: Graph, texts: dict[int, str]) -> np.ndarray:
     return out
 
 
+#: Ways to name a value that are learnt beside those of the texts.
+_FORMS = ("password = ", "api_key: ", "secret=", 'token="')
+_IN_LETTERS = str.maketrans("0123456789", "oizeasgtbq")
+
+
+def _lettered(texts: list[str]) -> list[str]:
+    """The surroundings of named values with digits, at most ``LETTERED``, with letters in place of the digits."""
+    found = []
+    for text in texts:
+        for m in _SECRET.finditer(text):
+            if len(found) == LETTERED:
+                return found
+            if _TELLING.search(m[1]):
+                (a, b), value = m.span(1), m[1].translate(_IN_LETTERS)
+                before = text[max(0, m.start() - 80) : m.start()]
+                found += [f"{before}{name}{value}{text[b : b + 80]}" for name in (text[m.start() : a], *_FORMS)][: LETTERED - len(found)]
+    return found
+
+
 def fit(texts: list[str], rounds: int = 300, rate: float = 0.5, decay: float = 1e-4) -> Model:
     """Maximum pseudo-likelihood by gradient steps with momentum: each token's label given its neighbours' labels."""
     graph, size = Graph(), len(LABELS)
+    texts = [*texts, *_lettered(texts)]
     for d, t in enumerate(texts):
         add_document(graph, d, t)
     counts = Counter(n for names in graph.features for n in names)
@@ -318,17 +418,20 @@ def fit(texts: list[str], rounds: int = 300, rate: float = 0.5, decay: float = 1
         gap = one - p / p.sum(1, keepdims=True)
         unary = np.zeros_like(model.unary)
         np.add.at(unary, columns, gap[rows])
-        to_skip = far.T @ gap
+        to_skip = np.eye(size) * np.trace(far.T @ gap) / size  # to agree is worth the same whatever the label
         steps = [unary / np.sqrt(per_feature * n), (left.T @ gap + (right.T @ gap).T) / n, (to_skip + to_skip.T) / max(1, len(skip))]
         for w, v, g in zip(weights, speed, steps, strict=True):
             v *= 0.9
             v += rate * (g - decay * w)
             w += v
-    return model
+    return Model(index, *weights)  # anew: what it keeps is made from its weights
 
 
-def marginals(graph: Graph, model: Model) -> np.ndarray:
-    """Beliefs of each token after loopy sum-product message passing over chains and skips."""
+def beliefs(graph: Graph, model: Model) -> tuple[np.ndarray, set[int]]:
+    """Beliefs of each token after loopy sum-product message passing over chains and skips, and the documents whose messages did not settle.
+
+    A document's messages are passed until they settle, and stay then: its beliefs are those it has alone.
+    """
     n, size = len(graph.doc), len(LABELS)
     score = np.zeros((n, size))
     rows, columns = _sums(model.index, graph)
@@ -343,33 +446,47 @@ def marginals(graph: Graph, model: Model) -> np.ndarray:
     kind = np.concatenate([np.zeros(len(chain), "i8"), np.ones(len(skip), "i8"), np.full(len(chain), 2), np.ones(len(skip), "i8")])
     factor = np.exp(np.stack([model.chain, model.skip, model.chain.T]))
     message = np.zeros((2 * edges, size))
-    for _ in range(SWEEPS if edges else 0):
+    _, doc = np.unique(np.array(graph.doc, "i8")[target], return_inverse=True)
+    active = np.arange(2 * edges)
+    for sweep in range(MOST_SWEEPS):
+        if not len(active):
+            break
         belief = score.copy()
-        np.add.at(belief, target, message)
-        out = belief[source] - message[back]
+        np.add.at(belief, target[active], message[active])
+        out = belief[source[active]] - message[back[active]]
         out -= out.max(1, keepdims=True)
-        new = np.log(np.maximum(1e-300, np.einsum("ey,eyz->ez", np.exp(out), factor[kind])))
+        new = np.log(np.maximum(1e-300, np.einsum("ey,eyz->ez", np.exp(out), factor[kind[active]])))
         new -= new.max(1, keepdims=True)
-        new = 0.5 * (new + message)  # damped, so that loops settle
-        change = np.abs(new - message).max()
-        message = new
-        if change < SETTLED:
-            break
+        keep = 0.5 if sweep < SWEEPS else 0.9  # damped, so that loops settle
+        new = (1 - keep) * new + keep * message[active]
+        change = np.zeros(doc.max() + 1)
+        np.maximum.at(change, doc[active], np.abs(new - message[active]).max(1) / (1 - keep))
+        message[active] = new
+        active = active[change[doc[active]] >= 2 * SETTLED]
     belief = score
     np.add.at(belief, target, message)
     p = np.exp(belief - belief.max(1, keepdims=True))
-    return p / p.sum(1, keepdims=True)
+    return p / p.sum(1, keepdims=True), {graph.doc[i] for i in target[active].tolist()}
+
+
+def marginals(graph: Graph, model: Model) -> np.ndarray:
+    return beliefs(graph, model)[0]
 
 
 def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]], model: Model) -> list[list[tuple[str, int, int]]]:
     """Spans of the field for each text: runs of tokens of one label, more likely than not, that no base span overlaps."""
+    return _field_spans(texts, base, model)[0]
+
+
+def _field_spans(texts: list[str], base: list[list[tuple[str, int, int]]], model: Model) -> tuple[list[list[tuple[str, int, int]]], set[int]]:
+    """The spans, and the texts whose messages did not settle."""
     graph = Graph()
     for d, t in enumerate(texts):
         add_document(graph, d, t, model)
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     if not graph.doc:
-        return out
-    p = marginals(graph, model)
+        return out, set()
+    p, unsettled = beliefs(graph, model)
     best = p.argmax(1)
     sure = (p.max(1) > 0.5) & (best > 0)
     joined = {b: a for a, b in graph.chain}
@@ -384,7 +501,7 @@ def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]], model:
             out[d].append((kind, a, b))
             k = len(out[d]) - 1
         run[i] = k
-    return [[s for s in own if not any(s[1] < y and x < s[2] for _, x, y in taken)] for own, taken in zip(out, base, strict=True)]
+    return [[s for s in own if not any(s[1] < y and x < s[2] for _, x, y in taken)] for own, taken in zip(out, base, strict=True)], unsettled
 
 
 def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -419,8 +536,8 @@ def _portions(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
 
 
 def find_pii(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns of ``docs``, p_spans (kind, start, end in code points, base: a base pattern's) by kind and start, p_redacted."""
-    docs = without(docs, ["p_spans", "p_redacted"])
+    """All columns of ``docs``, p_spans (kind, start, end in code points, base: a base pattern's) by kind and start, p_redacted, p_settled."""
+    docs = without(docs, ["p_spans", "p_redacted", "p_settled"])
     column = docs.columns.index(text)
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training rows
     spans_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
@@ -430,25 +547,26 @@ def find_pii(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             for batch in _portions(whole, column):
                 texts = [t or "" for t in batch.column(column).to_pylist()]
                 base = [base_spans(t) for t in texts]
-                more = added_spans(texts, base, held.value)
+                more, unsettled = _field_spans(texts, base, held.value)
                 spans, redacted = [], []
                 for t, b, m in zip(texts, base, more, strict=True):
                     own = sorted([(*s, True) for s in b] + [(*s, False) for s in m], key=lambda s: (LABELS.index(s[0]), s[1]))
                     spans.append([{"kind": kind, "start": x, "end": y, "base": is_base} for kind, x, y, is_base in own])
                     redacted.append(redact(t, [s[:3] for s in own]) if own else t)
                 table = pa.Table.from_batches([batch]).append_column(pa.field("p_spans", spans_type), pa.array(spans, spans_type)).append_column("p_redacted", pa.array(redacted, pa.string()))
+                table = table.append_column("p_settled", pa.array([d not in unsettled for d in range(len(texts))]))
                 yield from table.to_batches()
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kept}, p_spans array<struct<kind: string, start: long, end: long, base: boolean>>, p_redacted string")
+    return docs.mapInArrow(run, f"{kept}, p_spans array<struct<kind: string, start: long, end: long, base: boolean>>, p_redacted string, p_settled boolean")
 
 
 def op8_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = find_pii(docs, train(docs)).select("doc_id", "p_spans")
+    found = find_pii(docs, train(docs)).select("doc_id", "p_spans", "p_settled")
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("p_spans", lambda s: s["base"])
     of = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     counts = [of(kind) for kind in KINDS]
-    more = [F.size(F.filter("p_spans", lambda s: s["kind"] == "secret")).cast("long").alias("n_secret"), F.size("p_spans").cast("long").alias("n_spans")]
+    more = [F.size(F.filter("p_spans", lambda s: s["kind"] == "secret")).cast("long").alias("n_secret"), F.size("p_spans").cast("long").alias("n_spans"), F.col("p_settled").alias("settled")]
     return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("p_spans")).alias("spans"), *more)

@@ -570,3 +570,50 @@ def test_one_hot_group_and_empty_tables_are_sharded(spark):
     assert sharding.kd_shards(docs, 8, ["lang"]).count() == 0
     same = spark.range(50).selectExpr("id AS doc_id", "'same' AS text", "'en' AS lang")
     assert {r.shard for r in sharding.kd_shards(same, 4, ["lang"]).collect()}.__len__() == 1
+
+
+def test_repetitions_meet_in_the_first_and_settle_each_for_itself():
+    key = "7f3c5d9a1b2c3d4e5f6a"
+    graph = pii.Graph()
+    pii.add_document(graph, 0, f"a {key} b " * 4)
+    hub = graph.skip[0][0]
+    assert len(graph.skip) == 3 and {a for a, _ in graph.skip} == {hub}
+    rng, size = np.random.default_rng(1), len(pii.LABELS)
+    model = pii.fit(SECRETS + PLAIN)
+    texts = [f"we set token = \"{key}\" in the old file. later {key} and {key} again", f"only {key} here", "12 rules of 2.0. and 7 parts", f"{key} " * 60]
+    together, graph = {}, pii.Graph()
+    for d, t in enumerate(texts):
+        pii.add_document(graph, d, t)
+    p, unsettled = pii.beliefs(graph, model)
+    assert not unsettled
+    for d, t in enumerate(texts):
+        own = pii.Graph()
+        pii.add_document(own, d, t)
+        together[d] = p[[i for i, x in enumerate(graph.doc) if x == d]]
+        assert np.allclose(together[d], pii.marginals(own, model), atol=1e-9)
+    # strong opposed potentials on a loop may never settle: such documents are told, others are not
+    wild = pii.Model({"f": 0}, np.zeros((1, size)), rng.normal(0, 30, (size, size)), -40 * np.eye(size))
+    graph = pii.Graph([0] * 4 + [1], [(i, i + 1) for i in range(5)], [["f"]] * 5, [0] * 5, [(0, 1), (1, 2), (2, 3)], [(0, 2), (0, 3), (1, 3)])
+    p, unsettled = pii.beliefs(graph, wild)
+    assert unsettled <= {0} and np.isfinite(p).all()
+
+
+def test_named_values_of_letters_are_found_without_any_in_the_training_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = pii.train(docs)
+    for name in ("password", "api_key", "token"):
+        for form in ("{} = {} is", "{}: {} is", '{}="{}" is', "the {} = {} is not for you. Later {} is seen in the file"):
+            text = form.format(name, *["correcthorsebatterystaple"] * 2)
+            (spans,) = pii.added_spans([text], [[]], model)
+            values = [m.span() for m in re.finditer("correcthorsebatterystaple", text)]
+            assert len(spans) == len(values) and all(kind == "secret" and b == y and a <= x for (kind, a, b), (x, y) in zip(spans, values)), text
+    assert pii.added_spans(["the correcthorsebatterystaple of the Rechtsschutzversicherungsgesellschaften"], [[]], model) == [[]]
+
+
+def test_spans_of_words_are_those_of_the_pattern():
+    rng = random.Random(4)
+    for _ in range(500):
+        t = "".join(rng.choice(["a", "b1", " ", "\n", " ", "\x1c", "é"]) for _ in range(rng.randint(1, 12)))
+        words = t.split()
+        starts, ends = pii._spans(t, words, np.array([len(w) for w in words], "i8"))
+        assert list(zip(starts.tolist(), ends.tolist())) == [m.span() for m in re.finditer(r"\S+", t)]
