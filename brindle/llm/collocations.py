@@ -117,7 +117,7 @@ class Held:
 
 
 def _count(lang: str, texts: Held, lengths: range, now: Proposals | None, before: Proposals | None) -> Iterator[pa.RecordBatch]:
-    """Phrases of the given lengths that ``now`` admits, with their occurrences in these texts.
+    """Phrases of the given lengths that ``now`` admits, with their occurrences in these texts; length 0 is all words.
 
     With ``before``, those that it admitted are left out, and those that it did not are proposals at once: what is
     around a missed phrase is counted to its full length in one pass.
@@ -130,6 +130,8 @@ def _count(lang: str, texts: Held, lengths: range, now: Proposals | None, before
     firsts = np.zeros(len(words), "i8")
     firsts[ids[::-1]] = np.arange(len(ids))[::-1]
     counted_before = np.ones(len(ids), bool)
+    if 0 in lengths:
+        yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([""], pa.string()), pa.array([0], pa.int32()), pa.array([len(starts)], pa.int64())], schema=_SCHEMA)
     for k in range(1, lengths.stop):
         if k > 1:
             open_now = np.zeros(len(ids) + 1, bool)
@@ -212,9 +214,10 @@ def frequent_phrases(docs: DataFrame, threshold: int = 100, text: str = "text",
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL")
     proposed = _proposed_by_sample(rows, threshold).select("lang", "phrase", "words")
     now = proposals(proposed)
-    counts = settle(count_phrases(rows, range(1, MOST_WORDS + 1), now), "counts")
-    totals = counts.where("words = 1").groupBy("lang").agg(F.sum("f").alias("n"))
-    found = counts.where(F.col("f") >= threshold)
+    # of the border, which is most of what is counted, only what is frequent is written
+    counts = settle(count_phrases(rows, range(MOST_WORDS + 1), now).where((F.col("f") >= threshold) | (F.col("words") == 0)), "counts")
+    totals = counts.where("words = 0").select("lang", F.col("f").alias("n"))
+    found = counts.where("words > 0")
     news = found
     while True:
         missed = settle(news.where(F.col("words") < MOST_WORDS).join(proposed, ["lang", "phrase"], "left_anti").select("lang", "phrase", "words"), "missed")
