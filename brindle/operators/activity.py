@@ -126,6 +126,42 @@ def lag_status(df: DataFrame, group: str, produced: str, seen: str) -> DataFrame
     return df.groupBy(group).agg(F.max(lag).alias("lag")).withColumn("status", status(F.col("lag"), 30, 300)).orderBy(F.desc("lag"), group)
 
 
+# The health report's own checks. Their limits, which are exceeded, not reached: minutes, percent of a capacity, percent of a key's type.
+OPEN_MINUTES, CAPACITY_PERCENT, KEY_PERCENT = 30, (80, 95), (70, 85)
+
+
+def _over(value: Column, warn: float, critical: float) -> Column:
+    return F.when(value > critical, "critical").when(value > warn, "warning").otherwise("healthy")
+
+
+def _oldest(rows: DataFrame, seconds: str) -> DataFrame:
+    """count, minutes (whole ones of the oldest), status: none is healthy, over ``OPEN_MINUTES`` critical, else a warning."""
+    out = rows.agg(F.count(F.lit(1)).alias("count"), F.floor(F.coalesce(F.max(seconds), F.lit(0)) / 60).cast("long").alias("minutes"))
+    return out.withColumn("status", F.when(F.col("count") == 0, "healthy").when(F.col("minutes") > OPEN_MINUTES, "critical").otherwise("warning"))
+
+
+def blocked_check(edges: DataFrame) -> DataFrame:
+    """edges: waiter, blocker, seconds. How many wait for others and for how long the oldest does."""
+    return _oldest(edges.where("waiter <> blocker").groupBy("waiter").agg(F.max("seconds").alias("seconds")), "seconds")
+
+
+def open_check(sessions: DataFrame, now: Column, seconds: int = 300) -> DataFrame:
+    """sessions: id, state, started. What is open for longer than so many seconds and not idle."""
+    age = (F.unix_timestamp(now) - F.unix_timestamp("started")).alias("seconds")
+    return _oldest(sessions.where("state <> 'idle'").select(age).where(F.col("seconds") > seconds), "seconds")
+
+
+def capacity_check(sessions: DataFrame, capacity: int) -> DataFrame:
+    """count, percent (whole ones of the capacity), status."""
+    out = sessions.agg(F.count(F.lit(1)).alias("count")).withColumn("percent", F.floor(100 * F.col("count") / F.lit(capacity)).cast("long"))
+    return out.withColumn("status", _over(F.col("percent"), *CAPACITY_PERCENT))
+
+
+def keys_check(keys: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """key, percent, status of the key nearest to the end of its type."""
+    return key_headroom(keys).orderBy(F.desc("percent"), "key").limit(1).select("key", "percent", _over(F.col("percent"), *KEY_PERCENT).alias("status"))
+
+
 def health_report(checks: dict, spark) -> DataFrame:
     """name -> callable giving a table with ``status``, of which the worst counts (none: healthy).
 

@@ -755,6 +755,33 @@ def health_report(spark, sf_dir):
     return activity.health_report(checks, spark)
 
 
+_BLOCKED = f"(SELECT waiter, max(seconds) AS seconds FROM {_WAITS} WHERE waiter <> blocker GROUP BY waiter)"
+_OPEN = "(SELECT CAST(epoch(TIMESTAMP '2024-02-01 00:00:00') AS BIGINT) - CAST(floor(epoch(ts)) AS BIGINT) AS age, event_type FROM events)"
+
+
+@query(f"""WITH x AS (SELECT 'blocked' AS name, count(*) AS n, CAST(floor(coalesce(max(seconds), 0) / 60) AS BIGINT) AS value FROM {_BLOCKED} UNION ALL SELECT 'blocked by few', count(*), CAST(floor(coalesce(max(seconds), 0) / 60) AS BIGINT) FROM {_BLOCKED} WHERE seconds < 1860
+    UNION ALL SELECT 'open', count(*), CAST(floor(coalesce(max(age), 0) / 60) AS BIGINT) FROM {_OPEN} WHERE age > 300 AND event_type <> 'view' UNION ALL SELECT 'open long', 0, 0),
+    p AS (SELECT 'capacity' AS name, count(*) AS n, CAST(floor(100.0 * count(*) / 100) AS BIGINT) AS value FROM customer WHERE c_custkey <= 95 UNION ALL SELECT 'capacity exceeded', count(*), CAST(floor(100.0 * count(*) / 100) AS BIGINT) FROM customer WHERE c_custkey <= 96
+    UNION ALL SELECT 'capacity free', count(*), CAST(floor(100.0 * count(*) / 100) AS BIGINT) FROM customer WHERE c_custkey <= 80)
+    SELECT name, n, value, CASE WHEN n = 0 THEN 'healthy' WHEN value > 30 THEN 'critical' ELSE 'warning' END AS status FROM x UNION ALL SELECT name, n, value, CASE WHEN value > 95 THEN 'critical' WHEN value > 80 THEN 'warning' ELSE 'healthy' END FROM p
+    UNION ALL SELECT 'keys', 0, CAST(floor(100.0 * max(n_nationkey) / 2147483647) AS BIGINT), CASE WHEN 100.0 * max(n_nationkey) / 2147483647 > 85 THEN 'critical' WHEN 100.0 * max(n_nationkey) / 2147483647 > 70 THEN 'warning' ELSE 'healthy' END FROM nation
+    UNION ALL SELECT 'keys nearly used', 0, CAST(floor(100.0 * max(n_nationkey * 1200) / 32767) AS BIGINT), CASE WHEN 100.0 * max(n_nationkey * 1200) / 32767 > 85 THEN 'critical' WHEN 100.0 * max(n_nationkey * 1200) / 32767 > 70 THEN 'warning' ELSE 'healthy' END FROM nation""")
+def health_limits(spark, sf_dir):
+    """The report's own checks, whose limits are exceeded, not reached."""
+    waits, customers, nation = _waits(spark, sf_dir), table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    sessions = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_type") == "view", "idle").otherwise(F.col("event_type")).alias("state"), F.col("ts").alias("started"))
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    ages = {"blocked": activity.blocked_check(waits), "blocked by few": activity.blocked_check(waits.where("seconds < 1860")), "open": activity.open_check(sessions, now), "open long": activity.open_check(sessions, now, 1 << 40)}
+    shares = {"capacity": 95, "capacity exceeded": 96, "capacity free": 80}
+    small = nation.select((F.col("n_nationkey") * 1200).cast("smallint").alias("n_nationkey"))
+    keys = {"keys": nation.select(F.col("n_nationkey").cast("int").alias("n_nationkey")), "keys nearly used": small}
+    return _union([
+        *(df.select(F.lit(n).alias("name"), F.col("count").alias("n"), F.col("minutes").alias("value"), "status") for n, df in ages.items()),
+        *(activity.capacity_check(customers.where(F.col("c_custkey") <= k), 100).select(F.lit(n).alias("name"), F.col("count").alias("n"), F.col("percent").alias("value"), "status") for n, k in shares.items()),
+        *(activity.keys_check({"k": (df, "n_nationkey")}).select(F.lit(n).alias("name"), F.lit(0).cast("long").alias("n"), F.floor("percent").alias("value"), "status") for n, df in keys.items()),
+    ])
+
+
 # Streams over the files of ``events``.
 
 
