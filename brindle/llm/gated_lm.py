@@ -67,6 +67,8 @@ HELD = 1 << 22
 SLOW = 1 / (LANES * WINDOW)
 #: Pieces into which weights are cut for averaging.
 PIECES = 16
+#: Tasks, or groups of them, whose averages are taken together.
+FAN = 32
 #: Distinct words a task counts before it passes them on.
 COUNTED = 1_000_000
 #: Documents encoded at a time.
@@ -411,10 +413,15 @@ def _ids(words: list[bytes], ranks: np.ndarray, head: Head) -> np.ndarray:
 
 
 def train_round(encoded: DataFrame, layout, flat: np.ndarray) -> np.ndarray:
-    """encoded: ids; layout: counts and starts of the head. Each task learns from its documents; returns the average of their weights."""
+    """encoded: ids; layout: counts and starts of the head. Each task learns from its documents; returns the average of their weights.
+
+    Averages are taken in a tree: those of ``FAN`` tasks first, then of ``FAN`` such groups, so that no task adds up the changes of all.
+    """
     start = encoded.sparkSession.sparkContext.broadcast(flat)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         net = Network(*layout.value, flat=start.value)
         held, size, learnt = [], 0, 0
 
@@ -435,7 +442,34 @@ def train_round(encoded: DataFrame, layout, flat: np.ndarray) -> np.ndarray:
             learnt += size
         if learnt and np.isfinite(net.flat()).all():
             changes = net.changes(start.value, learnt)
-            yield pa.RecordBatch.from_arrays([pa.array(range(PIECES + 1), pa.int32()), pa.array([learnt] * (PIECES + 1), pa.int64()), pa.array(changes, pa.binary())], names=["piece", "tokens", "changes"])
+            part = [TaskContext.get().partitionId()] * (PIECES + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(range(PIECES + 1), pa.int32()), pa.array(part, pa.int64()), pa.array(changes, pa.binary())], names=["piece", "part", "changes"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted by piece and part: one row for each, the mean of its rows and how often each was learnt."""
+        now, sums = None, {}
+
+        def done() -> pa.RecordBatch:
+            merged = {}
+            for name, (total, times) in sums.items():
+                rows = np.flatnonzero(times)
+                n = times[rows]
+                merged[name] = (len(times), rows, n, total[rows] / n.reshape(-1, *(1 for _ in total.shape[1:])))
+            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int64()), pa.array([pickle.dumps(merged)], pa.binary())], names=["piece", "part", "changes"])
+
+        for batch in batches:
+            for piece, part, changes in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if now is not None and now != (piece, part):
+                    yield done()
+                    sums = {}
+                now = piece, part
+                for name, (size, rows, n, change) in pickle.loads(changes).items():
+                    total, times = sums.setdefault(name, (np.zeros((size, *change.shape[1:])), np.zeros(size)))
+                    n = np.broadcast_to(n, len(change)).astype("f8")
+                    total[rows] += n.reshape(-1, *(1 for _ in change.shape[1:])) * change
+                    times[rows] += n
+        if now is not None:
+            yield done()
 
     def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, str], np.ndarray] = {}
@@ -452,8 +486,12 @@ def train_round(encoded: DataFrame, layout, flat: np.ndarray) -> np.ndarray:
         means = {k: (x / np.maximum(1, times[k])).astype("f4") for k, x in sums.items()}
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in means], pa.int32()), pa.array([k[1] for k in means], pa.string()), pa.array([x.tobytes() for x in means.values()], pa.binary())], names=["piece", "name", "change"])
 
-    learnt = encoded.mapInArrow(learn, "piece int, tokens long, changes binary")  # written once, by the shuffle
-    rows = learnt.repartition(PIECES + 1, "piece").sortWithinPartitions("piece", "tokens", "changes").mapInArrow(average, "piece int, name string, change binary").collect()
+    learnt, tasks = encoded.mapInArrow(learn, "piece int, part long, changes binary"), encoded.rdd.getNumPartitions()  # written once, by the shuffle
+    while tasks > FAN:
+        tasks = -(-tasks // FAN)
+        groups = learnt.withColumn("part", F.floor(F.col("part") / FAN).cast("long")).repartition((PIECES + 1) * tasks, "piece", "part")
+        learnt = groups.sortWithinPartitions("piece", "part", "changes").mapInArrow(merge, "piece int, part long, changes binary")
+    rows = learnt.repartition(PIECES + 1, "piece").sortWithinPartitions("piece", "part", "changes").mapInArrow(average, "piece int, name string, change binary").collect()
     start.destroy()
     found: dict[str, list[np.ndarray]] = {}
     for r in sorted(rows, key=lambda r: r["piece"]):

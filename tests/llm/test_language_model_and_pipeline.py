@@ -273,3 +273,14 @@ def test_packing_stage_and_run(spark, stages):
     assert stages[5].groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("m")).where("n > 1024 OR n <> m").count() == 0
     assert packing.pack_documents(stages[4].limit(0)).count() == 0
     assert corpus_pipeline.run(spark, DATA).count() > 0
+
+
+def test_averages_taken_in_a_tree_are_those_of_all_tasks(spark, monkeypatch):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").repartition(7)
+    scores = lambda: {r.key: (r.score, r.n_tokens) for r in gated_lm.score_documents(docs).collect()}
+    at_once = scores()
+    monkeypatch.setattr(gated_lm, "FAN", 2)
+    in_a_tree = scores()
+    assert at_once.keys() == in_a_tree.keys()
+    for k, (score, n) in at_once.items():
+        assert abs(score - in_a_tree[k][0]) <= 1e-3 * max(1, n)
