@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,8 +29,27 @@ def scratch_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_brindle"
 
 
+_run: ContextVar[str] = ContextVar("run", default="")
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """What is written between steps inside goes to a folder of its own, which is removed at the end: results must be written elsewhere by then.
+
+    with scratch(spark):
+        near_duplicates(documents).write.parquet(out)
+    """
+    name = f"run-{uuid.uuid4().hex}"
+    before = _run.set(name)
+    try:
+        yield f"{scratch_dir(spark)}/{name}"
+    finally:
+        _run.reset(before)
+        remove_tree(spark, f"{scratch_dir(spark)}/{name}")
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return "/".join(x for x in (scratch_dir(spark), _run.get(), f"{label}-{uuid.uuid4().hex}") if x)
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:

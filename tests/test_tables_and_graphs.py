@@ -14,7 +14,7 @@ from brindle.functions import redaction
 from brindle.operators import compare, data_tests, incremental, lineage
 from brindle.plans import models
 from brindle.sources import seeds, sql_text, table_sets
-from brindle.sources.shared import fresh_path
+from brindle.sources.shared import fresh_path, scratch
 from brindle.streaming import upserts
 
 KEYED = "k long, v string"
@@ -360,3 +360,14 @@ def test_a_dump_as_sql_text_is_read_back_by_another_engine(spark):
 )
 def test_redact_dsn_shapes(spark, dsn, shown):
     assert spark.createDataFrame([(dsn,)], "v string").select(redaction.redact_dsn(F.col("v"))).first()[0] == shown
+
+
+def test_what_a_run_writes_between_steps_goes_at_its_end(spark):
+    out = fresh_path(spark, "kept")
+    with scratch(spark) as folder:
+        lineage.closure(edges_of(spark, [(0, 1), (1, 2)]), nodes_of(spark, [0])).write.parquet(out)
+        assert len(os.listdir(folder)) >= 3
+    assert not os.path.exists(folder) and spark.read.parquet(out).count() == 3
+    with pytest.raises(ValueError), scratch(spark) as folder:
+        lineage.layers(edges_of(spark, [(0, 0)]), nodes_of(spark, [0]))
+    assert not os.path.exists(folder) and not os.path.dirname(fresh_path(spark, "x")).startswith(folder)
