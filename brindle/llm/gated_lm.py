@@ -29,7 +29,8 @@ Scoring. Lanes of documents run side by side; the state is carried through whole
 
 A null or empty text is its end alone. A null key counts as an empty one when folds are dealt. Repeated
 rows count as often as they occur and score alike. An empty table gives no rows; without training
-documents every word is rare and unknown.
+documents every word is rare and unknown. Texts of any length are learnt from and scored whole, the state carried from begin to
+end; only the key and the text are read, other columns may have any name.
 """
 
 from __future__ import annotations

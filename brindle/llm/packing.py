@@ -9,7 +9,7 @@ single steps would do. The plan is a table of (length, ranks from .. to) -> (seq
 get their rank within their length from per-task counts and a prefix sum, so no group is collected.
 
 A null or empty text is the end id alone. Repeated rows are packed once each. An empty table gives no
-rows. Which of several pieces of equal length goes where follows the order of the input files.
+rows. Texts of any length are encoded whole and cut into pieces. Only the key and the text are read: other columns may have any name. Which of several pieces of equal length goes where follows the order of the input files.
 """
 
 from __future__ import annotations

@@ -14,6 +14,7 @@ compared by hashes of 64 bits.
 
 A null text has no words, fails the base rules and counts as an empty one. A null host is a host of its own. Repeated
 rows are judged alike. Extra columns pass through, but for those of the results' names (``q_``); an empty table gives no rows.
+Texts are judged whole, however long: a text and the arrays of its lines, words and windows are in one task's memory.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ own, in any order.
 
 Keys ascend through the files: part 0 has the smallest. Rows of null key come first, rows of equal
 key are ordered by a digest of their text, a null text is an empty text. Rows are sorted by range of (key, digest), so
-a key of any number of rows is spread. An empty table gives no files and no rows. Each attempt of a task writes files of its own name, and the manifest names those of the attempt
+a key of any number of rows is spread. An empty table gives no files and no rows. Texts of any length are one record each, encoded whole. Only
+the key and the text are read: other columns may have any name. Each attempt of a task writes files of its own name, and the manifest names those of the attempt
 that Spark kept, so a repeated or speculative task takes nothing away from another.
 """
 

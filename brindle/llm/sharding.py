@@ -11,6 +11,8 @@ bits of the text's digest, so that many equal values can be split between groups
 Dimensions are the size of the text and any columns; a column's place is a digest of its value, that of
 a group the smallest of its rows. The law is ``bytes``. A null text has no bytes and size 1; a null
 value of a column has place 0; repeated rows are rows of one group. An empty table gives no rows.
+Texts of any length weigh by all their bytes; a text longer than a shard's target is a group that no cut parts. Only the key, the text and the
+dimensions are read: other columns may have any name.
 """
 
 from __future__ import annotations

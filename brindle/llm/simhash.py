@@ -18,6 +18,8 @@ written between steps. Nothing but counts reaches the driver.
 
 A null text has no words: fingerprint zero. A null doc_id is in its component but never its name, unless
 all are null. Repeated rows share a component. An empty table gives no rows.
+Texts of any length give the fingerprint of all their words. Of other columns only ``keep_one`` passes any on: all but those of its own
+names (``s_row``, ``s_fp``).
 """
 
 from __future__ import annotations
