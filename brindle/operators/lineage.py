@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.sources.shared import settle
+from brindle.sources.shared import settle, settle_counted
 
 #: Jumps of twice the length are made if there are at most so many for each edge (or so many in all).
 GROWTH, FEW = 4, 100_000
@@ -18,22 +18,22 @@ GROWTH, FEW = 4, 100_000
 NAMED = 1000
 
 
-def _advance(seen: DataFrame, jumps: DataFrame, length: int, known: int) -> DataFrame:
-    """Adds what one jump reaches from nodes at distances known - length and more; every node with its smallest distance."""
+def _advance(seen: DataFrame, jumps: DataFrame, length: int, known: int) -> tuple[DataFrame, int]:
+    """Adds what one jump reaches from nodes at distances known - length and more; every node with its smallest distance, and how many they are."""
     last = seen.where(F.col("depth") >= known - length)
     reached = last.join(jumps, "node").select(F.col("next").alias("node"), (F.col("depth") + length).alias("depth"))
-    return settle(seen.unionByName(reached).groupBy("node").agg(F.min("depth").alias("depth")), "closure")
+    return settle_counted(seen.unionByName(reached).groupBy("node").agg(F.min("depth").alias("depth")), "closure")
 
 
-def _twice(jumps: DataFrame, most: int) -> DataFrame | None:
-    """Jumps of twice the length, or None if they are more than ``most``."""
+def _twice(jumps: DataFrame, most: int) -> tuple[DataFrame | None, int]:
+    """Jumps of twice the length and how many they are, or None if they are more than ``most``."""
     out = jumps.groupBy("node").agg(F.count(F.lit(1)).cast("double").alias("o"))
     into = jumps.groupBy(F.col("next").alias("node")).agg(F.count(F.lit(1)).cast("double").alias("i"))
     walks = out.join(into, "node").agg(F.coalesce(F.sum(F.col("o") * F.col("i")), F.lit(0.0)).alias("n")).first().n
     if walks > most:
-        return None
+        return None, 0
     on = jumps.select(F.col("node").alias("next"), F.col("next").alias("further"))
-    return settle(jumps.join(on, "next").select("node", F.col("further").alias("next")).distinct(), "jumps")
+    return settle_counted(jumps.join(on, "next").select("node", F.col("further").alias("next")).distinct(), "jumps")
 
 
 def closure(edges: DataFrame, start: DataFrame, direction: str = "down") -> DataFrame:
@@ -45,24 +45,21 @@ def closure(edges: DataFrame, start: DataFrame, direction: str = "down") -> Data
         up, down = closure(edges, start, "up"), closure(edges, start, "down")
         return up.unionByName(down).groupBy("node").agg(F.min("depth").alias("depth"))
     a, b = ("parent", "child") if direction == "down" else ("child", "parent")
-    jumps = settle(edges.select(F.col(a).alias("node"), F.col(b).alias("next")).where("node IS NOT NULL AND next IS NOT NULL").distinct(), "jumps")
-    most = max(FEW, GROWTH * jumps.count())
-    seen = settle(start.select("node").distinct().withColumn("depth", F.lit(0)), "closure")
-    length = known = 1
-    doubling, found = True, seen.count()
-    while True:
-        seen = _advance(seen, jumps, length, known)
+    jumps, count = settle_counted(edges.select(F.col(a).alias("node"), F.col(b).alias("next")).where("node IS NOT NULL AND next IS NOT NULL").distinct(), "jumps")
+    most = max(FEW, GROWTH * count)
+    seen, found = settle_counted(start.select("node").distinct().withColumn("depth", F.lit(0)), "closure")
+    length, known, doubling = 1, 1, True
+    while count:
+        seen, now = _advance(seen, jumps, length, known)
         known += length
-        now = seen.count()
         if now == found:
-            return seen
+            break
         found = now
-        longer = _twice(jumps, most) if doubling else None
+        longer, many = _twice(jumps, most) if doubling else (None, 0)
         doubling = longer is not None
         if doubling:
-            jumps, length = longer, 2 * length
-            if not jumps.take(1):  # no path is that long
-                return seen
+            jumps, count, length = longer, many, 2 * length  # none: no path is that long
+    return seen
 
 
 def layers(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _local_scratch: list[str] = []
 
@@ -59,6 +60,13 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """The same, and how many rows were written: observed in the write, not counted again."""
+    seen = Observation()
+    out = settle(df.observe(seen, F.count(F.lit(1)).alias("rows")), label)
+    return out, seen.get.get("rows", 0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
