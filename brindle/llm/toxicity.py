@@ -319,7 +319,7 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFra
 
 def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0  # a null id counts as an empty one
     learnt = table(spark, sf_dir, "labels").where(~held_out)
     scored = score_toxicity(docs, train(docs, learnt))
     return scored.select("doc_id", held_out.alias("held_out"), F.col("t_score").alias("score"), F.when(F.col("t_score") >= 0.5, 1).otherwise(0).alias("predicted"), F.col("t_hits").alias("n_hits"), F.col("t_clauses").alias("n_clauses"))
