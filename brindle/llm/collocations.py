@@ -41,7 +41,7 @@ TOGETHER, GIVEN = 3 << 20, 1 << 15
 _BREAK = 0xFF
 _LOWER = bytes(_BREAK if c in b".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ODD, _EVEN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_SCHEMA = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("f", pa.int64())])
+_SCHEMA = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
 
 
 def _word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
@@ -131,7 +131,7 @@ def _count(lang: str, texts: Held, lengths: range, now: Proposals | None, before
     firsts[ids[::-1]] = np.arange(len(ids))[::-1]
     counted_before = np.ones(len(ids), bool)
     if 0 in lengths:
-        yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([""], pa.string()), pa.array([0], pa.int32()), pa.array([len(starts)], pa.int64())], schema=_SCHEMA)
+        yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([""], pa.string()), pa.array([len(starts)], pa.int64())], schema=_SCHEMA)
     for k in range(1, lengths.stop):
         if k > 1:
             open_now = np.zeros(len(ids) + 1, bool)
@@ -156,7 +156,7 @@ def _count(lang: str, texts: Held, lengths: range, now: Proposals | None, before
                 out = found[at : at + GIVEN]
                 parts = [[words[i] for i in ids[firsts[out] + j].tolist()] for j in range(k)]
                 phrases = pa.array(list(map(b" ".join, zip(*parts, strict=True))), pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(out), pa.string()), phrases, pa.array(np.full(len(out), k, "i4")), pa.array(counts[out].astype("i8"))], schema=_SCHEMA)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(out), pa.string()), phrases, pa.array(counts[out].astype("i8"))], schema=_SCHEMA)
 
 
 def count_phrases(rows: DataFrame, lengths: range, now: Proposals | None = None, before: Proposals | None = None) -> DataFrame:
@@ -182,8 +182,9 @@ def count_phrases(rows: DataFrame, lengths: range, now: Proposals | None = None,
                     size = 0
         yield from flush()
 
-    counted = rows.select("lang", "text").mapInArrow(run, "lang string, phrase string, words int, f long")
-    return counted.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
+    counted = rows.select("lang", "text").mapInArrow(run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    # how many words there are follows from the phrase: it is not shuffled, and found after the filter that a caller sets on f
+    return counted.select("lang", "phrase", F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " "))).alias("words"), "f")
 
 
 def _proposed_by_sample(rows: DataFrame, threshold: int) -> DataFrame:
@@ -215,7 +216,7 @@ def frequent_phrases(docs: DataFrame, threshold: int = 100, text: str = "text",
     proposed = _proposed_by_sample(rows, threshold).select("lang", "phrase", "words")
     now = proposals(proposed)
     # of the border, which is most of what is counted, only what is frequent is written
-    counts = settle(count_phrases(rows, range(MOST_WORDS + 1), now).where((F.col("f") >= threshold) | (F.col("words") == 0)), "counts")
+    counts = settle(count_phrases(rows, range(MOST_WORDS + 1), now).where((F.col("f") >= threshold) | (F.col("phrase") == "")), "counts")
     totals = counts.where("words = 0").select("lang", F.col("f").alias("n"))
     found = counts.where("words > 0")
     news = found
