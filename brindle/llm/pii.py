@@ -51,11 +51,11 @@ LONG = 16
 #: Odds of being anything, at most, with which a token is left out of the graph.
 PROVEN = 0.01
 #: Distinct tokens, and their characters, whose scores a worker remembers; tokens scored at a time.
-MET, MET_CHARS, SCORED = 1 << 17, 1 << 24, 1 << 16
+MET, MET_CHARS, SCORED = 1 << 18, 1 << 24, 1 << 16
 #: Bytes of text whose graphs are held together.
 TOGETHER = 4 << 20
 #: Message-passing sweeps before more damping, and at most; the change of a document's messages that ends them.
-SWEEPS, MOST_SWEEPS, SETTLED = 50, 2000, 1e-4
+SWEEPS, MOST_SWEEPS, SETTLED = 50, 500, 1e-4
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -65,6 +65,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TELLING = re.compile(r"[0-9@]")
 _LONG = re.compile(rf"[A-Za-z0-9/+_-]{{{LONG},}}")
 _TOKEN = re.compile(r"\S+")
+_DIGITS = frozenset("0123456789")
 _EDGES = "%#*$&!|\"'.,;:()[]{}<>?"
 _NAMED = r"(?i)(?:\b|_)(?:token|secret|password|passwd|api[_-]?key|key)[\x20\x09]*[:=][\x20\x09]*[\"']?"
 _NAMED_BEFORE, _NAMED_INSIDE = re.compile(_NAMED + r"\Z"), re.compile(_NAMED + rf"[A-Za-z0-9/+_-]{{{LONG},}}")
@@ -164,15 +165,23 @@ def _letters(length: int) -> tuple[str, ...]:
     return tuple(_own_features("a" * length))
 
 
+def _as_neighbour(core: str) -> str:
+    """What a token is to those beside it: a short word of letters itself, any other its first character."""
+    if len(core) <= 12 and core.isascii() and core.isalpha() or core in ("=", ":"):
+        return core.lower()
+    first = core[:1].lower()[:1]
+    return "9" if first in _DIGITS else first
+
+
 def _beside(name: str, core: str) -> str:
     """The feature that a token has from its neighbour."""
-    near = core.lower()
-    return f"{name}={near if len(near) <= 12 and near.isascii() and near.isalpha() or near in ('=', ':') else re.sub(r'[0-9]', '9', near[:1])}"
+    return f"{name}={_as_neighbour(core)}"
 
 
 def _features(cores: list[str], k: int) -> list[str]:
     at = lambda j: cores[j] if 0 <= j < len(cores) else ""
-    return [*_own_features(cores[k]), _beside("before", at(k - 1)), _beside("after", at(k + 1))]
+    own = _letters(min(len(cores[k]), 48)) if cores[k].isalpha() else _own_features(cores[k])
+    return [*own, _beside("before", at(k - 1)), _beside("after", at(k + 1))]
 
 
 def _key(token: str) -> str:
@@ -204,7 +213,9 @@ def add_document(graph: Graph, doc: int, text: str, model: Model | None = None)
         return
     if plain.any():  # what repeats a token with digits has digits
         if model:
-            again = np.isin(model.keys[ids], model.keys[ids[plain]])
+            again = np.zeros(len(words), bool)
+            some = np.flatnonzero(lengths >= 6)
+            again[some] = np.isin(model.keys_of(ids[some]), model.keys_of(ids[plain]))
         else:
             keys = {_key(words[k]) for k in np.flatnonzero(plain).tolist()}
             again = np.fromiter((len(w) >= 6 and _key(w) in keys for w in words), bool, len(words))
@@ -284,8 +295,9 @@ class Model:
     def forget(self) -> None:
         """Empties what a worker remembers: places of tokens it has met; of each its rows (own, as the token before, as the token after), the most its odds can
         be, and what it is; scores of rows."""
-        self.met, self.met_chars, self.known, self.key_ids = _Met(self), 0, {}, {}
-        self.rows, self.bound, self.sums = np.zeros((1024, 3), "i8"), np.zeros(1024), np.zeros((1024, len(LABELS)))
+        self.met, self.met_chars, self.known, self.key_ids, self.tokens = _Met(self), 0, {}, {}, []
+        self.letter_rows: dict[int, int] = {}
+        self.rows, self.bounds, self.sums = np.zeros((1024, 3), "i8"), np.zeros(1024), np.zeros((1024, len(LABELS)))
         self.telling, self.plain, self.lengths, self.keys = np.zeros(1024, bool), np.zeros(1024, bool), np.zeros(1024, "i8"), np.zeros(1024, "i8")
 
     def __getstate__(self) -> dict:
@@ -301,29 +313,41 @@ class Model:
         if row is None:
             row = self.known[names] = len(self.known) + 1
             if row == len(self.sums):
-                self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-            self.sums[row] = sum((self.unary[self.index[n]] for n in names if n in self.index), np.zeros(len(LABELS)))
+                self.sums, self.bounds = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sums, self.bounds))
+            own = self.sums[row] = sum((self.unary[self.index[n]] for n in names if n in self.index), np.zeros(len(LABELS)))
+            self.bounds[row] = np.exp(np.minimum(50.0, own[1:] - own[0] + self.beside + self.most)).sum()
         return row
 
     def _meet(self, token: str) -> int:
         core = token.strip(_EDGES) or token
-        # to the features, words of letters differ in length alone
-        own = self._row(_letters(min(len(core), 48)) if core.isalpha() else tuple(_own_features(core)))
-        place = self.met[token] = len(self.met)
+        if core.isalpha():  # to the features, words of letters differ in length alone
+            size = min(len(core), 48)
+            own = self.letter_rows.get(size)
+            if own is None:
+                own = self.letter_rows[size] = self._row(_letters(size))
+        else:
+            own = self._row(tuple(_own_features(core)))
+        place = self.met[token] = len(self.tokens)
+        self.tokens.append(token)
         self.met_chars += len(token)
         if place == len(self.rows):
-            for name in ("rows", "bound", "telling", "plain", "lengths", "keys"):
+            for name in ("rows", "telling", "plain", "lengths", "keys"):
                 held = getattr(self, name)
                 setattr(self, name, np.concatenate([held, np.zeros_like(held)]))
-        before, after = _beside("before", core), _beside("after", core)
+        near = _as_neighbour(core)
+        before, after = f"before={near}", f"after={near}"
         self.rows[place] = own, self._row((before,)) if before in self.index else 0, self._row((after,)) if after in self.index else 0
-        self.bound[place] = np.exp(np.minimum(50.0, self.sums[own, 1:] - self.sums[own, 0] + self.beside + self.most)).sum()
-        self.telling[place] = _TELLING.search(token) is not None
-        self.plain[place] = not self.telling[place] and _is_long(token)
-        self.lengths[place] = len(token)
-        self.keys[place] = self.key_ids.setdefault(_key(token), len(self.key_ids))
+        self.lengths[place], self.keys[place] = len(token), -1
+        self.telling[place] = not token.isalpha() and _TELLING.search(token) is not None
+        self.plain[place] = len(token) >= LONG and not self.telling[place] and _is_long(token)
         return place
 
+    def keys_of(self, ids: np.ndarray) -> np.ndarray:
+        """Numbers of the letters and digits of tokens by their places; found when they are asked for."""
+        for place in np.unique(ids[self.keys[ids] < 0]).tolist():
+            self.keys[place] = self.key_ids.setdefault(_key(self.tokens[place]), len(self.key_ids))
+        return self.keys[ids]
+
     def places(self, tokens: list[str]) -> np.ndarray:
         if len(self.met) > MET or self.met_chars > MET_CHARS:
             self.forget()
@@ -335,7 +359,7 @@ class Model:
 
     def doubtful_at(self, ids: np.ndarray) -> np.ndarray:
         """The same of tokens by their places in memory. Most tokens are nothing whatever stands beside them; the words beside the others are looked at."""
-        some = np.flatnonzero(self.bound[ids] >= PROVEN)
+        some = np.flatnonzero(self.bounds[self.rows[ids, 0]] >= PROVEN)
         if not len(some):
             return some
         end = self.met[""]
@@ -447,13 +471,16 @@ def beliefs(graph: Graph, model: Model) -> tuple[np.ndarray, set[int]]:
     factor = np.exp(np.stack([model.chain, model.skip, model.chain.T]))
     message = np.zeros((2 * edges, size))
     _, doc = np.unique(np.array(graph.doc, "i8")[target], return_inverse=True)
-    active = np.arange(2 * edges)
+    active, size_of_nodes = np.arange(2 * edges), 0
     for sweep in range(MOST_SWEEPS):
         if not len(active):
             break
-        belief = score.copy()
-        np.add.at(belief, target[active], message[active])
-        out = belief[source[active]] - message[back[active]]
+        if 2 * len(active) <= size_of_nodes or not sweep:  # only the nodes of documents that have not settled are gone through
+            nodes, place = np.unique(np.r_[source[active], target[active]], return_inverse=True)
+            (begin, end), own, size_of_nodes = np.split(place, 2), score[nodes], len(active)
+        belief = own.copy()
+        np.add.at(belief, end, message[active])
+        out = belief[begin] - message[back[active]]
         out -= out.max(1, keepdims=True)
         new = np.log(np.maximum(1e-300, np.einsum("ey,eyz->ez", np.exp(out), factor[kind[active]])))
         new -= new.max(1, keepdims=True)
@@ -462,7 +489,8 @@ def beliefs(graph: Graph, model: Model) -> tuple[np.ndarray, set[int]]:
         change = np.zeros(doc.max() + 1)
         np.maximum.at(change, doc[active], np.abs(new - message[active]).max(1) / (1 - keep))
         message[active] = new
-        active = active[change[doc[active]] >= 2 * SETTLED]
+        going = change[doc[active]] >= 2 * SETTLED
+        active, begin, end = active[going], begin[going], end[going]
     belief = score
     np.add.at(belief, target, message)
     p = np.exp(belief - belief.max(1, keepdims=True))
