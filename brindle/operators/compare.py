@@ -8,11 +8,20 @@ from pyspark.sql import functions as F
 from brindle.sources.shared import settle
 
 
+#: Tasks that keys are dealt to, at least. Shuffled keys compress so well that tasks joined by bytes would hold tens of millions of them.
+LEAST_PARTS = 200
+
+
 def key_difference(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct keys that only one side has, with the side (null keys equal)."""
-    left, right = a.select(*keys).distinct(), b.select(*keys).distinct()
-    only = lambda x, y, side: x.exceptAll(y).withColumn("side", F.lit(side))
-    return only(left, right, "only_a").unionByName(only(right, left, "only_b"))
+    """Distinct keys that only one side has, with the side (null keys equal).
+
+    Each side is read and shuffled once. Keys are dealt to as many tasks as the session asks for, ``LEAST_PARTS`` or more, so a task's
+    memory is that of its share of the distinct keys; where few keys repeat very often, make them distinct first.
+    """
+    parts = max(LEAST_PARTS, int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    both = a.select(*keys, F.lit(1).alias("_sides")).unionByName(b.select(*keys, F.lit(2).alias("_sides")))
+    sides = both.repartition(parts, *keys).groupBy(*keys).agg(F.bit_or("_sides").alias("_sides")).where("_sides < 3")
+    return sides.select(*keys, F.when(F.col("_sides") == 1, "only_a").otherwise("only_b").alias("side"))
 
 
 def _digests(columns: list[str], there: set[str]) -> list:
@@ -58,8 +67,8 @@ def row_diff_summary(a: DataFrame, b: DataFrame, keys: list[str], examples: int
 
 
 def value_domain_diff(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
-    """Values of a column that were added or removed."""
-    return key_difference(a, b, [column]).select(F.col(column).cast("string").alias("value"), F.when(F.col("side") == "only_a", "removed").otherwise("added").alias("change"))
+    """Values of a column that were added or removed. Values repeat, so each task makes its own distinct before they are dealt."""
+    return key_difference(a.select(column).distinct(), b.select(column).distinct(), [column]).select(F.col(column).cast("string").alias("value"), F.when(F.col("side") == "only_a", "removed").otherwise("added").alias("change"))
 
 
 #: Metadata of a field that hold its default, as SQL text; the first is Spark's own.

@@ -236,3 +236,12 @@ def test_freshness_of_groups_never_seen_comes_first(spark):
     day = datetime.datetime(2024, 1, 1)
     df = spark.createDataFrame([("a", day), ("b", None)], "g string, t timestamp_ntz")
     assert [(r.g, r.status) for r in activity.freshness(df, "g", "t", F.to_date(F.lit("2024-01-05")), 0).collect()] == [("b", "critical"), ("a", "healthy")]
+
+
+def test_keys_are_dealt_to_many_tasks_however_small_their_bytes(spark):
+    a, b = spark.range(0, 100_000, 1, 4).toDF("k"), spark.range(50, 100_050, 1, 4).toDF("k")
+    a = a.unionByName(spark.createDataFrame([(None,), (0,), (0,)], "k long"))
+    found = compare.key_difference(a, b, ["k"])
+    got = sorted(((r.side, r.k is None, r.k) for r in found.collect()), key=str)
+    assert len(got) == 101 and ("only_a", True, None) in got and {k for s, _, k in got if s == "only_b"} == set(range(100_000, 100_050))
+    assert found.rdd.getNumPartitions() >= compare.LEAST_PARTS  # tasks joined by bytes held millions of keys each
