@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 KEPT = 200
 #: What a connection string without scheme becomes if it may hold a password.
 HIDDEN = "***REDACTED***"
+_SCHEME = "[A-Za-z][A-Za-z0-9+.-]*://"
+#: Up to the query, with a password that holds a question mark or a number sign.
+_ODD = "[^:/?#@]*:(?![0-9]*[?#])[^@/]*[?#][^@/]*@[^?#]*"
 
 
 def redact_sql(text: Column) -> Column:
@@ -22,13 +25,11 @@ def redact_dsn(text: Column) -> Column:
 
     A password begins after the first colon behind ``scheme://`` and reaches to the last @ before the query, so that an @, a slash or
     a line feed inside it leaves nothing behind. A question mark in a password is known by what stands before it, which is no port. A
-    text without scheme loses the values of its ``password=`` words, and is hidden whole if it has an @.
+    text without scheme loses the values of its ``password=`` words, and is hidden whole if it has an @. Each step stands
+    in the expression once: Spark evaluates anew what stands in several branches.
     """
-    scheme = F.regexp_extract(text, r"(?s)^([A-Za-z][A-Za-z0-9+.-]*://)", 1)
-    rest = F.substring(text, F.length(scheme) + 1, F.length(text))
-    odd = F.regexp_extract(rest, r"(?s)^([^:/?#@]*:(?![0-9]*[?#])[^@/]*[?#][^@/]*@[^?#]*)", 1)
-    plain = F.when(odd != "", odd).otherwise(F.regexp_extract(rest, r"(?s)^([^?#]*)", 1))
-    hidden = F.concat(F.regexp_extract(plain, "(?s)^([^:@/]*)", 1), F.lit(":***@"), F.regexp_extract(plain, "(?s)^.*@(.*)$", 1))
+    shown = F.regexp_extract(text, f"(?s)^({_SCHEME}(?:{_ODD}|[^?#]*))", 1)
+    hidden = F.regexp_replace(shown, f"(?s)^({_SCHEME}[^:@/]*):.*@", "$1:***@")
     words = F.regexp_replace(F.regexp_extract(text, r"(?s)^([^?]*)", 1), r"(?i)(password\s*=\s*)('(?:[^'\\]|\\.)*'?|\S+)", "$1***")
     bare = F.when(F.contains(text, F.lit("@")), F.lit(HIDDEN)).otherwise(words)
-    return F.when(scheme == "", bare).otherwise(F.concat(scheme, F.when(plain.rlike("(?s)^[^:@/]*:.*@"), hidden).otherwise(plain)))
+    return F.when(text.rlike(f"^{_SCHEME}"), hidden).otherwise(bare)

@@ -165,7 +165,8 @@ _DSNS = {  # shape -> (what stands before and after the customer's number, what
 
 @query(" UNION ALL ".join(f"""SELECT '{k}' AS shape, c_custkey, {"'***REDACTED***'" if c is None else f"'{c}' || c_custkey || '{d}'"} AS dsn FROM customer""" for k, (_, _, c, d) in _DSNS.items()))
 def redact_dsn(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer").select("c_custkey")
+    # a file of keys is few splits, and each key makes many texts: keys are dealt first
+    rows = table(spark, sf_dir, "customer").select("c_custkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
     shape = F.explode(F.array(*(F.struct(F.lit(k).alias("shape"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, (a, b, _, _) in _DSNS.items()))).alias("x")
     return rows.select("c_custkey", shape).select("x.shape", "c_custkey", redaction.redact_dsn(F.concat("x.a", F.col("c_custkey").cast("string"), "x.b")).alias("dsn"))
 

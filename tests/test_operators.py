@@ -245,3 +245,13 @@ def test_keys_are_dealt_to_many_tasks_however_small_their_bytes(spark):
     got = sorted(((r.side, r.k is None, r.k) for r in found.collect()), key=str)
     assert len(got) == 101 and ("only_a", True, None) in got and {k for s, _, k in got if s == "only_b"} == set(range(100_000, 100_050))
     assert found.rdd.getNumPartitions() >= compare.LEAST_PARTS  # tasks joined by bytes held millions of keys each
+
+
+def test_each_step_of_a_redacted_connection_string_is_evaluated_once(spark):
+    from brindle.plans import jobs
+    from conftest import DATA
+
+    plan = column(spark, ["x"]).select(redaction.redact_dsn(F.col("v")).alias("shown"))._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("regexp") + plan.count("rlike") <= 5
+    query = jobs.redact_dsn(spark, DATA)
+    assert query.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))  # not as few as the file has splits
