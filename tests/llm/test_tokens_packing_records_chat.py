@@ -173,3 +173,26 @@ def test_long_conversations_take_several_rows(spark, monkeypatch):
 def test_chats_of_an_empty_table(spark):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.read_back(settle(chat.format_chats(empty), "t")).count() == 0
+
+
+@pytest.mark.parametrize(("name", "word_ends"), [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_distinct_chunks_of_many_texts_are_looked_up_once(name, word_ends):
+    import public_tokenizers
+
+    from brindle.llm.tokens import Encoder
+
+    enc, looked_up = Encoder(public_tokenizers.path(name), word_ends), []
+
+    class Known(dict):
+        def __getitem__(self, chunk):
+            looked_up.append(chunk)
+            return super().__getitem__(chunk)
+
+        def get(self, chunk, default=None):
+            looked_up.append(chunk)
+            return super().get(chunk, default)
+
+    enc.bare, enc.spaced = Known(), Known()
+    texts = ["Élan vital, the word\nthe İ word's end."] * 500 + ["", " a\tb ", "x  y\x1dz", "ß é"]
+    assert enc.encode_many(texts) == [enc._plain(t) for t in texts]
+    assert len(looked_up) < 200  # not once for each place
