@@ -1,11 +1,13 @@
-"""Collocations by Toivonen's mining: a sample proposes frequent phrases, full passes count them with their negative border.
+"""Collocations by Toivonen's mining: a sample proposes frequent phrases, a full pass counts them with their negative border.
 
-A phrase of k words can be frequent only if the k - 1 words at its front and at its back are. A pass counts exactly every
+A phrase of k words can be frequent only if the k - 1 words at its front and at its back are. The first full pass counts every
 phrase whose front and back are both proposed (every single word): that is each proposed phrase and the whole negative border
-that occurs. A border phrase found frequent was missed by the sample; it joins the proposals, and another pass counts
-what only they admit, until no pass finds one. All frequent phrases are then counted over all rows, whatever the sample was.
+that occurs. Proposed phrases are counted as such; those of the border, almost all of them rare, by keys of 64 bits, and counts by key are
+never too small. A key of the border that is frequent was missed by the sample: the second pass counts exactly, by whole phrases, those
+of frequent keys and all that only they admit, to its full length. All frequent phrases are so counted over all rows, whatever the
+sample was, and no count is of a key.
 
-What is proposed goes to the tasks as a bitmap of ``BITS`` hashed places, so its size is fixed; a phrase that passes by a
+What is proposed or frequent goes to the tasks as a bitmap of ``BITS`` hashed places, so its size is fixed; a phrase that passes by a
 collision is counted for nothing and dropped, none is lost. Within a task phrases are counted by whole ids, not by hashes.
 The sample is a share of the rows, ``SAMPLE``, with a threshold lowered to make misses rare.
 
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import count
 
 import numpy as np
@@ -27,21 +30,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from brindle.llm.common import parts_for, settle, table
+from brindle.llm.common import settle, table
 
 MOST_WORDS = 5
 #: Bits of the bitmap of proposals and of a piece of it that one task makes.
 BITS, PIECE = 1 << 27, 1 << 19
 #: Share of the documents that is mined first, and the part of the threshold's expected count there that proposes a phrase.
 SAMPLE, LOWERED = 1 / 8, 0.4
-#: Code points of text that a task counts together; phrases that it gives out at a time.
-TOGETHER, GIVEN = 3 << 20, 1 << 15
+#: Code points of text that a task counts together; phrases, and keys, that it gives out at a time.
+TOGETHER, GIVEN, KEYS_GIVEN = 3 << 20, 1 << 15, 1 << 18
 
 #: Lower-cases A-Z, makes a break (a byte that no text has) of marks and line ends.
 _BREAK = 0xFF
 _LOWER = bytes(_BREAK if c in b".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ODD, _EVEN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_SCHEMA = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
+_SCHEMA = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("key", pa.int64()), ("f", pa.int64())])
+_KEYS = pa.schema([("key", pa.int64()), ("f", pa.int64())])
 
 
 def _word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
@@ -55,10 +59,10 @@ def _longer(front: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(32))
 
 
-def _place(h: np.ndarray, words: int, size: int) -> np.ndarray:
-    """Place of a phrase in a bitmap of ``size`` bits; phrases of other lengths stand elsewhere."""
+def _key(h: np.ndarray, words: int) -> np.ndarray:
+    """Key of a phrase: 61 bits of hash, and its length in the last 3."""
     mixed = (h + np.uint64(words)) * _ODD
-    return ((mixed ^ (mixed >> np.uint64(31))) % np.uint64(size)).astype("i8")
+    return (mixed ^ (mixed >> np.uint64(31))) & ~np.uint64(7) | np.uint64(words)
 
 
 class Proposals:
@@ -68,33 +72,21 @@ class Proposals:
         self.bits = bits
 
     def has(self, h: np.ndarray, words: int) -> np.ndarray:
-        place = _place(h, words, 8 * len(self.bits))
+        place = ((_key(h, words) >> np.uint64(3)) % np.uint64(8 * len(self.bits))).astype("i8")
         return (self.bits[place >> 3] >> (place & 7).astype("u1") & 1).astype(bool)
 
 
-def proposals(phrases: DataFrame) -> Proposals:
-    """phrases: lang, phrase, words. Pieces of the bitmap are made where they are dealt; the driver joins pieces of fixed number and size."""
+def proposals(keys: DataFrame) -> Proposals:
+    """keys: key. Pieces of the bitmap are made where they are dealt; the driver joins pieces of fixed number and size."""
 
     size, piece = BITS, PIECE
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for lang, phrase, k in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                hashes = _word_hashes(lang, phrase.encode().split(b" "))
-                h = hashes[:1]
-                for j in range(1, k):
-                    h = _longer(h, hashes[j : j + 1])
-                found.append(int(_place(h, k, size)[0]))
-            place = np.array(found, "i8")
-            yield pa.RecordBatch.from_arrays([pa.array(place // piece), pa.array(place % piece)], ["piece", "bit"])
-
     def joined(key: tuple, rows: pa.Table) -> pa.Table:
         bits = np.zeros(piece, bool)
         bits[rows["bit"].to_numpy()] = True
         return pa.table({"piece": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
-    placed = phrases.select("lang", "phrase", "words").mapInArrow(places, "piece long, bit long").distinct()
+    placed = keys.select((F.shiftrightunsigned("key", 3) % size).alias("place")).selectExpr(f"place div {piece} AS piece", f"place % {piece} AS bit").distinct()
     pieces = placed.groupBy("piece").applyInArrow(joined, "piece long, bits binary")
     whole = np.zeros(size // 8, "u1")
     for r in pieces.collect():  # at most BITS / PIECE rows of PIECE / 8 bytes
@@ -116,13 +108,23 @@ class Held:
         self.ids.append(np.zeros(1, "i4"))
 
 
-def _count(lang: str, texts: Held, lengths: range, now: Proposals | None, before: Proposals | None) -> Iterator[pa.RecordBatch]:
-    """Phrases of the given lengths that ``now`` admits, with their occurrences in these texts; length 0 is all words.
+@dataclass
+class Found:
+    """Distinct phrases of ``size`` words in some texts: hashes, first places, occurrences; ``before``: whether the pass before counted them."""
+
+    size: int
+    hashes: np.ndarray
+    firsts: np.ndarray
+    counts: np.ndarray
+    before: np.ndarray
+
+
+def _count(lang: str, words: list[bytes], ids: np.ndarray, most: int, now: Proposals | None, before: Proposals | None) -> Iterator[Found]:
+    """Phrases of up to ``most`` words, by rising length, whose front and back ``now`` has.
 
-    With ``before``, those that it admitted are left out, and those that it did not are proposals at once: what is
-    around a missed phrase is counted to its full length in one pass.
+    With ``before``, those that the pass before did not count are proposals at once: what is around a missed phrase is counted
+    to its full length in one pass.
     """
-    words, ids = list(texts.numbers), np.concatenate(texts.ids).astype("i8")
     # ``starts``: where a phrase of k words begins that is counted; ``code`` numbers the distinct ones, whose hashes are ``held``
     # and whose first places are ``firsts``. ``counted_before``: places, among these, that the pass before counted.
     starts, code, held = np.flatnonzero(ids), ids, _word_hashes(lang, words)
@@ -130,9 +132,7 @@ def _count(lang: str, texts: Held, lengths: range, now: Proposals | None, before
     firsts = np.zeros(len(words), "i8")
     firsts[ids[::-1]] = np.arange(len(ids))[::-1]
     counted_before = np.ones(len(ids), bool)
-    if 0 in lengths:
-        yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([""], pa.string()), pa.array([len(starts)], pa.int64())], schema=_SCHEMA)
-    for k in range(1, lengths.stop):
+    for k in range(1, most + 1):
         if k > 1:
             open_now = np.zeros(len(ids) + 1, bool)
             open_now[starts] = True if now is None else now.has(held, k - 1)[code[starts]]
@@ -149,20 +149,11 @@ def _count(lang: str, texts: Held, lengths: range, now: Proposals | None, before
             code[starts] = code_of
         if len(starts) == 0:
             return
-        if k in lengths:
-            counts = np.bincount(code[starts], minlength=len(held))
-            found = np.flatnonzero((counts > 0) & (True if before is None else ~counted_before[firsts]))
-            for at in range(0, len(found), GIVEN):
-                out = found[at : at + GIVEN]
-                parts = [[words[i] for i in ids[firsts[out] + j].tolist()] for j in range(k)]
-                phrases = pa.array(list(map(b" ".join, zip(*parts, strict=True))), pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(out), pa.string()), phrases, pa.array(counts[out].astype("i8"))], schema=_SCHEMA)
+        yield Found(k, held, firsts, np.bincount(code[starts], minlength=len(held)), counted_before[firsts])
 
 
-def count_phrases(rows: DataFrame, lengths: range, now: Proposals | None = None, before: Proposals | None = None) -> DataFrame:
-    """rows: lang, text. lang, phrase, words, f: exact counts of the phrases whose front and back ``now`` has (all single words), and ``before`` has not both."""
-    context = rows.sparkSession.sparkContext
-    held = context.broadcast((now, before))
+def _per_text(rows: DataFrame, emit, schema: str) -> DataFrame:
+    """rows: lang, text. What ``emit`` gives of a language, its words by number and the words' numbers, for ``TOGETHER`` of text at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: defaultdict[str, Held] = defaultdict(Held)
@@ -170,7 +161,7 @@ def count_phrases(rows: DataFrame, lengths: range, now: Proposals | None = None,
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, texts in waiting.items():
-                yield from _count(lang, texts, lengths, *held.value)
+                yield from emit(lang, list(texts.numbers), np.concatenate(texts.ids).astype("i8"))
             waiting.clear()
 
         for batch in batches:
@@ -182,21 +173,84 @@ def count_phrases(rows: DataFrame, lengths: range, now: Proposals | None = None,
                     size = 0
         yield from flush()
 
-    counted = rows.select("lang", "text").mapInArrow(run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-    # how many words there are follows from the phrase: it is not shuffled, and found after the filter that a caller sets on f
-    return counted.select("lang", "phrase", F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " "))).alias("words"), "f")
+    return rows.select("lang", "text").mapInArrow(run, schema)
+
+
+def _by_key(found: Found, which: np.ndarray, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """key, f of these phrases; other columns of the schema are null."""
+    own = {"key": _key(found.hashes[which], found.size).view("i8"), "f": found.counts[which].astype("i8")}
+    for at in range(0, len(own["f"]), KEYS_GIVEN):
+        part = {k: pa.array(x[at : at + KEYS_GIVEN]) for k, x in own.items()}
+        yield pa.RecordBatch.from_arrays([part[c.name] if c.name in part else pa.nulls(len(part["f"]), c.type) for c in schema], schema=schema)
+
+
+def count_keys(rows: DataFrame, lengths: range, now: Proposals | None = None) -> DataFrame:
+    """rows: lang, text. key, f: occurrences by key of the phrases whose front and back ``now`` has (all single words)."""
+    shared = rows.sparkSession.sparkContext.broadcast(now)
+
+    def emit(lang: str, words: list[bytes], ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for found in _count(lang, words, ids, lengths.stop - 1, shared.value, None):
+            if found.size in lengths:
+                yield from _by_key(found, found.counts > 0, _KEYS)
+
+    return _per_text(rows, emit, "key long, f long").groupBy("key").agg(F.sum("f").alias("f"))
+
+
+def keys_of(phrases: DataFrame) -> DataFrame:
+    """phrases: lang, phrase. key of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = []
+            for lang, phrase in zip(*(batch.column(c).to_pylist() for c in range(2)), strict=True):
+                hashes = _word_hashes(lang, phrase.encode().split(b" "))
+                h = hashes[:1]
+                for j in range(1, len(hashes)):
+                    h = _longer(h, hashes[j : j + 1])
+                keys.append(_key(h, len(hashes)).view("i8")[0])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64())], ["key"])
+
+    return phrases.select("lang", "phrase").mapInArrow(run, "key long")
+
+
+def count_phrases(rows: DataFrame, now: Proposals, named: Proposals, before: Proposals | None = None) -> DataFrame:
+    """rows: lang, text. lang, phrase, key, f: exact counts, by whole phrases, of those that ``named`` has among the phrases whose front and
+    back ``now`` has. All others are counted by key, and all words of a language as the phrase ``""``.
+
+    With ``before``, a pass with it in both places went before: what that named is left out, and what it did not count is counted by whole
+    phrases; nothing is counted by key.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast((now, named, before))
+
+    def emit(lang: str, words: list[bytes], ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        admitted, wanted, earlier = shared.value
+        if earlier is None:
+            yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([""], pa.string()), pa.array([None], pa.int64()), pa.array([np.count_nonzero(ids)], pa.int64())], schema=_SCHEMA)
+        for found in _count(lang, words, ids, MOST_WORDS, admitted, earlier):
+            there, whole = found.counts > 0, wanted.has(found.hashes, found.size)
+            if earlier is not None:
+                whole = ~found.before | (whole & ~earlier.has(found.hashes, found.size))
+            own = np.flatnonzero(there & whole)
+            for at in range(0, len(own), GIVEN):
+                out = own[at : at + GIVEN]
+                parts = [[words[i] for i in ids[found.firsts[out] + j].tolist()] for j in range(found.size)]
+                phrases = pa.array(list(map(b" ".join, zip(*parts, strict=True))), pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(out), pa.string()), phrases, pa.nulls(len(out), pa.int64()), pa.array(found.counts[out].astype("i8"))], schema=_SCHEMA)
+            if earlier is None:
+                yield from _by_key(found, there & ~whole, _SCHEMA)
+
+    return _per_text(rows, emit, "lang string, phrase string, key long, f long").groupBy("lang", "phrase", "key").agg(F.sum("f").alias("f"))
 
 
 def _proposed_by_sample(rows: DataFrame, threshold: int) -> DataFrame:
-    """Phrases of the sample that reach the lowered threshold, by rising length."""
+    """Keys of the phrases of the sample that reach the lowered threshold, by rising length."""
     sample = settle(rows.where(F.rand(42) < SAMPLE), "sample")
     least = max(1, int(threshold * SAMPLE * LOWERED))
-    found = settle(count_phrases(sample, range(1, 2)).where(F.col("f") >= least), "proposed")
-    two = settle(count_phrases(sample, range(2, 3), proposals(found)).where(F.col("f") >= least), "proposed")
-    found = found.unionByName(two)
+    often = lambda lengths, now=None: settle(count_keys(sample, lengths, now).where(F.col("f") >= least).select("key"), "proposed")
+    found = often(range(1, 2))
+    found = found.unionByName(often(range(2, 3), proposals(found)))
     # longer ones in one pass: all whose pairs of words are proposed
-    longer = settle(count_phrases(sample, range(3, MOST_WORDS), _pairs_only(proposals(found))).where(F.col("f") >= least), "proposed")
-    return found.unionByName(longer)
+    return found.unionByName(often(range(3, MOST_WORDS + 1), _pairs_only(proposals(found))))
 
 
 class _PairsOnly(Proposals):
@@ -213,23 +267,18 @@ def _pairs_only(found: Proposals) -> Proposals:
 def frequent_phrases(docs: DataFrame, threshold: int = 100, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, f) of all phrases of up to ``MOST_WORDS`` words with f >= threshold, and (lang, n), each language's words."""
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL")
-    proposed = _proposed_by_sample(rows, threshold).select("lang", "phrase", "words")
-    now = proposals(proposed)
-    # of the border, which is most of what is counted, only what is frequent is written
-    counts = settle(count_phrases(rows, range(MOST_WORDS + 1), now).where((F.col("f") >= threshold) | (F.col("phrase") == "")), "counts")
-    totals = counts.where("words = 0").select("lang", F.col("f").alias("n"))
-    found = counts.where("words > 0")
-    news = found
-    while True:
-        missed = settle(news.where(F.col("words") < MOST_WORDS).join(proposed, ["lang", "phrase"], "left_anti").select("lang", "phrase", "words"), "missed")
-        if not missed.take(1):
-            return found, totals
-        # the border failed: what only the missed phrases admit is counted too
-        proposed = proposed.unionByName(missed)
-        before, now = now, proposals(proposed)
-        more = count_phrases(rows, range(2, MOST_WORDS + 1), now, before).where(F.col("f") >= threshold)
-        news = settle(more.join(found.select("lang", "phrase"), ["lang", "phrase"], "left_anti"), "counts")
-        found = found.unionByName(news)
+    proposed = proposals(_proposed_by_sample(rows, threshold))
+    # of the border, which is most of what is counted, only keys are shuffled and only what is frequent is written
+    counts = settle(count_phrases(rows, proposed, proposed).where((F.col("f") >= threshold) | (F.col("phrase") == "")), "counts")
+    length = F.size(F.split("phrase", " ")).alias("words")
+    found = counts.where("phrase <> ''").select("lang", "phrase", length, "f")
+    missed = counts.where("phrase IS NULL").select("key")
+    if missed.take(1):
+        # front and back of a frequent phrase are frequent: the first pass counted them and ``frequent`` has them, or it did not and the second does
+        frequent = proposals(keys_of(found).unionByName(missed))
+        more = count_phrases(rows, frequent, proposals(missed), proposed).where(F.col("f") >= threshold)
+        found = found.unionByName(settle(more.select("lang", "phrase", length, "f"), "missed"))
+    return found, counts.where("phrase = ''").select("lang", F.col("f").alias("n"))
 
 
 def score_phrases(found: DataFrame, totals: DataFrame) -> DataFrame:

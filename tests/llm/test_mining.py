@@ -145,6 +145,24 @@ def test_a_full_bitmap_loses_nothing(spark, monkeypatch):
     assert collocations_of(df, 10, 50) == plain_collocations(rows, 10, 50)
 
 
+def shuffled_bytes(spark):
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+    stages = store.stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteBytes() for k in range(stages.size())}
+
+
+def test_rare_phrases_are_shuffled_by_key_and_not_as_text(spark):
+    """40,000 words of 100 letters that occur once, 4 MB of text that no codec shortens much, beside a frequent pair."""
+    draw = random.Random(3)
+    rows = [("en", " ".join([f"{draw.getrandbits(400):0100x}" for _ in range(1000)] + ["of course"] * 2)) for _ in range(40)]
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(4).localCheckpoint()
+    before = shuffled_bytes(spark)
+    found, totals = collocations.frequent_phrases(df, 50)
+    assert {(r.phrase, r.f) for r in found.collect()} == {("of", 80), ("course", 80), ("of course", 80)}
+    assert [r.n for r in totals.collect()] == [40 * 1004]
+    assert sum(n for k, n in shuffled_bytes(spark).items() if k not in before) < 1_500_000
+
+
 def test_collocations_of_odd_rows_and_none(spark):
     assert collocations_of(odd(spark), 2, 10) == plain_collocations([(r[2], r[1]) for r in ODD], 2, 10)
     assert collocations_of(odd(spark).limit(0), 2, 10) == []
