@@ -13,11 +13,24 @@ from brindle.sources.shared import table
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-def body(sql: str, *names: str):
-    """A query from SQL over the named tables."""
+#: Tasks that keys are dealt to: at least, and for each split of the largest table.
+LEAST_PARTS, PARTS_A_SPLIT = 200, 16
+
+
+def body(sql: str, *names: str, keys: dict[str, str] | None = None):
+    """A query from SQL over the named tables.
+
+    ``keys`` names tables and the key by which the SQL joins and groups them. Their rows are dealt by it to tasks whose number grows with the
+    tables; tasks joined by shuffled bytes would hold millions of rows in the sorts and aggregates of one stage.
+    """
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in names})
+        tables = {n: table(spark, sf_dir, n) for n in names}
+        if keys:
+            splits = max(tables[n].rdd.getNumPartitions() for n in keys)
+            parts = max(LEAST_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")), PARTS_A_SPLIT * splits)
+            tables |= {n: tables[n].repartition(parts, key) for n, key in keys.items()}
+        return spark.sql(sql, **tables)
 
     return run
 
@@ -72,11 +85,14 @@ FORMS: dict[str, tuple[str, str, str | None]] = {
         None,
     ),
     "agg_distinct": ("lineitem", "SELECT l_shipmode_key AS linenumber, COUNT(DISTINCT l_orderkey) AS orders, COUNT(DISTINCT l_partkey) AS parts, COUNT(DISTINCT l_suppkey) AS suppliers FROM (SELECT l_linenumber AS l_shipmode_key, * FROM {lineitem}) AS q GROUP BY l_shipmode_key", None),
+    # a count of distinct values under a filter would double the rows and shuffle them once more: suppliers are made distinct first
     "agg_filter": (
         "part, lineitem",
+        """WITH by_supplier AS (SELECT l_partkey, l_suppkey, COUNT(l_orderkey) FILTER (WHERE l_returnflag NOT IN ('R')) AS n, SUM(CAST(l_quantity AS DECIMAL(18, 2))) FILTER (WHERE l_returnflag NOT IN ('R')) AS units, MAX(l_linestatus = 'O') AS open FROM {lineitem} GROUP BY l_partkey, l_suppkey),
+          by_part AS (SELECT l_partkey, SUM(n) AS n, SUM(units) AS units, COUNT(l_suppkey) FILTER (WHERE open) AS suppliers FROM by_supplier GROUP BY l_partkey)
+        SELECT p.p_partkey, COALESCE(SUM(l.n), 0) AS times_ordered, CAST(COALESCE(SUM(l.units), 0) AS DOUBLE) AS units, COALESCE(MAX(l.suppliers), 0) AS open_suppliers FROM {part} AS p LEFT JOIN by_part AS l ON l.l_partkey = p.p_partkey GROUP BY p.p_partkey""",
         """SELECT p.p_partkey, COUNT(l.l_orderkey) FILTER (WHERE l.l_returnflag NOT IN ('R')) AS times_ordered, CAST(COALESCE(SUM(CAST(l.l_quantity AS DECIMAL(18, 2))) FILTER (WHERE l.l_returnflag NOT IN ('R')), 0) AS DOUBLE) AS units,
           COUNT(DISTINCT l.l_suppkey) FILTER (WHERE l.l_linestatus = 'O') AS open_suppliers FROM {part} AS p LEFT JOIN {lineitem} AS l ON l.l_partkey = p.p_partkey GROUP BY p.p_partkey""",
-        None,
     ),
     "agg_having": ("orders", "SELECT o_custkey, COUNT(*) AS n FROM {orders} GROUP BY o_custkey HAVING COUNT(*) > 1", None),
     "agg_ratio_safe": (
@@ -150,5 +166,8 @@ def _names(names: str) -> list[str]:
     return [n.strip() for n in names.split(",")]
 
 
-QUERIES = {k: body(sql, *_names(names)) for k, (names, sql, _) in FORMS.items()}
+#: Keys by which tables of a query are dealt.
+KEYS = {"agg_filter": {"part": "p_partkey", "lineitem": "l_partkey"}}
+
+QUERIES = {k: body(sql, *_names(names), keys=KEYS.get(k)) for k, (names, sql, _) in FORMS.items()}
 ORACLES = {k: (other or sql).format(**{n: n for n in TABLES}) for k, (_, sql, other) in FORMS.items()}
