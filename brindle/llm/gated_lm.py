@@ -264,18 +264,18 @@ class Network:
             states[t] = state
             x = read[tokens[t]]
             u = state @ gate
-            zr = x[:, : 2 * n]
-            zr += u[:, : 2 * n]
-            np.negative(zr, out=zr)
-            np.exp(zr, out=zr)
-            zr += 1
-            np.reciprocal(zr, out=zr)
-            z, r = zr[:, :n], zr[:, n:]
-            c = r * u[:, 2 * n :]
+            # each part stands in memory of its own: rows of a part of ``x`` would be worked off one by one
+            z, r, own = x[:, :n] + u[:, :n], x[:, n : 2 * n] + u[:, n : 2 * n], u[:, 2 * n :].copy()
+            for gated in (z, r):
+                np.negative(gated, out=gated)
+                np.exp(gated, out=gated)
+                gated += 1
+                np.reciprocal(gated, out=gated)
+            c = r * own
             c += x[:, 2 * n :]
             np.tanh(c, out=c)
             if keep is not None:
-                keep.append((z, r, c, u[:, 2 * n :]))
+                keep.append((z, r, c, own))
             state = state - c
             state *= z
             state += c
@@ -341,11 +341,11 @@ class Network:
             z, r, c, u = keep[t]
             own = d_read[t]
             rest = (1 - z) * dh
-            np.multiply(rest * z, states[t] - c, out=own[:, :n])
-            dc = np.multiply(rest, 1 - c * c, out=own[:, 2 * n :])
-            np.multiply(dc * u, r * (1 - r), out=own[:, n : 2 * n])
-            d_gate[t] = own
-            d_gate[t, :, 2 * n :] *= r
+            own[:, :n] = d_gate[t, :, :n] = rest * z * (states[t] - c)
+            dc = rest * (1 - c * c)
+            own[:, 2 * n :] = dc
+            own[:, n : 2 * n] = d_gate[t, :, n : 2 * n] = dc * u * (r * (1 - r))
+            np.multiply(dc, r, out=d_gate[t, :, 2 * n :])
             dh = dh * z
             dh += d_gate[t] @ gate
             dh += d_states[t]
@@ -355,13 +355,12 @@ class Network:
         ids = tokens.ravel()
         order = _order(ids, len(self.of))
         first = np.flatnonzero(np.r_[True, np.diff(ids[order]) > 0])
-        at, ends = ids[order][first], np.r_[first[1:], len(ids)] - 1
-        sums = np.cumsum(d_read.reshape(-1, 3 * n)[order], axis=0, dtype="f8")[ends]
-        sums[1:] -= sums[:-1].copy()
+        at = ids[order][first]
+        sums = np.add.reduceat(d_read.reshape(-1, 3 * n)[order], first, axis=0)
         for name, grad in g.items():
             self.step(name, slice(None), grad)
         self.reads[at] += np.diff(np.r_[first, len(ids)])
-        self.step("read", at, sums.astype("f4"))
+        self.step("read", at, sums)
         return last
 
 
