@@ -38,13 +38,12 @@ from __future__ import annotations
 import math
 import pickle
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,8 +71,8 @@ PIECES = 16
 FAN = 32
 #: Distinct words a task counts before it passes them on.
 COUNTED = 1_000_000
-#: Documents encoded at a time.
-TOGETHER = 64
+#: Bytes of texts whose words are counted or encoded at a time, unless one text is longer.
+TOGETHER = 1 << 23
 #: Tokens whose classes are predicted at a time, so that their scores stay in a core's cache.
 BLOCK = 256
 #: Of "class" the last row and of "word" the last column are biases.
@@ -85,16 +84,35 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def words_of(text: str | bytes | None) -> list[bytes]:
+    """The words of one text, said plainly; tasks cut many texts at once, into the same words."""
     data = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text
     return data.translate(_LOWER).split() if data else []
 
 
+def _slices(batch: pa.RecordBatch, texts: int) -> Iterator[tuple[pa.RecordBatch, pa.Array, np.ndarray, np.ndarray]]:
+    """The batch in slices of about ``TOGETHER`` bytes of its texts, a column of strings. With each: the words of its texts, as ``words_of``
+    gives them, and one end after them; the place among these of each token, ends included; and the number of tokens of each text."""
+    ends = np.cumsum(pc.binary_length(batch.column(texts)).fill_null(0).to_numpy(zero_copy_only=False).astype("i8"))
+    edges = np.flatnonzero(np.diff((ends - 1) // TOGETHER)) + 1
+    for a, b in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
+        if a == b:
+            continue
+        own = batch.slice(a, b - a)
+        split = pc.ascii_split_whitespace(pc.ascii_lower(own.column(texts).fill_null("")))
+        words = split.flatten()
+        full = pc.binary_length(words).to_numpy() > 0  # white space at a text's ends leaves empty strings
+        sizes = np.diff(np.r_[0, np.cumsum(full)][split.offsets.to_numpy() - split.offsets[0].as_py()])
+        words = pa.concat_arrays([words.filter(pa.array(full)).cast(pa.binary()), pa.array([END], pa.binary())])
+        yield own, words, np.insert(np.arange(len(words) - 1), np.cumsum(sizes), len(words) - 1), sizes + 1
+
+
 @dataclass
 class Head:
-    """What tasks know of the corpus. ``ranks``: word -> its place by frequency from 1, with ``every`` its count and ``ids`` its id; up to ``known``
-    a word has an id of its own, beyond it a word is rare and has its symbol's. Place 0 is of all other words, the tail."""
+    """What tasks know of the corpus. ``words``: those of the largest counts by falling count; a word's place counts from 1 and has in ``every`` its
+    count and in ``ids`` its id; up to ``known`` a word has an id of its own, beyond it a word is rare and has its symbol's. Place 0 is of all
+    other words, the tail."""
 
-    ranks: dict[bytes, int]
+    words: pa.Array
     ids: np.ndarray
     every: np.ndarray
     known: int
@@ -113,21 +131,27 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """texts: text. Returns word (binary), n: of all words and ends."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
-        for batch in batches:
-            for t in batch.column(0).cast(pa.binary()).to_pylist():
-                seen.update(words_of(t))
-                if len(seen) > COUNTED:
-                    yield _counted(seen)
-                    seen.clear()
-            seen[END] += batch.num_rows
-        yield _counted(seen)
+        held, size, ends = [], 0, 0
+        for whole in batches:
+            ends += whole.num_rows
+            for _, words, _, _ in _slices(whole, 0):
+                held.append(pa.table(words[:-1].value_counts().flatten(), names=["word", "n"]))
+                size += held[-1].num_rows
+                if size > COUNTED:
+                    held = [_summed(held)]
+                    size = held[0].num_rows
+                    if size > COUNTED // 2:
+                        yield from held[0].to_batches()
+                        held, size = [], 0
+        if ends:
+            held.append(pa.table([pa.array([END], pa.binary()), pa.array([ends], pa.int64())], names=["word", "n"]))
+            yield from _summed(held).to_batches()
 
     return texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _counted(seen: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+def _summed(counts: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(counts).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
 
 def head_of(counts: DataFrame) -> Head:
@@ -162,9 +186,8 @@ def head_of(counts: DataFrame) -> Head:
     classes = math.ceil(mass[-1])
     inner = np.searchsorted(mass, mass[-1] * np.arange(1, classes) / classes) + 1
     starts = np.unique(np.r_[0, symbols, inner, len(sizes)])
-    ranks = {w: k + 1 for k, (w, _) in enumerate(ranked)}
     ids = np.array([0, *range(symbols, symbols + known), *(_symbol(w, symbols) for w, _ in ranked[known:])], "i4")
-    return Head(ranks, ids, every, known, tokens, distinct, rare_tokens + 0.5 * (rare_distinct + 1), sizes, starts[starts <= len(sizes)])
+    return Head(pa.array([w for w, _ in ranked], pa.binary()), ids, every, known, tokens, distinct, rare_tokens + 0.5 * (rare_distinct + 1), sizes, starts[starts <= len(sizes)])
 
 
 def _symbol(word: bytes, symbols: int) -> int:
@@ -255,31 +278,35 @@ class Network:
 
     def run(self, tokens: np.ndarray, begins: np.ndarray, state: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
         """tokens, begins: step x lane. Returns the states before each token and the last one."""
-        gate, n = self.weights["gate"], self.hidden
-        states = np.empty((*tokens.shape, n), "f4")
-        read, ended = self.weights["read"], begins.any(1)
-        for t in range(len(tokens)):
+        n, read = self.hidden, self.weights["read"]
+        # a unit of all lanes stands in one piece of memory, and so does each part of a step
+        gate = np.ascontiguousarray(self.weights["gate"].T)
+        states, ended = np.empty((len(tokens) + 1, n, tokens.shape[1]), gate.dtype), begins.any(1).tolist()
+        states[0] = state.T
+        for t, h in enumerate(states[:-1]):
             if ended[t]:
-                state = state * ~begins[t][:, None]
-            states[t] = state
-            x = read[tokens[t]]
-            u = state @ gate
-            # each part stands in memory of its own: rows of a part of ``x`` would be worked off one by one
-            z, r, own = x[:, :n] + u[:, :n], x[:, n : 2 * n] + u[:, n : 2 * n], u[:, 2 * n :].copy()
-            for gated in (z, r):
-                np.negative(gated, out=gated)
-                np.exp(gated, out=gated)
-                gated += 1
-                np.reciprocal(gated, out=gated)
-            c = r * own
-            c += x[:, 2 * n :]
-            np.tanh(c, out=c)
-            if keep is not None:
+                h *= ~begins[t]
+            u, x = gate @ h, read[tokens[t]].T
+            gates, own, c = u[: 2 * n], u[2 * n :], states[t + 1]
+            gates += x[: 2 * n]
+            np.negative(gates, out=gates)
+            np.exp(gates, out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            z, r = gates[:n], gates[n:]
+            if keep is None:
+                own *= r
+                own += x[2 * n :]
+                c = np.tanh(own, out=own)
+            else:
+                c = r * own
+                c += x[2 * n :]
+                np.tanh(c, out=c)
                 keep.append((z, r, c, own))
-            state = state - c
-            state *= z
-            state += c
-        return states, state
+            after = np.subtract(h, c, out=states[t + 1])
+            after *= z
+            after += c
+        return states[:-1].transpose(0, 2, 1), states[-1].T
 
     def log_softmax(self, states: np.ndarray, targets: np.ndarray, gradients: dict | None = None, scale: float = 1.0) -> np.ndarray:
         """Natural log-probability of each target. With ``gradients``, adds the gradients of the loss' sum times ``scale``: of the classes' and
@@ -333,30 +360,39 @@ class Network:
         self.log_softmax(states.reshape(-1, n)[flat], tokens.ravel()[flat], g, scale)
         d_states = np.zeros((tokens.size, n), "f4")
         d_states[flat] = g.pop("states")
-        d_states = d_states.reshape(states.shape)
-        gate = self.weights["gate"].T
-        d_read, d_gate = np.empty((*tokens.shape, 3 * n), "f4"), np.empty((*tokens.shape, 3 * n), "f4")
-        dh = np.zeros_like(state)
+        d_states, states = d_states.reshape(states.shape).transpose(0, 2, 1), states.transpose(0, 2, 1)
+        gate = self.weights["gate"]
+        d_read, d_gate = np.empty((tokens.size, 3 * n), "f4"), np.empty((3 * n, tokens.shape[1]), "f4")
+        d_z, d_r, d_u = d_gate[:n], d_gate[n : 2 * n], d_gate[2 * n :]
+        dh, ended, width = np.zeros_like(states[0]), begins.any(1).tolist(), tokens.shape[1]
+        g["gate"] = np.zeros_like(gate)
         for t in range(len(tokens) - 1, -1, -1):
-            z, r, c, u = keep[t]
-            own = d_read[t]
-            rest = (1 - z) * dh
-            own[:, :n] = d_gate[t, :, :n] = rest * z * (states[t] - c)
-            dc = rest * (1 - c * c)
-            own[:, 2 * n :] = dc
-            own[:, n : 2 * n] = d_gate[t, :, n : 2 * n] = dc * u * (r * (1 - r))
-            np.multiply(dc, r, out=d_gate[t, :, 2 * n :])
-            dh = dh * z
-            dh += d_gate[t] @ gate
+            (z, r, c, u), h, own = keep[t], states[t], d_read[t * width : (t + 1) * width].T
+            rest = 1 - z
+            rest *= dh
+            np.subtract(h, c, out=d_z)
+            d_z *= z
+            d_z *= rest
+            rest -= rest * c * c
+            np.multiply(rest, u, out=d_r)
+            d_r *= r
+            own[2 * n :] = rest
+            rest *= r
+            d_u[...] = rest
+            np.subtract(1, r, out=r)
+            d_r *= r
+            own[: 2 * n] = d_gate[: 2 * n]
+            g["gate"] += h @ d_gate.T
+            dh *= z
+            dh += gate @ d_gate
             dh += d_states[t]
-            if begins[t].any():
-                dh *= ~begins[t][:, None]
-        g["gate"] = states.reshape(-1, n).T @ d_gate.reshape(-1, 3 * n)
+            if ended[t]:
+                dh *= ~begins[t]
         ids = tokens.ravel()
         order = _order(ids, len(self.of))
         first = np.flatnonzero(np.r_[True, np.diff(ids[order]) > 0])
         at = ids[order][first]
-        sums = np.add.reduceat(d_read.reshape(-1, 3 * n)[order], first, axis=0)
+        sums = np.add.reduceat(d_read[order], first, axis=0)
         for name, grad in g.items():
             self.step(name, slice(None), grad)
         self.reads[at] += np.diff(np.r_[first, len(ids)])
@@ -401,14 +437,16 @@ def windows(docs: list[np.ndarray], width: int, steps: int, longest: int = 1) ->
         at += size
 
 
-def _ranks(words: list[bytes], head: Head) -> np.ndarray:
-    return np.fromiter(map(head.ranks.get, words, repeat(0)), "i4", len(words))
+def _ranks(words: list[bytes] | pa.Array, head: Head) -> np.ndarray:
+    found = pc.index_in(words if isinstance(words, pa.Array) else pa.array(words, pa.binary()), value_set=head.words)
+    return found.fill_null(-1).to_numpy() + np.int32(1)
 
 
-def _ids(words: list[bytes], ranks: np.ndarray, head: Head) -> np.ndarray:
+def _ids(words: list[bytes] | pa.Array, ranks: np.ndarray, head: Head) -> np.ndarray:
     ids, symbols = head.ids[ranks], len(head.rare_totals)
     tail = np.flatnonzero(ranks == 0)
-    ids[tail] = [_symbol(words[i], symbols) for i in tail.tolist()]
+    found = words.take(pa.array(tail)).to_numpy(zero_copy_only=False).tolist() if isinstance(words, pa.Array) else [words[i] for i in tail.tolist()]
+    ids[tail] = [_symbol(w, symbols) for w in found]
     return ids
 
 
@@ -522,23 +560,17 @@ def encode(docs: DataFrame, head) -> DataFrame:
         logs[0] = shares[0] = 0
         base[0] = -unit  # what the counts of tail words add comes later
         for whole in batches:
-            for at in range(0, whole.num_rows, TOGETHER):
-                batch = whole.slice(at, TOGETHER)
-                every, sizes = [], []
-                for t in batch.column(1).cast(pa.binary()).to_pylist():
-                    before = len(every)
-                    every += words_of(t)
-                    every.append(END)
-                    sizes.append(len(every) - before)
-                ranks, starts = _ranks(every, own), np.cumsum([0, *sizes[:-1]])
-                ids, tail = _ids(every, ranks, own), np.flatnonzero(ranks == 0)
+            for batch, words, places, sizes in _slices(whole, 1):
+                found = _ranks(words, own)
+                ids, ranks = _ids(words, found, own)[places], found[places]
+                starts, tail = np.cumsum(np.r_[0, sizes[:-1]]), np.flatnonzero(ranks == 0)
                 share = shares[ranks]
                 share[tail] = -rare_units[ids[tail]]
-                data, ends = ids.astype("<i4").tobytes(), [*starts[1:].tolist(), len(every)]
-                words = pa.array([every[i] for i in tail.tolist()], pa.binary())
+                data, ends = ids.astype("<i4").tobytes(), [*starts[1:].tolist(), len(ids)]
+                words = words.take(pa.array(places[tail]))
                 n_tail = np.bincount(np.searchsorted(starts, tail, "right") - 1, minlength=len(sizes))
                 columns = [
-                    pa.array(np.arange(number, number + len(sizes))), batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(np.array(sizes) - n_tail), pa.array(np.add.reduceat(base[ranks], starts)),
+                    pa.array(np.arange(number, number + len(sizes))), batch.column(0), batch.column(2), pa.array(sizes), pa.array(sizes - n_tail), pa.array(np.add.reduceat(base[ranks], starts)),
                     pa.array(np.add.reduceat(share, starts)), pa.array(n_tail.astype("i8")), batch.column(3), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n_tail)], pa.int32()), words),
                     pa.array([data[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends, strict=True)], pa.binary()),
                 ]

@@ -41,6 +41,33 @@ def test_each_part_of_a_step_stands_in_memory_of_its_own():
     assert len(keep) == 2 and all(part.flags.c_contiguous for step in keep for part in step)
 
 
+def test_a_unit_of_all_lanes_stands_in_one_piece():
+    """Steps work on rows as long as there are lanes, not on rows of a few hidden units."""
+    net, keep = gated_lm.Network(np.ones(10), np.array([0, 1, 3, 6, 10]), hidden=4), []
+    states, last = net.run(np.arange(6, dtype="i4").reshape(2, 3), np.zeros((2, 3), bool), np.zeros((3, 4), "f4"), keep)
+    assert states.shape == (2, 3, 4) and last.shape == (3, 4)
+    assert all(part.shape == (4, 3) for step in keep for part in step) and states.transpose(0, 2, 1).flags.c_contiguous
+
+
+@pytest.mark.parametrize("together", [1, 9, 1 << 23])
+def test_slices_hold_the_words_of_each_text_and_its_end(monkeypatch, together):
+    import pyarrow as pa
+
+    monkeypatch.setattr(gated_lm, "TOGETHER", together)
+    texts = [None, "", " ", "a", " A\x0bb\x0c\x1cc\x85d\u2003E \t", "\x00 B\r\nÉ", "İI " * 40, "\n", None, "x", "x"]
+    head = gated_lm.Head(pa.array([b"x", b"a", gated_lm.END], pa.binary()), np.array([0, 5, 6, 2], "i4"), None, 2, 0, 0, np.ones(5), None, None)
+    batch, got, seen = pa.record_batch([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["k", "t"]), [], []
+    for own, words, places, sizes in gated_lm._slices(batch, 1):
+        ids = gated_lm._ids(words, gated_lm._ranks(words, head), head)[places]
+        got += zip(np.split(np.array(words.to_pylist(), object)[places], np.cumsum(sizes)[:-1]), np.split(ids, np.cumsum(sizes)[:-1]), strict=True)
+        seen += own.column(0).to_pylist()
+    assert seen == list(range(len(texts))) and len(got) == len(texts)
+    for text, (words, ids) in zip(texts, got, strict=True):
+        assert words.tolist() == [*gated_lm.words_of(text), gated_lm.END]
+        assert ids.tolist() == [{b"x": 5, b"a": 6, gated_lm.END: 2}.get(w, zlib.crc32(w) % 5) for w in words]
+    assert not list(gated_lm._slices(batch.slice(0, 0), 1))
+
+
 @pytest.mark.parametrize("name", gated_lm.NAMES)
 def test_gradients_equal_differences(name, monkeypatch):
     rng = np.random.default_rng(2)
